@@ -420,3 +420,28 @@ query("graph_nodes", f"WITH {GRAPH}, own AS (SELECT path AS node FROM {{files}}
 query("graph_groups", f"WITH {GRAPH} SELECT a.layer AS from_group, family, b.layer AS to_group, count(*) AS relations, count(DISTINCT source) AS members FROM gr JOIN {{files}} a ON a.path = source JOIN {{files}} b ON b.path = target WHERE a.layer <> b.layer GROUP BY 1, 2, 3")(lambda m: G.grouped(_graph(m), G.group_key(m["files"], "layer")))
 query("graph_ledger", f"WITH {GRAPH} SELECT family, count(*) AS collapsed FROM gr JOIN {{files}} a ON a.path = source JOIN {{files}} b ON b.path = target WHERE a.language = b.language GROUP BY family")(lambda m: G.ledger(_graph(m), G.group_key(m["files"], "language")))
 query("graph_evidence_overlay", f"WITH {GRAPH} SELECT family, state, count(*) AS relations FROM gr GROUP BY family, state")(lambda m: G.evidence_overlay(_graph(m)))
+
+
+# --- sources, sinks, streaming -----------------------------------------------------------------
+from factweave.sources import readers as I  # noqa: E402
+from factweave.sources import sinks as O  # noqa: E402
+from factweave.streaming.changes import event_windows  # noqa: E402
+
+query("inventory_counts", """SELECT count(*) AS inventory_files, count(*) FILTER (WHERE path LIKE '%/de/%') AS ignored, count(*) FILTER (WHERE oversized AND path NOT LIKE '%/de/%') AS oversized,
+  count(*) FILTER (WHERE NOT oversized AND path NOT LIKE '%/de/%' AND path LIKE '%.en') AS selected, count(*) FILTER (WHERE path NOT LIKE '%/de/%' AND path NOT LIKE '%.en') AS unsupported
+  FROM (SELECT concat(source, '/', lang, '/', doc_id, '.', lang) AS path, strlen(text) > 5000 AS oversized FROM {documents})""")(
+    lambda m: I.inventory_counts(
+        m["documents"].select(F.concat(F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")), F.lit("."), "lang").alias("path"), (F.octet_length("text") > 5000).alias("oversized")).withColumn("ignored", P.ignore_decision(F.col("path"), ["de/"])), ("en",)
+    )
+)
+query("file_classification", """SELECT path, CASE WHEN path LIKE 'src1/%' THEN 'core' WHEN path LIKE '%/fr/%' THEN 'french' END AS layer,
+  concat_ws(',', CASE WHEN path LIKE '%/en/%' THEN 'source' END, CASE WHEN path LIKE '%7' THEN 'test' END) AS roles FROM {inventory}""")(
+    lambda m: I.classify(m["inventory"], [("core", "src1/**"), ("french", "*/fr/*")], [("source", "*/en/*"), ("test", "*7")]).withColumn("roles", F.array_join("roles", ","))
+)
+query("change_set", """SELECT CASE event_type WHEN 'click' THEN 'added' WHEN 'view' THEN 'modified' WHEN 'error' THEN 'deleted' ELSE 'renamed' END AS status, CASE WHEN event_type IN ('click', 'view', 'error') THEN concat('f', event_id) ELSE concat('g', event_id) END AS path,
+  CASE WHEN event_type NOT IN ('click', 'view', 'error') THEN concat('f', event_id) END AS previous FROM {events}""")(
+    lambda m: I.change_set(m["events"].select(F.concat(F.expr("CASE event_type WHEN 'click' THEN 'A' WHEN 'view' THEN 'M' WHEN 'error' THEN 'D' ELSE 'R100' END"), F.lit("\tf"), "event_id", F.when(F.col("event_type").isin("click", "view", "error"), "").otherwise(F.concat(F.lit("\tg"), "event_id"))).alias("text")))
+)
+query("canonical_json", """SELECT json, sha256(json) AS sha256 FROM (SELECT concat('{"key":"', component, '","path":"', path, '"}') AS json FROM {component_files})""")(lambda m: O.canonical_json(m["component_files"].select("path", F.col("component").alias("key"))))
+query("derived_actions", f"""WITH {KEYS_A} SELECT DISTINCT CASE comparison WHEN 'missing' THEN 'add' ELSE 'remove' END AS action, key, comparison, CASE comparison WHEN 'missing' THEN 0 ELSE 2 END AS step FROM ({MISSING} UNION ALL {EXTRA}) x""")(lambda m: O.derive_actions(A.set_equal(*_sets(m))))
+query("event_windows", "SELECT time_bucket(INTERVAL 5 MINUTE, ts) AS start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM {events} GROUP BY 1, 2")(lambda m: event_windows(m["events"]).withColumn("total", F.round("total", 2)))
