@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
-from factweave.llm.common import crc_fold, small_batches
+from factweave.llm.common import Stages, crc_fold, small_batches
 
 TOKEN = re.compile(r"\w+")
 PREFIXES = (4, 5, 6, 7)
@@ -178,8 +178,8 @@ def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 30, ridge: float = 1e-
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id") -> ToxicityModel | None:
     """Learn from labelled rows with crc32(id) mod 3 not 1; None unless both labels occur.
 
-    The sample holds about MOST_TOXIC and MOST_CLEAN documents, by a hash of the id. Feature counts
-    are aggregated on the executors; at most MOST_FEATURES features, MOST_WINDOWS windows and two
+    The sample holds about MOST_TOXIC and MOST_CLEAN documents, by a hash of the id; their ids are
+    broadcast, as the bound is fixed, so no text is shuffled to find them. Feature counts are aggregated on the executors; at most MOST_FEATURES features, MOST_WINDOWS windows and two
     figures per sampled document come to the driver.
     """
     small_batches(docs.sparkSession)
@@ -190,7 +190,9 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "d
     share = {1: min(1.0, MOST_TOXIC / sizes[1]), 0: min(1.0, MOST_CLEAN / sizes[0])}
     unit = F.pmod(F.xxhash64("id", F.lit(3)), F.lit(1 << 20)) / float(1 << 20)
     chosen = marked.where(unit < F.when(F.col("toxic") == 1, share[1]).otherwise(share[0]))
-    sample = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).where("text is not null").join(chosen, "id").select("id", "text", "toxic")
+    chosen = F.broadcast(chosen.limit(2 * (MOST_TOXIC + MOST_CLEAN)))  # far above what the shares let through
+    named = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).where("text is not null")
+    sample = Stages(docs.sparkSession).put(named.join(chosen, "id").select("id", "text", "toxic"), "sample")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -202,7 +204,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "d
                     yield pa.RecordBatch.from_arrays([pa.array(list(c)), pa.array([y] * len(c), pa.int32()), pa.array(list(c.values()), pa.int64())], names=["f", "y", "n"])
 
     seen = sample.mapInArrow(count, "f string, y int, n long").groupBy("f").agg(F.sum(F.expr("if(y = 1, n, 0)")).alias("bad"), F.sum(F.expr("if(y = 0, n, 0)")).alias("good"))
-    whole = chosen.groupBy().agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good")).first()
+    whole = sample.groupBy().agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good")).first()
     ratio = (F.col("bad") / float(max(whole["bad"], 1))) / ((F.col("good") + 0.5) / float(max(whole["good"], 1)))
     ranked = seen.where("f <> ''").withColumn("ratio", ratio).withColumn("gain", F.col("bad") * F.log("ratio"))
     kept = ranked.where((F.col("gain") >= LEAST_GAIN) & (F.col("ratio") >= LEAST_RATIO)).orderBy(F.desc("gain"), "f").limit(MOST_FEATURES).select("f").collect()
