@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from factweave.llm.common import Stages, bounds, connected_components, finite, groups_of, local_roots, partitions
 
-PASSES, PLANES, WINDOW, BLOCK = 16, 48, 64, 1024
+PASSES, PLANES, WINDOW, BLOCK = 16, 48, 64, 256
 
 
 def projection_keys(x: np.ndarray, passes: int = PASSES) -> np.ndarray:
