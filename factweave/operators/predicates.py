@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -186,9 +188,6 @@ def observations_equal(actual: DataFrame, expected: DataFrame, rtol: float = 0.0
 
 def ulp_distance(a: Column, b: Column) -> Column:
     """Steps between two doubles in their monotone order, by a pandas UDF (bits can't be read in SQL)."""
-    import numpy as np
-    import pandas as pd
-
     @F.pandas_udf("double")
     def steps(x: pd.Series, y: pd.Series) -> pd.Series:
         def order(v: pd.Series) -> np.ndarray:

@@ -144,7 +144,7 @@ query("assert_forbidden_edges", f"WITH {CEDGES} SELECT 'forbidden' AS comparison
 )
 query("assert_allowed_edges", f"WITH {CEDGES} SELECT 'extra' AS comparison, {KEY} AS key, state FROM cedges WHERE NOT (source LIKE 'A%' OR target = 'even')")(lambda m: A.allowed_edges(S.component_edges(m), [("A*", "*", "*"), ("*", "*", "even")]))
 query("assert_acyclic", """WITH e AS (SELECT DISTINCT source, target FROM {arcs} WHERE kind = 'call' AND source <> 'p/1')
-  SELECT 'cycle' AS comparison, concat(source, '||', target) AS key, 'current' AS state FROM e WHERE source = target""")(lambda m: A.acyclic(m["arcs"].where("kind = 'call' and source <> 'p/1'")))
+  SELECT 'cycle' AS comparison, concat(source, '||', target) AS key, 'current' AS state FROM e WHERE source = target""")(lambda m: A.acyclic(m["arcs"].where("kind = 'call' and source <> 'p/1'")))  # halving has no cycle above 0
 query("assert_cardinality", "SELECT 'cardinality' AS comparison, CAST(count(DISTINCT name) AS VARCHAR) AS key, 'current' AS state FROM {symbols} HAVING count(DISTINCT name) > 10")(lambda m: A.cardinality(S.symbols(m), most=10))
 query("assert_numeric_bounds", "SELECT 'bounds' AS comparison, path AS key, 'current' AS state FROM {files} WHERE bytes > 200 OR bytes < 110")(lambda m: A.numeric_bounds(S.file_metrics(m), least=110, most=200))
 query("assert_min_test_routes", """SELECT 'cardinality' AS comparison, CAST(count(DISTINCT target) AS VARCHAR) AS key, 'current' AS state FROM {tests} HAVING count(DISTINCT target) < 40
@@ -159,7 +159,8 @@ def _observations(m: Bound) -> tuple[DataFrame, DataFrame]:
 
 
 query("assert_observations_equal", f"WITH {OBS} SELECT 'different' AS comparison, concat(c, '/', route) AS key, 'current' AS state FROM o WHERE abs(a - e) > 1e-4 * greatest(abs(a), abs(e))")(lambda m: A.observations_equal(*_observations(m), rtol=1e-4))
-query("operand_guard", "SELECT 'different' AS comparison, '*' AS key, 'unknown' AS state")(lambda m: A.guard(A.set_equal(*_sets(m)), Projection(S.file_edges(m), "relation").completeness()))
+query("operand_guard", f"""WITH {KEYS_A}, {FEDGES}, bad AS (SELECT count(*) AS n FROM fedges WHERE state <> 'current'), x AS ({MISSING} UNION ALL {EXTRA})
+  SELECT x.* FROM x CROSS JOIN bad WHERE n = 0 UNION ALL SELECT 'different', '*', 'unknown' FROM bad WHERE n > 0""")(lambda m: A.guard(A.set_equal(*_sets(m)), Projection(S.file_edges(m), "relation").completeness()))
 
 # --- typed constraints and policy ------------------------------------------------------------
 TYPED: list[tuple[str, dict, str]] = [
@@ -178,10 +179,10 @@ TYPED: list[tuple[str, dict, str]] = [
     ("provider_surface", {"forbid_ambiguous": True}, f"WITH {SURFACE} SELECT 'ambiguous' AS comparison, key, 'current' AS state FROM sf WHERE resolution = 'ambiguous'"),
     ("allowed_component_edges", {"patterns": [("*", "*", "even")]}, f"WITH {CEDGES} SELECT 'extra' AS comparison, {KEY} AS key, state FROM cedges WHERE target <> 'even'"),
     ("forbidden_component_edges", {"patterns": [("even", "A", "*")]}, f"WITH {CEDGES} SELECT 'forbidden' AS comparison, {KEY} AS key, state FROM cedges WHERE source = 'even' AND kind = 'A'"),
-    ("required_component_edges", {"patterns": [("even", "A", "x*")]}, "SELECT 'missing' AS comparison, 'even|A|x*' AS key, 'current' AS state"),
+    ("required_component_edges", {"patterns": [("even", "A", "x*")]}, f"WITH {CEDGES} SELECT 'missing' AS comparison, 'even|A|x*' AS key, 'current' AS state WHERE NOT EXISTS (SELECT 1 FROM cedges WHERE source = 'even' AND kind = 'A' AND target LIKE 'x%')"),
     ("allowed_file_edges", {"patterns": [("*", "[AN]", "*")]}, f"WITH {FEDGES} SELECT 'extra' AS comparison, {KEY} AS key, state FROM fedges WHERE kind = 'R'"),
     ("forbidden_file_edges", {"patterns": [("n/NATION_1", "*", "*")]}, f"WITH {FEDGES} SELECT 'forbidden' AS comparison, {KEY} AS key, state FROM fedges WHERE source = 'n/NATION_1'"),
-    ("required_file_edges", {"patterns": [("n/NATION_1", "?", "n/NATION_77")]}, "SELECT 'missing' AS comparison, 'n/NATION_1|?|n/NATION_77' AS key, 'current' AS state"),
+    ("required_file_edges", {"patterns": [("n/NATION_1", "?", "n/NATION_77")]}, f"WITH {FEDGES} SELECT 'missing' AS comparison, 'n/NATION_1|?|n/NATION_77' AS key, 'current' AS state WHERE NOT EXISTS (SELECT 1 FROM fedges WHERE source = 'n/NATION_1' AND kind LIKE '_' AND target = 'n/NATION_77')"),
     ("component_cycles", {"kinds": ("R",)}, f"""WITH RECURSIVE {CEDGES}, g AS (SELECT DISTINCT source, target FROM cedges WHERE kind = 'R'), r AS (SELECT source, target FROM g UNION SELECT r.source, g.target FROM r JOIN g ON g.source = r.target),
       loops AS (SELECT source AS node FROM r WHERE source = target), fwd AS (SELECT node FROM loops UNION SELECT target FROM r JOIN loops ON loops.node = r.source), bwd AS (SELECT node FROM loops UNION SELECT source FROM r JOIN loops ON loops.node = r.target)
       SELECT 'cycle' AS comparison, concat(source, '||', target) AS key, 'current' AS state FROM g WHERE source IN (SELECT node FROM fwd) AND target IN (SELECT node FROM bwd)"""),
@@ -275,7 +276,9 @@ _PROVEN = PATHS.replace("FLT", "state = 'current' AND resolution IN ('unique', '
 query("path_shortest", f"WITH RECURSIVE {_PROVEN}, t AS (SELECT * FROM p WHERE node IN ('p/3', 'p/0')) SELECT trail, CAST(d AS INT) AS length, true AS proven FROM t WHERE d = (SELECT min(d) FROM t)")(
     lambda m: _path(m).select(F.array_join("nodes", ">").alias("trail"), "length", "proven")
 )
-query("path_outcome", "SELECT 'found' AS outcome, 'witnesses' AS reason")(lambda m: T.path_outcome(_path(m), _seed(m, "p/200"), _seed(m, "p/3", "p/0"), True, False))
+_ANY = PATHS.replace("FLT", "true").replace("p AS (", "w AS (", 1).replace("p.d", "w.d").replace("p.trail", "w.trail").replace("FROM p JOIN", "FROM w JOIN").replace("= p.node", "= w.node")
+query("path_outcome", f"""WITH RECURSIVE {_PROVEN}, {_ANY}, k AS (SELECT (SELECT count(*) FROM p WHERE node IN ('p/3', 'p/0')) AS good, (SELECT count(*) FROM w WHERE node IN ('p/3', 'p/0')) AS other)
+  SELECT CASE WHEN good > 0 THEN 'found' WHEN other > 0 THEN 'unknown' ELSE 'absent' END AS outcome, CASE WHEN good > 0 THEN 'witnesses' WHEN other > 0 THEN 'candidate-witnesses' ELSE 'exhaustive' END AS reason FROM k""")(lambda m: T.path_outcome(_path(m), _seed(m, "p/200"), _seed(m, "p/3", "p/0"), True, False))
 query("cycle_core", """WITH RECURSIVE g AS (SELECT DISTINCT source, target FROM {arcs} WHERE kind = 'import' AND state = 'current'), n AS (SELECT source AS node FROM g UNION SELECT target FROM g),
   r AS (SELECT source, target FROM g UNION SELECT r.source, g.target FROM r JOIN g ON g.source = r.target), loops AS (SELECT DISTINCT source AS node FROM r WHERE source = target),
   fwd AS (SELECT node FROM loops UNION SELECT r.target FROM r JOIN loops ON loops.node = r.source), bwd AS (SELECT node FROM loops UNION SELECT r.source FROM r JOIN loops ON loops.node = r.target)

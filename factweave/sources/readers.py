@@ -71,7 +71,12 @@ def package_json(texts: DataFrame) -> DataFrame:
     maps = {"runtime": "dependencies", "dev": "devDependencies", "peer": "peerDependencies"}
     doc = F.from_json("text", "name string, version string, " + ", ".join(f"{m} map<string,string>" for m in maps.values()))
     rows = texts.select("path", doc.alias("d"))
-    pairs = F.flatten(F.array(*[F.transform(F.map_entries(F.coalesce(F.col(f"d.{m}"), F.create_map().cast("map<string,string>"))), lambda e, s=s: F.struct(F.lit(s).alias("scope"), e["key"].alias("dependency"), e["value"].alias("requirement"))) for s, m in maps.items()]))
+
+    def listed(scope: str, member: str) -> Column:
+        entries = F.map_entries(F.coalesce(F.col(f"d.{member}"), F.create_map().cast("map<string,string>")))
+        return F.transform(entries, lambda e: F.struct(F.lit(scope).alias("scope"), e["key"].alias("dependency"), e["value"].alias("requirement")))
+
+    pairs = F.flatten(F.array(*[listed(s, m) for s, m in maps.items()]))
     return rows.select("path", "d.name", "d.version", F.explode_outer(pairs).alias("p")).select("path", "name", "version", "p.*")
 
 

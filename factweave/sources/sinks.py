@@ -80,7 +80,7 @@ def concept_query(concepts: DataFrame, types: tuple = (), tags: tuple = (), text
     """Concepts (id, type, tags, body) by type, all tags (folded) and a folded text."""
     keep: Column = F.col("type").isin(*types) if types else F.lit(True)
     for tag in tags:
-        keep = keep & F.exists("tags", lambda t, tag=tag: F.lower(t) == tag.lower())
+        keep = keep & F.array_contains(F.transform("tags", F.lower), tag.lower())
     return concepts.where(keep & (F.contains(F.lower("body"), F.lit(text.lower())) if text else F.lit(True)))
 
 

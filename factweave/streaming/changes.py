@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 def event_windows(events: DataFrame, every: str = "5 minutes", late: str = "10 minutes") -> DataFrame:
     """Tumbling counts and sums per event type; rows later than the watermark are dropped by Spark."""
-    held = events.withWatermark("ts", late) if events.isStreaming else events
+    held = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late) if events.isStreaming else events
     grouped = held.groupBy(F.window("ts", every).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
     return grouped.select(F.col("w.start").alias("start"), "event_type", "n", "total")
 
