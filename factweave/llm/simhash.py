@@ -136,7 +136,8 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if hi - lo == 1:
                 continue
             own = np.sort(fp[lo:hi])
-            a, b = np.nonzero(np.triu(np.bitwise_count(own[:, None] ^ own[None, :]) <= 2, 1))
+            bits = own.view(np.uint64)  # of signed numbers, bitwise_count takes the absolute value
+            a, b = np.nonzero(np.triu(np.bitwise_count(bits[:, None] ^ bits[None, :]) <= 2, 1))
             if len(a):
                 root = local_roots(len(own), a, b)
                 moved = root != np.arange(len(own))
