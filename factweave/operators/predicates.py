@@ -194,6 +194,7 @@ def ulp_distance(a: Column, b: Column) -> Column:
             bits = v.to_numpy(np.float64).view(np.int64)
             return np.where(bits < 0, np.int64(-(2**63)) - bits, bits)
 
-        return pd.Series(np.abs(order(x).astype(np.float64) - order(y).astype(np.float64)))
+        p, q = order(x), order(y)
+        return pd.Series(np.where(p > q, p - q, q - p).view(np.uint64).astype(np.float64))  # wraps to the right value
 
     return steps(a, b)
