@@ -33,8 +33,8 @@ def ensure_checkpoints(spark: SparkSession) -> None:
     context.setCheckpointDir(given)
 
 
-def closure(seed: DataFrame, arcs: DataFrame, most: int = 64) -> DataFrame:
-    """Nodes reachable over arcs (a, b), seeds included; stops when a hop adds none."""
+def closure(seed: DataFrame, arcs: DataFrame, most: int = 1000) -> DataFrame:
+    """Nodes reachable over arcs (a, b), seeds included; stops when a hop adds none, raises at the limit."""
     ensure_checkpoints(seed.sparkSession)
     found = seed.select("node").distinct().checkpoint()
     front = found
@@ -42,9 +42,9 @@ def closure(seed: DataFrame, arcs: DataFrame, most: int = 64) -> DataFrame:
         step = front.join(arcs, front.node == arcs.a).select(F.col("b").alias("node")).distinct()
         front = step.join(found, "node", "left_anti").checkpoint()
         if front.isEmpty():
-            break
+            return found
         found = found.unionByName(front).checkpoint()
-    return found
+    raise ValueError(f"the closure takes more than {most} hops")
 
 
 def oriented(edges: DataFrame, direction: str) -> DataFrame:
@@ -122,20 +122,22 @@ def shortest_paths(sources: DataFrame, targets: DataFrame, edges: DataFrame, dep
 
 def _search(sources: DataFrame, targets: DataFrame, arcs: DataFrame, depth: int, most: int) -> DataFrame | None:
     ensure_checkpoints(sources.sparkSession)
-    seen = sources.select("node").distinct().withColumn("d", F.lit(0)).checkpoint()
-    front, length = seen, None
-    for hop in range(depth + 1):
-        if not front.join(targets, "node", "left_semi").isEmpty():
-            length = hop
-            break
-        if hop == depth:
-            break
+    ends = targets.select("node").distinct().withColumn("hit", F.lit(True))
+
+    def settled(df: DataFrame, hop: int) -> tuple[DataFrame, int, int]:
+        """A hop's nodes, written; how many they are and how many are targets, by one more job."""
+        out = df.withColumn("d", F.lit(hop)).checkpoint()
+        n, hits = out.join(ends, "node", "left").agg(F.count("*"), F.count("hit")).first()
+        return out, n, hits
+
+    front, n, hits = settled(sources.select("node").distinct(), 0)
+    seen, length = front, 0
+    while n and not hits and length < depth:
         step = front.join(arcs, front.node == arcs.a).select(F.col("b").alias("node")).distinct()
-        front = step.join(seen, "node", "left_anti").withColumn("d", F.lit(hop + 1)).checkpoint()
-        if front.isEmpty():
-            break
+        length += 1
+        front, n, hits = settled(step.join(seen, "node", "left_anti"), length)
         seen = seen.unionByName(front).checkpoint()
-    if length is None:
+    if not hits:
         return None
     keep = front.join(targets, "node", "left_semi").select("node", "d")
     useful = keep
@@ -162,7 +164,7 @@ def path_outcome(found: DataFrame, sources: DataFrame, targets: DataFrame, compl
     return counts.select(outcome.alias("outcome"), reason.alias("reason"))
 
 
-def cycle_core(edges: DataFrame, most: int = 64) -> DataFrame:
+def cycle_core(edges: DataFrame, most: int = 1000) -> DataFrame:
     """Edges left after trimming nodes without incoming or outgoing ones: empty if acyclic."""
     ensure_checkpoints(edges.sparkSession)
     left = edges.select("source", "target").distinct().checkpoint()
@@ -173,9 +175,9 @@ def cycle_core(edges: DataFrame, most: int = 64) -> DataFrame:
         left = left.join(ends, "source", "left_semi").join(starts, "target", "left_semi").select("source", "target").checkpoint()
         now = left.count()
         if now in (0, size):
-            break
+            return left
         size = now
-    return left
+    raise ValueError(f"trimming takes more than {most} rounds")
 
 
 def cycle_witnesses(core: DataFrame, most_edges: int = 100_000) -> list[list[str]]:

@@ -448,3 +448,25 @@ query("change_set", """SELECT CASE event_type WHEN 'click' THEN 'added' WHEN 'vi
 query("canonical_json", """SELECT json, sha256(json) AS sha256 FROM (SELECT concat('{"key":"', component, '","path":"', path, '"}') AS json FROM {component_files})""")(lambda m: O.canonical_json(m["component_files"].select("path", F.col("component").alias("key"))))
 query("derived_actions", f"""WITH {KEYS_A} SELECT DISTINCT CASE comparison WHEN 'missing' THEN 'add' ELSE 'remove' END AS action, key, comparison, CASE comparison WHEN 'missing' THEN 0 ELSE 2 END AS step FROM ({MISSING} UNION ALL {EXTRA}) x""")(lambda m: O.derive_actions(A.set_equal(*_sets(m))))
 query("event_windows", "SELECT time_bucket(INTERVAL 5 MINUTE, ts) AS start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM {events} GROUP BY 1, 2")(lambda m: event_windows(m["events"]).withColumn("total", F.round("total", 2)))
+
+# --- further sources and plans -----------------------------------------------------------------
+from factweave.plans import requests as Q  # noqa: E402
+from factweave.sources import builds as B  # noqa: E402
+from factweave.sources import lexical as L  # noqa: E402
+
+query("lexical_facts", """SELECT DISTINCT concat('b/', p_brand, '.py') AS path, 'python' AS language, d AS domain, CASE d WHEN 'declaration' THEN replace(p_name, ' ', '_') ELSE lower(p_type) END AS name, 'lexical-occurrence' AS claim
+  FROM {part} CROSS JOIN (VALUES ('declaration'), ('import')) v(d) WHERE p_size < 10""")(
+    lambda m: L.facts(m["part"].where("p_size < 10").select(F.concat(F.lit("b/"), "p_brand", F.lit(".py")).alias("path"), F.concat(F.lit("import "), F.lower("p_type"), F.lit("\n# def no(): pass\ndef "), F.replace("p_name", F.lit(" "), F.lit("_")), F.lit("():\n    pass\n")).alias("text")))
+)
+query("make_targets", "SELECT p_brand AS path, concat('t', p_partkey) AS build, d AS dep FROM {part} CROSS JOIN (VALUES ('a.c'), ('b.h')) v(d)")(
+    lambda m: B.make_targets(m["part"].select(F.col("p_brand").alias("path"), F.concat(F.lit("X := 1\nt"), "p_partkey", F.lit(": a.c \\\n b.h\n\tcc $<\n")).alias("text")))
+)
+query("compile_commands", "SELECT p_brand AS directory, concat(p_partkey, '.c') AS file, concat('-DN=', p_size, ' -Iinc') AS options FROM {part}")(
+    lambda m: B.compile_commands(m["part"].select(F.concat(F.lit('[{"directory":"'), "p_brand", F.lit('","file":"'), "p_partkey", F.lit('.c","command":"cc -Iinc -DN='), "p_size", F.lit(' -c x.c -o x.o"}]')).alias("text")))
+)
+query("context_page", """SELECT path, name, kind, line FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY line DESC, path, name) AS i FROM (SELECT DISTINCT path, name, kind, line FROM {symbols})) WHERE i > 2 AND i <= 7""")(
+    lambda m: Q.page(m["symbols"].select("path", "name", "kind", "line").distinct(), "kind", [F.desc("line"), "path", "name"], 5, 2)
+)
+query("diagnostics", "SELECT 'error' AS severity, 'component-without-file' AS code, r_name AS key FROM {region} WHERE r_name NOT IN (SELECT component FROM {component_files} WHERE path LIKE '%_2')")(
+    lambda m: Q.diagnostics(m["region"].select(F.col("r_name").alias("key")), m["component_files"].where("path like '%_2'").select(F.col("component").alias("key")), "component-without-file")
+)
