@@ -34,10 +34,10 @@ from pyspark.sql.types import StructType
 from factweave.llm.common import Stages, bounds, groups_of, partitions, small_batches
 
 NEED, GRAM = 100, 24
-BUFFER = 1 << 21
+BUFFER = 1 << 20
 POSITION = np.uint64((1 << 24) - 1)
 MERGE_ROWS = 500_000
-SAMPLE_DOCS, HOT_UNITS, WIDE_UNITS = 40_000, 64, 4096
+SAMPLE_DOCS, HOT_UNITS, WIDE_UNITS = 40_000, 160, 2048
 _ROW = "key long, unit long, doc long, span long"
 _BASE = 0x9E3779B97F4A7C15 | 1
 
@@ -258,7 +258,7 @@ def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield _batch(*out, names=("doc", "start", "length"))
 
 
-def _slices(edge: np.ndarray, limit: int = 6000) -> Iterator[tuple[int, int]]:
+def _slices(edge: np.ndarray, limit: int = 3500) -> Iterator[tuple[int, int]]:
     """Runs of buckets of about ``limit`` units."""
     first = 0
     for last in range(1, len(edge)):
