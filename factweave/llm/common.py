@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN_DIRS: dict[str, str] = {}
+#: Drops a query's shuffle files when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -37,10 +39,14 @@ class Stages:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/factweave-{uuid.uuid4().hex}"
 
-    def put(self, df: DataFrame, name: str, *partition_by: str) -> DataFrame:
+    def put(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
-        writer = df.write.option("compression", "zstd")
-        (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+        before = self.spark.conf.get(CLEANUP, "false")
+        self.spark.conf.set(CLEANUP, "true")  # a written stage is not computed again
+        try:
+            df.write.option("compression", "zstd").parquet(path)
+        finally:
+            self.spark.conf.set(CLEANUP, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str) -> None:
