@@ -62,3 +62,9 @@ def ledger(relations_: DataFrame, groups: DataFrame) -> DataFrame:
 
 def evidence_overlay(relations_: DataFrame) -> DataFrame:
     return relations_.groupBy("family", "state").agg(F.count("*").alias("relations"))
+
+
+def diagnostics_overlay(nodes_: DataFrame, found: DataFrame) -> DataFrame:
+    """Nodes with their numbers of errors and warnings (node, severity); 0 for nodes without any."""
+    per = found.groupBy("node").agg(F.count_if(F.col("severity") == "error").alias("errors"), F.count_if(F.col("severity") == "warning").alias("warnings"))
+    return nodes_.join(per, "node", "left").fillna(0, ["errors", "warnings"])

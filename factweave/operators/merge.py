@@ -54,3 +54,9 @@ def summary(facts: DataFrame, merged: DataFrame) -> DataFrame:
     audit = facts.where(F.col("mode") == AUDIT).select("domain", "grp", F.col("value").alias("seen")).join(merged.select("domain", "grp", "value"), ["domain", "grp"], "left")
     audits = audit.agg(F.count_if(F.col("seen").eqNullSafe(F.col("value"))).alias("audit_match"), F.count_if(~F.col("seen").eqNullSafe(F.col("value"))).alias("audit_difference"))
     return base.crossJoin(chosen).crossJoin(audits)
+
+
+def contributors(facts: DataFrame) -> DataFrame:
+    """(domain, grp, providers, claims): who stands behind a merged fact; audit rows do not count."""
+    kept = facts.where("mode < 2").groupBy("domain", "grp")
+    return kept.agg(F.array_sort(F.collect_set("provider")).alias("providers"), F.array_sort(F.collect_set("claim")).alias("claims"))

@@ -64,3 +64,16 @@ def reciprocal_rank(ranked: DataFrame, relevant: DataFrame) -> DataFrame:
     """(query, rr): one over the rank of the first relevant item, 0 without any."""
     both = relevant.join(ranked, ["query", "item"], "left").groupBy("query").agg(F.min("rank").alias("r"))
     return both.select("query", F.coalesce(1.0 / F.col("r"), F.lit(0.0)).alias("rr"))
+
+
+def distractor_ratio(ranked: DataFrame, relevant: DataFrame, k: int = 10) -> DataFrame:
+    """(query, distractors): the share of the first k results that are not relevant."""
+    marked = ranked.where(F.col("rank") <= k).join(relevant.select("query", "item", F.lit(1).alias("hit")).distinct(), ["query", "item"], "left")
+    return marked.groupBy("query").agg((F.count_if(F.col("hit").isNull()) / F.count("*")).alias("distractors"))
+
+
+def budget_recall(ranked: DataFrame, relevant: DataFrame, budget: int) -> DataFrame:
+    """(query, recall): relevant items whose results, read in order, end within ``budget`` lines."""
+    read = ranked.withColumn("used", F.sum("lines").over(Window.partitionBy("query").orderBy("rank", "item").rowsBetween(Window.unboundedPreceding, 0)))
+    both = relevant.join(read.select("query", "item", "used"), ["query", "item"], "left").groupBy("query")
+    return both.agg((F.count_if(F.col("used") <= budget) / F.count("*")).alias("recall"))

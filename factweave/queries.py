@@ -470,3 +470,63 @@ query("context_page", """SELECT path, name, kind, line FROM (SELECT *, row_numbe
 query("diagnostics", "SELECT 'error' AS severity, 'component-without-file' AS code, r_name AS key FROM {region} WHERE r_name NOT IN (SELECT component FROM {component_files} WHERE path LIKE '%_2')")(
     lambda m: Q.diagnostics(m["region"].select(F.col("r_name").alias("key")), m["component_files"].where("path like '%_2'").select(F.col("component").alias("key")), "component-without-file")
 )
+
+# --- building a Map ----------------------------------------------------------------------------
+from factweave.operators import construct as K  # noqa: E402
+
+DEFS = "d AS (SELECT DISTINCT name, path AS target FROM {symbols} WHERE line % 5 = 0), n AS (SELECT name, count(*) AS n FROM d GROUP BY name)"
+
+
+def _defs(m: Bound) -> DataFrame:
+    return m["symbols"].where("line % 5 = 0").select("name", F.col("path").alias("target"))
+
+
+query("reference_edges", f"""WITH {DEFS}, u AS (SELECT DISTINCT source, name FROM {{calls}} WHERE relation = 'references')
+  SELECT source, 'reference' AS kind, target, string_agg(u.name, ',' ORDER BY u.name) AS names, CASE WHEN min(n) = 1 THEN 'current' ELSE 'unknown' END AS state FROM u JOIN d ON d.name = u.name JOIN n ON n.name = u.name WHERE source <> target GROUP BY source, target""")(
+    lambda m: K.reference_edges(m["calls"].where("relation = 'references'"), _defs(m)).withColumn("names", F.array_join("names", ","))
+)
+query("inherited_members", """WITH RECURSIVE m AS (SELECT concat('p/', p_partkey) AS cls, p_type AS name FROM {part} WHERE p_size < 20), b AS (SELECT DISTINCT source AS cls, target AS base FROM {arcs} WHERE kind = 'call'),
+  a AS (SELECT cls, cls AS owner, 0 AS distance FROM (SELECT cls FROM m UNION SELECT cls FROM b) UNION ALL SELECT a.cls, b.base, distance + 1 FROM a JOIN b ON b.cls = a.owner WHERE distance < 4)
+  SELECT cls, name, owner, distance FROM (SELECT a.cls, m.name, owner, distance, row_number() OVER (PARTITION BY a.cls, m.name ORDER BY distance, owner) AS i FROM a JOIN m ON m.cls = a.owner) WHERE i = 1""")(
+    lambda m: K.inherited_members(m["part"].where("p_size < 20").select(F.concat(F.lit("p/"), "p_partkey").alias("cls"), F.col("p_type").alias("name")), m["arcs"].where("kind = 'call'").select(F.col("source").alias("cls"), F.col("target").alias("base")), 4)
+)
+query("static_test_routes", f"""WITH {DEFS}, c AS (SELECT path, pos, p_name AS name FROM {{chat_points}} JOIN {{part}} ON p_partkey = pos % 150),
+  e AS (SELECT path, pos, name AS selector FROM (SELECT p.path, p.pos, s.name, row_number() OVER (PARTITION BY p.path, p.pos ORDER BY s."end" - s.start, s.name) AS i FROM {{chat_points}} p JOIN {{chat_spans}} s ON s.path = p.path AND s.start <= p.pos AND p.pos < s."end") WHERE i = 1)
+  SELECT e.path, selector, target, count(*) AS calls, CASE WHEN min(n) = 1 THEN 'static' ELSE 'candidate' END AS provenance FROM c JOIN e ON e.path = c.path AND e.pos = c.pos JOIN d ON d.name = c.name JOIN n ON n.name = c.name GROUP BY e.path, selector, target""")(
+    lambda m: K.static_routes(m["chat_points"].join(m["part"], F.col("p_partkey") == F.col("pos") % 150).select("path", "pos", F.col("p_name").alias("callee")), m["chat_spans"], _defs(m))
+)
+query("reference_groups", """WITH c AS (SELECT source, name, relation, coalesce(string_agg(DISTINCT target, ',' ORDER BY target), '') AS candidates FROM {calls} GROUP BY source, name, relation)
+  SELECT source, relation, candidates, string_agg(name, ',' ORDER BY name) AS names FROM c GROUP BY source, relation, candidates""")(
+    lambda m: K.reference_groups(m["symbol_relations"]).withColumn("candidates", F.array_join("candidates", ",")).withColumn("names", F.array_join("names", ","))
+)
+query("component_edge_rollup", """WITH o AS (SELECT DISTINCT component, path FROM {component_files}) SELECT a.component AS source, b.component AS target, kind, count(*) AS mentions, string_agg(DISTINCT name, ',' ORDER BY name) AS names
+  FROM {mentions} t JOIN o a ON a.path = t.source JOIN o b ON b.path = t.target WHERE a.component <> b.component GROUP BY 1, 2, 3""")(
+    lambda m: K.component_rollup(m["mentions"], m["component_files"]).withColumn("names", F.array_join("names", ","))
+)
+query("focus_seeds", """WITH i AS (SELECT 'file' AS kind, path AS key FROM {files} UNION SELECT 'symbol', name FROM {symbols} UNION SELECT 'component', component FROM {component_files} UNION SELECT 'package', package FROM {entrypoints} UNION SELECT 'artifact', artifact FROM {artifacts})
+  SELECT kind, key, 'ASIA' AS word FROM i WHERE key = 'ASIA' UNION ALL SELECT kind, key, 'n/NATION_1*' FROM i WHERE key LIKE 'n/NATION\\_1%' ESCAPE '\\' UNION ALL SELECT kind, key, 'red*' FROM i WHERE key LIKE 'red%'""")(
+    lambda m: K.focus(S.search_domain(m), ("ASIA", "n/NATION_1*", "red*"))
+)
+query("path_endpoints", """WITH p AS (SELECT 'n/NATION_1*' AS pattern, 'n/NATION\\_1%' AS l UNION ALL SELECT 'n/NATION_3', 'n/NATION\\_3' UNION ALL SELECT 'n', 'n/%' UNION ALL SELECT 'x/*', 'x/%')
+  SELECT pattern, count(path) AS matches, CASE count(path) WHEN 0 THEN 'unresolved' WHEN 1 THEN 'resolved' ELSE 'ambiguous' END AS resolution FROM p LEFT JOIN {files} ON path LIKE l ESCAPE '\\' GROUP BY pattern""")(
+    lambda m: K.endpoints(m["files"].select(F.col("path").alias("node")), ("n/NATION_1*", "n/NATION_3", "n", "x/*"))
+)
+query("provider_contributors", """SELECT domain, grp, string_agg(DISTINCT provider, ',' ORDER BY provider) AS providers, string_agg(DISTINCT claim, ',' ORDER BY claim) AS claims FROM {facts} WHERE mode < 2 GROUP BY domain, grp""")(
+    lambda m: M.contributors(m["facts"]).withColumn("providers", F.array_join("providers", ",")).withColumn("claims", F.array_join("claims", ","))
+)
+query("eval_distractor_ratio", f"WITH {RANKED} SELECT k.query, count(*) FILTER (WHERE v.item IS NULL) / count(*) AS distractors FROM k LEFT JOIN (SELECT DISTINCT query, item FROM v) v ON v.query = k.query AND v.item = k.item WHERE rank <= 3 GROUP BY k.query")(
+    lambda m: R.distractor_ratio(*_ranking(m), k=3)
+)
+query("eval_budget_recall", f"""WITH {RANKED}, u AS (SELECT query, item, sum(5 * rank) OVER (PARTITION BY query ORDER BY rank, item ROWS UNBOUNDED PRECEDING) AS used FROM k)
+  SELECT v.query, count(*) FILTER (WHERE used <= 20) / count(*) AS recall FROM v LEFT JOIN u ON u.query = v.query AND u.item = v.item GROUP BY v.query""")(
+    lambda m: (lambda ranked, relevant: R.budget_recall(ranked.withColumn("lines", F.col("rank") * 5), relevant, 20))(*_ranking(m))
+)
+query("diagnostics_overlay", """SELECT path AS node, count(*) FILTER (WHERE state = 'stale') AS errors, count(*) FILTER (WHERE state = 'unknown') AS warnings FROM {files} LEFT JOIN {mentions} ON source = path GROUP BY path""")(
+    lambda m: G.diagnostics_overlay(m["files"].select(F.col("path").alias("node")), m["mentions"].select(F.col("source").alias("node"), F.expr("CASE state WHEN 'stale' THEN 'error' WHEN 'unknown' THEN 'warning' END").alias("severity")))
+)
+query("concept_query", "SELECT doc_id AS id, lang AS type FROM {documents} WHERE lang IN ('en', 'fr') AND lower(source) = 'src1' AND contains(lower(text), 'the')")(
+    lambda m: O.concept_query(m["documents"].select(F.col("doc_id").alias("id"), F.col("lang").alias("type"), F.array("source").alias("tags"), F.col("text").alias("body")), ("en", "fr"), ("SRC1",), "THE").select("id", "type")
+)
+query("named_entries", "SELECT DISTINCT 'key' AS entry, event_type AS path, regexp_extract(props, '\\{\"(\\w+)\":', 1) AS value FROM {events} WHERE regexp_matches(props, '\\{\"(\\w+)\":')")(
+    lambda m: B.named_entries(m["events"].select(F.col("event_type").alias("path"), F.col("props").alias("text")), "key", r'\{"(\w+)":').distinct()
+)

@@ -94,3 +94,21 @@ def derive_actions(found: DataFrame) -> DataFrame:
     action = F.when(F.col("comparison") == "missing", "add").when(F.col("comparison").isin("different", "unregistered"), "change").when(F.col("comparison").isin("extra", "forbidden", "overlap"), "remove").otherwise("manual")
     step = F.when(action == "add", 0).when(action == "change", 1).when(action == "remove", 2).otherwise(3)
     return found.select(action.alias("action"), "key", "comparison", step.alias("step")).distinct()
+
+
+def unified_diff(rows: DataFrame, context: int = 3) -> DataFrame:
+    """(path, diff) from (path, before, after), in Arrow batches; a null side is an absent file, equal texts give ''."""
+    import difflib
+
+    import pyarrow as pa
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for path, old, new in zip(*[b.column(i).to_pylist() for i in range(3)], strict=True):
+                names = ("/dev/null" if old is None else f"a/{path}", "/dev/null" if new is None else f"b/{path}")
+                lines = difflib.unified_diff((old or "").splitlines(), (new or "").splitlines(), *names, n=context, lineterm="")
+                out.append("\n".join(lines))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], names=["path", "diff"])
+
+    return rows.select("path", "before", "after").mapInArrow(run, "path string, diff string")
