@@ -27,6 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from factweave.llm import shingles
 from factweave.llm.common import Stages, bounds, connected_components, groups_of, local_roots, partitions, small_batches
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -185,7 +186,15 @@ def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage_simhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays: the smallest doc_id, once."""
-    found = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
+    """One document of each near-duplicate group stays: the smallest doc_id, once.
+
+    Documents are linked at a Jaccard similarity of 0.8 or more over five-word shingles, a wider
+    radius than the query's two bits: see ``shingles``.
+    """
+    stages = Stages(spark)
+    rows = stages.put(shingles.keyed(docs), "rows")
+    linked = shingles.components(rows, stages)
+    named = rows.join(linked, rows["__set"] == linked.node, "left").select("doc_id", F.coalesce("component", "__set").alias("component"))
+    found = named.groupBy("component").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
     kept = docs.join(found, "doc_id", "left_semi")
     return kept.select(*docs.columns)
