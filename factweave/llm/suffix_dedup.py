@@ -132,10 +132,18 @@ def _buffers(docs: Iterator[tuple[int, bytes]]) -> Iterator[tuple[np.ndarray, np
         yield np.frombuffer(b"".join(parts), np.uint8), np.cumsum([len(p) for p in parts]), ids, offsets
 
 
+def _distinct(*columns: np.ndarray) -> np.ndarray:
+    """Which of sorted rows differ from the one before: a repeated row of the table is no later place."""
+    out = np.zeros(len(columns[0]), bool)
+    out[bounds(*columns)[:-1]] = True
+    return out
+
+
 def _merged(rows: list[np.ndarray]) -> pa.RecordBatch:
     """Units of a task, equal ones but the earliest as removals (negative span, spread keys)."""
     key, unit, doc, span = (np.concatenate(c) for c in zip(*rows, strict=True))
     order = np.lexsort((span, doc, unit, key))
+    order = order[_distinct(key[order], unit[order], doc[order], span[order])]
     key, unit, doc, span = key[order], unit[order], doc[order], span[order]
     again = np.concatenate([[False], (key[1:] == key[:-1]) & (unit[1:] == unit[:-1])])
     key = np.where(again, _mixed(doc.view(np.uint64) + span.view(np.uint64)), key)
@@ -192,6 +200,7 @@ def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _batch(np.ones(done.sum(), np.int32), key[done], doc[done], -span[done], names=names)
     order = np.flatnonzero(~done)
     order = order[np.lexsort((span[order], doc[order], unit[order], key[order]))]
+    order = order[_distinct(key[order], unit[order], doc[order], span[order])]
     key, unit, doc, span = key[order], unit[order], doc[order], span[order]
     if not len(key):
         return

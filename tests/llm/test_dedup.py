@@ -155,3 +155,17 @@ def test_suffix_odd_rows(spark, folder, docs_of, odd_rows):
     clean = {r.doc_id: r.text for r in D.stage_suffix_dedup(spark, docs_of(rows), "").collect()}
     assert clean[9] == long and clean[10] == "" and clean[1] is None and clean[4] == "a"
     assert D.op8_suffix_dedup(spark, folder(documents=docs_of([]))).count() == 0
+
+
+@pytest.mark.parametrize(("hot", "wide", "parts"), [(160, 2048, 1), (160, 2048, 3), (2, 2048, 3), (160, 1, 3)])
+def test_suffix_repeated_rows(spark, folder, docs_of, monkeypatch, hot, wide, parts):
+    """A row repeated under its id keeps its text, each way through; later documents lose theirs."""
+    monkeypatch.setattr(D, "HOT_UNITS", hot)
+    monkeypatch.setattr(D, "WIDE_UNITS", wide)
+    rng = random.Random(3)
+    text, other, head = (" ".join("".join(rng.choices("abcdefg", k=6)) for _ in range(60)) for _ in range(3))
+    docs = [(1, text), (1, text), (2, other), (3, text + other), (4, head + text[:200]), (5, head), (2, other), (6, "#" + text[100:300] + "#")]
+    table = docs_of(docs).repartition(parts)
+    got = sorted(tuple(r) for r in D.op8_suffix_dedup(spark, folder(documents=table)).collect())
+    want = brute(dict(docs).items())
+    assert got == sorted((i, *want[i]) for i, _ in docs) and want[1][1] == 0 == want[2][1]
