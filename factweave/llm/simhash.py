@@ -186,15 +186,17 @@ def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage_simhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays: the smallest doc_id, once.
+    """One row of each near-duplicate group stays: that of the smallest doc_id, once.
 
     Documents are linked at a Jaccard similarity of 0.8 or more over five-word shingles, a wider
-    radius than the query's two bits: see ``shingles``.
+    radius than the query's two bits: see ``shingles``. Null ids come last, so a group that has
+    only those keeps one row as well; ties go to the smaller hash of the text.
     """
     stages = Stages(spark)
-    rows = stages.put(shingles.keyed(docs), "rows")
+    rows = stages.put(shingles.keyed(docs).withColumn("__row", F.monotonically_increasing_id()), "rows")
     linked = shingles.components(rows, stages)
-    named = rows.join(linked, rows["__set"] == linked.node, "left").select("doc_id", F.coalesce("component", "__set").alias("component"))
-    found = named.groupBy("component").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
-    kept = docs.join(found, "doc_id", "left_semi")
+    named = rows.join(linked, rows["__set"] == linked.node, "left")
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", F.xxhash64("text").alias("hash"), "__row")
+    first = named.select(F.coalesce("component", "__set").alias("component"), order.alias("x")).groupBy("component").agg(F.min("x").alias("x"))
+    kept = rows.join(first.select(F.col("x.__row").alias("__row")), "__row", "left_semi")
     return kept.select(*docs.columns)

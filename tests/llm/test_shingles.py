@@ -45,3 +45,10 @@ def test_similar_at_the_limit():
     a = np.arange(10, dtype=np.uint64)
     assert N.similar(a[:8], a) and not N.similar(a[:7], a) and N.similar(a[:9], a[1:]) and not N.similar(a[:8], a[1:])
     assert len(N.band_keys(N.shingles(" \n"))) == 0 == N.identity(N.shingles(None))
+
+
+def test_stage_keeps_rows_without_id_and_one_of_repeated_rows(spark, docs_of, odd_rows):
+    rows = [*odd_rows, (None, "a b c d e f g"), (None, "a b c d e f g"), (None, "The same text, twice over."), (12, "of its own"), (12, "other text, same id")]
+    got = sorted(((r.doc_id, r.text) for r in stage_simhash(spark, docs_of(rows), "").collect()), key=str)
+    once = {1: None, 4: "a", 5: "The same text, twice over.", 7: odd_rows[6][1], 8: odd_rows[7][1]}
+    assert got == sorted([*once.items(), (None, "no id"), (None, "a b c d e f g"), (12, "of its own"), (12, "other text, same id")], key=str)
