@@ -2,7 +2,8 @@
 
 Equal vectors are one class first. Each pass draws random hyperplanes, writes a class's sign bits
 one after another as one number, sorts all classes by it, and compares each with its neighbours in
-a bounded window by matrix products. Verified pairs are joined at once, so a window puts out a
+a bounded window by matrix products. The number of passes grows with that of the classes
+(``passes_for``), and the rows at both edges of a partition are compared again across it. Verified pairs are joined at once, so a window puts out a
 spanning set of links and never all its pairs; the passes' links are united into components.
 Within a component, link counts are exact: its members are compared block by block, and only
 counts leave a task.
@@ -10,6 +11,7 @@ counts leave a task.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,11 +24,25 @@ from factweave.llm.common import Stages, bounds, connected_components, finite, g
 PASSES, PLANES, WINDOW, BLOCK = 16, 48, 64, 256
 
 
+def passes_for(classes: int, least: float = 0.9, recall: float = 0.95) -> int:
+    """Passes that find ``recall`` of the pairs at cosine ``least`` among so many classes; PASSES at least.
+
+    Two vectors at that cosine have a sign bit in common with probability q = 1 - acos(least) / pi.
+    About log2(classes / WINDOW) common bits bring them within a window of each other, so a pass
+    finds them with probability p = q ** log2(classes / WINDOW), and n passes with 1 - (1 - p) ** n.
+    """
+    agree = 1 - math.acos(min(1.0, max(-1.0, least))) / math.pi
+    found = agree ** math.log2(max(2.0, classes / WINDOW))
+    return max(PASSES, math.ceil(math.log(1 - recall) / math.log1p(-found))) if found < 1 else PASSES
+
+
 def projection_keys(x: np.ndarray, passes: int = PASSES) -> np.ndarray:
     """Sign bits of PLANES random projections, first plane highest: n x passes longs."""
     planes = np.random.default_rng([x.shape[1], 29]).normal(size=(x.shape[1], passes * PLANES))
-    bits = (x @ planes > 0).reshape(len(x), passes, PLANES).astype(np.int64)
-    return bits @ (np.int64(1) << np.arange(PLANES - 1, -1, -1, dtype=np.int64))
+    powers, out = np.int64(1) << np.arange(PLANES - 1, -1, -1, dtype=np.int64), np.empty((len(x), passes), np.int64)
+    for p in range(passes):
+        out[:, p] = (x @ planes[:, p * PLANES : (p + 1) * PLANES] > 0) @ powers
+    return out
 
 
 def window_links(x: np.ndarray, least: float, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
@@ -47,26 +63,40 @@ def unit_rows(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _keyed(classes: DataFrame) -> DataFrame:
+def _keyed(classes: DataFrame, passes: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             dims = b.column("dim").to_numpy(zero_copy_only=False)
             for dim in np.unique(dims):
                 part = b.filter(pa.array(dims == dim))
-                keys = projection_keys(unit_rows(part.column("v")))
-                for p in range(PASSES):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), int(dim) * PASSES + p)), pa.array(keys[:, p]), part.column("rep"), part.column("v")], names=["turn", "bits", "rep", "v"])
+                keys = projection_keys(unit_rows(part.column("v")), passes)
+                for p in range(passes):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), int(dim) * passes + p)), pa.array(keys[:, p]), part.column("rep"), part.column("v")], names=["turn", "bits", "rep", "v"])
 
     return classes.mapInArrow(run, "turn long, bits long, rep long, v array<float>")
 
 
+_SCANNED = "a long, b long, turn long, bits long, rep long, v array<float>"
+
+
 def _scan_windows(least: float):
+    """Links (a, b) of a sorted partition, and its first and last WINDOW rows (a and b null)."""
+
+    def edges(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        for b in table.combine_chunks().to_batches():
+            none = pa.nulls(b.num_rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([none, none, *(b.column(n) for n in ("turn", "bits", "rep", "v"))], names=["a", "b", "turn", "bits", "rep", "v"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tail: pa.Table | None = None
+        seen = 0
         for b in batches:
             if not b.num_rows:
                 continue
             now = pa.Table.from_batches([b])
+            if seen < WINDOW:
+                yield from edges(now.slice(0, WINDOW - seen))
+            seen += b.num_rows
             table = pa.concat_tables([tail, now]) if tail is not None else now
             turn = table.column("turn").to_numpy()
             edge = bounds(turn)
@@ -80,9 +110,14 @@ def _scan_windows(least: float):
                     place[rank] = np.arange(len(rank))
                     root = local_roots(len(rep), place[a], place[c])
                     moved = np.flatnonzero(root != np.arange(len(rep)))
-                    yield pa.RecordBatch.from_arrays([pa.array(rep[rank[moved]]), pa.array(rep[rank[root[moved]]])], names=["a", "b"])
+                    left, right = pa.array(rep[rank[moved]]), pa.array(rep[rank[root[moved]]])
+                    none = pa.nulls(len(moved), pa.int64())
+                    yield pa.RecordBatch.from_arrays([left, right, none, none, none, pa.nulls(len(moved), table.schema.field("v").type)], names=["a", "b", "turn", "bits", "rep", "v"])
             last = table.slice(max(int(edge[-2]), table.num_rows - WINDOW))
             tail = last.combine_chunks()
+        if tail is not None:
+            fresh = min(tail.num_rows, max(0, seen - WINDOW))  # the others are among the first rows
+            yield from edges(tail.slice(tail.num_rows - fresh))
 
     return run
 
@@ -129,9 +164,14 @@ def near_duplicates(rows: DataFrame, least: float = 0.9, vec_id: str = "vec_id",
     own = own.withColumn("hash", F.xxhash64("v"))
     grouped = own.where("v is not null").groupBy("hash", "v").agg(F.min("vec_id").alias("first"), F.count("*").alias("size"))
     classes = stages.put(grouped.withColumn("rep", F.coalesce("first", F.expr("-1 - shiftrightunsigned(hash, 1)"))).withColumn("dim", F.size("v")), "classes")
-    keyed = _keyed(classes.select("rep", "v", "dim"))
+    most = classes.groupBy("dim").count().agg(F.max("count")).first()[0] or 0
+    keyed = _keyed(classes.select("rep", "v", "dim"), passes_for(most, least))
     sorted_rows = stages.put(keyed, "keyed").repartitionByRange(n, "turn", "bits", "rep").sortWithinPartitions("turn", "bits", "rep")
-    links = stages.put(sorted_rows.mapInArrow(_scan_windows(least), "a long, b long").distinct(), "links")
+    scanned = stages.put(sorted_rows.mapInArrow(_scan_windows(least), _SCANNED), "scanned")
+    # at most 2 * WINDOW rows a partition, in order: those of neighbouring partitions are now adjacent
+    edges = scanned.where("a is null").select("turn", "bits", "rep", "v").coalesce(1).sortWithinPartitions("turn", "bits", "rep")
+    across = edges.mapInArrow(_scan_windows(least), _SCANNED)
+    links = stages.put(scanned.unionByName(across).where("a is not null").select("a", "b").distinct(), "links")
     linked = stages.put(connected_components(stages, links), "linked")
     joined = classes.join(linked, classes.rep == linked.node)
     sizes = linked.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))

@@ -87,3 +87,21 @@ def test_blocks_of_one_component(spark, monkeypatch):
     x = np.random.default_rng(2).normal(size=(50, 8)) * 0.05 + 1
     df = spark.createDataFrame([(i, v.tolist(), 0, 0, 0) for i, v in enumerate(x)], SCHEMA)
     assert {(r.n_links, r.component_id) for r in E.near_duplicates(df).collect()} == {(49, 0)}
+
+
+def test_passes_grow_with_the_classes():
+    """The formula gives a recall of 0.95 at cosine 0.9 for every size."""
+    assert E.passes_for(1000) == E.PASSES < E.passes_for(10**6) < E.passes_for(10**8)
+    for n in (10**5, 10**6, 10**7, 10**9):
+        p = (1 - np.arccos(0.9) / np.pi) ** np.log2(n / E.WINDOW)
+        assert 1 - (1 - p) ** E.passes_for(n) >= 0.95
+
+
+def test_links_across_partitions(spark, monkeypatch):
+    """One pass over one cone of vectors: every two neighbours in the order are linked."""
+    monkeypatch.setattr(E, "PASSES", 1)
+    monkeypatch.setattr(E, "WINDOW", 8)
+    monkeypatch.setattr(E, "passes_for", lambda *_: 1, raising=False)
+    x = np.random.default_rng(6).normal(size=(400, 8)) * 0.05 + 1
+    df = spark.createDataFrame([(i, v.tolist(), 0, 0, 0) for i, v in enumerate(x)], SCHEMA)
+    assert {(r.n_links, r.component_id) for r in E.near_duplicates(df).collect()} == {(399, 0)}
