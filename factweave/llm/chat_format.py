@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from factweave.llm.common import bound, cut_blocks, laid_end_to_end, text_blocks
+
 START, END = "<|im_start|>", "<|im_end|>\n"
 PARTS = "array<struct<type:string,text:string,ref:string,width:int,height:int,seconds:double,pages:int>>"
 PATCH, AUDIO_RATE, PAGE_TOKENS = 28, 25, 512
@@ -34,8 +36,8 @@ def escaped_role(role: Column) -> Column:
 
 
 def unescaped_role(role: Column) -> Column:
-    mark = F.lit("\u0000\u0001")
-    return F.replace(F.replace(F.replace(unescaped(role), F.lit("\\\\"), mark), F.lit("\\n"), F.lit("\n")), mark, F.lit("\\"))
+    plain = F.transform(F.split(unescaped(role), r"\\\\", -1), lambda x: F.replace(x, F.lit("\\n"), F.lit("\n")))
+    return F.array_join(plain, "\\")  # split at escaped backslashes, from the left: no mark is needed
 
 
 def text_part(text: Column) -> Column:
@@ -90,16 +92,15 @@ def format_chats(messages: DataFrame, conv_id: str = "conv_id", turn: str = "tur
 
     formatted = F.array_join(F.transform("turns", lambda t: F.concat(head(t), t["content"], F.lit(END))), "")
 
-    def step(acc: Column, t: Column) -> Column:
-        start = acc["at"] + F.length(head(t))
-        size = F.length(t["content"])
-        one = F.array(F.struct(start.alias("start"), size.alias("length"))).cast(_SPANS)
-        return F.struct((start + size + len(END)).alias("at"), F.when(t["role"] == loss_role, F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
+    def placed(t: Column, at: Column) -> Column:
+        span = F.struct((at + F.length(head(t))).cast("int").alias("start"), F.length(t["content"]).alias("length"))
+        return F.struct((t["role"] == loss_role).alias("counts"), span.alias("span"))
 
-    none = F.struct(F.lit(0).alias("at"), F.array().cast(_SPANS).alias("out"))
+    lines = laid_end_to_end(F.col("turns"), lambda t: F.length(head(t)) + F.length(t["content"]) + len(END), placed)
+    loss = F.transform(F.filter(lines, lambda x: x["counts"]), lambda x: x["span"]).cast(_SPANS)
     media = F.flatten(F.transform("turns", lambda t: t["media"]))
     done = chats.select(
-        "conv_id", formatted.alias("formatted"), F.aggregate("turns", none, step, lambda acc: acc["out"]).alias("loss"), media.alias("attachments"),
+        "conv_id", formatted.alias("formatted"), loss.alias("loss"), media.alias("attachments"),
     )
     total = F.aggregate("attachments", F.lit(0).cast("long"), lambda a, m: a + m["tokens"])
     return done.withColumn("media_tokens", total)
@@ -119,7 +120,11 @@ def read_turns(formatted: Column) -> Column:
 
 def read_loss(formatted: str = "formatted", loss: str = "loss") -> Column:
     """All text under the loss mask, unescaped, nothing between."""
-    return F.array_join(F.transform(loss, lambda s: unescaped(F.col(formatted).substr(s["start"] + 1, s["length"]))), "")
+
+    def pieces(blocks: Column) -> Column:
+        return F.transform(loss, lambda s: unescaped(cut_blocks(blocks, s["start"], s["start"] + s["length"])))
+
+    return F.array_join(bound(text_blocks(F.col(formatted)), pieces), "")
 
 
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

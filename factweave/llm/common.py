@@ -85,8 +85,67 @@ def finite(vector: str) -> Column:
     )
 
 
-def texts_of(column: pa.ChunkedArray | pa.Array) -> list[str]:
-    return [x or "" for x in column.to_pylist()]
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that df does not have (names are compared without case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), where value is evaluated once however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+_RUN = 256
+
+
+def laid_end_to_end(items: Column, size: Callable[[Column], Column], make: Callable[[Column, Column], Column]) -> Column:
+    """make(item, offset) of every item of an array, offset being the sizes of those before it.
+
+    The array is walked in runs of ``_RUN``, as appending to one growing array costs its square.
+    """
+    zero, none = F.lit(0).cast("long"), F.array().cast("array<bigint>")
+
+    def offsets(sizes: Column, first: Column) -> Column:
+        start = F.struct(first.alias("at"), none.alias("out"))
+        return F.aggregate(
+            sizes, start, lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"]
+        )
+
+    def whole(own: Column) -> Column:
+        sizes = F.transform(own, lambda x: size(x).cast("long"))
+        runs = bound(sizes, lambda z: F.transform(F.sequence(F.lit(0), F.floor((F.size(z) - 1) / _RUN).cast("int")), lambda r: F.slice(z, r * _RUN + 1, F.lit(_RUN))))
+
+        def spread(r: Column) -> Column:
+            firsts = offsets(F.transform(r, lambda z: F.aggregate(z, zero, lambda a, n: a + n)), zero)
+            return F.flatten(F.zip_with(r, firsts, offsets))
+
+        return F.zip_with(own, bound(runs, spread), make)
+
+    return bound(items, lambda own: F.when(F.size(own) > 0, whole(own)).otherwise(F.transform(own, lambda x: make(x, zero))))
+
+
+_BLOCK = 4096
+
+
+def text_blocks(text: Column) -> Column:
+    """The text in blocks of ``_BLOCK`` code points, for ``cut_blocks``."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{_BLOCK}}}"), F.lit(0))
+
+
+def cut_blocks(blocks: Column, start: Column, end: Column) -> Column:
+    """Code points start to end (exclusive) of a text in blocks, without walking the text from its start."""
+    first = F.floor(start / _BLOCK).cast("int")
+    count = F.when(end > start, F.floor((end - 1) / _BLOCK).cast("int") - first + 1).otherwise(0)
+
+    def part(block: Column, i: Column) -> Column:
+        base = (first + i) * _BLOCK
+        low = F.greatest(start - base, F.lit(0)).cast("int")
+        return block.substr(low + 1, F.least(end - base, F.lit(_BLOCK)).cast("int") - low)
+
+    return F.array_join(F.transform(F.slice(blocks, first + 1, count), part), "")
 
 
 def groups_of(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
