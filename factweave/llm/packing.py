@@ -4,6 +4,9 @@ Every document becomes token ids; its hashed bag of ids is projected to four dim
 Hilbert index is its sort key. Documents are range-sorted by that key, and each range is cut, in
 curve order, into sequences of ``LENGTH`` ids, so neighbours share sequences. What is left at a
 range's end is cut into sequences whose lengths are powers of two, which need no padding.
+
+Ids travel in rows of at most ``PART``, so that ranges are even however long single documents are,
+and there are as many ranges as the ids in all ask for.
 """
 
 from __future__ import annotations
@@ -25,23 +28,35 @@ DIMS, BITS, HASHED = 4, 12, 256
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _FIELDS = [f.split()[0] for f in PIECES.split(", ")]
 VOCABULARY = "byte_bpe_50k"
+PART, RANGE = 1 << 14, 1 << 24  # ids in a row and, about, in a range
 
 
 @cache
-def encoder(name: str = VOCABULARY, ranks: str | None = None):
-    """The public byte-level BPE as a function from texts to ids.
+def encoder(name: str = VOCABULARY, ranks: str | None = None, library: str | None = None):
+    """The public byte-level BPE as a function from texts to ids, as the ``tokenizers`` library gives them.
 
-    ``tiktoken`` runs the same vocabulary as the ``tokenizers`` file about four times as fast and
-    gives the same ids (tests compare them); special strings in a text are ordinary text.
+    ``tiktoken`` runs the same vocabulary about four times as fast and gives the same ids (tests
+    compare them) for a text that holds none of the vocabulary's added tokens; a text that holds one
+    goes to the library itself, which gives added tokens ids of their own. Either path may be given.
     """
     import base64
 
     import public_tokenizers
     import tiktoken
+    from tokenizers import Tokenizer
 
     with open(ranks or public_tokenizers.path(f"{name}.tiktoken"), "rb") as f:
         table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={}).encode_ordinary
+    plain = tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={}).encode_ordinary
+    exact = Tokenizer.from_file(library or public_tokenizers.path(f"{name}.json"))
+    added = [t.content for t in exact.get_added_tokens_decoder().values()]
+
+    def encode(text: str) -> list[int]:
+        if any(a in text for a in added):
+            return exact.encode(text, add_special_tokens=False).ids
+        return plain(text)
+
+    return encode
 
 
 def hilbert(points: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -91,14 +106,14 @@ def cut_rest(rest: int) -> list[int]:
     return [1 << b for b in range(rest.bit_length() - 1, -1, -1) if rest >> b & 1]
 
 
-def pack_stream(docs: Iterator[tuple[int | None, np.ndarray]], first_sequence: int, length: int = LENGTH) -> Iterator[tuple]:
-    """Pieces (as PIECES) of documents (id, ids) in their order."""
+def pack_stream(parts: Iterator[tuple[int | None, int, int, np.ndarray]], first_sequence: int, length: int = LENGTH) -> Iterator[tuple]:
+    """Pieces (as PIECES) of parts (document, ids of it before, ids of it in all, ids) in their order."""
     sequence, at, open_pieces = first_sequence, 0, []
-    for doc_id, ids in docs:
+    for doc_id, before, total, ids in parts:
         start = 0
         while start < len(ids):
             take = min(len(ids) - start, length - at)
-            open_pieces.append((doc_id, start, ids[start : start + take], len(ids)))
+            open_pieces.append((doc_id, before + start, ids[start : start + take], total))
             start, at = start + take, at + take
             if at == length:
                 yield from _close(open_pieces, sequence, [length])
@@ -119,22 +134,37 @@ def _close(pieces: list[tuple], sequence: int, lengths: list[int]) -> Iterator[t
                 sequence, at = sequence + 1, 0
 
 
+_TOKENS = "doc_id long, key long, start long, total long, ids binary"
+
+
 def tokenise(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(doc_id, key, ids): uint16 ids with the closing 0, and the curve key. Null text: empty."""
+    """(doc_id, key, start, total, ids): uint16 ids with the closing 0, in parts, and the document's curve key.
+
+    Null text: empty.
+    """
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder()
         for b in batches:
-            if b.num_rows:
-                ids = [np.array([*encode(t or ""), 0], np.uint16) for t in b.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(curve_keys(ids)), pa.array([x.tobytes() for x in ids], pa.binary())], names=["doc_id", "key", "ids"])
-
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, key long, ids binary")
+            if not b.num_rows:
+                continue
+            ids = [np.array([*encode(t or ""), 0], np.uint16) for t in b.column(1).to_pylist()]
+            sizes = np.array([len(x) for x in ids])
+            counts = -(-sizes // PART)
+            row = np.repeat(np.arange(len(ids)), counts)
+            start = (np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)) * PART
+            parts = [ids[r][s : s + PART].tobytes() for r, s in zip(row.tolist(), start.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0).take(pa.array(row)), pa.array(curve_keys(ids)[row]), pa.array(start), pa.array(sizes[row]), pa.array(parts, pa.binary())],
+                names=[f.split()[0] for f in _TOKENS.split(", ")],
+            )
+
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, _TOKENS)
 
 
 def pack(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """One row (PIECES) for each piece of each document.
+    """One row (PIECES) for each piece of each document; docs' other columns are not read.
 
     Every row of docs is a document of its own, so repeated rows are packed repeatedly; null and
     empty texts are the single id 0; a null doc_id stays null; an empty table gives no rows.
@@ -142,13 +172,16 @@ def pack(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFra
     spark = docs.sparkSession
     stages = Stages(spark)
     keyed = stages.put(tokenise(docs, text, doc_id), "ids")
-    ranged = keyed.repartitionByRange(partitions(spark), "key", "doc_id").sortWithinPartitions("key", "doc_id", "ids")
+    many = keyed.agg(F.sum(F.length("ids"))).first()[0] or 0
+    ranges = max(partitions(spark), -(-many // (2 * RANGE)))
+    ranged = keyed.repartitionByRange(ranges, "key", "doc_id", "start").sortWithinPartitions("key", "doc_id", "start", "ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
             for b in batches:
-                for one, ids in zip(b.column("doc_id").to_pylist(), b.column("ids"), strict=True):
-                    yield one, np.frombuffer(ids.as_buffer(), np.uint16)
+                columns = (b.column(n).to_pylist() for n in ("doc_id", "start", "total"))
+                for one, start, total, ids in zip(*columns, b.column("ids"), strict=True):
+                    yield one, start, total, np.frombuffer(ids.as_buffer(), np.uint16)
 
         held = []
         for piece in pack_stream(rows(), TaskContext.get().partitionId() << 40):
@@ -159,7 +192,7 @@ def pack(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFra
         if held:
             yield _batch(held)
 
-    return ranged.select("doc_id", "ids").mapInArrow(run, PIECES)
+    return ranged.select("doc_id", "start", "total", "ids").mapInArrow(run, PIECES)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -171,4 +204,5 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The last stage: pieces in place of documents, joined to their other columns by doc_id if wanted."""
     return pack(docs)

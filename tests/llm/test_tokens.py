@@ -14,7 +14,6 @@ from factweave.llm import sentencepiece_fst as S
 TEXT = st.lists(st.sampled_from(list("ab ▁\n\tthe日本é😀=-0١<|>ß") + ["  ", "ing", "\x00", "<|endoftext|>"]), max_size=40).map("".join)
 LIBRARY = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
 REFERENCE = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-REFERENCE.encode_special_tokens = True
 
 
 @settings(max_examples=400, deadline=None)
@@ -53,6 +52,21 @@ def test_ids_are_those_of_the_named_library(text):
     assert P.encoder()(text) == REFERENCE.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("text", ["<|endoftext|>", "hello <|endoftext|> world", "<|endoftext|><|endoftext|>a", "<|endoftext", "é<|endoftext|>\n"])
+def test_added_tokens_have_their_own_ids(text, docs_of):
+    want = REFERENCE.encode(text, add_special_tokens=False).ids
+    assert P.encoder()(text) == want and (50256 in want) == ("<|endoftext|>" in text)
+    check([tuple(r) for r in P.pack(docs_of([(1, text)])).collect()], {1: np.array([*want, 0])})
+
+
+def test_long_documents_travel_in_parts(docs_of, monkeypatch):
+    texts = {1: "one two three " * 300, 2: "", 3: "four " * 90}
+    monkeypatch.setattr(P, "PART", 64)
+    parts = P.tokenise(docs_of(texts.items())).collect()
+    assert max(len(r.ids) for r in parts) == 128 and len(parts) > 10
+    check([tuple(r) for r in P.pack(docs_of(texts.items())).collect()], {i: np.array([*REFERENCE.encode(t, add_special_tokens=False).ids, 0]) for i, t in texts.items()})
+
+
 def test_hilbert_neighbours_touch():
     for dims, bits in ((2, 3), (3, 2), (4, 2)):
         grid = np.stack(np.meshgrid(*[np.arange(1 << bits)] * dims, indexing="ij"), -1).reshape(-1, dims)
@@ -64,7 +78,7 @@ def test_hilbert_neighbours_touch():
 @given(st.lists(st.integers(1, 3000), max_size=12))
 def test_streams_are_cut_without_gap_or_padding(sizes):
     docs = [(i, np.arange(n, dtype=np.uint16)) for i, n in enumerate(sizes)]
-    check(list(P.pack_stream(iter(docs), 5)), dict(docs))
+    check(list(P.pack_stream(((i, 0, len(x), x) for i, x in docs), 5)), dict(docs))
 
 
 def check(pieces, ids):
@@ -85,7 +99,7 @@ def check(pieces, ids):
 
 
 def test_pack_odd_rows(docs_of, odd_rows, spark):
-    rows = [r for r in odd_rows if r[0] is not None][:-1]
+    rows = list({r[0]: r for r in odd_rows if r[0] is not None}.values())
     pieces = [tuple(r) for r in P.pack(docs_of(rows)).collect()]
     check(pieces, {i: np.array([*REFERENCE.encode(t or "", add_special_tokens=False).ids, 0]) for i, t in rows})
     assert P.pack(docs_of([])).count() == 0
