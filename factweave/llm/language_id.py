@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from factweave.llm.common import crc_fold, small_batches
+from factweave.llm.common import crc_fold, free_name, small_batches
 
 BUCKETS = 1 << 14
 ORDERS = (1, 2, 3)
@@ -86,21 +86,22 @@ def fit_bits(bits: np.ndarray, langs: list[str], landmarks: int = 256, ridge: fl
 
 
 def fit(
-    docs: DataFrame, per_language: int = 300, max_languages: int = 256, text: str = "text", lang: str = "lang", doc_id: str = "doc_id"
+    docs: DataFrame, per_language: int = 300, most_rows: int = 76_800, text: str = "text", lang: str = "lang", doc_id: str = "doc_id"
 ) -> LanguageModel | None:
     """Learn from rows with a language and crc32(id) mod 3 not 1; None if there are none.
 
-    The bounded sample: about ``per_language`` rows, by a hash of the id, of each of the
-    ``max_languages`` most frequent languages. Presence bits are made on the executors; two
-    kilobytes a row come to the driver.
+    The bounded sample: about ``per_language`` rows of every language, by a hash of the id, fewer
+    (but 20 at least, or all there are) where they would be over ``most_rows`` in sum. No language is
+    left out. Presence bits are made on the executors; two kilobytes a row come to the driver.
     """
     small_batches(docs.sparkSession)
     known = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang"), F.col(doc_id).alias("doc_id")).where(
         (crc_fold("doc_id") != 1) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")
     )
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()
+    counts = known.groupBy("lang").count().collect()
     if not counts:
         return None
+    per_language = min(per_language, max(20, most_rows // len(counts)))
     share = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, per_language / r["count"])))])
     unit = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / float(1 << 20)
 
@@ -144,6 +145,7 @@ def predict(docs: DataFrame, model: LanguageModel | None, text: str = "text") ->
     spark = docs.sparkSession
     small_batches(spark)
     shared = spark.sparkContext.broadcast(model)
+    mark = free_name(rest, "letter")
     schema = StructType([*rest.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
     order = schema.names
 
@@ -151,7 +153,7 @@ def predict(docs: DataFrame, model: LanguageModel | None, text: str = "text") ->
         for b in batches:
             if not b.num_rows:
                 continue
-            letter = np.array(b.column("__letter").to_pylist(), bool)
+            letter = np.array(b.column(mark).to_pylist(), bool)
             all_texts = b.column(text).to_pylist()
             names, scores = score_texts([t for t, ok in zip(all_texts, letter, strict=True) if ok], shared.value)
             lang, score = np.full(b.num_rows, "und", object), np.zeros(b.num_rows)
@@ -160,7 +162,7 @@ def predict(docs: DataFrame, model: LanguageModel | None, text: str = "text") ->
             yield pa.RecordBatch.from_arrays([*keep, pa.array(lang, pa.string()), pa.array(score)], names=order)
 
     letter = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
-    return rest.withColumn("__letter", letter).mapInArrow(run, schema)
+    return rest.withColumn(mark, letter).mapInArrow(run, schema)
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -171,9 +173,7 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "held_out", "lang_pred", "score")
 
 
-
-
 def stage_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents that have a language; ``und`` ones are rejected."""
-    found = predict(docs, fit(docs))
-    return found.where("lang_pred <> 'und'").select(*docs.columns)
+    """Keep documents that have a language; ``und`` ones are rejected. Columns of any name stay as they are."""
+    own = docs.select(F.col("text").alias("text"), F.struct(*docs.columns).alias("row"))
+    return predict(own, fit(docs)).where("lang_pred <> 'und'").select("row.*")

@@ -49,3 +49,34 @@ def test_labels_of_held_out_rows_are_not_used(spark, folder):
     d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     got = L.op1_language_id(spark, folder(documents=d)).collect()
     assert all(r.lang_pred == ("x" if r.doc_id % 2 else "y") for r in got) and {r.doc_id for r in got if r.held_out} == set(held)
+
+
+def test_folded_matrix_scores_as_the_dense_kernel_ridge():
+    """Scores by the folded matrix equal those of Nystroem features made from kernel values, one by one."""
+    rng = np.random.default_rng(5)
+    texts = ["".join(rng.choice(list(letters), 40)) for letters in ("abcde", "cdefg", "xyzab") for _ in range(20)]
+    langs = [x for x in "pqr" for _ in range(20)]
+    bits = L.presence(texts)
+    model = L.fit_bits(bits, langs, landmarks=25)
+    grams = [set(np.flatnonzero(b).tolist()) for b in bits]
+
+    def kernel(a, b):
+        return len(a & b) / np.sqrt(max(len(a), 1) * max(len(b), 1))
+
+    marks = [grams[i] for i in np.random.default_rng(7).permutation(len(texts))[:25]]
+    within = np.array([[kernel(a, b) for b in marks] for a in marks])
+    values, vectors = np.linalg.eigh(within)
+    keep = values > 1e-6 * values.max()
+    z = np.array([[kernel(a, b) for b in marks] for a in grams]) @ vectors[:, keep] / np.sqrt(values[keep])
+    y = np.array([[1.0 if a == b else -1.0 for b in "pqr"] for a in langs])
+    offset = y.mean(0)
+    solved = np.linalg.solve(z.T @ z + 1e-2 * len(z) * np.eye(z.shape[1]) / 3, z.T @ (y - offset))
+    mine = (bits.astype(float) @ model.weights) / np.sqrt(bits.sum(1))[:, None] + model.offset
+    assert np.allclose(mine, z @ solved + offset, atol=1e-3)
+
+
+def test_no_language_is_left_out(spark, docs_of):
+    """Far more languages than the sample's rows allow at full share: each still has a column."""
+    rows = [(i, f"wort{i % 90} text {i}", f"l{i % 90:02}", "s", 7) for i in range(900)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert len(L.fit(d, most_rows=100).languages) == 90
