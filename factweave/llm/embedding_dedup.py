@@ -3,10 +3,16 @@
 Equal vectors are one class first. Each pass draws random hyperplanes, writes a class's sign bits
 one after another as one number, sorts all classes by it, and compares each with its neighbours in
 a bounded window by matrix products. The number of passes grows with that of the classes
-(``passes_for``), and the rows at both edges of a partition are compared again across it. Verified pairs are joined at once, so a window puts out a
-spanning set of links and never all its pairs; the passes' links are united into components.
-Within a component, link counts are exact: its members are compared block by block, and only
-counts leave a task.
+(``passes_for``), and the rows at both edges of a partition are compared again across it. Verified
+pairs are joined at once, so a window puts out a spanning set of links and never all its pairs; the
+passes' links are united into components.
+
+Passes carry a vector as bytes of its components' shares of the greatest one, a quarter of the size or
+less. The rounding has a bound, so most pairs are certain; the few that are not, and that no
+certain link joins, are decided by the vectors themselves.
+
+Within a component, link counts are exact: its m members are dealt into about sqrt(m) / 2 blocks,
+blocks are compared pairwise, and only counts leave a task.
 """
 
 from __future__ import annotations
@@ -16,12 +22,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, FloatType
 
 from factweave.llm.common import Stages, bounds, connected_components, finite, groups_of, local_roots, partitions
 
 PASSES, PLANES, WINDOW, BLOCK = 16, 48, 64, 256
+LEVELS = 127
 
 
 def passes_for(classes: int, least: float = 0.9, recall: float = 0.95) -> int:
@@ -45,15 +54,39 @@ def projection_keys(x: np.ndarray, passes: int = PASSES) -> np.ndarray:
     return out
 
 
-def window_links(x: np.ndarray, least: float, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs (i < j <= i + window) of unit rows with cosine of at least ``least``."""
-    left, right = [], []
+def window_links(x: np.ndarray, least: float, slack: np.ndarray | None = None, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Index pairs (i < j <= i + window) of rows whose product may reach ``least``, and which surely do.
+
+    ``slack``: how far each row may be from the unit vector that it stands for (none: not at all).
+    A product of rows off by a and b is off by at most a + b + a * b.
+    """
+    left, right, sure = [], [], []
+    off = np.zeros(len(x)) if slack is None else slack
     for at in range(0, len(x), window):
-        i, j = np.nonzero(x[at : at + window] @ x[at : at + 2 * window].T >= least)
+        product = x[at : at + window] @ x[at : at + 2 * window].T
+        a, b = off[at : at + window, None], off[None, at : at + 2 * window]
+        doubt = a + b + a * b
+        i, j = np.nonzero(product + doubt >= least)
         near = (j > i) & (j - i <= window)
-        left.append(i[near] + at)
-        right.append(j[near] + at)
-    return (np.concatenate(left), np.concatenate(right)) if left else (np.zeros(0, int), np.zeros(0, int))
+        i, j = i[near], j[near]
+        left.append(i + at)
+        right.append(j + at)
+        sure.append(product[i, j] - (doubt[i, j] + (1e-12 if slack is not None else 0)) >= least)
+    if not left:
+        return np.zeros(0, int), np.zeros(0, int), np.zeros(0, bool)
+    return np.concatenate(left), np.concatenate(right), np.concatenate(sure)
+
+
+def squeezed(x: np.ndarray) -> tuple[list[bytes], np.ndarray]:
+    """Unit rows as signed bytes, with the value of one step for each row."""
+    step = np.abs(x).max(1) / LEVELS
+    return [r.tobytes() for r in np.rint(x / step[:, None]).astype(np.int8)], step
+
+
+def restored(column: pa.ChunkedArray, step: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of ``squeezed`` and how far each may be from its unit vector."""
+    flat = np.frombuffer(b"".join(column.to_pylist()), np.int8).reshape(len(step), -1)
+    return flat * step[:, None], 0.5 * step * math.sqrt(flat.shape[1]) + 1e-12
 
 
 def unit_rows(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -64,28 +97,43 @@ def unit_rows(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
 
 
 def _keyed(classes: DataFrame, passes: int) -> DataFrame:
+    names = [f.split()[0] for f in _ROWS.split(", ")]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             dims = b.column("dim").to_numpy(zero_copy_only=False)
             for dim in np.unique(dims):
                 part = b.filter(pa.array(dims == dim))
-                keys = projection_keys(unit_rows(part.column("v")), passes)
+                x = unit_rows(part.column("v"))
+                keys, (small, step) = projection_keys(x, passes), squeezed(x)
+                small, step = pa.array(small, pa.binary()), pa.array(step)
                 for p in range(passes):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), int(dim) * passes + p)), pa.array(keys[:, p]), part.column("rep"), part.column("v")], names=["turn", "bits", "rep", "v"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), int(dim) * passes + p)), pa.array(keys[:, p]), part.column("node"), step, small], names=names)
 
-    return classes.mapInArrow(run, "turn long, bits long, rep long, v array<float>")
+    return classes.mapInArrow(run, _ROWS)
 
 
-_SCANNED = "a long, b long, turn long, bits long, rep long, v array<float>"
+_ROWS = "turn long, bits long, node long, step double, small binary"
+_SCANNED = f"a long, b long, sure boolean, {_ROWS}"
 
 
 def _scan_windows(least: float):
-    """Links (a, b) of a sorted partition, and its first and last WINDOW rows (a and b null)."""
+    """Links (a, b) of a sorted partition, and its first and last WINDOW rows (a and b null).
+
+    Certain links come as a spanning set; uncertain ones are left out where certain ones join the two.
+    """
+    names = [f.split()[0] for f in _SCANNED.split(", ")]
+    own = names[3:]
 
     def edges(table: pa.Table) -> Iterator[pa.RecordBatch]:
         for b in table.combine_chunks().to_batches():
             none = pa.nulls(b.num_rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none, *(b.column(n) for n in ("turn", "bits", "rep", "v"))], names=["a", "b", "turn", "bits", "rep", "v"])
+            yield pa.RecordBatch.from_arrays([none, none, pa.nulls(b.num_rows, pa.bool_()), *(b.column(n) for n in own)], names=names)
+
+    def links(a: np.ndarray, b: np.ndarray, sure: bool) -> pa.RecordBatch:
+        n = len(a)
+        blank = [pa.nulls(n, t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.binary())]
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.full(n, sure)), *blank], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tail: pa.Table | None = None
@@ -102,17 +150,15 @@ def _scan_windows(least: float):
             edge = bounds(turn)
             for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
                 part = table.slice(lo, hi - lo)
-                a, c = window_links(unit_rows(part.column("v")), least)
-                if len(a):
-                    rep = part.column("rep").to_numpy()
-                    rank = np.argsort(rep, kind="stable")
-                    place = np.empty_like(rank)
-                    place[rank] = np.arange(len(rank))
-                    root = local_roots(len(rep), place[a], place[c])
-                    moved = np.flatnonzero(root != np.arange(len(rep)))
-                    left, right = pa.array(rep[rank[moved]]), pa.array(rep[rank[root[moved]]])
-                    none = pa.nulls(len(moved), pa.int64())
-                    yield pa.RecordBatch.from_arrays([left, right, none, none, none, pa.nulls(len(moved), table.schema.field("v").type)], names=["a", "b", "turn", "bits", "rep", "v"])
+                x, slack = restored(part.column("small"), part.column("step").to_numpy())
+                i, j, sure = window_links(x, least, slack)
+                if len(i):
+                    node = part.column("node").to_numpy()
+                    root = local_roots(len(node), i[sure], j[sure])
+                    moved = np.flatnonzero(root != np.arange(len(node)))
+                    yield links(node[moved], node[root[moved]], True)
+                    open_ = ~sure & (root[i] != root[j])
+                    yield links(node[i[open_]], node[j[open_]], False)
             last = table.slice(max(int(edge[-2]), table.num_rows - WINDOW))
             tail = last.combine_chunks()
         if tail is not None:
@@ -122,16 +168,31 @@ def _scan_windows(least: float):
     return run
 
 
+def _decide(least: float):
+    """Those of the pairs (a, b, left, right) with a cosine of at least ``least``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                sizes = pa.compute.list_value_length(b.column("left")).to_numpy(zero_copy_only=False)
+                for dim in np.unique(sizes):
+                    part = b.filter(pa.array(sizes == dim))
+                    near = (unit_rows(part.column("left")) * unit_rows(part.column("right"))).sum(1) >= least
+                    yield part.select(["a", "b"]).filter(pa.array(near))
+
+    return run
+
+
 def _count_links(least: float):
-    """Partial link counts (rep, links) of the cells (component, one, two) of blocks."""
+    """Partial link counts (node, links) of the cells (component, one, two) of blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in groups_of(batches, ["component", "one", "two"]):
             keys = [table.column(c).to_numpy() for c in ("component", "one", "two")]
             edge = bounds(*keys)
-            rep, size, block = (table.column(c).to_numpy() for c in ("rep", "size", "block"))
+            node, size, block = (table.column(c).to_numpy() for c in ("node", "size", "block"))
             x = unit_rows(table.column("v"))
-            links = np.zeros(len(rep), np.int64)
+            links = np.zeros(len(node), np.int64)
             for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
                 same = keys[1][lo] == keys[2][lo]
                 first = np.arange(lo, hi) if same else lo + np.flatnonzero(block[lo:hi] == keys[1][lo])
@@ -144,46 +205,59 @@ def _count_links(least: float):
                     links[some] += near @ size[second]
                     if not same:
                         links[second] += size[some] @ near
-            yield pa.RecordBatch.from_arrays([pa.array(rep), pa.array(links)], names=["rep", "links"])
+            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(links)], names=["node", "links"])
 
     return run
 
 
 def near_duplicates(rows: DataFrame, least: float = 0.9, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """(vec_id, n_links, component_id, kept) for every row.
+    """(vec_id, n_links, component_id, kept) for every row; components of any number type are taken.
 
     Vectors that are null, zero, empty or hold null or non-finite components link with nothing.
-    Repeated rows are vectors of their own and link with each other. Vectors of different lengths
-    are not compared. A null vec_id links like any other but names no component unless alone.
+    Repeated rows are vectors of their own and link with each other, and so do rows of one id with
+    other vectors. Vectors of different lengths are not compared. A null vec_id links like any other
+    but names no component: where a component has only those, component_id is null.
     """
     spark = rows.sparkSession
     stages, n = Stages(spark), partitions(spark)
+    kind = rows.schema[vector].dataType.elementType
+    kind = kind.simpleString() if isinstance(kind, (FloatType, DoubleType)) else "double"
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
-    good = F.coalesce(finite(vector) & F.exists(vector, lambda x: x != 0), F.lit(False))
-    own = rows.select(F.col(vec_id).cast("long").alias("vec_id"), F.when(good, F.transform(vector, lambda x: x + F.lit(0.0).cast("float"))).alias("v"))
+    values = rows.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(vector).cast(f"array<{kind}>").alias("v"))
+    good = F.coalesce(finite("v") & F.exists("v", lambda x: x != 0), F.lit(False))
+    own = values.select("vec_id", F.when(good, F.transform("v", lambda x: x + F.lit(0.0).cast(kind))).alias("v"))  # -0 becomes 0
     own = own.withColumn("hash", F.xxhash64("v"))
     grouped = own.where("v is not null").groupBy("hash", "v").agg(F.min("vec_id").alias("first"), F.count("*").alias("size"))
-    classes = stages.put(grouped.withColumn("rep", F.coalesce("first", F.expr("-1 - shiftrightunsigned(hash, 1)"))).withColumn("dim", F.size("v")), "classes")
+    classes = stages.put(grouped.withColumn("node", F.monotonically_increasing_id()).withColumn("dim", F.size("v")), "classes")
     most = classes.groupBy("dim").count().agg(F.max("count")).first()[0] or 0
-    keyed = _keyed(classes.select("rep", "v", "dim"), passes_for(most, least))
-    sorted_rows = stages.put(keyed, "keyed").repartitionByRange(n, "turn", "bits", "rep").sortWithinPartitions("turn", "bits", "rep")
+    keyed = _keyed(classes.select("node", "v", "dim"), passes_for(most, least))
+    sorted_rows = keyed.repartitionByRange(n, "turn", "bits", "node").sortWithinPartitions("turn", "bits", "node")
     scanned = stages.put(sorted_rows.mapInArrow(_scan_windows(least), _SCANNED), "scanned")
     # at most 2 * WINDOW rows a partition, in order: those of neighbouring partitions are now adjacent
-    edges = scanned.where("a is null").select("turn", "bits", "rep", "v").coalesce(1).sortWithinPartitions("turn", "bits", "rep")
+    edges = scanned.where("a is null").select("turn", "bits", "node", "step", "small").coalesce(1).sortWithinPartitions("turn", "bits", "node")
     across = edges.mapInArrow(_scan_windows(least), _SCANNED)
-    links = stages.put(scanned.unionByName(across).where("a is not null").select("a", "b").distinct(), "links")
+    found = stages.put(scanned.unionByName(across).where("a is not null").groupBy("a", "b").agg(F.max("sure").alias("sure")), "found")
+    stages.drop("scanned")
+    sides = [classes.select(F.col("node").alias(a), F.col("v").alias(v)) for a, v in (("a", "left"), ("b", "right"))]
+    open_pairs = found.where("not sure").join(sides[0], "a").join(sides[1], "b").select("a", "b", "left", "right")
+    links = stages.put(found.where("sure").select("a", "b").unionByName(open_pairs.mapInArrow(_decide(least), "a long, b long")), "links")
     linked = stages.put(connected_components(stages, links), "linked")
-    joined = classes.join(linked, classes.rep == linked.node)
-    sizes = linked.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    member = joined.join(sizes, "component").select("component", "rep", "size", "v", F.pmod(F.xxhash64("rep"), F.col("blocks").cast("long")).cast("int").alias("block"), "blocks")
+    placed = classes.join(linked, "node")
+    sizes = linked.groupBy("component").agg(F.ceil(F.sqrt(F.count("*")) / 2).cast("int").alias("blocks"))
+    member = placed.join(sizes, "component").select("component", "node", "size", "v", F.pmod(F.xxhash64("node"), F.col("blocks").cast("long")).cast("int").alias("block"), "blocks")
     cells = member.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    cells = cells.select("component", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "rep", "size", "v", "block")
+    cells = cells.select("component", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "node", "size", "v", "block")
     dealt = cells.repartition(n, "component", "one", "two").sortWithinPartitions("component", "one", "two")
-    counts = dealt.mapInArrow(_count_links(least), "rep long, links long").groupBy("rep").agg(F.sum("links").alias("links"))
-    named = classes.join(linked, classes.rep == linked.node, "left").select("hash", "v", "rep", "size", F.coalesce("component", "rep").alias("component_id"))
-    done = named.join(counts, "rep", "left").select("hash", "v", (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links"), "component_id")
-    out = own.join(done, ["hash", "v"], "left").select(
-        "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.when(F.col("component_id").isNull() | (F.col("component_id") < -1), F.col("vec_id")).otherwise(F.col("component_id")).alias("component_id"),
+    counts = dealt.mapInArrow(_count_links(least), "node long, links long").groupBy("node").agg(F.sum("links").alias("links"))
+    lowest = placed.groupBy("component").agg(F.min("first").alias("component_id"))
+    joined = classes.join(linked, "node", "left").join(lowest, "component", "left").join(counts, "node", "left")
+    named = joined.select(
+        "hash", F.col("v").alias("same"), (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links"),
+        F.when(F.col("component").isNull(), F.col("first")).otherwise(F.col("component_id")).alias("component_id"), F.lit(True).alias("known"),
+    )
+    match = (own["hash"] == named["hash"]) & (own["v"] == named["same"])
+    out = own.join(named, match, "left").select(
+        "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.when(F.col("known"), F.col("component_id")).otherwise(F.col("vec_id")).alias("component_id"),
     )
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 
