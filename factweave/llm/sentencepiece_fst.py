@@ -1,19 +1,24 @@
 """SentencePiece encoding and decoding as weighted finite-state transducers.
 
-Three machines are compiled from a model file: the normaliser (white space to U+2581, a dummy
-prefix), the pieces (a prefix tree) and byte fallback (a character without a piece to its UTF-8
-bytes). Composed with an input they form a lattice whose states are positions and arcs are pieces,
-and the encoding is its shortest path in the tropical semiring.
-
-The model is of the BPE kind, whose result is no sum of piece scores. Its merges are turned into
-arc weights instead: an arc costs 0 after a piece it may follow and infinity otherwise, where b may
-follow a if merging the text a + b by the model's ranks ends in the two pieces a and b. A
+Three machines are compiled from a model file into arc tables. The *normaliser* reads characters and
+writes characters, with U+2581 for white space; its states know whether a text has begun and whether
+white space is pending, for the dummy prefix and for models that drop extra white space. The *piece
+machine* is a prefix tree whose paths from the root read a piece and write its id. The *byte machine*
+reads a character that is no piece and writes its UTF-8 bytes, or the unknown id if the model has no
+byte pieces. An input composed with all three is a lattice: states are positions in the normalised
+text, arcs are pieces or bytes. Its shortest path in the tropical semiring is found by relaxing the arcs of
+one position after another; arcs are composed when their position is taken from the queue.
+
+*Weights.* In a unigram model an arc costs the negative score of its piece. In a BPE model the result
+is no sum of piece scores; its merges are arc weights of a machine over pairs of pieces: b after a costs 0 if
+merging the text a + b by the model's ranks ends in the two pieces a and b, and infinity otherwise. A
 segmentation is the BPE one exactly if every neighbouring pair is such, so one path is finite, and
 each position has one finite predecessor. Pairs are decided by replaying the merges inside a and
 inside b in rank order and watching the boundary for a merge that would come first.
 
-No piece holds U+2581 after another character, so the lattice falls apart before every run of it;
-the parts are solved alone and remembered by each Python worker.
+Where no piece holds U+2581 after another character, no arc crosses the place before it, so the
+composition is taken from there to there; each Python worker remembers the path by normaliser state
+and part.
 """
 
 from __future__ import annotations
@@ -31,9 +36,11 @@ from pyspark.sql import DataFrame, SparkSession
 from factweave.llm.common import small_batches
 
 SPACE = "▁"
-NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
+NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6  # kinds of pieces, and of models, in the file format
+UNIGRAM, BPE = 1, 2
 MODEL = "piece_bpe_32k.model"
-REMEMBERED, LONGEST_KEY = 400_000, 40
+REMEMBERED, LONGEST_KEY = 250_000, 40
+_RUNS = re.compile("(?s) +|[^ ]+").findall
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -62,23 +69,69 @@ def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
         at += size
 
 
+class Normaliser:
+    """Arc table (state, is it a space) -> (written before the character, is the character written, next state).
+
+    States: 0, nothing written yet; 1, within the text; 2, white space pending. A space is written as
+    U+2581. What is pending at the end is dropped.
+    """
+
+    def __init__(self, prefix: bool, collapse: bool):
+        first = SPACE if prefix else ""
+        if collapse:
+            self.arcs = {(0, True): ("", False, 0), (0, False): (first, True, 1), (1, True): ("", False, 2), (1, False): ("", True, 1), (2, True): ("", False, 2), (2, False): (SPACE, True, 1)}
+        else:
+            self.arcs = {(0, True): (first, True, 1), (0, False): (first, True, 1), (1, True): ("", True, 1), (1, False): ("", True, 1)}
+
+    def compose(self, text: str, state: int) -> tuple[str, int]:
+        """What the machine writes for a text from a state, and the state it ends in.
+
+        Runs of characters on an arc that copies them and stays where it is are taken at once.
+        """
+        out, arcs = [], self.arcs
+        for run in _RUNS(text):
+            space = run[0] == " "
+            at = 0
+            while at < len(run):
+                before, kept, after = arcs[state, space]
+                many = len(run) - at if after == state and not before else 1
+                out.append(before)
+                if kept:
+                    out.append((SPACE if space else run[at]) * many if space or many == 1 else run[at:])
+                at, state = at + many, after
+        return "".join(out), state
+
+
+def piece_arcs(pieces: dict[str, int]) -> dict:
+    """The prefix tree as arc tables: a state maps a character to (next state, piece that ends there or -1)."""
+    root: dict = {}
+    for text, i in pieces.items():
+        state = root
+        for c in text[:-1]:
+            state = state.setdefault(c, ({}, -1))[0]
+        after = state.get(text[-1], ({}, -1))[0]
+        state[text[-1]] = (after, i)
+    return root
+
+
 class Transducer:
     """A compiled model; ``encode`` and ``decode`` work on one text."""
 
     def __init__(self, model: bytes):
-        self.prefix, self.collapse = True, False
-        self.rank: dict[str, float] = {}
+        self.prefix, collapse = True, False
+        self.score: dict[str, float] = {}
         self.id: dict[str, int] = {}
-        self.byte_id = [0] * 256
+        self.byte_id: dict[int, int] = {}
         self.out: list[bytes] = []
-        self.unknown = 0
-        number = 0
+        self.names: list[str] = []
+        self.unknown, kind_of_model = 0, UNIGRAM
         for field, value in _fields(model):
             if field == 1:
                 own = dict(_fields(value))
                 text, kind = own[1].decode(), own.get(3, NORMAL)
-                score = float(np.frombuffer(own.get(2, b"\0\0\0\0"), "<f4")[0])
+                number = len(self.out)
                 self.out.append(text.replace(SPACE, " ").encode())
+                self.names.append(text)
                 if kind == BYTE:
                     code = int(text[1:-1], 16)
                     self.byte_id[code], self.out[-1] = number, bytes([code])
@@ -86,26 +139,34 @@ class Transducer:
                     self.unknown, self.out[-1] = number, " ⁇ ".encode()
                 elif kind == CONTROL:
                     self.out[-1] = b""
+                elif kind == NORMAL:
+                    self.id[text], self.score[text] = number, float(np.frombuffer(own.get(2, b"\0\0\0\0"), "<f4")[0])
                 else:
-                    self.id[text], self.rank[text] = number, score
-                number += 1
+                    raise ValueError("pieces defined by the user are not supported")
+            elif field == 2:
+                kind_of_model = dict(_fields(value)).get(3, UNIGRAM)
             elif field == 3:
                 own = dict(_fields(value))
                 if own.get(2):
                     raise ValueError("models with a compiled character map are not supported")
-                self.prefix, self.collapse = bool(own.get(3, 1)), bool(own.get(4, 1))
-        self.names = [""] * number
-        for text, i in self.id.items():
-            self.names[i] = text
-        self.starts = {text[:n] for text in self.id for n in range(1, len(text) + 1)}
-        if any(SPACE in text.lstrip(SPACE) for text in self.id):
-            raise ValueError("a piece holds white space after another character")
-        loose = "".join(c for c in "\n\t\r" if not any(c in text and len(text) > 1 for text in self.id))
-        self.parts = re.compile(f"{SPACE}+[^{SPACE}{loose}]*|[{loose}]|[^{SPACE}{loose}]+" if loose else f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
+                self.prefix, collapse = bool(own.get(3, 1)), bool(own.get(4, 1))
+        if kind_of_model not in (UNIGRAM, BPE):
+            raise ValueError("only unigram and BPE models are supported")
+        self.merging = kind_of_model == BPE
         self.replayed: dict[str, list[tuple[float, str, str]] | None] = {}
-        self.follows: dict[int, bool] = {}
-        self.known: dict[str, bytes] = {}
-        self.whole = {text: i for text, i in self.id.items() if self.merges(text) is not None}
+        self.follows: dict[tuple[str, str], bool] = {}
+        self.normaliser = Normaliser(self.prefix, collapse)
+        self.pieces = piece_arcs({text: i for text, i in self.id.items() if not self.merging or self.merges(text) is not None})
+        self.longest = max(map(len, self.id), default=1)
+        self.lacking = -min(self.score.values(), default=0.0) + 10.0  # cost of a character without a piece
+        several = [text for text in self.id if len(text) > 1]
+        loose = "".join(c for c in "\n\t\r" if not any(c in text for text in several))
+        if any(SPACE in text.lstrip(SPACE) for text in several):
+            self.parts = re.compile("(?s).+")
+        else:  # parts begin at a run of white space, or are a character that stands alone
+            self.parts = re.compile(f"[ {SPACE}]+[^ {SPACE}{loose}]*|[{loose}]|[^ {SPACE}{loose}]+" if loose else f"[ {SPACE}]+[^ {SPACE}]*|[^ {SPACE}]+")
+        self.known: tuple[dict[str, tuple[bytes, int]], ...] = ({}, {}, {})
+        self.older: tuple[dict[str, tuple[bytes, int]], ...] = ({}, {}, {})
 
     def merges(self, piece: str) -> list[tuple[float, str, str]] | None:
         """The merges that build a piece: (rank, first and last symbol after it); None if they don't.
@@ -115,7 +176,7 @@ class Transducer:
         if piece not in self.replayed:
             symbols, steps = list(piece), [(0.0, piece[0], piece[-1])]
             while len(symbols) > 1:
-                ranks = [self.rank.get(a + b, -np.inf) for a, b in zip(symbols, symbols[1:], strict=False)]
+                ranks = [self.score.get(a + b, -np.inf) for a, b in zip(symbols, symbols[1:], strict=False)]
                 best = max(range(len(ranks)), key=ranks.__getitem__)  # the leftmost of equals
                 if ranks[best] == -np.inf:
                     break
@@ -124,16 +185,16 @@ class Transducer:
             self.replayed[piece] = steps if len(symbols) == 1 else None
         return self.replayed[piece]
 
-    def may_follow(self, a: int, b: int) -> bool:
-        """Arc weight of piece b after piece a: True for 0, False for infinity."""
-        if (good := self.follows.get(a << 20 | b)) is not None:
+    def may_follow(self, a: str, b: str) -> bool:
+        """Weight of piece (or single character) b after a in a BPE model: True for 0, False for infinity."""
+        if (good := self.follows.get((a, b))) is not None:
             return good
-        left, right = self.merges(self.names[a]), self.merges(self.names[b])
+        left, right = self.merges(a), self.merges(b)
         i, j, never = 1, 1, -np.inf
         last, first = left[0][2], right[0][1]
         good = True
         while True:
-            cross = self.rank.get(last + first, never)
+            cross = self.score.get(last + first, never)
             inside_a = left[i][0] if i < len(left) else never
             inside_b = right[j][0] if j < len(right) else never
             if cross > inside_a and cross >= inside_b:
@@ -147,73 +208,105 @@ class Transducer:
             else:
                 first = right[j][1]
                 j += 1
-        if len(self.follows) >= 1_000_000:
+        if len(self.follows) >= REMEMBERED:
             self.follows.clear()
-        self.follows[a << 20 | b] = good
+        self.follows[a, b] = good
         return good
 
-    def arcs(self, part: str, at: int) -> list[tuple[int, int]]:
-        """(end, piece id) of the lattice's arcs from a position, longest last; -1: bytes."""
-        out, whole, starts = [], self.whole, self.starts
-        for end in range(at + 1, len(part) + 1):
-            piece = part[at:end]
-            if (i := whole.get(piece)) is not None:
-                out.append((end, i))
-            elif piece not in starts:
-                break
-        return out if out and out[0][0] == at + 1 else [(at + 1, -1), *out]
-
-    def shortest_path(self, part: str) -> bytes:
-        """Ids (uint16) on the finite path through the lattice of one part.
+    def shortest_path(self, part: str) -> list[tuple[int, int]]:
+        """(end, piece id or -1 for bytes) along the tropical shortest path of a normalised part's lattice.
 
-        Every prefix has one segmentation of finite weight, so a position is a state, and as all
-        finite weights are 0, the first way through is the shortest: longer arcs are tried first,
-        and a position from which there is no way on is not entered again.
+        Of equal paths the first found stays. The queue of positions whose arcs are relaxed goes by
+        position, a topological order, in a unigram model. In a BPE model all finite paths weigh the
+        same, so any order gives a shortest path once the end is reached: the farthest comes first.
         """
-        size, at, last, dead = len(part), 0, -1, set()
-        path: list[tuple[int, int]] = []
-        options = [self.arcs(part, 0)]
-        while at < size:
-            open_arcs = options[-1]
-            while open_arcs:
-                end, piece = open_arcs.pop()
-                if end not in dead and (piece < 0 or last < 0 or self.may_follow(last, piece)):
-                    path.append((end, piece))
-                    at, last = end, piece
-                    options.append(self.arcs(part, at) if at < size else [])
+        back, via = (self._finite if self.merging else self._cheapest)(part)
+        path, at = [], len(part)
+        while at:
+            path.append((at, via[at]))
+            at = back[at]
+        return path[::-1]
+
+    def _cheapest(self, part: str) -> tuple[list[int], list[int]]:
+        size, never = len(part), float("inf")
+        cost, back, via = [0.0] + [never] * size, [-1] * (size + 1), [0] * (size + 1)
+        for at in range(size):
+            state, bare = self.pieces, True
+            for end in range(at, size):
+                state, piece = state.get(part[end], (None, -1))
+                if state is None:
                     break
-            else:
-                dead.add(at)
-                options.pop()
-                path.pop()
-                at, last = path[-1] if path else (0, -1)
+                if piece >= 0:
+                    bare &= end > at
+                    weight = cost[at] - self.score[self.names[piece]]
+                    if weight < cost[end + 1]:
+                        cost[end + 1], back[end + 1], via[end + 1] = weight, at, piece
+            if bare and cost[at] + self.lacking < cost[at + 1]:
+                cost[at + 1], back[at + 1], via[at + 1] = cost[at] + self.lacking, at, -1
+        return back, via
+
+    def _finite(self, part: str) -> tuple[list[int], list[int]]:
+        size, names, follows = len(part), self.names, self.follows
+        back, via, last = [-1] * (size + 1), [0] * (size + 1), [""] * (size + 1)  # last: the pair machine's state
+        queue = [0]
+        while back[size] < 0 and queue:
+            at = queue.pop()
+            state, before, end, bare = self.pieces, last[at], at, True
+            reached = len(queue)
+            for c in part[at : at + self.longest]:
+                arc = state.get(c)
+                if arc is None:
+                    break
+                state, piece = arc
+                end += 1
+                if piece < 0:
+                    continue
+                if end == at + 1:
+                    bare = False
+                if back[end] < 0:
+                    text = names[piece]
+                    good = follows.get((before, text)) if before else True
+                    if good or good is None and self.may_follow(before, text):
+                        back[end], via[end], last[end] = at, piece, text
+                        queue.append(end)
+            if bare and back[at + 1] < 0 and (not before or self.may_follow(before, part[at])):
+                back[at + 1], via[at + 1], last[at + 1] = at, -1, part[at]
+                queue.insert(reached, at + 1)  # nearer than what the pieces reached
+        return back, via
+
+    def solve(self, raw: str, state: int) -> tuple[bytes, int]:
+        """Ids (uint16) of a part from a normaliser state, and the state after it."""
+        part, state = self.normaliser.compose(raw, state)
         out: list[int] = []
         at = 0
-        for end, piece in path:
+        for end, piece in self.shortest_path(part):
             if piece >= 0:
                 out.append(piece)
-            else:
+            elif self.byte_id:
                 out += [self.byte_id[c] for c in part[at:end].encode("utf-8", "surrogatepass")]
+            else:
+                out.append(self.unknown)
             at = end
-        return np.array(out, np.uint16).tobytes()
-
-    def normalise(self, text: str) -> str:
-        if self.collapse:
-            text = re.sub(" +", " ", text).strip(" ")
-        return (" " + text if self.prefix and text else text).replace(" ", SPACE)
+        return np.array(out, np.uint16).tobytes(), state
 
     def encode(self, text: str) -> np.ndarray:
-        found, known = [], self.known
-        for part in self.parts.findall(self.normalise(text)):
-            ids = known.get(part)
-            if ids is None:
-                ids = self.shortest_path(part)
+        found, known, state = [], self.known, 0
+        for part in self.parts.findall(text):
+            got = known[state].get(part)
+            if got is None:
+                got = self.older[state].get(part) or self.solve(part, state)
                 if len(part) <= LONGEST_KEY:
-                    if len(known) >= REMEMBERED:
-                        known.clear()
-                    known[part] = ids
-            found.append(ids)
-        return np.frombuffer(b"".join(found), np.uint16)
+                    if len(known[state]) >= REMEMBERED:
+                        self.older[state].clear()
+                        self.older[state].update(known[state])
+                        known[state].clear()
+                    known[state][part] = got
+            found.append(got[0])
+            state = got[1]
+        ids = np.frombuffer(b"".join(found), np.uint16)
+        if not self.byte_id and len(ids):
+            ids = ids[np.concatenate([[True], (ids[1:] != self.unknown) | (ids[:-1] != self.unknown)])]  # once for a run
+        return ids
 
     def decode(self, ids: np.ndarray) -> str:
         """The inverse transducer: pieces to text, bytes joined, the dummy prefix taken off."""

@@ -1,3 +1,4 @@
+import struct
 import zlib
 
 import numpy as np
@@ -29,11 +30,83 @@ def test_long_parts(text):
     assert S.transducer().encode(text).tolist() == LIBRARY.encode(text)
 
 
+def message(*fields):
+    """Bytes of a protocol-buffer message from (number, value) pairs."""
+
+    def varint(n):
+        out = b""
+        while n > 127:
+            out, n = out + bytes([n & 127 | 128]), n >> 7
+        return out + bytes([n])
+
+    out = b""
+    for number, value in fields:
+        if isinstance(value, float):
+            out += varint(number << 3 | 5) + struct.pack("<f", value)
+        elif isinstance(value, int):
+            out += varint(number << 3) + varint(value)
+        else:
+            out += varint(number << 3 | 2) + varint(len(value)) + value
+    return out
+
+
+UNIGRAM = {"▁": -2.0, "▁a": -1.5, "a": -2.5, "b": -3.0, "ab": -3.25, "▁ab": -4.0, "ba": -3.0, "bab": -4.75, "é": -5.0, "aa": -4.5, "▁b": -2.75}
+
+
+def unigram_model(prefix=1, collapse=1, with_bytes=True, pieces=UNIGRAM):
+    """A small hand-made unigram model, as the library's file format has it."""
+    own = [(1, message((1, b"<unk>"), (2, 0.0), (3, 2))), (1, message((1, b"<s>"), (2, 0.0), (3, 3))), (1, message((1, b"</s>"), (2, 0.0), (3, 3)))]
+    own += [(1, message((1, f"<0x{i:02X}>".encode()), (2, 0.0), (3, 6))) for i in range(256) if with_bytes]
+    own += [(1, message((1, t.encode()), (2, v))) for t, v in pieces.items()]
+    return message(*own, (2, message((3, 1), (35, int(with_bytes)))), (3, message((1, b"identity"), (3, prefix), (4, collapse))))
+
+
+@pytest.mark.parametrize("options", [{}, {"collapse": 0}, {"prefix": 0}, {"prefix": 0, "collapse": 0}, {"with_bytes": False}])
+def test_unigram_models_and_normalisers_as_the_library(options):
+    model = unigram_model(**options)
+    library, machine = sentencepiece.SentencePieceProcessor(model_proto=model), S.Transducer(model)
+
+    @settings(max_examples=150, deadline=None)
+    @given(st.text(alphabet="ab  é日c\n", max_size=16))
+    def compare(text):
+        assert machine.encode(text).tolist() == library.encode(text), text
+
+    compare()
+
+
+def segmentations(text, machine):
+    """Every path of the lattice with its weight, by brute force."""
+    if not text:
+        yield 0.0, ()
+        return
+    for size in range(1, len(text) + 1):
+        head = text[:size]
+        if head in machine.score:
+            weight = -machine.score[head]
+        elif size == 1:
+            weight = machine.lacking
+        else:
+            continue
+        for rest, path in segmentations(text[size:], machine):
+            yield weight + rest, (head, *path)
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.text(alphabet="ab▁éx", min_size=1, max_size=9))
+def test_shortest_path_against_all_paths(text):
+    machine = S.Transducer(unigram_model())
+    path, at, weight = machine.shortest_path(text), 0, 0.0
+    for end, piece in path:
+        weight += -machine.score[text[at:end]] if piece >= 0 else machine.lacking
+        at = end
+    assert at == len(text) and weight == min(w for w, _ in segmentations(text, machine))
+
+
 def test_cache_limits(monkeypatch):
     machine = S.Transducer(open(public_tokenizers.path("piece_bpe_32k.model"), "rb").read())
     monkeypatch.setattr(S, "REMEMBERED", 2)
     assert machine.encode("one two three four one").tolist() == LIBRARY.encode("one two three four one")
-    assert len(machine.known) <= 2
+    assert all(len(k) <= 2 for k in machine.known) and len(machine.follows) <= 2
 
 
 def test_encode_odd_rows(docs_of, odd_rows):
