@@ -3,51 +3,67 @@
 *Sampling.* Every window of ``NEED`` bytes has an anchor: the ``GRAM``-byte string in it with the
 least hash, leftmost if tied. Equal windows have equal anchors at equal places, so windows can be
 compared anchor by anchor. Consecutive windows with one anchor occurrence are a unit, about one in
-39 bytes, carried as hashes only. Equal units are found by grouping, and all but the earliest are
-removed whole; most repeated text ends there.
+39 bytes. Equal units are one leaf: they are found by hash, and each but the earliest points to an
+earlier one that it repeats.
 
-*Suffix array.* Where an anchor occurs in different units, the bytes around the earliest of each
-are one bucket. The bucket's suffixes whose first ``NEED`` bytes recur are sorted, neighbours'
-common prefixes give an enhanced suffix array, and a stack scan yields the tree of common-prefix
-intervals. An interval whose members are preceded by different bytes cannot be extended to the
-left: it is a maximal repeat, output with all its occurrences. All but the earliest occurrence are
-removed.
+*Suffix array.* Where an anchor has several leaves, the bytes around each are one bucket. The bucket's
+suffixes whose first ``NEED`` bytes recur are sorted, neighbours' common prefixes give an enhanced
+suffix array, and a stack scan yields the tree of common-prefix intervals. An interval whose members
+are preceded by different bytes cannot be extended to the left: it is a maximal repeat, output with
+all its occurrences, each pointing to the earliest.
+
+*Proof.* What hashes say is not believed: stretches that point to the same earlier text are joined up,
+the earlier text's bytes are fetched, and a stretch is removed only if they are its own. Should they
+ever differ, two texts had one hash, and all is done again with other hashes.
 
 *Hot passages.* An anchor that stands in very many different units (found in a sample of
 documents, and again by exact counts) is not gathered: its windows become units of one window, to
 be grouped by their own content, which spreads over all tasks. Each task merges equal units before
 the shuffle, so a passage that a third of the documents hold is one row a task.
+
+Texts are fetched in chunks of bounded size, and grouped rows are read as a stream, so no task holds a
+whole partition or a long text's copies.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
+from itertools import count as counted
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import BooleanType, LongType, StringType, StructField, StructType
 
-from factweave.llm.common import Stages, bounds, groups_of, partitions, small_batches
+from factweave.llm.common import Stages, bound, bounds, groups_of, partitions, small_batches
 
 NEED, GRAM = 100, 24
 BUFFER = 1 << 20
 POSITION = np.uint64((1 << 24) - 1)
 MERGE_ROWS = 500_000
 SAMPLE_DOCS, HOT_UNITS, WIDE_UNITS = 40_000, 160, 2048
-_ROW = "key long, unit long, doc long, span long"
-_BASE = 0x9E3779B97F4A7C15 | 1
+CHUNK, PIECE, SHARE = 1 << 13, 1 << 11, 1 << 27  # bytes of a chunk, of a fetched piece, and, about, of a partition
+#: A place is (doc, twin, start). Rows of units; from_start is -1, or the row is a repeat of what is there (its length in unit).
+_ROW = "key long, unit long, doc long, twin long, span long, from_doc long, from_twin long, from_start long"
+REPEAT = "doc long, twin long, start long, length long, from_doc long, from_twin long, from_start long"
+_FOUND = f"kind int, key long, {REPEAT}"
+
+
+def _names(schema: str) -> list[str]:
+    return [f.split()[0] for f in schema.split(", ")]
 
 
 @cache
-def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _tables(seed: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Random values of bytes, and powers of the base and of its inverse (modulo 2**64)."""
     size = BUFFER + NEED + 2
-    values = np.random.default_rng(5).integers(1, 1 << 63, 256, np.uint64) | np.uint64(1)
-    base, inverse = np.uint64(_BASE), np.uint64(pow(_BASE, -1, 1 << 64))
+    rng = np.random.default_rng([5, seed])
+    values = rng.integers(1, 1 << 63, 256, np.uint64) | np.uint64(1)
+    odd = int(rng.integers(1, 1 << 63)) << 3 | 5
+    base, inverse = np.uint64(odd % (1 << 64)), np.uint64(pow(odd, -1, 1 << 64))
     powers = np.cumprod(np.concatenate([[np.uint64(1)], np.full(size, base, np.uint64)]), dtype=np.uint64)
     back = np.cumprod(np.concatenate([[np.uint64(1)], np.full(size, inverse, np.uint64)]), dtype=np.uint64)
     return values, powers, back
@@ -62,8 +78,8 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 class Hashed:
     """Hashes of any stretch of a buffer in constant time each."""
 
-    def __init__(self, buffer: np.ndarray):
-        values, powers, self.back = _tables()
+    def __init__(self, buffer: np.ndarray, seed: int = 0):
+        values, powers, self.back = _tables(seed)
         sums = np.cumsum(values[buffer] * powers[: len(buffer)], dtype=np.uint64)
         self.sums = np.concatenate([np.zeros(1, np.uint64), sums])
 
@@ -76,12 +92,12 @@ class Hashed:
         return _mixed((self.sums[size:] - self.sums[:-size]) * self.back[: len(self.sums) - size])
 
 
-def units(buffer: np.ndarray, ends: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, ...]:
+def units(buffer: np.ndarray, ends: np.ndarray, hot: np.ndarray, seed: int = 0) -> tuple[np.ndarray, ...]:
     """(key, unit hash, start, windows) of all units in texts laid end to end; hot anchors by window."""
     none = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     if len(buffer) < NEED:
         return none
-    hashed = Hashed(buffer)
+    hashed = Hashed(buffer, seed)
     grams = hashed.every(GRAM)
     least = (grams & ~POSITION) | np.arange(len(grams), dtype=np.uint64)
     width, reach = 1, NEED - GRAM + 1
@@ -115,66 +131,91 @@ def _within(counts: np.ndarray) -> np.ndarray:
     return np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
 
 
-def _buffers(docs: Iterator[tuple[int, bytes]]) -> Iterator[tuple[np.ndarray, np.ndarray, list[int], list[int]]]:
+def _buffers(docs: Iterator[tuple[tuple[int, int], bytes]]) -> Iterator[tuple[np.ndarray, np.ndarray, list[tuple[int, int]], list[int]]]:
     """Texts laid end to end up to BUFFER bytes; longer ones in parts that overlap by NEED - 1."""
     parts, ids, offsets, size = [], [], [], 0
-    for doc_id, text in docs:
+    for doc, text in docs:
         for at in range(0, max(1, len(text) - NEED + 1), BUFFER - NEED):
             part = text[at : at + BUFFER - 1]
             if size + len(part) > BUFFER:
                 yield np.frombuffer(b"".join(parts), np.uint8), np.cumsum([len(p) for p in parts]), ids, offsets
                 parts, ids, offsets, size = [], [], [], 0
             parts.append(part)
-            ids.append(doc_id)
+            ids.append(doc)
             offsets.append(at)
             size += len(part)
     if parts:
         yield np.frombuffer(b"".join(parts), np.uint8), np.cumsum([len(p) for p in parts]), ids, offsets
 
 
-def _distinct(*columns: np.ndarray) -> np.ndarray:
-    """Which of sorted rows differ from the one before: a repeated row of the table is no later place."""
-    out = np.zeros(len(columns[0]), bool)
-    out[bounds(*columns)[:-1]] = True
-    return out
-
-
-def _merged(rows: list[np.ndarray]) -> pa.RecordBatch:
-    """Units of a task, equal ones but the earliest as removals (negative span, spread keys)."""
-    key, unit, doc, span = (np.concatenate(c) for c in zip(*rows, strict=True))
-    order = np.lexsort((span, doc, unit, key))
-    order = order[_distinct(key[order], unit[order], doc[order], span[order])]
-    key, unit, doc, span = key[order], unit[order], doc[order], span[order]
-    again = np.concatenate([[False], (key[1:] == key[:-1]) & (unit[1:] == unit[:-1])])
-    key = np.where(again, _mixed(doc.view(np.uint64) + span.view(np.uint64)), key)
-    return _batch(key.view(np.int64), unit.view(np.int64), doc, np.where(again, -span, span))
-
-
-def _batch(*columns: np.ndarray, names: tuple[str, ...] = ("key", "unit", "doc", "span")) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=list(names))
-
-
-def _bytes_of(b: pa.RecordBatch) -> Iterator[tuple[int, bytes]]:
+def _joined(doc: np.ndarray, twin: np.ndarray, start: np.ndarray, length: np.ndarray, *source: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Repeats (as REPEAT) that touch and point to one stretch of earlier text, joined up."""
+    shift = source[2] - start
+    order = np.lexsort((start, shift, source[1], source[0], twin, doc))
+    same = [c[order] for c in (doc, twin, source[0], source[1], shift)]
+    low, high = start[order], (start + length)[order]
+    fresh = np.ones(len(low), bool)
+    fresh[1:] = low[1:] > high[:-1]
+    for c in same:
+        fresh[1:] |= c[1:] != c[:-1]
+    first = np.flatnonzero(fresh)
+    if not len(first):
+        return tuple(np.zeros(0, np.int64) for _ in range(7))
+    high = np.maximum.reduceat(high, first)
+    low, (doc, twin, from_doc, from_twin, shift) = low[first], [c[first] for c in same]
+    return doc, twin, low, high - low, from_doc, from_twin, low + shift
+
+
+def _batch(names: list[str], *columns: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
+
+
+def _leaves(key: np.ndarray, unit: np.ndarray, places: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """For sorted units: which begin a leaf, and where each one's leaf begins."""
+    fresh = np.ones(len(key), bool)
+    fresh[1:] = (key[1:] != key[:-1]) | (unit[1:] != unit[:-1])
+    return fresh, np.maximum.accumulate(np.where(fresh, np.arange(len(key)), 0))
+
+
+def _merged(rows: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+    """Units (key, unit, doc, twin, span) of a task; those that repeat an earlier one of it as repeats, with spread keys."""
+    key, unit, doc, twin, span = (np.concatenate(c) for c in zip(*rows, strict=True))
+    order = np.lexsort((span, twin, doc, unit, key))
+    key, unit, doc, twin, span = (c[order] for c in (key, unit, doc, twin, span))
+    fresh, first = _leaves(key, unit, (doc, twin, span))
+    low, length = span >> 7, (span & 127) - 1 + NEED
+    again = ~fresh & ~((doc == doc[first]) & (twin == twin[first]) & (low == low[first]))  # not for a row that is in the table twice
+    source = first[again]
+    out = _joined(doc[again], twin[again], low[again], length[again], doc[source], twin[source], low[source])
+    spread = _mixed(out[0].view(np.uint64) + out[2].view(np.uint64))
+    n, none = int(fresh.sum()), np.zeros(int(fresh.sum()), np.int64)
+    own = (key[fresh].view(np.int64), unit[fresh].view(np.int64), doc[fresh], twin[fresh], span[fresh], none, none, np.full(n, -1))
+    more = (spread.view(np.int64), out[3], out[0], out[1], out[2], *out[4:])
+    return _batch(_names(_ROW), *(np.concatenate(c) for c in zip(own, more, strict=True)))
+
+
+def _bytes_of(b: pa.RecordBatch) -> Iterator[tuple[tuple[int, int], bytes]]:
     texts = b.column("text").cast(pa.binary())
-    for doc_id, text in zip(b.column("doc").to_pylist(), texts, strict=True):
-        yield doc_id, text.as_py() or b""
+    for doc, twin, text in zip(b.column("doc").to_pylist(), b.column("twin").to_pylist(), texts, strict=True):
+        yield (doc, twin), text.as_py() or b""
 
 
-def _unit_rows(docs: DataFrame, hot: np.ndarray, merge: bool = True) -> DataFrame:
-    """Units of all texts as (key, unit, doc, span); span: start * 128 + windows, below 0 if removed."""
+def _unit_rows(docs: DataFrame, hot: np.ndarray, seed: int) -> DataFrame:
+    """Units of all texts as _ROW; span: start * 128 + windows."""
     shared = docs.sparkSession.sparkContext.broadcast(hot)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for b in batches:
             for buffer, ends, ids, offsets in _buffers(_bytes_of(b)):
-                key, unit, low, count = units(buffer, ends, shared.value)
+                key, unit, low, count = units(buffer, ends, shared.value, seed)
                 if not len(key):
                     continue
                 which = np.searchsorted(ends, low, "right")
                 begin = np.concatenate([[0], ends[:-1]])
                 start = low - begin[which] + np.array(offsets, np.int64)[which]
-                held.append((key, unit, np.array(ids, np.int64)[which], start * 128 + count))
+                doc, twin = np.array(ids, np.int64).T
+                held.append((key, unit, doc[which], twin[which], start * 128 + count))
                 size += len(key)
                 if size >= MERGE_ROWS:
                     yield _merged(held)
@@ -182,36 +223,45 @@ def _unit_rows(docs: DataFrame, hot: np.ndarray, merge: bool = True) -> DataFram
         if held:
             yield _merged(held)
 
-    rows = docs.mapInArrow(run, _ROW)
-    return rows if merge else rows.where("span > 0")
+    return docs.mapInArrow(run, _ROW)
 
 
 def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A partition's units by anchor: kind 1 rows are removals, kind 2 members of a bucket."""
-    held = [b for b in batches if b.num_rows]
-    if not held:
-        return
-    table = pa.Table.from_batches(held)
-    del held
-    key, unit, doc, span = (table.column(c).to_numpy() for c in ("key", "unit", "doc", "span"))
-    done = span < 0
-    names = ("kind", "key", "doc", "span")
-    if done.any():
-        yield _batch(np.ones(done.sum(), np.int32), key[done], doc[done], -span[done], names=names)
-    order = np.flatnonzero(~done)
-    order = order[np.lexsort((span[order], doc[order], unit[order], key[order]))]
-    order = order[_distinct(key[order], unit[order], doc[order], span[order])]
-    key, unit, doc, span = key[order], unit[order], doc[order], span[order]
-    if not len(key):
-        return
-    fresh = np.concatenate([[True], (key[1:] != key[:-1]) | (unit[1:] != unit[:-1])])
-    if not fresh.all():
-        yield _batch(np.ones((~fresh).sum(), np.int32), key[~fresh], doc[~fresh], span[~fresh], names=names)
-    key, doc, span = key[fresh], doc[fresh], span[fresh]
-    edge = bounds(key)
-    several = np.repeat(np.diff(edge) > 1, np.diff(edge))
-    if several.any():
-        yield _batch(np.full(several.sum(), 2, np.int32), key[several], doc[several], span[several], names=names)
+    """Sorted rows (_ROW) as _FOUND: kind 1 rows are repeats; kind 2, leaves of anchors that have several (length: windows)."""
+    names = _names(_FOUND)
+    last = None  # key, unit and place of the leaf that the last row belongs to
+    alone = None  # the row of a key's only leaf so far
+    for b in batches:
+        key, unit, doc, twin, span, *source = (b.column(c).to_numpy() for c in _names(_ROW))
+        done = source[2] >= 0
+        if done.any():
+            told = (doc[done], twin[done], span[done], unit[done], *(c[done] for c in source))
+            yield _batch(names, np.ones(len(told[0]), np.int32), key[done], *told)
+        key, unit, doc, twin, span = (c[~done] for c in (key, unit, doc, twin, span))
+        if not len(key):
+            continue
+        if last is not None:  # the leaf that goes on is put in front
+            key, unit, doc, twin, span = (np.concatenate([[x], c]) for x, c in zip(last, (key, unit, doc, twin, span), strict=True))
+        fresh, first = _leaves(key, unit, (doc, twin, span))
+        low = span >> 7
+        again = ~fresh & ~((doc == doc[first]) & (twin == twin[first]) & (low == low[first]))
+        if again.any():
+            at = first[again]
+            yield _batch(names, np.ones(len(at), np.int32), key[again], doc[again], twin[again], low[again], (span[again] & 127) - 1 + NEED, doc[at], twin[at], low[at])
+        leaf = np.flatnonzero(fresh)
+        opens = np.ones(len(leaf), bool)
+        opens[1:] = key[leaf][1:] != key[leaf][:-1]
+        several = ~opens
+        several[:-1] |= ~opens[1:]
+        if last is not None and alone is None:
+            several[0] = False  # put out before
+        alone = True if opens[-1] and (len(leaf) > 1 or last is None or alone) else None
+        out = leaf[several]
+        if len(out):
+            none = np.zeros(len(out), np.int64)
+            yield _batch(names, np.full(len(out), 2, np.int32), key[out], doc[out], twin[out], low[out], span[out] & 127, none, none, none)
+        end = leaf[-1]
+        last = (key[end], unit[end], doc[end], twin[end], span[end])
 
 
 def suffix_array(suffixes: list[bytes]) -> tuple[list[int], list[int]]:
@@ -256,15 +306,14 @@ def maximal_repeats(suffixes: list[bytes], before: list[int], least: int = NEED)
 
 
 def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Removed stretches (doc, start, length) of buckets of (key, doc, span, bytes)."""
+    """Repeats (as REPEAT) of buckets of (key, doc, twin, span, bytes)."""
     for table in groups_of(batches, ["key"]):
         edge = bounds(table.column("key").to_numpy())
-        doc, span = table.column("doc").to_numpy(), table.column("span").to_numpy()
-        low, count = span >> 7, span & 127
         for first, last in _slices(edge):
-            out = _search_some(edge[first : last + 1], doc, low, count, table.column("bytes").slice(int(edge[first]), int(edge[last] - edge[first])))
+            part = table.slice(int(edge[first]), int(edge[last] - edge[first]))
+            out = _search_some(edge[first : last + 1] - edge[first], part)
             if len(out[0]):
-                yield _batch(*out, names=("doc", "start", "length"))
+                yield _batch(_names(REPEAT), *out)
 
 
 def _slices(edge: np.ndarray, limit: int = 3500) -> Iterator[tuple[int, int]]:
@@ -276,105 +325,134 @@ def _slices(edge: np.ndarray, limit: int = 3500) -> Iterator[tuple[int, int]]:
             first = last
 
 
-def _search_some(edge: np.ndarray, doc: np.ndarray, low: np.ndarray, count: np.ndarray, column: pa.ChunkedArray) -> tuple[np.ndarray, ...]:
-    base = int(edge[0])
-    pieces = column.to_pylist()
-    doc, low, count = doc[base : edge[-1]], low[base : edge[-1]], count[base : edge[-1]]
+def _search_some(edge: np.ndarray, part: pa.Table) -> tuple[np.ndarray, ...]:
+    pieces = part.column("bytes").to_pylist()
+    doc, twin, span = (part.column(c).to_numpy() for c in ("doc", "twin", "span"))
+    low, count = span >> 7, span & 127
     sizes = np.array([len(p) for p in pieces])
     bucket = np.repeat(np.arange(len(edge) - 1), np.diff(edge))
     begin = np.cumsum(sizes) - sizes
     hashed = Hashed(np.frombuffer(b"".join(pieces), np.uint8))
     row = np.repeat(np.arange(len(pieces)), count)
     offset = _within(count)
-    window = hashed.of(begin[row] + offset, begin[row] + offset + NEED) + bucket[row].astype(np.uint64) * np.uint64(_BASE)
+    window = hashed.of(begin[row] + offset, begin[row] + offset + NEED) + _mixed(bucket[row].astype(np.uint64))
     order = np.argsort(window, kind="stable")
     same = window[order][1:] == window[order][:-1]
     often = np.zeros(len(window), bool)
     often[order[1:][same]] = True
     often[order[:-1][same]] = True
     row, offset = row[often], offset[often]
-    removed: list[tuple[int, int, int]] = []
+    out: list[tuple[int, ...]] = []
     groups = bounds(bucket[row]) if len(row) else [0]
     for a, b in zip(groups[:-1], groups[1:], strict=True):
         members = list(zip(row[a:b].tolist(), offset[a:b].tolist(), strict=True))
         suffixes = [pieces[r][o:] for r, o in members]
         before = [pieces[r][o - 1] if o else -1 for r, o in members]
         for length, who in maximal_repeats(suffixes, before):
-            places = sorted((int(doc[members[i][0]]), int(low[members[i][0]]) + members[i][1]) for i in who)
-            removed += [(d, p, length) for d, p in places[1:] if (d, p) != places[0]]
-    return tuple(np.array(removed, np.int64).reshape(-1, 3).T)
+            places = sorted({(int(doc[members[i][0]]), int(twin[members[i][0]]), int(low[members[i][0]]) + members[i][1]) for i in who})
+            out += [(*place, length, *places[0]) for place in places[1:]]
+    return tuple(np.array(out, np.int64).reshape(-1, 7).T)
+
 
+def _chunks(docs: DataFrame) -> DataFrame:
+    """(doc, twin, chunk, part): texts in parts of CHUNK bytes, each with the PIECE bytes after it."""
 
-def _contexts(joined: DataFrame) -> DataFrame:
-    """Bytes of bucket members from rows (doc, text, parts of (key, span))."""
+    def parts(whole: Column) -> Column:
+        last = F.greatest(F.floor((F.length(whole) - 1) / CHUNK), F.lit(0)).cast("int")
+        return F.transform(F.sequence(F.lit(0), last), lambda i: F.substring(whole, i * CHUNK + 1, CHUNK + PIECE))
+
+    return docs.select("doc", "twin", F.posexplode(bound(F.col("text").cast("binary"), parts)).alias("chunk", "part"))
+
+
+def _contexts(docs: DataFrame, members: DataFrame) -> DataFrame:
+    """(key, doc, twin, span, bytes) of leaves (key, doc, twin, start, windows)."""
+    told = members.withColumn("chunk", F.floor(F.col("start") / CHUNK).cast("int"))
+    listed = told.groupBy("doc", "twin", "chunk").agg(F.collect_list(F.struct("key", "start", "windows")).alias("wanted"))
+
+    def cut(part: Column) -> Column:
+        def one(w: Column) -> Column:
+            own = F.substring(part, (w["start"] - F.col("chunk") * CHUNK + 1).cast("int"), (w["windows"] - 1 + NEED).cast("int"))
+            return F.struct(w["key"].alias("key"), (w["start"] * 128 + w["windows"]).alias("span"), own.alias("bytes"))
+
+        return F.transform("wanted", one)
+
+    found = _chunks(docs).join(listed, ["doc", "twin", "chunk"]).select("doc", "twin", F.explode(bound(F.col("part"), cut)).alias("x"))
+    return found.select("x.key", "doc", "twin", "x.span", "x.bytes")
+
+
+def _window_rows(contexts: DataFrame, seed: int) -> DataFrame:
+    """Leaves as units of one window each (_ROW)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for b in batches:
-            if not b.num_rows:
-                continue
-            parts = b.column("parts")
-            flat, sizes = parts.flatten(), np.diff(parts.offsets.to_numpy())
-            key, span = flat.field("key").to_numpy(zero_copy_only=False), flat.field("span").to_numpy(zero_copy_only=False)
-            doc = np.repeat(b.column("doc").to_numpy(zero_copy_only=False), sizes)
-            at, out = 0, []
-            for (_, text), n in zip(_bytes_of(b), sizes.tolist(), strict=True):
-                for s in span[at : at + n].tolist():
-                    out.append(text[s >> 7 : (s >> 7) + (s & 127) - 1 + NEED])
-                at += n
-            for i in range(0, len(out), 50_000):
-                cut = slice(i, i + 50_000)
-                yield pa.RecordBatch.from_arrays([pa.array(key[cut]), pa.array(doc[cut]), pa.array(span[cut]), pa.array(out[cut], pa.binary())], names=["key", "doc", "span", "bytes"])
-
-    return joined.mapInArrow(run, "key long, doc long, span long, bytes binary")
-
-
-def repeated_spans(docs: DataFrame, stages: Stages) -> DataFrame:
-    """(doc, start, length): stretches of the texts (doc, text) to remove; they may overlap."""
-    spark, n = docs.sparkSession, partitions(docs.sparkSession)
+            columns = (b.column(c).to_pylist() for c in ("doc", "twin", "span", "bytes"))
+            for doc, twin, span, own in zip(*columns, strict=True):
+                low, count = span >> 7, span & 127
+                at = np.arange(count)
+                window = Hashed(np.frombuffer(own, np.uint8), seed).of(at, at + NEED)
+                held.append((window, _mixed(window + np.uint64(1)), np.full(count, doc), np.full(count, twin), (low + at) * 128 + 1))
+                size += count
+                if size >= MERGE_ROWS:
+                    yield _merged(held)
+                    held, size = [], 0
+        if held:
+            yield _merged(held)
+
+    return contexts.mapInArrow(run, _ROW)
+
+
+def _found(rows: DataFrame, n: int) -> DataFrame:
+    order = _names(_ROW)[:5]
+    return rows.repartition(n, "key").sortWithinPartitions(*order).mapInArrow(_grouped, _FOUND)
+
+
+def _joined_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        if b.num_rows:
+            yield _batch(_names(REPEAT), *_joined(*(b.column(c).to_numpy() for c in _names(REPEAT))))
+
+
+def repeats(docs: DataFrame, stages: Stages, n: int, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+    """Later occurrences (as REPEAT) with the earlier one each repeats: those found by hash, and those of the suffix arrays.
+
+    docs: (doc, twin, text). All occurrences of a maximal repeat point to its earliest, or to one that
+    does; they may overlap.
+    """
+    spark = docs.sparkSession
     small_batches(spark)
     total = docs.count()
     every = max(1, total // SAMPLE_DOCS)
     sampled = docs.where(F.pmod(F.xxhash64("doc"), F.lit(every)) == 0)
-    different = _unit_rows(sampled, np.zeros(0, np.uint64), merge=False).select("key", "unit").distinct()
+    different = _unit_rows(sampled, np.zeros(0, np.uint64), seed).where("from_start < 0").select("key", "unit").distinct()
     busy = different.groupBy("key").count().where(f"count >= {HOT_UNITS}").select("key").collect()
     hot = np.sort(np.array([r["key"] for r in busy], np.int64).view(np.uint64))
-    rows = _unit_rows(docs, hot).repartition(n, "key")
-    found = stages.put(rows.mapInArrow(_grouped, "kind int, key long, doc long, span long"), "found")
-    del rows
+    found = stages.put(_found(_unit_rows(docs, hot, seed), n), f"found{seed}")
     stages.release()
-    removed = found.where("kind = 1").select("doc", F.shiftright("span", 7).alias("start"), (F.col("span").bitwiseAND(127) - 1 + NEED).alias("length"))
-    members = found.where("kind = 2").select("key", "doc", "span")
-    wide = members.groupBy("key").count().where(f"count > {WIDE_UNITS}").select("key", F.lit(True).alias("wide"))
-    listed = members.join(wide, "key", "left").groupBy("doc", F.coalesce("wide", F.lit(False)).alias("wide"))
-    parts = listed.agg(F.collect_list(F.struct("key", "span")).alias("parts"))
-    joined = docs.join(parts, "doc")
-    narrow = _contexts(joined.where("not wide").select("doc", "text", "parts"))
-    tree = stages.put(narrow.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_search, "doc long, start long, length long"), "tree")
-    removed = removed.unionByName(tree)
+    hashed = found.where("kind = 1").select(*_names(REPEAT))
+    members = found.where("kind = 2").select("key", "doc", "twin", "start", F.col("length").alias("windows"))
+    wide = stages.put(members.groupBy("key").count().where(f"count > {WIDE_UNITS}").select("key"), f"wide{seed}")
+    narrow = _contexts(docs, members.join(wide, "key", "left_anti"))
+    tree = stages.put(narrow.repartition(n, "key").sortWithinPartitions("key", "doc", "twin", "span").mapInArrow(_search, REPEAT), f"tree{seed}")
     if wide.limit(1).count():
-        removed = removed.unionByName(stages.put(_wide_removals(joined.where("wide").select("doc", "text", "parts"), n), "wide"))
+        windows = _window_rows(_contexts(docs, members.join(wide, "key")), seed)
+        hashed = hashed.unionByName(stages.put(_found(windows, n).where("kind = 1").select(*_names(REPEAT)), f"windows{seed}"))
     stages.release()
-    return removed
-
-
-def _wide_removals(joined: DataFrame, n: int) -> DataFrame:
-    """Removals of anchors with very many different units: window by window."""
+    return hashed, tree
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            held = []
-            for (doc, text), parts in zip(_bytes_of(b), b.column("parts").to_pylist(), strict=True):
-                for s in (p["span"] for p in parts):
-                    low, count = s >> 7, s & 127
-                    hashed = Hashed(np.frombuffer(text[low : low + count - 1 + NEED], np.uint8))
-                    at = np.arange(count)
-                    own = hashed.of(at, at + NEED)
-                    held.append((own, _mixed(own + np.uint64(1)), np.full(count, doc), (low + at) * 128 + 1))
-            if held:
-                yield _merged(held)
 
-    single = joined.mapInArrow(run, _ROW).repartition(n, "key").mapInArrow(_grouped, "kind int, key long, doc long, span long")
-    return single.where("kind = 1").select("doc", F.shiftright("span", 7).alias("start"), F.lit(NEED).cast("long").alias("length"))
+def evidence(docs: DataFrame, hashed: DataFrame, n: int) -> DataFrame:
+    """(doc, twin, start, length, earlier): repeats found by hash, in pieces, with the bytes that stand at the earlier place."""
+    keys = ["doc", "twin", "from_doc", "from_twin"]
+    near = hashed.repartition(n, *keys).sortWithinPartitions(*keys, F.col("from_start") - F.col("start"), "start").mapInArrow(_joined_up, REPEAT)
+    pieces = near.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("length") - 1) / PIECE)))).select(
+        "doc", "twin", (F.col("start") + F.col("piece") * PIECE).alias("start"), F.least(F.lit(PIECE), F.col("length") - F.col("piece") * PIECE).alias("length"),
+        "from_doc", "from_twin", (F.col("from_start") + F.col("piece") * PIECE).alias("from_start"),
+    )
+    asked = pieces.withColumn("chunk", F.floor(F.col("from_start") / CHUNK).cast("int"))
+    parts = _chunks(docs).withColumnsRenamed({"doc": "from_doc", "twin": "from_twin"})
+    own = F.substring("part", (F.col("from_start") - F.col("chunk") * CHUNK + 1).cast("int"), F.col("length").cast("int"))
+    return asked.join(parts, ["from_doc", "from_twin", "chunk"]).select("doc", "twin", "start", "length", own.alias("earlier"))
 
 
 def covered(size: int, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -385,37 +463,63 @@ def covered(size: int, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.cumsum(change[:-1]) > 0
 
 
-def dedupe(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """docs with ``__cuts``: an array of (start, length) in bytes of what repeats earlier text.
+def _identified(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
+    """(doc, twin, text, row): twin is 0, or tells rows of one id with different texts apart; row: the other columns."""
+    rest = [F.col(f"`{c}`") for c in docs.columns if c != text]
+    own = docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text"), F.struct(*rest, F.lit(True).alias("there")).alias("row"))
+    shared = own.where("doc is not null").groupBy("doc").agg(F.count("*").alias("n")).where("n > 1").select("doc", F.lit(True).alias("several"))
+    if not shared.limit(1).count():
+        return own.withColumn("twin", F.lit(0).cast("long"))
+    return own.join(shared, "doc", "left").withColumn("twin", F.when(F.col("several"), F.xxhash64("text")).otherwise(0).cast("long")).drop("several")
 
-    Null texts are empty. Rows with a null doc_id have no place in the order: they are left whole
-    and make nothing else a repeat. Rows repeated under one doc_id are one document and get the
-    same stretches, which may overlap and come in any order.
-    """
-    stages = Stages(docs.sparkSession)
-    base = docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text")).where("doc is not null and text is not null")
-    removed = repeated_spans(base, stages)
-    pieces = removed.groupBy("doc").agg(F.collect_list(F.struct("start", "length")).alias("__cuts"))
-    pieces = pieces.withColumnRenamed("doc", "__doc")
-    return docs.drop("__cuts", "__doc").join(pieces, F.col(doc_id).cast("long") == F.col("__doc"), "left").drop("__doc")
 
+def dedupe(docs: DataFrame, out: StructType, make: Callable, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """Rows of docs through ``make(batch, list of (bytes, removed mask or None))``, written to the shared folder.
 
-def _apply(keyed: DataFrame, text: str, out: StructType, make) -> DataFrame:
-    """Rows of dedupe() through ``make(batch, list of (bytes, removed mask))``."""
-
+    A batch has doc, text and row (the other columns). Removed is what repeats earlier text. Null
+    texts are empty. Rows with a null doc_id have no place in the order: they are left whole and
+    make nothing else a repeat. Rows with one doc_id and one text are one document and lose the same
+    bytes; rows with one doc_id and different texts are documents of their own, in the order of a
+    hash of the text.
+    """
+    spark = docs.sparkSession
+    stages = Stages(spark)
+    every = _identified(docs, text, doc_id)
+    base = every.where("doc is not null and text is not null").select("doc", "twin", "text")
+    size = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = max(partitions(spark), -(-size // SHARE))
+    schema = StructType([*out.fields, StructField("__differ", LongType())])
+    for seed in counted():
+        hashed, tree = repeats(base, stages, n, seed)
+        proof = stages.put(evidence(base, hashed, n), f"proof{seed}")
+        sure = tree.select("doc", "twin", "start", "length", F.lit(None).cast("binary").alias("earlier"))
+        cuts = proof.unionByName(sure).groupBy("doc", "twin").agg(F.collect_list(F.struct("start", "length", "earlier")).alias("cuts"))
+        done = stages.put(_applied(every.join(cuts, ["doc", "twin"], "left"), schema, make), f"done{seed}")
+        for name in ("found", "wide", "tree", "windows", "proof"):
+            stages.drop(f"{name}{seed}")
+        if not done.agg(F.sum("__differ")).first()[0]:
+            return done.drop("__differ")
+        stages.drop(f"done{seed}")
+
+
+def _applied(keyed: DataFrame, out: StructType, make: Callable) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
-            cuts, done = b.column("__cuts"), []
-            for i, raw in enumerate(b.column(text).cast(pa.binary()).to_pylist()):
-                raw = raw or b""
+            cuts, done, differ = b.column("cuts"), [], []
+            for i, raw in enumerate(b.column("text").cast(pa.binary()).to_pylist()):
+                raw, wrong, mask = raw or b"", 0, None
                 own = cuts[i].values
-                if own is None or not len(own):
-                    done.append((raw, None))
-                else:
-                    done.append((raw, covered(len(raw), own.field("start").to_numpy(), own.field("length").to_numpy())))
-            yield make(b, done)
+                if own is not None and len(own):
+                    starts, lengths = own.field("start").to_numpy(), own.field("length").to_numpy()
+                    for start, length, earlier in zip(starts.tolist(), lengths.tolist(), own.field("earlier").to_pylist(), strict=True):
+                        wrong += earlier is not None and raw[start : start + length] != earlier
+                    mask = covered(len(raw), starts, lengths)
+                done.append((raw, mask))
+                differ.append(wrong)
+            made = make(b, done)
+            yield pa.RecordBatch.from_arrays([*made.columns, pa.array(differ, pa.int64())], names=[*made.schema.names, "__differ"])
 
     return keyed.mapInArrow(run, out)
 
@@ -424,7 +528,7 @@ def kept_bytes(raw: bytes, gone: np.ndarray | None) -> bytes:
     return raw if gone is None else np.frombuffer(raw, np.uint8)[~gone].tobytes()
 
 
-_DIGEST = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+_DIGEST = StructType([StructField(n, LongType()) for n in ("doc_id", "n_bytes", "n_removed", "n_spans")] + [StructField("kept_sha256", StringType())])
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -434,18 +538,19 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         runs = [0 if g is None else int(g[0]) + int((g[1:] & ~g[:-1]).sum()) if len(g) else 0 for _, g in done]
         gone = [0 if g is None else int(g.sum()) for _, g in done]
         sha = [hashlib.sha256(kept_bytes(*x)).hexdigest() for x in done]
-        columns = [b.column("doc_id"), pa.array([len(x[0]) for x in done], pa.int64()), pa.array(gone, pa.int64()), pa.array(runs, pa.int64()), pa.array(sha)]
-        return pa.RecordBatch.from_arrays(columns, names=[f.split()[0] for f in _DIGEST.split(", ")])
+        columns = [b.column("doc"), pa.array([len(x[0]) for x in done], pa.int64()), pa.array(gone, pa.int64()), pa.array(runs, pa.int64()), pa.array(sha)]
+        return pa.RecordBatch.from_arrays(columns, names=_DIGEST.names)
 
-    return _apply(dedupe(docs), "text", _DIGEST, digest)
+    return dedupe(docs, _DIGEST, digest)
 
 
 def stage_suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document stays; repeated passages go from its text, cut ends to whole characters.
+    """Every document stays, with all its columns; repeated passages go from its text, cut ends to whole characters.
 
     A character that is only partly covered by a repeat is kept.
     """
     names = docs.columns
+    sized = "n_chars" in names
 
     def cleaned(b: pa.RecordBatch, done: list) -> pa.RecordBatch:
         texts = []
@@ -456,12 +561,20 @@ def stage_suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
                 whole = np.bincount(char, ~gone) == 0
                 raw = kept_bytes(raw, whole[char])
             texts.append(raw.decode("utf-8", "replace"))
-        null = b.column("text").is_null()
-        new = pa.array([None if n else t for n, t in zip(null.to_pylist(), texts, strict=True)], pa.string())
-        columns = {n: b.column(n) for n in names} | {"text": new}
-        if "n_chars" in names:
-            size = pa.array([None if t is None else len(t) for t in new.to_pylist()], pa.int64())
-            columns["n_chars"] = size.cast(b.column("n_chars").type)
-        return pa.RecordBatch.from_arrays([columns[n] for n in names], names=names)
-
-    return _apply(dedupe(docs), "text", StructType([docs.schema[n] for n in names]), cleaned)
+        null = b.column("text").is_null().to_pylist()
+        new = [None if n else t for n, t in zip(null, texts, strict=True)]
+        size = pa.array([None if t is None else len(t) for t in new], pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(new, pa.string()), size, b.column("row")], names=["text", "size", "row"])
+
+    rest = StructType([*[docs.schema[n] for n in names if n != "text"], StructField("there", BooleanType())])
+    out = StructType([docs.schema["text"], StructField("size", LongType()), StructField("row", rest)])
+    done = dedupe(docs, out, cleaned)
+
+    def column(n: str) -> Column:
+        if n == "text":
+            return F.col("text")
+        if n == "n_chars" and sized:
+            return F.col("size").cast(docs.schema[n].dataType).alias(n)
+        return F.col("row")[n].alias(n)
+
+    return done.select(*[column(n) for n in names])

@@ -81,7 +81,7 @@ def test_simhash_odd_rows(docs_of, odd_rows, spark):
     assert component[1] == component[2] == component[3] == 1 and component[6] == component[5] == 5 and component[None] is None
     assert H.near_duplicates(docs_of([])).count() == 0
     kept = H.stage_simhash(spark, docs_of([r for r in odd_rows if r[0]][:-1]), "")
-    assert {r.doc_id for r in kept.collect()} == {1, 4, 5, 7, 8}
+    assert {r.doc_id for r in kept.collect()} == {-3, 1, 4, 5, 7, 8} and kept.columns == docs_of([]).columns
 
 
 def brute(docs, need=100):
@@ -129,7 +129,7 @@ def test_suffix_dedup_against_brute_force(spark, folder, docs_of, monkeypatch, h
     if buffer < 1 << 20:
         keep = D._tables()
         monkeypatch.setattr(D, "BUFFER", buffer)
-        parts = list(D._buffers(iter([(1, b"a" * 5000), (2, b"b")])))
+        parts = list(D._buffers(iter([((1, 0), b"a" * 5000), ((2, 0), b"b")])))
         monkeypatch.undo()
         assert {o for _, _, _, offsets in parts for o in offsets} >= {0, 900} and keep is D._tables()
 
@@ -150,13 +150,64 @@ def test_intervals_are_nested_and_whole():
 def test_suffix_odd_rows(spark, folder, docs_of, odd_rows):
     long = "".join(chr(0x100 + i) for i in range(110))
     rows = [*odd_rows, (9, long), (10, long), (11, long[:-1])]
+    table = docs_of(rows).collect()
     got = {r.doc_id: (r.n_bytes, r.n_removed) for r in D.op8_suffix_dedup(spark, folder(documents=docs_of(rows))).collect()}
     assert got[1] == got[2] == (0, 0) and got[9] == (220, 0) and got[10] == (220, 220) and got[11] == (218, 218) and got[None] == (5, 0)
     clean = {r.doc_id: r.text for r in D.stage_suffix_dedup(spark, docs_of(rows), "").collect()}
     assert clean[9] == long and clean[10] == "" and clean[1] is None and clean[4] == "a"
+    done = D.stage_suffix_dedup(spark, docs_of(rows), "")
+    assert done.schema == docs_of(rows).schema and len(done.collect()) == len(table) and {(r["__cuts"], r["__doc"], r.base) for r in done.collect()} == {("c", "d", "b")}
     assert D.op8_suffix_dedup(spark, folder(documents=docs_of([]))).count() == 0
 
 
+def test_one_id_with_different_texts(spark, folder, docs_of):
+    """Each text is a document of its own; what one of them repeats of the other goes once, and none crashes."""
+    rng = random.Random(9)
+    one, two, tail = (" ".join("".join(rng.choices("abcdefg", k=6)) for _ in range(n)) for n in (60, 90, 40))
+    rows = [(1, one), (1, two + one), (1, one), (2, two), (3, tail), (3, "")]
+    got = sorted((r.doc_id, r.n_bytes, r.n_removed) for r in D.op8_suffix_dedup(spark, folder(documents=docs_of(rows))).collect())
+    sizes = {t: len(t) for t in (one, two)}
+    first = {r[1] for r in got if r[0] == 1 and r[2] == 0}
+    assert [r[:2] for r in got] == sorted((i, len(t)) for i, t in rows) and got[3][2] + got[4][2] + got[5][2] in (0, sizes[two])
+    repeated = sum(r[2] for r in got if r[0] == 1)
+    assert repeated in (sizes[one], 2 * sizes[one]) and first and [r[2] for r in got if r[0] == 2] == [sizes[two]] and [r[2] for r in got if r[0] == 3] == [0, 0]
+    assert len(D.stage_suffix_dedup(spark, docs_of(rows), "").collect()) == len(rows)
+
+
+def test_hashes_are_not_believed(spark, folder, docs_of, monkeypatch):
+    """With a hash that takes all units for equal, the bytes differ, and other hashes are tried."""
+    real, tried = D.repeats, []
+
+    def careless(docs, stages, n, seed):
+        tried.append(seed)
+        hashed, tree = real(docs, stages, n, seed)
+        if not seed:
+            wrong = spark.createDataFrame([(1, 0, 0, 100, 0, 0, 0)], D.REPEAT)
+            hashed = hashed.unionByName(wrong)
+        return hashed, tree
+
+    monkeypatch.setattr(D, "repeats", careless)
+    docs = [(0, "a" * 50 + "b" * 80), (1, "c" * 60 + "d" * 70), (2, "x" + "c" * 60 + "d" * 70)]
+    got = {r[0]: tuple(r)[1:] for r in D.op8_suffix_dedup(spark, folder(documents=docs_of(docs))).collect()}
+    assert tried == [0, 1] and got == brute(docs)
+
+
+@given(st.lists(st.tuples(st.integers(0, 2), st.integers(0, 3), st.integers(0, 40)), min_size=1, max_size=60), st.integers(1, 9))
+def test_leaves_are_found_whatever_the_batches(rows, cut):
+    """Streamed groups give the repeats and leaves that whole ones do."""
+    rows = sorted((k, u, d, 0, (s * 7) * 128 + 1) for k, u, d, s in [(k, u, i % 5, s) for i, (k, u, s) in enumerate(rows)])
+    columns = [np.array(c, np.int64) for c in zip(*[(*r, 0, 0, -1) for r in rows], strict=True)]
+    names = D._names(D._ROW)
+    whole = [D._batch(names, *columns)]
+    split = [D._batch(names, *(c[i : i + cut] for c in columns)) for i in range(0, len(rows), cut)]
+    told = [sorted(tuple(r.values()) for b in D._grouped(iter(x)) for r in b.to_pylist()) for x in (whole, split)]
+    leaves = {}
+    for k, u, d, t, s in rows:
+        leaves.setdefault(k, {}).setdefault(u, (d, t, s >> 7))
+    want = sorted((k, *p) for k, own in leaves.items() if len(own) > 1 for p in own.values())
+    assert told[0] == told[1] and sorted((r[1], *r[2:5]) for r in told[0] if r[0] == 2) == want
+
+
 @pytest.mark.parametrize(("hot", "wide", "parts"), [(160, 2048, 1), (160, 2048, 3), (2, 2048, 3), (160, 1, 3)])
 def test_suffix_repeated_rows(spark, folder, docs_of, monkeypatch, hot, wide, parts):
     """A row repeated under its id keeps its text, each way through; later documents lose theirs."""
