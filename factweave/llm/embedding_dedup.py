@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType
 
-from factweave.llm.common import Stages, bounds, connected_components, finite, groups_of, local_roots, partitions
+from factweave.llm.common import Stages, bounds, connected_components, finite, groups_of, local_roots, partitions, small_batches
 
 PASSES, PLANES, WINDOW, BLOCK = 16, 48, 64, 256
 LEVELS = 127
@@ -222,7 +222,7 @@ def near_duplicates(rows: DataFrame, least: float = 0.9, vec_id: str = "vec_id",
     stages, n = Stages(spark), partitions(spark)
     kind = rows.schema[vector].dataType.elementType
     kind = kind.simpleString() if isinstance(kind, (FloatType, DoubleType)) else "double"
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
+    small_batches(spark)
     values = rows.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(vector).cast(f"array<{kind}>").alias("v"))
     good = F.coalesce(finite("v") & F.exists("v", lambda x: x != 0), F.lit(False))
     own = values.select("vec_id", F.when(good, F.transform("v", lambda x: x + F.lit(0.0).cast(kind))).alias("v"))  # -0 becomes 0
@@ -242,15 +242,18 @@ def near_duplicates(rows: DataFrame, least: float = 0.9, vec_id: str = "vec_id",
     open_pairs = found.where("not sure").join(sides[0], "a").join(sides[1], "b").select("a", "b", "left", "right")
     links = stages.put(found.where("sure").select("a", "b").unionByName(open_pairs.mapInArrow(_decide(least), "a long, b long")), "links")
     linked = stages.put(connected_components(stages, links), "linked")
-    placed = classes.join(linked, "node")
-    sizes = linked.groupBy("component").agg(F.ceil(F.sqrt(F.count("*")) / 2).cast("int").alias("blocks"))
-    member = placed.join(sizes, "component").select("component", "node", "size", "v", F.pmod(F.xxhash64("node"), F.col("blocks").cast("long")).cast("int").alias("block"), "blocks")
+    for name in ("found", "links"):
+        stages.drop(name)
+    own_first = linked.join(classes.select("node", "first"), "node")
+    whole = own_first.groupBy("component").agg(F.min("first").alias("component_id"), F.ceil(F.sqrt(F.count("*")) / 2).cast("int").alias("blocks"))
+    told = stages.put(linked.join(whole.hint("merge"), "component"), "told")  # a sort-merge join: a large component's rows are split
+    placed = classes.join(told, "node")
+    member = placed.select("component", "node", "size", "v", F.pmod(F.xxhash64("node"), F.col("blocks").cast("long")).cast("int").alias("block"), "blocks")
     cells = member.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
     cells = cells.select("component", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "node", "size", "v", "block")
     dealt = cells.repartition(n, "component", "one", "two").sortWithinPartitions("component", "one", "two")
     counts = dealt.mapInArrow(_count_links(least), "node long, links long").groupBy("node").agg(F.sum("links").alias("links"))
-    lowest = placed.groupBy("component").agg(F.min("first").alias("component_id"))
-    joined = classes.join(linked, "node", "left").join(lowest, "component", "left").join(counts, "node", "left")
+    joined = classes.join(told, "node", "left").join(counts, "node", "left")
     named = joined.select(
         "hash", F.col("v").alias("same"), (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links"),
         F.when(F.col("component").isNull(), F.col("first")).otherwise(F.col("component_id")).alias("component_id"), F.lit(True).alias("known"),
