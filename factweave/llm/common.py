@@ -38,6 +38,7 @@ class Stages:
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/factweave-{uuid.uuid4().hex}"
+        self.kept = False
 
     def put(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
@@ -47,13 +48,20 @@ class Stages:
             df.write.option("compression", "zstd").parquet(path)
         finally:
             self.spark.conf.set(CLEANUP, before)
+        if not self.kept:  # what is not dropped before goes when the driver ends
+            self.kept = True
+            self._file_system("").deleteOnExit(self._path(""))
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def _path(self, name: str):
+        return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
+
+    def _file_system(self, name: str):
+        return self._path(name).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
     def drop(self, name: str) -> None:
         """Delete a stage that nothing reads any more."""
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        self._file_system(name).delete(self._path(name), True)
 
     def release(self) -> None:
         """Let Spark's cleaner drop shuffle files of plans that are no longer referenced."""
@@ -63,9 +71,10 @@ class Stages:
         self.spark.sparkContext._jvm.System.gc()
 
 
-def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Bound Arrow batches, as single texts may be very long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def small_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches by bytes, as single texts may be very long; the same for every operator."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "8192")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
 
 
 def partitions(spark: SparkSession) -> int:

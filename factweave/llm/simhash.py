@@ -159,7 +159,9 @@ def components(spark: SparkSession, prints: DataFrame, stages: Stages) -> DataFr
     near = many.select("fp", F.explode(flips).alias("bit")).select("fp", F.col("fp").bitwiseXOR(F.col("bit")).alias("half"))
     star = near.groupBy("half").agg(F.min("fp").alias("b"), F.collect_list("fp").alias("all")).where("size(all) > 1")
     links = links.unionByName(star.select(F.explode("all").alias("a"), "b"))
-    return connected_components(stages, links.where("a <> b").distinct())
+    done = connected_components(stages, links.where("a <> b").distinct())
+    stages.drop("keys")
+    return done
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -193,10 +195,12 @@ def stage_simhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     only those keeps one row as well; ties go to the smaller hash of the text.
     """
     stages = Stages(spark)
-    rows = stages.put(shingles.keyed(docs).withColumn("__row", F.monotonically_increasing_id()), "rows")
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    own = docs.select("doc_id", "text", F.struct(*rest, F.lit(True).alias("there")).alias("row"))
+    rows = stages.put(shingles.keyed(own).withColumn("number", F.monotonically_increasing_id()), "rows")
     linked = shingles.components(rows, stages)
-    named = rows.join(linked, rows["__set"] == linked.node, "left")
-    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", F.xxhash64("text").alias("hash"), "__row")
-    first = named.select(F.coalesce("component", "__set").alias("component"), order.alias("x")).groupBy("component").agg(F.min("x").alias("x"))
-    kept = rows.join(first.select(F.col("x.__row").alias("__row")), "__row", "left_semi")
-    return kept.select(*docs.columns)
+    named = rows.select("doc_id", "text", "number", "set").join(linked, rows["set"] == linked.node, "left")
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", F.xxhash64("text").alias("hash"), "number")
+    first = named.select(F.coalesce("component", "set").alias("component"), order.alias("x")).groupBy("component").agg(F.min("x").alias("x"))
+    kept = rows.join(first.select(F.col("x.number").alias("number")), "number", "left_semi")
+    return kept.select(*[F.col(c) if c in ("doc_id", "text") else F.col("row")[c].alias(c) for c in docs.columns])

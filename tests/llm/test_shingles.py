@@ -51,4 +51,17 @@ def test_stage_keeps_rows_without_id_and_one_of_repeated_rows(spark, docs_of, od
     rows = [*odd_rows, (None, "a b c d e f g"), (None, "a b c d e f g"), (None, "The same text, twice over."), (12, "of its own"), (12, "other text, same id")]
     got = sorted(((r.doc_id, r.text) for r in stage_simhash(spark, docs_of(rows), "").collect()), key=str)
     once = {1: None, 4: "a", 5: "The same text, twice over.", 7: odd_rows[6][1], 8: odd_rows[7][1]}
-    assert got == sorted([*once.items(), (None, "no id"), (None, "a b c d e f g"), (12, "of its own"), (12, "other text, same id")], key=str)
+    once |= {-3: "below zero"}
+    assert got == sorted([*once.items(), (5, odd_rows[-2][1]), (None, "no id"), (None, "a b c d e f g"), (12, "of its own"), (12, "other text, same id")], key=str)
+
+
+def test_shapes_rule_out_no_similar_pair(spark):
+    rng = np.random.default_rng(4)
+    rows = []
+    for i in range(300):
+        base = np.unique(rng.integers(0, 1 << 63, rng.integers(1, 400), np.uint64) << np.uint64(1))
+        other = np.unique(np.concatenate([base[rng.random(len(base)) < rng.uniform(0.7, 1)], rng.integers(0, 1 << 63, rng.integers(0, 40), np.uint64)]))
+        rows.append((i, N.shape(base).tolist(), N.shape(other).tolist(), N.similar(base, other)))
+    table = spark.createDataFrame(rows, "i int, a array<long>, b array<long>, good boolean")
+    out = table.select("good", N.may_be_similar("a", "b").alias("may")).collect()
+    assert all(r.may for r in out if r.good) and sum(not r.may for r in out) > 50 and sum(r.good for r in out) > 50
