@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,11 +18,16 @@ def diff(before: DataFrame, after: DataFrame, value: str = "value") -> DataFrame
 
 
 def freshness(stored: DataFrame, now: DataFrame) -> DataFrame:
-    """One row: counts of added, changed, missing and unchanged files and whether that is stale."""
-    both = stored.select("key", F.col("value").alias("s")).join(now.select("key", F.col("value").alias("n")), "key", "full_outer")
+    """One row: counts of added, changed, missing and unchanged files and whether that is stale.
+
+    A file is there if its row is, also with a null digest; two null digests are equal.
+    """
+    here = F.lit(1)
+    both = stored.select("key", F.col("value").alias("s"), here.alias("hs")).join(now.select("key", F.col("value").alias("n"), here.alias("hn")), "key", "full_outer")
+    old, new, same = F.col("hs").isNotNull(), F.col("hn").isNotNull(), F.col("s").eqNullSafe(F.col("n"))
     out = both.agg(
-        F.count_if(F.col("s").isNull()).alias("added"), F.count_if(F.col("n").isNull()).alias("missing"),
-        F.count_if(F.col("s") != F.col("n")).alias("changed"), F.count_if(F.col("s") == F.col("n")).alias("unchanged"),
+        F.count_if(~old).alias("added"), F.count_if(~new).alias("missing"),
+        F.count_if(old & new & ~same).alias("changed"), F.count_if(old & new & same).alias("unchanged"),
     )
     return out.withColumn("status", F.when(F.col("added") + F.col("missing") + F.col("changed") > 0, "stale").otherwise("current"))
 
@@ -36,9 +43,14 @@ def freshness_status(same_project: Column, source: Column, config: Column, produ
 
 
 def parity_missing(values: DataFrame) -> DataFrame:
-    """(member, value) for values that some other member has."""
-    members, union = values.select("member").distinct(), values.select("value").distinct()
-    return members.crossJoin(union).join(values.select("member", "value").distinct(), ["member", "value"], "left_anti")
+    """(member, value) for values that some other member has.
+
+    Per value, the members that have it are taken from the list of all: one aggregate, and only
+    gaps become rows.
+    """
+    everyone = values.agg(F.collect_set("member").alias("everyone"))
+    have = values.groupBy("value").agg(F.collect_set("member").alias("have"))
+    return have.crossJoin(F.broadcast(everyone)).select(F.explode(F.array_except("everyone", "have")).alias("member"), "value")  # one row of names
 
 
 def parity_shared(values: DataFrame) -> DataFrame:
@@ -46,6 +58,51 @@ def parity_shared(values: DataFrame) -> DataFrame:
     return values.groupBy("value").agg(F.countDistinct("member").alias("n")).join(members, F.col("n") == F.col("m")).select("value")
 
 
+def query_surface_summary(surface: DataFrame) -> DataFrame:
+    """One row of counts over surface names with ``ignored`` and a declaration that may be unknown; ignored names count as that only."""
+    live = ~F.col("ignored")
+    declared, used = F.col("declaration") == "declared", F.col("used")
+    tests = {
+        "ignored": F.col("ignored"), "registered": live & declared, "unused": live & declared & ~used, "unregistered_use": live & (F.col("declaration") == "undeclared") & used,
+        "declaration_unknown": live & (F.col("declaration") == "unknown"), "used": live & used, "resolved": live & (F.col("resolution") == "resolved"),
+        "ambiguous": live & (F.col("resolution") == "ambiguous"), "unresolved": live & (F.col("resolution") == "unresolved"),
+    }
+    return surface.agg(*[F.count_if(t).alias(n) for n, t in tests.items()])
+
+
+#: The sections of a Map that two snapshots are compared by.
+SECTIONS = (
+    "artifacts", "bridge_surfaces", "bridges", "build_routes", "call_resolutions", "component_routes", "edges", "entrypoints", "facts", "files", "inputs",
+    "package_dependencies", "package_entrypoint_surfaces", "package_export_origins", "package_exports", "parity_gaps", "public_symbols", "symbols", "symbol_calls",
+    "symbol_references", "test_route_evidence", "test_routes", "tool",
+)
+
+
+def section_rows(sections: dict[str, tuple[DataFrame, tuple[str, ...]]]) -> DataFrame:
+    """(section, key, value) of a Map's sections: name -> (rows, key columns); the other columns are the value.
+
+    Rows that share a key are one item; its value is the sorted list of theirs.
+    """
+    out = []
+    for name, (rows, keys) in sections.items():
+        if name not in SECTIONS:
+            raise ValueError(name)
+        rest = [c for c in rows.columns if c not in keys]
+        key = F.to_json(F.array(*[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in keys]))
+        own = F.to_json(F.struct(*[F.col(c) for c in rest]), {"ignoreNullFields": "false"}) if rest else F.lit("{}")
+        each = rows.select(key.alias("key"), own.alias("value")).distinct()
+        out.append(each.groupBy("key").agg(F.array_join(F.array_sort(F.collect_list("value")), ",").alias("value")).select(F.lit(name).alias("section"), "key", "value"))
+    return reduce(DataFrame.unionByName, out)
+
+
+def map_diff(before: dict[str, tuple[DataFrame, tuple[str, ...]]], after: dict[str, tuple[DataFrame, tuple[str, ...]]]) -> DataFrame:
+    """(section, key, change) over all sections of two Maps, by one full outer join; a section that one Map lacks is empty there."""
+    old, new = (section_rows(x).withColumn("here", F.lit(1)) for x in (before, after))
+    both = old.alias("b").join(new.alias("a"), ["section", "key"], "full_outer")
+    change = F.when(F.col("b.here").isNull(), "added").when(F.col("a.here").isNull(), "removed").when(F.col("a.value") != F.col("b.value"), "changed")
+    return both.select("section", "key", change.alias("change")).where("change is not null")
+
+
 def surface_summary(surface: DataFrame) -> DataFrame:
     """One row of counts over ``projections.provider_surface``."""
     declared, used = F.col("declaration") == "declared", F.col("used")
@@ -89,15 +146,21 @@ def workspace(dependencies: DataFrame, identities: DataFrame, manager: str) -> D
 
 
 def enclosing(points: DataFrame, spans: DataFrame, width: int = 256) -> DataFrame:
-    """The innermost span [start, end) around each point of the same path.
+    """(path, pos, name): the innermost span [start, end) around each point of the same path, null if none.
 
-    A range join by buckets: a span is put in every bucket it crosses, a point in its own, so both
-    meet by an equi-join on (path, bucket).
+    A range join by buckets of doubling width: a span lies in at most two buckets of the level that
+    is as wide as itself, and a point is looked for in one bucket of each level that its path has.
     """
-    s = spans.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("start") / width), F.floor((F.col("end") - 1) / width))))
-    p = points.withColumn("bucket", F.floor(F.col("pos") / width))
-    hit = p.join(s, ["path", "bucket"]).where("start <= pos and pos < end")
-    return hit.groupBy("path", "pos").agg(F.min(F.struct((F.col("end") - F.col("start")).alias("size"), "name")).alias("x")).select("path", "pos", F.col("x.name").alias("name"))
+    size = F.col("end") - F.col("start")
+    level = F.greatest(F.ceil(F.log2(size / width)), F.lit(0)).cast("int")
+    sized = spans.where("end > start").withColumn("level", level).withColumn("wide", F.call_function("shiftleft", F.lit(width).cast("long"), F.col("level")))
+    s = sized.withColumn("bucket", F.explode(F.array_distinct(F.array(F.floor(F.col("start") / F.col("wide")), F.floor((F.col("end") - 1) / F.col("wide"))))))
+    levels = sized.select("path", "level", "wide").distinct()
+    asked = points.select("path", "pos").distinct()
+    p = asked.join(levels, "path").withColumn("bucket", F.floor(F.col("pos") / F.col("wide"))).drop("wide")
+    hit = p.join(s.drop("wide"), ["path", "level", "bucket"]).where("start <= pos and pos < end")
+    best = hit.groupBy("path", "pos").agg(F.min(F.struct(size.alias("size"), "name")).alias("x"))
+    return asked.join(best, ["path", "pos"], "left").select("path", "pos", F.col("x.name").alias("name"))
 
 
 def call_ladder(calls: DataFrame, definitions: DataFrame, builtins: tuple[str, ...] = ()) -> DataFrame:

@@ -68,3 +68,45 @@ def diagnostics_overlay(nodes_: DataFrame, found: DataFrame) -> DataFrame:
     """Nodes with their numbers of errors and warnings (node, severity); 0 for nodes without any."""
     per = found.groupBy("node").agg(F.count_if(F.col("severity") == "error").alias("errors"), F.count_if(F.col("severity") == "warning").alias("warnings"))
     return nodes_.join(per, "node", "left").fillna(0, ["errors", "warnings"])
+
+
+def symbol_relations(calls: DataFrame, symbols: DataFrame) -> DataFrame:
+    """(source, family, target, state) between files, from symbol calls and references (source, name, relation, target).
+
+    A name that one file declares gives a current relation, one that several declare an unknown one
+    to each.
+    """
+    owners = symbols.select("name", F.col("path").alias("target")).distinct()
+    counted = owners.join(owners.groupBy("name").agg(F.count("*").alias("n")), "name")
+    hit = calls.select("source", "relation", "name").distinct().join(counted, "name").where("source <> target")
+    state = F.when(F.col("n") == 1, "current").otherwise("unknown")
+    return hit.select("source", F.col("relation").alias("family"), "target", state.alias("state")).groupBy("source", "family", "target").agg(best_state().alias("state"))
+
+
+def route_relations(tests: DataFrame, builds: DataFrame, entrypoints: DataFrame) -> DataFrame:
+    """(source, family, target, state) of test routes (path, target), builds (build, path) and package entrypoints (package, target).
+
+    Builds and packages are peripheral nodes, named by their kind.
+    """
+    current = F.lit("current").alias("state")
+    parts = [
+        tests.select(F.col("path").alias("source"), F.lit("tests").alias("family"), "target", current),
+        builds.select(F.concat(F.lit("build:"), "build").alias("source"), F.lit("builds").alias("family"), F.col("path").alias("target"), current),
+        entrypoints.select(F.concat(F.lit("package:"), "package").alias("source"), F.lit("packages").alias("family"), "target", current),
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).distinct()
+
+
+def at_level(relations_: DataFrame, members: DataFrame) -> DataFrame:
+    """(source, family, target, state, collapsed): relations between components, and per family how many fall inside one.
+
+    members: component, path; a file may be in several. Nodes that are in none stay themselves. Rows
+    with a null source and target carry the counts.
+    """
+    own = members.select("component", "path").distinct()
+    a, b = own.toDF("from_component", "source"), own.toDF("to_component", "target")
+    both = relations_.join(a, "source", "left").join(b, "target", "left").select(F.coalesce("from_component", "source").alias("source"), "family", F.coalesce("to_component", "target").alias("target"), "state")
+    lifted = both.where("source <> target").groupBy("source", "family", "target").agg(best_state().alias("state")).withColumn("collapsed", F.lit(0).cast("long"))
+    inner = both.where("source = target").groupBy("family").agg(F.count("*").alias("collapsed"))
+    none = F.lit(None).cast("string")
+    return lifted.unionByName(inner.select(none.alias("source"), "family", none.alias("target"), none.alias("state"), "collapsed"))

@@ -31,14 +31,55 @@ def merge(facts: DataFrame, domains: DataFrame) -> DataFrame:
     return chosen.select("domain", "grp", F.col("x.provider").alias("provider"), F.col("x.mode").alias("mode"), F.col("x.value").alias("value"), "contributors")
 
 
-def conflicts(facts: DataFrame) -> DataFrame:
-    """Groups with several primaries, or augments whose value differs from the primary's."""
-    tally = facts.groupBy("domain", "grp").agg(
-        F.count_if(F.col("mode") == PRIMARY).alias("p"), F.min(F.when(F.col("mode") == PRIMARY, F.col("value"))).alias("v"),
-        F.min(F.when(F.col("mode") == AUGMENT, F.col("value"))).alias("lo"), F.max(F.when(F.col("mode") == AUGMENT, F.col("value"))).alias("hi"),
-    )
-    code = F.when(F.col("p") > 1, "duplicate-primary-occurrence").when((F.col("p") == 1) & ((F.col("lo") != F.col("v")) | (F.col("hi") != F.col("v"))), "augment-mismatch")
-    return tally.withColumn("code", code).where("code is not null").select("domain", "grp", "code")
+def conflicts(facts: DataFrame, compared: tuple[str, ...] = ("value",)) -> DataFrame:
+    """(domain, grp, code, differs): groups with several primaries, or augments that differ from the primary.
+
+    ``compared``: the columns that must agree, as value, name, extent or resolution; differs lists
+    those that don't. An augment that is silent on one (null) agrees. One aggregate, with no row
+    per pair.
+    """
+    primary, augment = F.col("mode") == PRIMARY, F.col("mode") == AUGMENT
+    picks = [F.count_if(primary).alias("p")]
+    for c in compared:
+        picks += [F.min(F.when(primary, F.col(c))).alias(f"{c}_p"), F.min(F.when(augment, F.col(c))).alias(f"{c}_lo"), F.max(F.when(augment, F.col(c))).alias(f"{c}_hi")]
+    tally = facts.groupBy("domain", "grp").agg(*picks)
+    off = [F.when(F.coalesce((F.col(f"{c}_lo") != F.col(f"{c}_p")) | (F.col(f"{c}_hi") != F.col(f"{c}_p")), F.lit(False)), F.lit(c)) for c in compared]
+    differs = F.array_join(F.array_compact(F.array(*off)), ",")
+    code = F.when(F.col("p") > 1, "duplicate-primary-occurrence").when((F.col("p") == 1) & (differs != ""), "augment-mismatch")
+    return tally.select("domain", "grp", code.alias("code"), F.when(code == "augment-mismatch", differs).otherwise("").alias("differs")).where("code is not null")
+
+
+def primary_cardinality(capabilities: DataFrame) -> DataFrame:
+    """(domain, code) of domains that several providers claim as primary; capabilities: domain, provider, mode."""
+    many = capabilities.where(F.col("mode") == PRIMARY).groupBy("domain").agg(F.countDistinct("provider").alias("n")).where("n > 1")
+    return many.select("domain", F.lit("primary-cardinality").alias("code"))
+
+
+class MergeConflict(ValueError):
+    """Facts of overlapping providers contradict each other."""
+
+
+def strict_merge(facts: DataFrame, domains: DataFrame, compared: tuple[str, ...] = ("value",)) -> DataFrame:
+    """``merge``, or MergeConflict with how many groups conflict and the first of them."""
+    found = conflicts(facts, compared)
+    first = found.orderBy("domain", "grp").limit(1).collect()
+    if first:
+        raise MergeConflict(f"{found.count()} conflicts; first {first[0]['code']} in {first[0]['domain']} at {first[0]['grp']}")
+    return merge(facts, domains)
+
+
+def enriched(facts: DataFrame, names: tuple[str, ...]) -> DataFrame:
+    """(domain, grp, names..., enriched): attributes of the live facts united, the chosen fact's first.
+
+    Each attribute comes from the first fact that has it, in the order facts are chosen in; enriched
+    lists those that the chosen fact itself lacks.
+    """
+    order = F.struct("mode", (-claim_rank(F.col("claim"))).alias("c"), "provider", "value")
+    live = facts.where(F.col("mode") != AUDIT).withColumn("place", order)
+    picks = [F.min(F.when(F.col(n).isNotNull(), F.struct("place", F.col(n).alias("it")))).alias(n) for n in names]
+    best = live.groupBy("domain", "grp").agg(F.min("place").alias("first"), *picks)
+    lent = F.array_compact(F.array(*[F.when(F.col(f"{n}.place") > F.col("first"), F.lit(n)) for n in names]))
+    return best.select("domain", "grp", *[F.col(f"{n}.it").alias(n) for n in names], F.array_join(lent, ",").alias("enriched"))
 
 
 def variations(facts: DataFrame) -> DataFrame:
@@ -49,11 +90,12 @@ def variations(facts: DataFrame) -> DataFrame:
 
 def summary(facts: DataFrame, merged: DataFrame) -> DataFrame:
     """One row of counters; audit facts are only compared with what was chosen."""
-    base = facts.agg(F.countDistinct("provider").alias("providers"), F.count_if(F.col("mode") != AUDIT).alias("contributed"))
+    base = facts.agg(F.countDistinct("provider").alias("providers"), F.countDistinct("domain", "provider").alias("selections"), F.count_if(F.col("mode") != AUDIT).alias("contributed"))
+    ledgers = variations(facts).agg(F.count("*").alias("variations")).crossJoin(conflicts(facts).agg(F.count("*").alias("conflicts")))
     chosen = merged.agg(F.count("*").alias("selected_facts"), F.count_if(F.col("contributors") > 1).alias("deduplicated"))
     audit = facts.where(F.col("mode") == AUDIT).select("domain", "grp", F.col("value").alias("seen")).join(merged.select("domain", "grp", "value"), ["domain", "grp"], "left")
     audits = audit.agg(F.count_if(F.col("seen").eqNullSafe(F.col("value"))).alias("audit_match"), F.count_if(~F.col("seen").eqNullSafe(F.col("value"))).alias("audit_difference"))
-    return base.crossJoin(chosen).crossJoin(audits)
+    return base.crossJoin(chosen).crossJoin(ledgers).crossJoin(audits)  # rows of counts
 
 
 def contributors(facts: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factweave.functions import patterns as P
-from factweave.operators.traverse import cycle_core
+from factweave.operators.traverse import CoreTooLarge, cycle_core, cycle_witnesses
 from factweave.plans.evidence import CURRENT, UNKNOWN, findings
 
 Pattern = tuple[str, str, str]
@@ -134,9 +134,19 @@ def allowed_edges(edges: DataFrame, patterns: list[Pattern]) -> DataFrame:
     return _found(edges.where(~_matches_any(patterns)), "extra", edge_key(), F.col("state"))
 
 
-def acyclic(edges: DataFrame) -> DataFrame:
-    """A finding for every edge in the cyclic core; ``traverse.cycle_witnesses`` names cycles."""
-    return _found(cycle_core(edges).withColumn("kind", F.lit("")), "cycle", edge_key())
+def acyclic(edges: DataFrame, most_edges: int = 100_000) -> DataFrame:
+    """A finding for every cycle that a depth-first search in byte order closes: ``a -> b -> a``, smallest node first.
+
+    The search runs on what is left when nodes off all cycles are trimmed away on the executors.
+    Should that be more than ``most_edges``, one unknown finding says so: a graph with cycles never passes.
+    """
+    spark = edges.sparkSession
+    try:
+        cycles = cycle_witnesses(cycle_core(edges), most_edges)
+        rows = [("different", " -> ".join([*c, c[0]]), CURRENT) for c in cycles]
+    except CoreTooLarge:
+        rows = [("different", "*", UNKNOWN)]
+    return spark.createDataFrame(rows, "comparison string, key string, state string")
 
 
 def cardinality(actual: DataFrame, exact: int | None = None, least: int | None = None, most: int | None = None) -> DataFrame:
@@ -198,3 +208,25 @@ def ulp_distance(a: Column, b: Column) -> Column:
         return pd.Series(np.where(p > q, p - q, q - p).view(np.uint64).astype(np.float64))  # wraps to the right value
 
     return steps(a, b)
+
+
+#: Names of doubles that JSON has no number for, and their bits.
+FLOATS = {"nan": "7ff8000000000000", "+inf": "7ff0000000000000", "-inf": "fff0000000000000", "-0": "8000000000000000"}
+
+
+def float_bits(rows: DataFrame, encoded: str = "encoded") -> DataFrame:
+    """rows with ``bits``, the 16 hexadecimal digits of an encoded double; null if it is none.
+
+    A double is a JSON number, {"float": name} or {"float_bits": digits}. Only plain numbers need Python.
+    """
+    @F.pandas_udf("string")
+    def packed(x: pd.Series) -> pd.Series:
+        values = pd.to_numeric(x, errors="coerce")
+        return pd.Series([None if pd.isna(v) else f"{int(np.float64(v).view(np.uint64)):016x}" for v in values], dtype=object)
+
+    names = F.create_map(*[F.lit(x) for pair in FLOATS.items() for x in pair])
+    text = F.col(encoded)
+    digits = F.lower(F.get_json_object(text, "$.float_bits"))
+    by_name = F.try_element_at(names, F.get_json_object(text, "$.float"))
+    number = F.when(text.rlike(r"^\s*-?[0-9]"), packed(text))
+    return rows.withColumn("bits", F.coalesce(F.when(digits.rlike("^[0-9a-f]{16}$"), digits), by_name, number))

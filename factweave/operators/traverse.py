@@ -9,8 +9,9 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factweave.plans.evidence import CURRENT, UNKNOWN
@@ -26,7 +27,7 @@ def ensure_checkpoints(spark: SparkSession) -> None:
         return
     given = spark.conf.get("spark.checkpoint.dir", None)
     if not given:
-        if not context.master.startswith("local"):
+        if context.master != "local" and not context.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         given = tempfile.mkdtemp(prefix="factweave-")
         atexit.register(shutil.rmtree, given, ignore_errors=True)
@@ -36,14 +37,17 @@ def ensure_checkpoints(spark: SparkSession) -> None:
 def closure(seed: DataFrame, arcs: DataFrame, most: int = 1000) -> DataFrame:
     """Nodes reachable over arcs (a, b), seeds included; stops when a hop adds none, raises at the limit."""
     ensure_checkpoints(seed.sparkSession)
-    found = seed.select("node").distinct().checkpoint()
-    front = found
+    front = seed.select("node").distinct().checkpoint()
+    parts = [front]
     for _ in range(most):
+        found = reduce(DataFrame.unionByName, parts)
         step = front.join(arcs, front.node == arcs.a).select(F.col("b").alias("node")).distinct()
         front = step.join(found, "node", "left_anti").checkpoint()
         if front.isEmpty():
             return found
-        found = found.unionByName(front).checkpoint()
+        parts.append(front)  # fronts are written once; every few are put together, at doubling sizes
+        while len(parts) > 2 * CUT_EVERY:
+            parts = [reduce(DataFrame.unionByName, parts[:CUT_EVERY]).checkpoint(), *parts[CUT_EVERY:]]
     raise ValueError(f"the closure takes more than {most} hops")
 
 
@@ -164,6 +168,10 @@ def path_outcome(found: DataFrame, sources: DataFrame, targets: DataFrame, compl
     return counts.select(outcome.alias("outcome"), reason.alias("reason"))
 
 
+class CoreTooLarge(ValueError):
+    """A cyclic core has more edges than the driver may read."""
+
+
 def cycle_core(edges: DataFrame, most: int = 1000) -> DataFrame:
     """Edges left after trimming nodes without incoming or outgoing ones: empty if acyclic."""
     ensure_checkpoints(edges.sparkSession)
@@ -181,37 +189,85 @@ def cycle_core(edges: DataFrame, most: int = 1000) -> DataFrame:
 
 
 def cycle_witnesses(core: DataFrame, most_edges: int = 100_000) -> list[list[str]]:
-    """One cycle per back edge of a depth-first search in byte order, rotated to its smallest form.
+    """One cycle per back edge of a depth-first search in byte order, from its smallest node on.
 
-    The trimmed core is read on the driver only up to ``most_edges``; beyond that it raises.
+    The trimmed core is read on the driver only up to ``most_edges``; beyond that it raises
+    ``CoreTooLarge``.
     """
-    rows = core.orderBy("source", "target").limit(most_edges + 1).collect()
+    rows = core.select("source", "target").orderBy("source", "target").limit(most_edges + 1).collect()
     if len(rows) > most_edges:
-        raise ValueError("the cyclic core is too large for witnesses")
+        raise CoreTooLarge(f"more than {most_edges} edges")
     out: dict[str, list[str]] = {}
     for r in rows:
         out.setdefault(r["source"], []).append(r["target"])
-    colour, found = {}, []
-    for root in sorted(out):
-        if colour.get(root):
+    closed: set[str] = set()
+    found: dict[tuple[str, ...], None] = {}
+    for root in out:
+        if root in closed:
             continue
-        stack, trail = [(root, iter(out.get(root, ())))], [root]
-        colour[root] = 1
-        while stack:
-            node, nexts = stack[-1]
-            step = next(nexts, None)
+        trail, place, ahead = [root], {root: 0}, [iter(out[root])]
+        while trail:
+            step = next(ahead[-1], None)
             if step is None:
-                colour[node] = 2
-                stack.pop()
-                trail.pop()
-            elif colour.get(step) == 1:
-                loop = trail[trail.index(step) :]
-                least = min(range(len(loop)), key=lambda i, own=loop: own[i:] + own[:i])
-                loop = loop[least:] + loop[:least]
-                if loop not in found:
-                    found.append(loop)
-            elif not colour.get(step):
-                colour[step] = 1
+                ahead.pop()
+                closed.add(trail[-1])
+                del place[trail.pop()]
+            elif step in place:
+                loop = trail[place[step] :]
+                first = loop.index(min(loop))  # nodes of a loop are different, so this is its least rotation
+                found.setdefault((*loop[first:], *loop[:first]))
+            elif step not in closed and step in out:
+                place[step] = len(trail)
                 trail.append(step)
-                stack.append((step, iter(out.get(step, ()))))
-    return found
+                ahead.append(iter(out[step]))
+    return [list(c) for c in found]
+
+
+def file_order(routes_: DataFrame, retrieval: DataFrame, degrees: DataFrame, most: int) -> DataFrame:
+    """(node, place): the first ``most`` files by route quality, retrieval score and rank, degree and path.
+
+    routes_: as ``routes``; retrieval: node, score, rank; degrees: node, degree. Only what is shown is ranked.
+    """
+    joined = routes_.join(retrieval, "node", "left").join(degrees, "node", "left").withColumns({"score": F.coalesce("score", F.lit(0)), "degree": F.coalesce("degree", F.lit(0))})
+    order = [*QUALITY, F.desc("score"), F.when(F.col("score") != 0, F.col("rank")).otherwise(0), F.desc("degree"), "node"]
+    return _ranked(joined, order, most).select("node", "place")
+
+
+#: Fixed values, best first: how a test's route is known.
+PROVENANCE = ("observed", "asserted")
+CONFIDENCE = ("exact", "candidate", "conservative")
+SCOPE = ("case", "file")
+ROLE = ("requested-symbol", "requested-seed", "focused-test-route", "symbol-neighborhood", "file-neighborhood", "transitive-context")
+
+
+def _priority(column: str, names: tuple[str, ...]) -> Column:
+    """Place in a list; after its end if not there."""
+    out = F.lit(len(names))
+    for i, n in enumerate(names):
+        out = F.when(F.col(column) == n, i).otherwise(out)
+    return out
+
+
+def test_order(matches: DataFrame, most: int, by_retrieval: bool = False) -> DataFrame:
+    """The first ``most`` test matches, with their ``place``.
+
+    By provenance, seed score and rank, confidence (where the provenance does not say more), scope,
+    target role, symbol and seed distance, route count, path, group, selector and line; affinity comes
+    after the seed rank if a text was searched for, else after the distances.
+    """
+    sure = F.col("provenance").isin(*PROVENANCE)
+    affinity = [F.desc("affinity")]
+    order = [
+        _priority("provenance", PROVENANCE), F.desc("seed_score"), "seed_rank", *(affinity if by_retrieval else []),
+        F.when(sure, 0).otherwise(_priority("confidence", CONFIDENCE)), _priority("scope", SCOPE), _priority("role", ROLE),
+        "symbol_distance", "seed_distance", *([] if by_retrieval else affinity), "route_count", "path", "grp", "selector", "line",
+    ]
+    return _ranked(matches, order, most)
+
+
+test_order.__test__ = False  # an operator, not a test
+
+
+def _ranked(rows: DataFrame, order: list, most: int) -> DataFrame:
+    shown = rows.orderBy(*order).limit(most)
+    return shown.withColumn("place", F.row_number().over(Window.orderBy(*order)))  # a window over at most that many rows

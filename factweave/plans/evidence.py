@@ -33,19 +33,39 @@ def collide(items: DataFrame, key: str = "key", *values: str) -> DataFrame:
 
 @dataclass
 class Projection:
-    """Items with a shape; all lazy. ``universe`` is what they were selected from."""
+    """Items with a shape; all lazy.
+
+    ``universe`` is what they were selected from, ``unsupported`` what could not be looked at (both
+    rows to be counted), ``truncated`` whether a limit cut the selection, ``known`` whether the
+    operand as a whole is known.
+    """
 
     items: DataFrame
     shape: str
     universe: DataFrame | None = None
+    unsupported: DataFrame | None = None
+    truncated: bool = False
+    known: bool = True
 
     def completeness(self) -> DataFrame:
-        """One row: universe, selected, excluded, unknown and their classification."""
-        chosen = self.items.agg(F.count("*").alias("selected"), F.count_if(F.col("state") != CURRENT).alias("unknown"))
-        whole = (self.universe if self.universe is not None else self.items).agg(F.count("*").alias("universe"))
-        both = chosen.crossJoin(whole).withColumn("excluded", F.col("universe") - F.col("selected"))
-        kind = F.when(F.col("unknown") > 0, "incomplete").otherwise("complete")
-        return both.withColumn("classification", kind)
+        """One row of counters and their classification, in one pass over each input.
+
+        universe = selected + excluded, selected = evaluated + unknown. A truncated selection,
+        unsupported inputs and items of unknown or stale state make it incomplete.
+        """
+        sure = F.col("state") == CURRENT
+        counts = [self.items.agg(F.count("*").alias("selected"), F.count_if(sure).alias("evaluated"), F.count_if(~sure).alias("unknown"))]
+        counts.append((self.universe if self.universe is not None else self.items).agg(F.count("*").alias("universe")))
+        if self.unsupported is not None:
+            counts.append(self.unsupported.agg(F.count("*").alias("unsupported")))
+        row = reduce(lambda a, b: a.crossJoin(b), counts)  # rows of counts
+        if self.unsupported is None:
+            row = row.withColumn("unsupported", F.lit(0).cast("long"))
+        row = row.withColumn("excluded", F.col("universe") - F.col("selected")).withColumn("truncated", F.lit(self.truncated))
+        partly = F.col("truncated") | (F.col("unsupported") > 0) | (F.col("unknown") > 0) | (F.col("excluded") < 0)
+        kind = F.when(F.lit(not self.known), "unknown").when(partly, "incomplete").otherwise("complete")
+        names = ("universe", "selected", "evaluated", "excluded", "unsupported", "unknown", "truncated")
+        return row.select(*names, kind.alias("classification"))
 
 
 def findings(*parts: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factweave.functions import patterns as P
@@ -18,6 +18,7 @@ from factweave.operators import projections as S
 from factweave.operators import retrieval as R
 from factweave.operators import traverse as T
 from factweave.plans.evidence import Projection, finding_id, status_fold
+from factweave.sources import sinks as O
 from factweave.sources.bindings import Bound, with_bindings
 
 _QUERIES: dict[str, Callable[[Bound], DataFrame]] = {}
@@ -95,7 +96,11 @@ query("test_routes", """SELECT DISTINCT concat(grp, ':', path, '::', selector) A
 query("test_selectors", "SELECT DISTINCT concat(path, '::', selector) AS key, 'current' AS state FROM {tests} WHERE grp = 'view'")(lambda m: S.test_selectors(m, group="view"))
 query("literal_operand", "SELECT * FROM (VALUES ('a', 1, 'current'), ('b', 2, 'current')) t(key, value, state)")(lambda m: S.literal(m.spark, {"b": 2, "a": 1}))
 query("completeness", """WITH s AS (SELECT count(*) AS n FROM {files} WHERE path LIKE 'n/NATION_1_'), u AS (SELECT count(*) AS n FROM {files})
-  SELECT s.n AS selected, 0 AS unknown, u.n AS universe, u.n - s.n AS excluded, 'complete' AS classification FROM s CROSS JOIN u""")(lambda m: Projection(S.mapped_paths(m, ("n/NATION_1?",)), "set", m["files"]).completeness())
+  SELECT u.n AS universe, s.n AS selected, s.n AS evaluated, u.n - s.n AS excluded, 0 AS unsupported, 0 AS unknown, false AS truncated, 'complete' AS classification FROM s CROSS JOIN u""")(lambda m: Projection(S.mapped_paths(m, ("n/NATION_1?",)), "set", m["files"]).completeness())
+query("completeness_partial", f"""WITH {FEDGES}, x AS (SELECT count(*) AS n FROM {{files}} WHERE language = 'r') SELECT count(*) AS universe, count(*) AS selected, count(*) FILTER (WHERE state = 'current') AS evaluated, 0 AS excluded,
+  (SELECT n FROM x) AS unsupported, count(*) FILTER (WHERE state <> 'current') AS unknown, true AS truncated, 'incomplete' AS classification FROM fedges""")(
+    lambda m: Projection(S.file_edges(m), "relation", unsupported=m["files"].where("language = 'r'"), truncated=True).completeness()
+)
 
 # --- predicates ------------------------------------------------------------------------------
 KEYS_A = "a AS (SELECT DISTINCT name AS key FROM {symbols} WHERE line < 3), b AS (SELECT DISTINCT name AS key FROM {symbols} WHERE kind = 'PROMO' AND line > 30)"
@@ -143,8 +148,12 @@ query("assert_forbidden_edges", f"WITH {CEDGES} SELECT 'forbidden' AS comparison
     lambda m: A.forbidden_edges(S.component_edges(m), [("A*", "R", "n/*"), ("odd", "*", "even")])
 )
 query("assert_allowed_edges", f"WITH {CEDGES} SELECT 'extra' AS comparison, {KEY} AS key, state FROM cedges WHERE NOT (source LIKE 'A%' OR target = 'even')")(lambda m: A.allowed_edges(S.component_edges(m), [("A*", "*", "*"), ("*", "*", "even")]))
-query("assert_acyclic", """WITH e AS (SELECT DISTINCT source, target FROM {arcs} WHERE kind = 'call' AND source <> 'p/1')
-  SELECT 'cycle' AS comparison, concat(source, '||', target) AS key, 'current' AS state FROM e WHERE source = target""")(lambda m: A.acyclic(m["arcs"].where("kind = 'call' and source <> 'p/1'")))  # halving has no cycle above 0
+LOOPS = """e AS (SELECT DISTINCT source, target FROM {{arcs}} WHERE kind = 'import'),
+  w AS (SELECT source AS start, target AS node, source AS trail FROM e WHERE target >= source UNION ALL
+        SELECT w.start, e.target, concat(w.trail, ' -> ', e.source) FROM w JOIN e ON e.source = w.node WHERE w.node <> w.start AND e.target >= w.start AND NOT contains(concat(w.trail, ' -> '), concat(e.source, ' -> ')))"""
+query("assert_acyclic", f"WITH RECURSIVE {LOOPS} SELECT 'different' AS comparison, concat(trail, ' -> ', start) AS key, 'current' AS state FROM w WHERE node = start".replace("{{", "{").replace("}}", "}"))(
+    lambda m: A.acyclic(m["arcs"].where("kind = 'import'"))
+)  # each file has one import here, so a cycle is walked once, from its smallest name
 query("assert_cardinality", "SELECT 'cardinality' AS comparison, CAST(count(DISTINCT name) AS VARCHAR) AS key, 'current' AS state FROM {symbols} HAVING count(DISTINCT name) > 10")(lambda m: A.cardinality(S.symbols(m), most=10))
 query("assert_numeric_bounds", "SELECT 'bounds' AS comparison, path AS key, 'current' AS state FROM {files} WHERE bytes > 200 OR bytes < 110")(lambda m: A.numeric_bounds(S.file_metrics(m), least=110, most=200))
 query("assert_min_test_routes", """SELECT 'cardinality' AS comparison, CAST(count(DISTINCT target) AS VARCHAR) AS key, 'current' AS state FROM {tests} HAVING count(DISTINCT target) < 40
@@ -183,9 +192,9 @@ TYPED: list[tuple[str, dict, str]] = [
     ("allowed_file_edges", {"patterns": [("*", "[AN]", "*")]}, f"WITH {FEDGES} SELECT 'extra' AS comparison, {KEY} AS key, state FROM fedges WHERE kind = 'R'"),
     ("forbidden_file_edges", {"patterns": [("n/NATION_1", "*", "*")]}, f"WITH {FEDGES} SELECT 'forbidden' AS comparison, {KEY} AS key, state FROM fedges WHERE source = 'n/NATION_1'"),
     ("required_file_edges", {"patterns": [("n/NATION_1", "?", "n/NATION_77")]}, f"WITH {FEDGES} SELECT 'missing' AS comparison, 'n/NATION_1|?|n/NATION_77' AS key, 'current' AS state WHERE NOT EXISTS (SELECT 1 FROM fedges WHERE source = 'n/NATION_1' AND kind LIKE '_' AND target = 'n/NATION_77')"),
-    ("component_cycles", {"kinds": ("R",)}, f"""WITH RECURSIVE {CEDGES}, g AS (SELECT DISTINCT source, target FROM cedges WHERE kind = 'R'), r AS (SELECT source, target FROM g UNION SELECT r.source, g.target FROM r JOIN g ON g.source = r.target),
-      loops AS (SELECT source AS node FROM r WHERE source = target), fwd AS (SELECT node FROM loops UNION SELECT target FROM r JOIN loops ON loops.node = r.source), bwd AS (SELECT node FROM loops UNION SELECT source FROM r JOIN loops ON loops.node = r.target)
-      SELECT 'cycle' AS comparison, concat(source, '||', target) AS key, 'current' AS state FROM g WHERE source IN (SELECT node FROM fwd) AND target IN (SELECT node FROM bwd)"""),
+    ("component_cycles", {"kinds": ("R",), "from_paths": ("n/NATION_1", "n/NATION_2"), "to_paths": ("n/NATION_1", "n/NATION_2")}, f"""WITH e AS ({EDGES}), g AS (SELECT DISTINCT a.component AS source, b.component AS target FROM e JOIN {{component_files}} a ON a.path = e.source JOIN {{component_files}} b ON b.path = e.target
+      WHERE kind = 'R' AND e.source IN ('n/NATION_1', 'n/NATION_2') AND e.target IN ('n/NATION_1', 'n/NATION_2') AND a.component <> b.component)
+      SELECT 'different' AS comparison, concat(f.source, ' -> ', f.target, ' -> ', f.source) AS key, 'current' AS state FROM g f JOIN g r ON r.source = f.target AND r.target = f.source WHERE f.source < f.target"""),
 ]
 for _kind, _options, _sql in TYPED:
     query(f"typed_{_kind}", _sql)(lambda m, k=_kind, o=_options: C.CONSTRAINTS[k](m, **o))
@@ -352,9 +361,9 @@ _OPEN = "WITH " + MERGED.replace("CLOSED", "false")
 query("provider_merge_selected", f"{_OPEN} SELECT * FROM mg")(_merged)
 query("provider_merge_closed_world", "WITH " + MERGED.replace("CLOSED", "EXISTS (SELECT 1 FROM o p WHERE p.mode = 0 AND p.domain = c.domain)") + " SELECT * FROM mg")(lambda m: _merged(m, True))
 query("provider_merge_conflicts", """WITH t AS (SELECT domain, grp, count(*) FILTER (WHERE mode = 0) AS p, min(value) FILTER (WHERE mode = 0) AS v, min(value) FILTER (WHERE mode = 1) AS lo, max(value) FILTER (WHERE mode = 1) AS hi FROM {facts} GROUP BY domain, grp)
-  SELECT domain, grp, CASE WHEN p > 1 THEN 'duplicate-primary-occurrence' ELSE 'augment-mismatch' END AS code FROM t WHERE p > 1 OR (p = 1 AND (lo <> v OR hi <> v))""")(lambda m: M.conflicts(m["facts"]))
+  SELECT domain, grp, CASE WHEN p > 1 THEN 'duplicate-primary-occurrence' ELSE 'augment-mismatch' END AS code, CASE WHEN p > 1 THEN '' ELSE 'value' END AS differs FROM t WHERE p > 1 OR (p = 1 AND (lo <> v OR hi <> v))""")(lambda m: M.conflicts(m["facts"]))
 query("provider_merge_variations", "SELECT domain, grp, count(DISTINCT value) AS variants FROM {facts} WHERE mode <> 2 GROUP BY domain, grp HAVING count(DISTINCT value) > 1")(lambda m: M.variations(m["facts"]))
-query("provider_merge_summary", f"""{_OPEN} SELECT (SELECT count(DISTINCT provider) FROM o) AS providers, (SELECT count(*) FROM o WHERE mode <> 2) AS contributed, (SELECT count(*) FROM mg) AS selected_facts, (SELECT count(*) FROM mg WHERE contributors > 1) AS deduplicated,
+query("provider_merge_summary", f"""{_OPEN} SELECT (SELECT count(DISTINCT provider) FROM o) AS providers, (SELECT count(*) FROM (SELECT DISTINCT domain, provider FROM o)) AS selections, (SELECT count(*) FROM (SELECT grp FROM o WHERE mode <> 2 GROUP BY domain, grp HAVING count(DISTINCT value) > 1)) AS variations, (SELECT count(*) FROM (SELECT count(*) FILTER (WHERE mode = 0) AS p, min(value) FILTER (WHERE mode = 0) AS v, min(value) FILTER (WHERE mode = 1) AS lo, max(value) FILTER (WHERE mode = 1) AS hi FROM o GROUP BY domain, grp) t WHERE p > 1 OR (p = 1 AND (lo <> v OR hi <> v))) AS conflicts, (SELECT count(*) FROM o WHERE mode <> 2) AS contributed, (SELECT count(*) FROM mg) AS selected_facts, (SELECT count(*) FROM mg WHERE contributors > 1) AS deduplicated,
   (SELECT count(*) FROM o a LEFT JOIN mg ON mg.domain = a.domain AND mg.grp = a.grp WHERE a.mode = 2 AND a.value IS NOT DISTINCT FROM mg.value) AS audit_match, (SELECT count(*) FROM o a LEFT JOIN mg ON mg.domain = a.domain AND mg.grp = a.grp WHERE a.mode = 2 AND a.value IS DISTINCT FROM mg.value) AS audit_difference""")(lambda m: M.summary(m["facts"], _merged(m)))
 DIFF = "SELECT coalesce(b.key, a.key) AS key, CASE WHEN b.key IS NULL THEN 'added' WHEN a.key IS NULL THEN 'removed' ELSE 'changed' END AS change FROM {before} b FULL JOIN {after} a ON a.key = b.key WHERE a.value IS DISTINCT FROM b.value"
 query("map_diff", DIFF)(lambda m: D.diff(m["before"], m["after"]))
@@ -362,39 +371,97 @@ for _c in ("added", "removed", "changed"):
     query(f"map_diff_{_c}", f"SELECT * FROM ({DIFF}) d WHERE change = '{_c}'")(lambda m, c=_c: D.diff(m["before"], m["after"]).where(F.col("change") == c))
 query("freshness", """SELECT *, CASE WHEN added + missing + changed > 0 THEN 'stale' ELSE 'current' END AS status FROM (SELECT count(*) FILTER (WHERE b.key IS NULL) AS added, count(*) FILTER (WHERE a.key IS NULL) AS missing,
   count(*) FILTER (WHERE a.value <> b.value) AS changed, count(*) FILTER (WHERE a.value = b.value) AS unchanged FROM {before} b FULL JOIN {after} a ON a.key = b.key) t""")(lambda m: D.freshness(m["before"], m["after"]))
+SNAPSHOT = "SELECT name, path, kind, line FROM {symbols}"
+
+
+def _snapshots(m: Bound) -> tuple[dict, dict]:
+    """Two Maps: in the second, symbols of one kind moved down a line and files of one language have another layer."""
+    old = m["symbols"].select("name", "path", "kind", "line").distinct()
+    new = old.withColumn("line", F.col("line") + F.when(F.col("kind") == "LARGE", 1).otherwise(0)).withColumn("name", F.when(F.col("kind") == "PROMO", F.concat("name", F.lit("2"))).otherwise(F.col("name")))
+    files = m["files"].select("path", "layer", "language")
+    edges = m["edges"].select("source", "target", "kind", "state")
+    routes = m["builds"].select("build", "path")
+    before = {"symbols": (old, ("path", "name")), "files": (files, ("path",)), "edges": (edges, ("source", "target", "kind")), "build_routes": (routes, ("build", "path"))}
+    after = {"symbols": (new, ("path", "name")), "files": (files.withColumn("layer", F.when(F.col("language") == "r", "R").otherwise(F.col("layer"))), ("path",)), "edges": before["edges"], "entrypoints": (m["entrypoints"], ("package", "route"))}
+    return before, after
+
+
+def _key_sql(*columns: str) -> str:
+    return "concat('[', " + ", ',', ".join(f"""'"', {c}, '"'""" for c in columns) + ", ']')"
+
+
+query("map_diff_sections", f"""WITH o AS (SELECT path, name, string_agg(concat(kind, line), ',' ORDER BY concat(kind, line)) AS v FROM (SELECT DISTINCT path, name, kind, line FROM {{symbols}}) GROUP BY path, name),
+  n AS (SELECT path, name, string_agg(concat(kind, line), ',' ORDER BY concat(kind, line)) AS v FROM (SELECT DISTINCT path, CASE kind WHEN 'PROMO' THEN concat(name, '2') ELSE name END AS name, kind, line + CASE kind WHEN 'LARGE' THEN 1 ELSE 0 END AS line FROM {{symbols}}) GROUP BY path, name)
+  SELECT 'symbols' AS section, {_key_sql('coalesce(o.path, n.path)', 'coalesce(o.name, n.name)')} AS key, CASE WHEN o.v IS NULL THEN 'added' WHEN n.v IS NULL THEN 'removed' ELSE 'changed' END AS change FROM o FULL JOIN n ON n.path = o.path AND n.name = o.name WHERE o.v IS DISTINCT FROM n.v
+  UNION ALL SELECT 'files', {_key_sql('path')}, 'changed' FROM {{files}} WHERE language = 'r'
+  UNION ALL SELECT 'build_routes', {_key_sql('build', 'path')}, 'removed' FROM {{builds}}
+  UNION ALL SELECT DISTINCT 'entrypoints', {_key_sql('package', 'route')}, 'added' FROM {{entrypoints}}""")(lambda m: D.map_diff(*_snapshots(m)))
+query("query_surface_summary", """WITH q AS (SELECT p_name AS key, p_size % 10 = 0 AS ignored, CASE p_size % 3 WHEN 0 THEN 'declared' WHEN 1 THEN 'undeclared' ELSE 'unknown' END AS declaration, p_size % 2 = 0 AS used, CASE p_size % 4 WHEN 0 THEN 'resolved' WHEN 1 THEN 'ambiguous' ELSE 'unresolved' END AS resolution FROM {part})
+  SELECT count(*) FILTER (WHERE ignored) AS ignored, count(*) FILTER (WHERE NOT ignored AND declaration = 'declared') AS registered, count(*) FILTER (WHERE NOT ignored AND declaration = 'declared' AND NOT used) AS unused, count(*) FILTER (WHERE NOT ignored AND declaration = 'undeclared' AND used) AS unregistered_use,
+  count(*) FILTER (WHERE NOT ignored AND declaration = 'unknown') AS declaration_unknown, count(*) FILTER (WHERE NOT ignored AND used) AS used, count(*) FILTER (WHERE NOT ignored AND resolution = 'resolved') AS resolved, count(*) FILTER (WHERE NOT ignored AND resolution = 'ambiguous') AS ambiguous, count(*) FILTER (WHERE NOT ignored AND resolution = 'unresolved') AS unresolved FROM q""")(
+    lambda m: D.query_surface_summary(m["part"].select(
+        F.col("p_name").alias("key"), (F.col("p_size") % 10 == 0).alias("ignored"), F.expr("CASE p_size % 3 WHEN 0 THEN 'declared' WHEN 1 THEN 'undeclared' ELSE 'unknown' END").alias("declaration"),
+        (F.col("p_size") % 2 == 0).alias("used"), F.expr("CASE p_size % 4 WHEN 0 THEN 'resolved' WHEN 1 THEN 'ambiguous' ELSE 'unresolved' END").alias("resolution"),
+    ))
+)
+query("file_order", """WITH q AS (SELECT concat('p/', p_partkey) AS node, p_size % 3 AS stale, p_size % 2 AS unknown, 0 AS z, p_size % 4 AS distance, CASE WHEN p_size % 5 < 3 THEN p_size % 5 ELSE 0 END AS score, p_partkey % 7 AS rank, p_partkey % 11 AS degree FROM {part})
+  SELECT node, place FROM (SELECT node, CAST(row_number() OVER (ORDER BY stale, unknown, distance, score DESC, CASE WHEN score <> 0 THEN rank ELSE 0 END, degree DESC, node) AS INTEGER) AS place FROM q) WHERE place <= 50""")(
+    lambda m: (lambda p: T.file_order(
+        p.select("node", (F.col("p_size") % 3).alias("stale"), (F.col("p_size") % 2).alias("unknown"), *[F.lit(0).alias(c) for c in ("unresolved", "ambiguous", "candidate")], (F.col("p_size") % 4).alias("distance")),
+        p.where("p_size % 5 in (1, 2)").select("node", (F.col("p_size") % 5).alias("score"), (F.col("p_partkey") % 7).alias("rank")), p.select("node", (F.col("p_partkey") % 11).alias("degree")), 50,
+    ))(m["part"].withColumn("node", F.concat(F.lit("p/"), "p_partkey")))
+)
+query("test_order", """WITH q AS (SELECT DISTINCT path, grp, selector, CASE length(selector) % 3 WHEN 0 THEN 'observed' WHEN 1 THEN 'asserted' ELSE 'static' END AS provenance, length(target) % 4 AS seed_score, CASE WHEN configured THEN 'exact' ELSE 'conservative' END AS confidence, length(target) AS symbol_distance FROM {tests})
+  SELECT path, selector, confidence, symbol_distance, place FROM (SELECT *, CAST(row_number() OVER (ORDER BY CASE provenance WHEN 'observed' THEN 0 WHEN 'asserted' THEN 1 ELSE 2 END, seed_score DESC, CASE WHEN provenance <> 'static' THEN 0 WHEN confidence = 'exact' THEN 0 ELSE 2 END, symbol_distance, path, grp, selector, confidence) AS INTEGER) AS place FROM q) WHERE place <= 40""")(
+    lambda m: T.test_order(m["tests"].select(
+        "path", "grp", "selector", F.expr("CASE length(selector) % 3 WHEN 0 THEN 'observed' WHEN 1 THEN 'asserted' ELSE 'static' END").alias("provenance"), (F.length("target") % 4).alias("seed_score"), F.lit(0).alias("seed_rank"),
+        F.when(F.col("configured"), "exact").otherwise("conservative").alias("confidence"), F.lit("case").alias("scope"), F.lit("requested-seed").alias("role"), F.length("target").alias("symbol_distance"), F.lit(0).alias("seed_distance"), F.lit(0).alias("affinity"), F.lit(0).alias("route_count"),
+    ).distinct().withColumn("line", F.when(F.col("confidence") == "conservative", 0).otherwise(1)), 40).select("path", "selector", "confidence", "symbol_distance", "place")
+)
+query("provider_merge_enriched", """WITH l AS (SELECT *, row_number() OVER (PARTITION BY domain, grp ORDER BY mode, CASE claim WHEN 'semantic-text' THEN 0 WHEN 'syntax-structure' THEN 1 WHEN 'lexical-occurrence' THEN 2 ELSE 3 END, provider, value) AS i, CASE WHEN value LIKE '%:0' THEN value END AS zero FROM {facts} WHERE mode <> 2)
+  SELECT domain, grp, (arg_min(zero, i) FILTER (WHERE zero IS NOT NULL)) AS zero, CASE WHEN (min(i) FILTER (WHERE zero IS NOT NULL AND value <> first)) IS NOT NULL AND first NOT LIKE '%:0' THEN 'zero' ELSE '' END AS enriched FROM (SELECT *, first_value(value) OVER (PARTITION BY domain, grp ORDER BY i) AS first FROM l) GROUP BY domain, grp, first""")(
+    lambda m: M.enriched(m["facts"].withColumn("zero", F.when(F.col("value").endswith(":0"), F.col("value"))), ("zero",))
+)
+query("provider_primary_cardinality", "SELECT domain, 'primary-cardinality' AS code FROM {facts} WHERE mode = 0 GROUP BY domain HAVING count(DISTINCT provider) > 1")(lambda m: M.primary_cardinality(m["facts"].select("domain", "provider", "mode")))
+query("next_baseline", f"""WITH {KEYS_A}, f AS ({MISSING} UNION ALL {EXTRA}), p AS (SELECT DISTINCT name AS key FROM {{symbols}} WHERE line > 40)
+  SELECT DISTINCT comparison, key, 'active' AS status FROM f UNION ALL SELECT 'missing', key, 'resolved' FROM p WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.comparison = 'missing' AND f.key = p.key)""")(
+    lambda m: O.next_baseline(A.set_equal(*_sets(m)), m["symbols"].where("line > 40").select(F.lit("missing").alias("comparison"), F.col("name").alias("key")).distinct())
+)
 query("parity_missing", "SELECT a.member, u.value FROM (SELECT DISTINCT member FROM {parity_values}) a CROSS JOIN (SELECT DISTINCT value FROM {parity_values}) u WHERE NOT EXISTS (SELECT 1 FROM {parity_values} p WHERE p.member = a.member AND p.value = u.value)")(lambda m: D.parity_missing(m["parity_values"]))
 query("parity_shared", "SELECT value FROM {parity_values} GROUP BY value HAVING count(DISTINCT member) = (SELECT count(DISTINCT member) FROM {parity_values})")(lambda m: D.parity_shared(m["parity_values"]))
 query("surface_summary", f"""WITH {SURFACE} SELECT count(*) FILTER (WHERE declaration = 'declared') AS registered, count(*) FILTER (WHERE used) AS used, count(*) FILTER (WHERE declaration = 'declared' AND NOT used) AS unused, count(*) FILTER (WHERE declaration <> 'declared' AND used) AS unregistered_use,
   count(*) FILTER (WHERE resolution = 'resolved') AS resolved, count(*) FILTER (WHERE resolution = 'unresolved') AS unresolved, count(*) FILTER (WHERE resolution = 'ambiguous') AS ambiguous FROM sf""")(lambda m: D.surface_summary(S.provider_surface(m)))
-MSG = "SELECT concat('u', user_id) AS path, CASE WHEN event_id % 13 = 0 THEN '*' ELSE event_type END AS key, CAST(event_id % 89 AS VARCHAR) AS value, event_id % 2 AS side FROM {events} WHERE user_id < 40"
+MSG = "SELECT concat('u', user_id) AS path, CASE WHEN event_id % 13 = 0 THEN '*' ELSE event_type END AS key, CAST(CAST(floor(event_id / 20) AS BIGINT) AS VARCHAR) AS value, event_id % 2 AS side FROM {events}"
 
 
 def _messages(m: Bound, side: int) -> DataFrame:
-    rows = m["events"].where((F.col("user_id") < 40) & (F.col("event_id") % 2 == side))
+    rows = m["events"].where(F.col("event_id") % 2 == side)
     key = F.when(F.col("event_id") % 13 == 0, "*").otherwise(F.col("event_type"))
-    return rows.select(F.concat(F.lit("u"), "user_id").alias("path"), F.concat(key, F.lit(":"), (F.col("event_id") % 89).cast("string")).alias("message"))
+    return rows.select(F.concat(F.lit("u"), "user_id").alias("path"), F.concat(key, F.lit(":"), F.floor(F.col("event_id") / 20).cast("string")).alias("message"))
 
 
 query("message_bridge", f"WITH x AS ({MSG}) SELECT DISTINCT s.path AS source, r.path AS target FROM x s JOIN x r ON s.side = 0 AND r.side = 1 AND s.value = r.value AND (s.key = r.key OR r.key = '*') AND s.path <> r.path")(lambda m: D.message_bridge(_messages(m, 0), _messages(m, 1)))
-query("name_bridge", """SELECT DISTINCT c.source, d.path AS target, c.n AS name FROM (SELECT DISTINCT source, 'lib' AS layer, CASE WHEN name LIKE 'red %' THEN substr(name, 5) ELSE name END AS n FROM {calls} WHERE name LIKE 'red %') c
+query("name_bridge", """SELECT DISTINCT c.source, d.path AS target, c.n AS name FROM (SELECT DISTINCT source, 'lib' AS layer, CASE WHEN name LIKE 'red %' THEN substr(name, 5) ELSE name END AS n FROM {calls}) c
   JOIN (SELECT DISTINCT path, kind AS layer, CASE WHEN name LIKE 'red %' THEN substr(name, 5) ELSE name END AS n FROM {symbols}) d ON d.n = c.n WHERE c.layer <> d.layer""")(
-    lambda m: D.name_bridge(m["calls"].where("name like 'red %'").select(F.col("source").alias("path"), F.lit("lib").alias("layer"), "name"), m["symbols"].select("path", F.col("kind").alias("layer"), "name"), ("red ",))
+    lambda m: D.name_bridge(m["calls"].select(F.col("source").alias("path"), F.lit("lib").alias("layer"), "name"), m["symbols"].select("path", F.col("kind").alias("layer"), "name"), ("red ",))
 )
-WORKSPACE = """own AS (SELECT DISTINCT p_type AS project, lower(replace(p_name, ' ', '-')) AS id FROM {part} WHERE p_size < 2), asked AS (SELECT DISTINCT p_type AS project, lower(replace(p_name, ' ', '-')) AS id FROM {part} WHERE p_size > 45),
+WORKSPACE = """own AS (SELECT DISTINCT p_type AS project, lower(replace(concat(p_name, ' ', p_size), ' ', '-')) AS id FROM {part}), asked AS (SELECT DISTINCT p_type AS project, lower(replace(concat(p_name, ' ', (p_size * 7) % 61), ' ', '-')) AS id FROM {part}),
   n AS (SELECT id, count(*) AS n, min(project) AS target FROM own GROUP BY id), w AS (SELECT project, asked.id AS name, CASE WHEN n IS NULL THEN 'external' WHEN n = 1 THEN 'route' ELSE 'ambiguous' END AS outcome, CASE WHEN n = 1 THEN target END AS target FROM asked LEFT JOIN n ON n.id = asked.id)"""
 
 
 def _workspace(m: Bound) -> DataFrame:
-    rows = m["part"].select(F.col("p_type").alias("project"), F.replace("p_name", F.lit(" "), F.lit("_")).alias("name"), "p_size")
-    return D.workspace(rows.where("p_size > 45"), rows.where("p_size < 2"), "python")
+    def named(number: Column) -> DataFrame:
+        return m["part"].select(F.col("p_type").alias("project"), F.replace(F.concat_ws(" ", "p_name", number.cast("string")), F.lit(" "), F.lit("_")).alias("name"))
+
+    return D.workspace(named(F.col("p_size") * 7 % 61), named(F.col("p_size")), "python")
 
 
 for _name, _word in (("routes", "route"), ("externals", "external"), ("ambiguity", "ambiguous")):
     query(f"workspace_{_name}", f"WITH {WORKSPACE} SELECT * FROM w WHERE outcome = '{_word}'")(lambda m, w=_word: _workspace(m).where(F.col("outcome") == w))
-query("enclosing_span", """SELECT path, pos, name FROM (SELECT p.path, p.pos, s.name, row_number() OVER (PARTITION BY p.path, p.pos ORDER BY s."end" - s.start, s.name) AS i FROM {chat_points} p JOIN {chat_spans} s ON s.path = p.path AND s.start <= p.pos AND p.pos < s."end") WHERE i = 1""")(lambda m: D.enclosing(m["chat_points"], m["chat_spans"]))
-query("call_resolution_ladder", """WITH d AS (SELECT p_type AS language, p_name AS name, count(DISTINCT p_brand) AS n FROM {part} WHERE p_size < 12 GROUP BY 1, 2), c AS (SELECT DISTINCT p_brand AS source, p_type AS language, p_name AS name FROM {part})
-  SELECT c.source, c.name, CASE WHEN n = 1 THEN 'unique' WHEN n > 1 THEN 'ambiguous' WHEN c.name = 'red bolt' THEN 'builtin' ELSE 'unresolved' END AS resolution, coalesce(n, 0) AS candidates FROM c LEFT JOIN d ON d.language = c.language AND d.name = c.name""")(
-    lambda m: (lambda p: D.call_ladder(p.withColumnRenamed("path", "source"), p.where("p_size < 12"), ("red bolt",)))(m["part"].select(F.col("p_brand").alias("path"), F.col("p_type").alias("language"), F.col("p_name").alias("name"), "p_size"))
+query("enclosing_span", """SELECT path, pos, name FROM (SELECT p.path, p.pos, s.name, row_number() OVER (PARTITION BY p.path, p.pos ORDER BY s."end" - s.start, s.name) AS i FROM {chat_points} p LEFT JOIN {chat_spans} s ON s.path = p.path AND s.start <= p.pos AND p.pos < s."end") WHERE i = 1""")(lambda m: D.enclosing(m["chat_points"], m["chat_spans"]))
+query("call_resolution_ladder", """WITH d AS (SELECT p_type AS language, p_name AS name, count(DISTINCT p_brand) AS n FROM {part} GROUP BY 1, 2), c AS (SELECT DISTINCT p_brand AS source, p_type AS language, CASE WHEN p_size % 9 = 0 THEN concat(p_name, '2') WHEN p_size % 9 = 1 THEN 'print' ELSE p_name END AS name FROM {part})
+  SELECT c.source, c.name, CASE WHEN n = 1 THEN 'unique' WHEN n > 1 THEN 'ambiguous' WHEN c.name = 'print' THEN 'builtin' ELSE 'unresolved' END AS resolution, coalesce(n, 0) AS candidates FROM c LEFT JOIN d ON d.language = c.language AND d.name = c.name""")(
+    lambda m: (lambda p: D.call_ladder(p.select(F.col("path").alias("source"), "language", F.expr("CASE WHEN p_size % 9 = 0 THEN concat(name, '2') WHEN p_size % 9 = 1 THEN 'print' ELSE name END").alias("name")), p, ("print",)))(m["part"].select(F.col("p_brand").alias("path"), F.col("p_type").alias("language"), F.col("p_name").alias("name"), "p_size"))
 )
 query("import_resolution_ladder", """WITH i AS (SELECT DISTINCT p_type AS source, p_name AS module FROM {part}), f AS (SELECT DISTINCT p_name AS path FROM {part} WHERE p_size = 3 UNION SELECT DISTINCT concat(p_name, '/index') FROM {part} WHERE p_size = 5),
   a AS (SELECT p_name AS module, count(DISTINCT p_brand) AS n, min(p_brand) AS package FROM {part} WHERE p_size = 9 GROUP BY 1), b AS (SELECT i.source, i.module, CASE WHEN EXISTS (SELECT 1 FROM f WHERE f.path = i.module) THEN i.module WHEN EXISTS (SELECT 1 FROM f WHERE f.path = concat(i.module, '/index')) THEN concat(i.module, '/index') END AS file FROM i)
@@ -410,16 +477,25 @@ query("component_summary", f"""WITH {CEDGES}, o AS (SELECT source, count(*) AS o
   FROM {{component_files}} c JOIN {{files}} f ON f.path = c.path LEFT JOIN o ON o.source = c.component GROUP BY c.component""")(
     lambda m: m["component_files"].join(m["files"], "path").groupBy("component").agg(F.count("*").alias("files"), F.sum("symbol_count").alias("symbols")).join(S.component_edges(m).groupBy(F.col("source").alias("component")).agg(F.count("*").alias("outgoing")), "component", "left").fillna(0, ["outgoing"])
 )
-GRAPH = f"{FEDGES}, g AS (SELECT source, CASE kind WHEN 'R' THEN 'imports' WHEN 'A' THEN 'declarations' ELSE 'packages' END AS family, target, CASE state WHEN 'current' THEN 2 WHEN 'unknown' THEN 1 ELSE 0 END AS r FROM fedges WHERE target <> 'n/NATION_4'), gr AS (SELECT source, family, target, {STATE.replace('CASE r', 'CASE max(r)')} AS state FROM g GROUP BY source, family, target)"
+GRAPH = f"{FEDGES}, g AS (SELECT source, CASE kind WHEN 'R' THEN 'imports' WHEN 'A' THEN 'declarations' ELSE 'packages' END AS family, target, CASE state WHEN 'current' THEN 2 WHEN 'unknown' THEN 1 ELSE 0 END AS r FROM fedges), gr AS (SELECT source, family, target, {STATE.replace('CASE r', 'CASE max(r)')} AS state FROM g GROUP BY source, family, target)"
 
 
 def _graph(m: Bound) -> DataFrame:
     kind = F.when(F.col("kind") == "R", "import").when(F.col("kind") == "A", "declaration").otherwise("external")
-    return G.relations(m["edges"].where("target <> 'n/NATION_4'").withColumn("kind", kind))
+    return G.relations(m["edges"].withColumn("kind", kind))
 
 
 query("graph_relations", f"WITH {GRAPH} SELECT * FROM gr")(_graph)
-query("graph_nodes", f"WITH {GRAPH}, own AS (SELECT path AS node FROM {{files}} WHERE id < 20) SELECT node, 'file' AS kind FROM own UNION ALL SELECT node, 'external' FROM (SELECT source AS node FROM gr UNION SELECT target FROM gr) WHERE node NOT IN (SELECT node FROM own)")(lambda m: G.nodes(m["files"].where("id < 20"), _graph(m)))
+query("graph_nodes", f"WITH {GRAPH}, pg AS (SELECT source, CASE family WHEN 'packages' THEN concat('package:', target) ELSE target END AS target FROM gr) SELECT path AS node, 'file' AS kind FROM {{files}} UNION ALL SELECT node, 'package' FROM (SELECT DISTINCT target AS node FROM pg) t WHERE node LIKE 'package:%'")(
+    lambda m: G.nodes(m["files"], _graph(m).withColumn("target", F.when(F.col("family") == "packages", F.concat(F.lit("package:"), "target")).otherwise(F.col("target"))))
+)
+query("graph_symbol_relations", """WITH o AS (SELECT DISTINCT name, path AS target FROM {symbols}), n AS (SELECT name, count(*) AS n FROM o GROUP BY name), h AS (SELECT DISTINCT source, relation, c.name, o.target, n FROM (SELECT DISTINCT source, relation, name FROM {calls}) c JOIN o ON o.name = c.name JOIN n ON n.name = c.name WHERE source <> o.target)
+  SELECT source, relation AS family, target, CASE WHEN min(n) = 1 THEN 'current' ELSE 'unknown' END AS state FROM h GROUP BY source, relation, target""")(lambda m: G.symbol_relations(m["calls"], m["symbols"]))
+ROUTES = """rr AS (SELECT DISTINCT path AS source, 'tests' AS family, target, 'current' AS state FROM {tests} UNION SELECT concat('build:', build), 'builds', path, 'current' FROM {builds} UNION SELECT concat('package:', package), 'packages', target, 'current' FROM {entrypoints})"""
+query("graph_route_relations", f"WITH {ROUTES} SELECT * FROM rr")(lambda m: G.route_relations(m["tests"], m["builds"], m["entrypoints"]))
+query("graph_component_level", f"""WITH {GRAPH}, o AS (SELECT DISTINCT component, path FROM {{component_files}}), b AS (SELECT coalesce(x.component, source) AS source, family, coalesce(y.component, target) AS target, state FROM gr LEFT JOIN o x ON x.path = source LEFT JOIN o y ON y.path = target)
+  SELECT source, family, target, CASE max(CASE state WHEN 'current' THEN 2 WHEN 'unknown' THEN 1 ELSE 0 END) WHEN 2 THEN 'current' WHEN 1 THEN 'unknown' ELSE 'stale' END AS state, 0 AS collapsed FROM b WHERE source <> target GROUP BY source, family, target
+  UNION ALL SELECT NULL, family, NULL, NULL, count(*) FROM b WHERE source = target GROUP BY family""")(lambda m: G.at_level(_graph(m), m["component_files"]))
 query("graph_groups", f"WITH {GRAPH} SELECT a.layer AS from_group, family, b.layer AS to_group, count(*) AS relations, count(DISTINCT source) AS members FROM gr JOIN {{files}} a ON a.path = source JOIN {{files}} b ON b.path = target WHERE a.layer <> b.layer GROUP BY 1, 2, 3")(lambda m: G.grouped(_graph(m), G.group_key(m["files"], "layer")))
 query("graph_ledger", f"WITH {GRAPH} SELECT family, count(*) AS collapsed FROM gr JOIN {{files}} a ON a.path = source JOIN {{files}} b ON b.path = target WHERE a.language = b.language GROUP BY family")(lambda m: G.ledger(_graph(m), G.group_key(m["files"], "language")))
 query("graph_evidence_overlay", f"WITH {GRAPH} SELECT family, state, count(*) AS relations FROM gr GROUP BY family, state")(lambda m: G.evidence_overlay(_graph(m)))
@@ -427,7 +503,6 @@ query("graph_evidence_overlay", f"WITH {GRAPH} SELECT family, state, count(*) AS
 
 # --- sources, sinks, streaming -----------------------------------------------------------------
 from factweave.sources import readers as I  # noqa: E402
-from factweave.sources import sinks as O  # noqa: E402
 from factweave.streaming.changes import event_windows  # noqa: E402
 
 query("inventory_counts", """SELECT count(*) AS inventory_files, count(*) FILTER (WHERE path LIKE '%/de/%') AS ignored, count(*) FILTER (WHERE oversized AND path NOT LIKE '%/de/%') AS oversized,
@@ -455,8 +530,8 @@ from factweave.sources import builds as B  # noqa: E402
 from factweave.sources import lexical as L  # noqa: E402
 
 query("lexical_facts", """SELECT DISTINCT concat('b/', p_brand, '.py') AS path, 'python' AS language, d AS domain, CASE d WHEN 'declaration' THEN replace(p_name, ' ', '_') ELSE lower(p_type) END AS name, 'lexical-occurrence' AS claim
-  FROM {part} CROSS JOIN (VALUES ('declaration'), ('import')) v(d) WHERE p_size < 10""")(
-    lambda m: L.facts(m["part"].where("p_size < 10").select(F.concat(F.lit("b/"), "p_brand", F.lit(".py")).alias("path"), F.concat(F.lit("import "), F.lower("p_type"), F.lit("\n# def no(): pass\ndef "), F.replace("p_name", F.lit(" "), F.lit("_")), F.lit("():\n    pass\n")).alias("text")))
+  FROM {part} CROSS JOIN (VALUES ('declaration'), ('import')) v(d)""")(
+    lambda m: L.facts(m["part"].select(F.concat(F.lit("b/"), "p_brand", F.lit(".py")).alias("path"), F.concat(F.lit("import "), F.lower("p_type"), F.lit("\n# def no(): pass\ndef "), F.replace("p_name", F.lit(" "), F.lit("_")), F.lit("():\n    pass\n")).alias("text")))
 )
 query("make_targets", "SELECT p_brand AS path, concat('t', p_partkey) AS build, d AS dep FROM {part} CROSS JOIN (VALUES ('a.c'), ('b.h')) v(d)")(
     lambda m: B.make_targets(m["part"].select(F.col("p_brand").alias("path"), F.concat(F.lit("X := 1\nt"), "p_partkey", F.lit(": a.c \\\n b.h\n\tcc $<\n")).alias("text")))
@@ -467,28 +542,28 @@ query("compile_commands", "SELECT p_brand AS directory, concat(p_partkey, '.c')
 query("context_page", """SELECT path, name, kind, line FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY line DESC, path, name) AS i FROM (SELECT DISTINCT path, name, kind, line FROM {symbols})) WHERE i > 2 AND i <= 7""")(
     lambda m: Q.page(m["symbols"].select("path", "name", "kind", "line").distinct(), "kind", [F.desc("line"), "path", "name"], 5, 2)
 )
-query("diagnostics", "SELECT 'error' AS severity, 'component-without-file' AS code, r_name AS key FROM {region} WHERE r_name NOT IN (SELECT component FROM {component_files} WHERE path LIKE '%_2')")(
-    lambda m: Q.diagnostics(m["region"].select(F.col("r_name").alias("key")), m["component_files"].where("path like '%_2'").select(F.col("component").alias("key")), "component-without-file")
+query("diagnostics", "SELECT 'warning' AS severity, 'file-without-component' AS code, path AS key FROM {files} WHERE path NOT IN (SELECT path FROM {component_files})")(
+    lambda m: Q.diagnostics(m["files"].select(F.col("path").alias("key")), m["component_files"].select(F.col("path").alias("key")), "file-without-component", "warning")
 )
 
 # --- building a Map ----------------------------------------------------------------------------
 from factweave.operators import construct as K  # noqa: E402
 
-DEFS = "d AS (SELECT DISTINCT name, path AS target FROM {symbols} WHERE line % 5 = 0), n AS (SELECT name, count(*) AS n FROM d GROUP BY name)"
+DEFS = "d AS (SELECT DISTINCT name, path AS target FROM {symbols}), n AS (SELECT name, count(*) AS n FROM d GROUP BY name)"
 
 
 def _defs(m: Bound) -> DataFrame:
-    return m["symbols"].where("line % 5 = 0").select("name", F.col("path").alias("target"))
+    return m["symbols"].select("name", F.col("path").alias("target"))
 
 
 query("reference_edges", f"""WITH {DEFS}, u AS (SELECT DISTINCT source, name FROM {{calls}} WHERE relation = 'references')
   SELECT source, 'reference' AS kind, target, string_agg(u.name, ',' ORDER BY u.name) AS names, CASE WHEN min(n) = 1 THEN 'current' ELSE 'unknown' END AS state FROM u JOIN d ON d.name = u.name JOIN n ON n.name = u.name WHERE source <> target GROUP BY source, target""")(
     lambda m: K.reference_edges(m["calls"].where("relation = 'references'"), _defs(m)).withColumn("names", F.array_join("names", ","))
 )
-query("inherited_members", """WITH RECURSIVE m AS (SELECT concat('p/', p_partkey) AS cls, p_type AS name FROM {part} WHERE p_size < 20), b AS (SELECT DISTINCT source AS cls, target AS base FROM {arcs} WHERE kind = 'call'),
-  a AS (SELECT cls, cls AS owner, 0 AS distance FROM (SELECT cls FROM m UNION SELECT cls FROM b) UNION ALL SELECT a.cls, b.base, distance + 1 FROM a JOIN b ON b.cls = a.owner WHERE distance < 4)
-  SELECT cls, name, owner, distance FROM (SELECT a.cls, m.name, owner, distance, row_number() OVER (PARTITION BY a.cls, m.name ORDER BY distance, owner) AS i FROM a JOIN m ON m.cls = a.owner) WHERE i = 1""")(
-    lambda m: K.inherited_members(m["part"].where("p_size < 20").select(F.concat(F.lit("p/"), "p_partkey").alias("cls"), F.col("p_type").alias("name")), m["arcs"].where("kind = 'call'").select(F.col("source").alias("cls"), F.col("target").alias("base")), 4)
+query("inherited_members", """WITH RECURSIVE m AS (SELECT concat('p/', p_partkey) AS cls, p_type AS name FROM {part}), b AS (SELECT DISTINCT source AS cls, target AS base FROM {arcs} WHERE kind = 'call'),
+  a AS (SELECT cls, cls AS owner, 0 AS distance FROM (SELECT cls FROM m UNION SELECT cls FROM b) UNION ALL SELECT a.cls, b.base, distance + 1 FROM a JOIN b ON b.cls = a.owner WHERE distance < 64)
+  SELECT cls, name, owner, distance, true AS complete FROM (SELECT a.cls, m.name, owner, distance, row_number() OVER (PARTITION BY a.cls, m.name ORDER BY distance, owner) AS i FROM a JOIN m ON m.cls = a.owner) WHERE i = 1""")(
+    lambda m: K.inherited_members(m["part"].select(F.concat(F.lit("p/"), "p_partkey").alias("cls"), F.col("p_type").alias("name")), m["arcs"].where("kind = 'call'").select(F.col("source").alias("cls"), F.col("target").alias("base")))
 )
 query("static_test_routes", f"""WITH {DEFS}, c AS (SELECT path, pos, p_name AS name FROM {{chat_points}} JOIN {{part}} ON p_partkey = pos % 150),
   e AS (SELECT path, pos, name AS selector FROM (SELECT p.path, p.pos, s.name, row_number() OVER (PARTITION BY p.path, p.pos ORDER BY s."end" - s.start, s.name) AS i FROM {{chat_points}} p JOIN {{chat_spans}} s ON s.path = p.path AND s.start <= p.pos AND p.pos < s."end") WHERE i = 1)
@@ -530,3 +605,22 @@ query("concept_query", "SELECT doc_id AS id, lang AS type FROM {documents} WHERE
 query("named_entries", "SELECT DISTINCT 'key' AS entry, event_type AS path, regexp_extract(props, '\\{\"(\\w+)\":', 1) AS value FROM {events} WHERE regexp_matches(props, '\\{\"(\\w+)\":')")(
     lambda m: B.named_entries(m["events"].select(F.col("event_type").alias("path"), F.col("props").alias("text")), "key", r'\{"(\w+)":').distinct()
 )
+
+query("coverage_contexts", "SELECT DISTINCT p_brand AS path, CAST(p_size AS BIGINT) AS line, concat('t', p_partkey) AS context FROM {part}")(
+    lambda m: I.coverage_py(m["part"].select(F.concat(F.lit('{"files":{"'), "p_brand", F.lit('":{"executed_lines":['), "p_size", F.lit('],"contexts":{"'), "p_size", F.lit('":["t'), "p_partkey", F.lit('"]}}}}')).alias("text"))).distinct()
+)
+query("coverage_statements", "SELECT DISTINCT p_brand AS path, CAST(p_size AS BIGINT) AS start, CAST(p_size + 2 AS BIGINT) AS \"end\", CAST(p_partkey AS BIGINT) AS hits FROM {part}")(
+    lambda m: I.istanbul(m["part"].select(F.concat(F.lit('{"'), "p_brand", F.lit('":{"statementMap":{"0":{"start":{"line":'), "p_size", F.lit(',"column":0},"end":{"line":'), F.col("p_size") + 2, F.lit(',"column":1}}},"s":{"0":'), "p_partkey", F.lit("}}}")).alias("text"))).distinct()
+)
+query("coverage_functions", "SELECT DISTINCT p_brand AS path, p_name AS name, CAST(p_size AS BIGINT) AS start, CAST(p_size + 9 AS BIGINT) AS \"end\", CAST(p_partkey AS BIGINT) AS hits FROM {part}")(
+    lambda m: I.v8_coverage(m["part"].select(F.concat(F.lit('{"result":[{"url":"file:///'), "p_brand", F.lit('","functions":[{"functionName":"'), "p_name", F.lit('","ranges":[{"startOffset":'), "p_size", F.lit(',"endOffset":'), F.col("p_size") + 9, F.lit(',"count":'), "p_partkey", F.lit("}]}]}]}")).alias("text"))).distinct()
+)
+query("bundle_problems", "SELECT CASE p_size % 4 WHEN 0 THEN 'no subject' WHEN 1 THEN 'no producer' WHEN 2 THEN 'unknown coverage' ELSE 'valid' END AS problem, count(*) AS bundles FROM {part} GROUP BY 1")(
+    lambda m: I.checked_bundles(m["part"].select(F.from_json(F.concat(
+        F.lit('{"artifact":"provider","subject":{"project":'), F.when(F.col("p_size") % 4 == 0, "null").otherwise('"p"'), F.lit('},"producer":{"name":'), F.when(F.col("p_size") % 4 == 1, "null").otherwise('"x"'),
+        F.lit('},"capabilities":[{"domain":"d","coverage":"'), F.when(F.col("p_size") % 4 == 2, "odd").otherwise("partial"), F.lit('"}]}'),
+    ), I.BUNDLE).alias("b")).select("b.*")).groupBy(F.coalesce("problem", F.lit("valid")).alias("problem")).agg(F.count("*").alias("bundles"))
+)
+query("float_encodings", "SELECT * FROM (VALUES ('{\"float\":\"+inf\"}', '7ff0000000000000'), ('{\"float\":\"-inf\"}', 'fff0000000000000'), ('{\"float\":\"-0\"}', '8000000000000000'), ('{\"float_bits\":\"3ff0000000000000\"}', '3ff0000000000000'), ('{\"float\":\"what\"}', NULL), ('1.5', '3ff8000000000000')) v(encoded, bits)")(
+    lambda m: A.float_bits(m.spark.createDataFrame([(e,) for e in ('{"float":"+inf"}', '{"float":"-inf"}', '{"float":"-0"}', '{"float_bits":"3ff0000000000000"}', '{"float":"what"}', "1.5")], "encoded string"))
+)

@@ -45,11 +45,11 @@ BINDINGS: dict[str, str] = {
         CASE WHEN p_partkey % 11 = 0 THEN 'stale' WHEN p_partkey % 7 = 0 THEN 'unknown' ELSE 'current' END AS state,
         CASE p_partkey % 4 WHEN 0 THEN 'unique' WHEN 1 THEN 'candidate' WHEN 2 THEN 'ambiguous' ELSE 'unique' END AS resolution FROM {part} CROSS JOIN (SELECT count(*) AS n FROM {part}) c
         UNION ALL SELECT concat('p/', p_partkey), concat('p/', CAST(floor(p_partkey / 2) AS BIGINT)), 'call', 'current', 'unique' FROM {part} WHERE p_partkey > 0""",
-    "facts": """SELECT 'text' AS domain, md5(lower(substr(text, 1, 40))) AS grp, source AS provider, CAST(right(source, 1) AS INT) % 3 AS mode,
+    "facts": """SELECT 'text' AS domain, md5(text) AS grp, source AS provider, CAST(right(source, 1) AS INT) % 3 AS mode,
         CASE lang WHEN 'en' THEN 'semantic-text' WHEN 'fr' THEN 'syntax-structure' WHEN 'de' THEN 'lexical-occurrence' ELSE 'other' END AS claim, concat(lang, ':', doc_id % 3) AS value FROM {documents}""",
     "before": """SELECT concat(l_partkey, '/', l_suppkey) AS key, CAST(sum(l_quantity) AS BIGINT) AS value FROM {lineitem} WHERE l_shipdate < DATE '1998-01-01' GROUP BY l_partkey, l_suppkey""",
     "after": """SELECT concat(l_partkey, '/', l_suppkey) AS key, CAST(sum(l_quantity) AS BIGINT) AS value FROM {lineitem} WHERE l_shipdate >= DATE '1997-01-01' AND l_shipdate < DATE '1999-01-01' GROUP BY l_partkey, l_suppkey""",
-    "parity_values": """SELECT p_type AS member, p_name AS value FROM {part} WHERE p_size < 20""",
+    "parity_values": """SELECT p_type AS member, concat(p_name, ' ', p_size) AS value FROM {part}""",
     "chat_spans": """SELECT CAST(conv_id AS VARCHAR(20)) AS path, concat(role, turn) AS name, turn * 500 AS start, turn * 500 + length(text) AS `end` FROM {conversations} WHERE length(text) > 0""",
     "chat_points": """SELECT DISTINCT CAST(conv_id AS VARCHAR(20)) AS path, turn * 500 + length(text) % 490 AS pos FROM {conversations}""",
 }

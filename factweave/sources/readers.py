@@ -19,10 +19,14 @@ COVERAGE = ("complete", "bounded", "partial", "none")
 
 
 def repository(spark: SparkSession, root: str, ignore: list[str], most_bytes: int = 64 << 20) -> DataFrame:
-    """(path, bytes, ignored, oversized): files below a folder, without reading their content."""
+    """(path, bytes, ignored, oversized): files below a folder, without reading their content.
+
+    Paths are relative to the folder, also where its name occurs again further down.
+    """
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", F.col("length").alias("bytes"))
-    path = F.expr(f"substring(path, instr(path, '{root.rstrip('/')}') + {len(root.rstrip('/')) + 1})")
-    named = rows.withColumn("path", path)
+    own = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    whole = own.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(own).toString().rstrip("/") + "/"
+    named = rows.withColumn("path", F.substring(F.replace(F.col("path"), F.lit("file:///"), F.lit("file:/")), len(whole) + 1, 1 << 30))
     return named.withColumn("ignored", P.ignore_decision(F.col("path"), ignore)).withColumn("oversized", F.col("bytes") > most_bytes)
 
 
@@ -48,10 +52,16 @@ def bundles(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(BUNDLE).option("multiLine", True).json(path)
 
 
-def valid_bundles(rows: DataFrame) -> DataFrame:
-    """Bundles with a subject, a producer and only known coverage words."""
+def checked_bundles(rows: DataFrame) -> DataFrame:
+    """rows with ``problem``: null for a bundle with a subject, a producer and only known coverage words, else what is wrong."""
     known = F.forall(F.coalesce("capabilities", F.array().cast("array<struct<domain:string,coverage:string,claims:array<string>,boundary:string>>")), lambda c: c["coverage"].isin(*COVERAGE))
-    return rows.where(F.col("subject.project").isNotNull() & F.col("producer.name").isNotNull() & known)
+    problem = F.when(F.col("artifact").isNull() & F.col("subject").isNull(), "unreadable").when(F.col("subject.project").isNull(), "no subject")
+    return rows.withColumn("problem", problem.when(F.col("producer.name").isNull(), "no producer").when(~known, "unknown coverage"))
+
+
+def valid_bundles(rows: DataFrame) -> DataFrame:
+    """Bundles without a problem; ``checked_bundles`` tells of the others."""
+    return checked_bundles(rows).where("problem is null").drop("problem")
 
 
 def facts_of(rows: DataFrame) -> DataFrame:
@@ -110,11 +120,19 @@ def istanbul(texts: DataFrame) -> DataFrame:
     return rows.select("path", F.col("at.start.line").alias("start"), F.col("at.end.line").alias("end"), F.col("s")[F.col("id")].alias("hits"))
 
 
+def v8_coverage(texts: DataFrame) -> DataFrame:
+    """(path, name, start, end, hits) of functions' ranges (offsets) from V8 reports in (text); paths without the file scheme."""
+    doc = F.from_json("text", "result array<struct<url:string,functions:array<struct<functionName:string,ranges:array<struct<startOffset:bigint,endOffset:bigint,count:bigint>>>>>>")
+    scripts = texts.select(F.explode(doc["result"]).alias("r")).select(F.regexp_replace("r.url", r"^file:///?", "").alias("path"), F.explode("r.functions").alias("f"))
+    ranges = scripts.select("path", F.col("f.functionName").alias("name"), F.explode("f.ranges").alias("x"))
+    return ranges.select("path", "name", F.col("x.startOffset").alias("start"), F.col("x.endOffset").alias("end"), F.col("x.count").alias("hits"))
+
+
 def observed_tests(lines: DataFrame, declarations: DataFrame) -> DataFrame:
     """(context, path, name): tests that ran a line of a declaration, by its innermost span."""
     from factweave.operators.delta import enclosing
 
-    inner = enclosing(lines.select("path", F.col("line").alias("pos")).distinct(), declarations)
+    inner = enclosing(lines.select("path", F.col("line").alias("pos")).distinct(), declarations).where("name is not null")
     return lines.join(inner.withColumnRenamed("pos", "line"), ["path", "line"]).select("context", "path", "name").distinct()
 
 

@@ -84,9 +84,21 @@ def concept_query(concepts: DataFrame, types: tuple = (), tags: tuple = (), text
     return concepts.where(keep & (F.contains(F.lower("body"), F.lit(text.lower())) if text else F.lit(True)))
 
 
-def freeze_baseline(found: DataFrame, path: str) -> None:
-    """Write the active findings as the next baseline."""
-    found.select("comparison", "key").distinct().write.mode("overwrite").parquet(path)
+def next_baseline(found: DataFrame, before: DataFrame | None = None) -> DataFrame:
+    """(comparison, key, status) of the next baseline: active findings, and those resolved now or before.
+
+    before: the last baseline, of the same columns. A finding that is active again is active.
+    """
+    active = found.select("comparison", "key").distinct().withColumn("status", F.lit("active"))
+    if before is None:
+        return active
+    gone = before.select("comparison", "key").distinct().join(active, ["comparison", "key"], "left_anti")
+    return active.unionByName(gone.withColumn("status", F.lit("resolved")))
+
+
+def freeze_baseline(found: DataFrame, path: str, before: DataFrame | None = None) -> None:
+    """Write the next baseline to a new folder; an existing one is not overwritten, as ``before`` may still be read."""
+    next_baseline(found, before).write.mode("error").parquet(path)
 
 
 def derive_actions(found: DataFrame) -> DataFrame:

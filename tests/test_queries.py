@@ -3,7 +3,7 @@ from oracle import same
 
 from factweave import queries as q
 
-NAMES = sorted(q.queries())
+NAMES = sorted(q.oracle_sql())
 
 
 @pytest.mark.parametrize("name", NAMES)
@@ -14,6 +14,6 @@ def test_against_sql(spark, sf_dir, name):
 def test_entry(spark):
     import __spark_entry__ as e
 
-    assert set(NAMES) <= set(e.queries())
+    assert set(q.queries()) <= set(e.queries()) and set(NAMES) == set(q.queries())
     assert set(e.oracle_sql()) <= set(e.queries())
     assert e.entry(spark).count() > 0

@@ -5,14 +5,16 @@ import re
 import xml.dom.minidom
 
 import pytest
-from hypothesis import given
+from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from factweave.functions import patterns as P
 from factweave.functions import text as X
 from factweave.operators import constraints as C
+from factweave.operators import construct as K
 from factweave.operators import delta as D
+from factweave.operators import merge as M
 from factweave.operators import predicates as A
 from factweave.operators import traverse as T
 from factweave.sources import readers as I
@@ -177,3 +179,111 @@ def test_refreshed_facts(spark, tmp_path):
     run.processAllAvailable()
     run.stop()
     assert [r.name for r in spark.read.parquet(str(tmp_path / "out")).collect()] == ["f"]
+
+
+def test_completeness_is_not_claimed_for_partial_operands(spark):
+    from factweave.plans.evidence import Projection
+
+    items = spark.createDataFrame([("a", "current"), ("b", "current")], "key string, state string")
+    more = spark.range(5)
+
+    def kind(**options):
+        return Projection(items, "set", more, **options).completeness().first()
+
+    assert kind().classification == "complete" and (kind().universe, kind().selected, kind().excluded) == (5, 2, 3)
+    assert kind(truncated=True).classification == kind(unsupported=spark.range(1)).classification == "incomplete" and kind(known=False).classification == "unknown"
+    stale = Projection(items.unionByName(spark.createDataFrame([("c", "stale")], "key string, state string")), "set").completeness().first()
+    assert (stale.selected, stale.evaluated, stale.unknown, stale.classification) == (3, 2, 1, "incomplete")
+    found = spark.createDataFrame([("missing", "x", "current")], "comparison string, key string, state string")
+    assert [(r.key, r.state) for r in A.guard(found, Projection(items, "set", truncated=True).completeness()).collect()] == [("*", "unknown")]
+
+
+def test_cycles_are_named_and_bridges_between_them_are_not(spark):
+    rows = [("b", "c"), ("c", "a"), ("a", "b"), ("c", "x"), ("x", "y"), ("y", "x"), ("in", "a"), ("y", "out"), ("s", "s")]
+    edges = spark.createDataFrame(rows, "source string, target string")
+    got = {(r.comparison, r.key, r.state) for r in A.acyclic(edges).collect()}
+    assert got == {("different", k, "current") for k in ("a -> b -> c -> a", "x -> y -> x", "s -> s")}
+    assert A.acyclic(edges.where("source < target")).count() == 0
+    assert [(r.key, r.state) for r in A.acyclic(edges, most_edges=2).collect()] == [("*", "unknown")]
+
+
+def test_freshness_by_presence(spark):
+    schema = "key string, value string"
+    old = spark.createDataFrame([("a", None), ("b", "1"), ("c", None), ("d", "1")], schema)
+    new = spark.createDataFrame([("a", None), ("b", None), ("d", "1"), ("e", None)], schema)
+    r = D.freshness(old, new).first()
+    assert (r.added, r.missing, r.changed, r.unchanged, r.status) == (1, 1, 1, 2, "stale")
+
+
+@given(st.lists(st.tuples(st.integers(0, 5000), st.integers(1, 60000)), min_size=1, max_size=12), st.lists(st.integers(0, 60000), min_size=1, max_size=20))
+@settings(max_examples=5, deadline=None)
+def test_enclosing_against_brute_force(spark, spans, points):
+    rows = [("p", s, s + n, f"n{i:02}") for i, (s, n) in enumerate(spans)]
+    table = spark.createDataFrame(rows, "path string, start long, end long, name string")
+    asked = spark.createDataFrame([("p", x) for x in points] + [("q", 1)], "path string, pos long")
+    got = {(r.path, r.pos): r.name for r in D.enclosing(asked, table).collect()}
+    want = {("p", x): min(((e - s, n) for _, s, e, n in rows if s <= x < e), default=(0, None))[1] for x in points} | {("q", 1): None}
+    assert got == want
+
+
+def test_one_file_wide_span_is_at_most_two_rows(spark):
+    spans = spark.createDataFrame([("p", 0, 1 << 30, "whole")], "path string, start long, end long, name string")
+    plan = D.enclosing(spark.createDataFrame([("p", 77)], "path string, pos long"), spans)
+    assert plan.first().name == "whole"
+
+
+def test_inheritance_deeper_than_the_limit_is_marked(spark):
+    bases = spark.createDataFrame([(f"c{i}", f"c{i + 1}") for i in range(6)] + [("x", "y"), ("y", "x")], "cls string, base string")
+    members = spark.createDataFrame([("c6", "m"), ("x", "n")], "cls string, name string")
+    whole = {(r.cls, r.name, r.distance): r.complete for r in K.inherited_members(members, bases).collect()}
+    assert whole == {(f"c{i}", "m", 6 - i): True for i in range(7)} | {("x", "n", 0): True, ("y", "n", 1): True}
+    cut = {r.cls: r.complete for r in K.inherited_members(members, bases, 3).collect()}
+    assert cut == {"c3": True, "c4": True, "c5": True, "c6": True, "x": True, "y": True}
+
+
+def test_merge_conflicts_name_what_differs_and_fail_a_strict_merge(spark):
+    schema = "domain string, grp string, provider string, mode int, claim string, value string, extent string"
+    rows = [("d", "g1", "a", 0, "semantic-x", "v", "1-2"), ("d", "g1", "b", 1, "other", "v", "1-3"), ("d", "g2", "a", 0, "other", "v", None), ("d", "g2", "b", 1, "other", "v", "9"), ("d", "g3", "a", 0, "other", "v", "1"), ("d", "g3", "b", 0, "other", "v", "1")]
+    facts = spark.createDataFrame(rows, schema)
+    domains = spark.createDataFrame([("d", False)], "domain string, complete boolean")
+    assert {(r.grp, r.code, r.differs) for r in M.conflicts(facts, ("value", "extent")).collect()} == {("g1", "augment-mismatch", "extent"), ("g3", "duplicate-primary-occurrence", "")}
+    with pytest.raises(M.MergeConflict, match="2 conflicts; first augment-mismatch in d at g1"):
+        M.strict_merge(facts, domains, ("value", "extent"))
+    assert M.strict_merge(facts.where("grp = 'g2'"), domains).count() == 1
+    lent = {r.grp: (r.extent, r.enriched) for r in M.enriched(facts, ("extent",)).collect()}
+    assert lent["g2"] == ("9", "extent") and lent["g1"] == ("1-2", "")
+
+
+def test_baselines_are_not_overwritten(spark, tmp_path):
+    found = spark.createDataFrame([("missing", "a")], "comparison string, key string")
+    O.freeze_baseline(found, f"{tmp_path}/one")
+    before = spark.read.parquet(f"{tmp_path}/one")
+    O.freeze_baseline(found.where("false"), f"{tmp_path}/two", before)
+    assert [tuple(r) for r in spark.read.parquet(f"{tmp_path}/two").collect()] == [("missing", "a", "resolved")]
+    with pytest.raises(Exception, match="(?i)exists"):
+        O.freeze_baseline(found, f"{tmp_path}/one")
+
+
+def test_repository_paths_are_relative_whatever_the_folder(spark, tmp_path):
+    root = tmp_path / "it's" / "src"
+    (root / "src").mkdir(parents=True)
+    (root / "src" / "a.py").write_text("x")
+    (root / "b.c").write_text("yy")
+    got = {r.path: r.bytes for r in I.repository(spark, str(root), []).collect()}
+    assert got == {"src/a.py": 1, "b.c": 2}
+
+
+def test_an_optional_part_that_cannot_be_imported_leaves_the_others(monkeypatch):
+    import importlib
+
+    import __spark_entry__ as e
+
+    real = importlib.import_module
+
+    def broken(name, *a):
+        if name in ("factweave.llm.queries", "corpus_pipeline"):
+            raise ImportError("no library")
+        return real(name, *a)
+
+    monkeypatch.setattr(importlib, "import_module", broken)
+    assert "pipeline" not in e.queries() and len(e.queries()) == len(e.oracle_sql()) >= 140
