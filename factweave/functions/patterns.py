@@ -134,3 +134,33 @@ def ignore_decision(path: Column, rules: list[str]) -> Column:
         hit = path.rlike(collection_regex(pattern)) | path.rlike(collection_regex(pattern + "/**"))
         out = F.when(hit, F.lit(not rule.startswith("!"))).otherwise(out)
     return out
+
+
+def layered_ignore(path: Column, sources: list[tuple[str, list[str]]]) -> Column:
+    """Whether ignore files rule a path out; sources: (folder, lines), ``""`` for the root.
+
+    A file's rules hold below its folder, deeper files' after shallower ones', and the last that
+    matches decides. ``/`` at the end asks for a folder, one elsewhere anchors the rule to its file's
+    folder, ``!`` takes a decision back. What lies in a folder that is ruled out stays out.
+    """
+    rules = []
+    for folder, lines in sorted(sources, key=lambda x: (x[0].count("/") + bool(x[0]), x[0])):
+        for line in lines:
+            rule = line.rstrip("\n").rstrip(" ")
+            if not rule or rule.startswith("#"):
+                continue
+            body = rule.removeprefix("!").removeprefix("\\")
+            inner = body.rstrip("/")
+            tail = inner.lstrip("/") if "/" in inner else f"**/{inner}"
+            rules.append((collection_regex("/".join(x for x in (folder, tail) if x)), not rule.startswith("!"), body.endswith("/")))
+
+    def decided(one: Column, is_folder: bool) -> Column:
+        out = F.lit(False)
+        for regex, ignored, folders_only in rules:
+            if is_folder or not folders_only:
+                out = F.when(one.rlike(regex), F.lit(ignored)).otherwise(out)
+        return out
+
+    parts = F.split(path, "/")
+    folders = F.transform(F.slice(parts, 1, F.size(parts) - 1), lambda _, i: F.array_join(F.slice(parts, 1, i + 1), "/"))
+    return F.exists(folders, lambda f: decided(f, True)) | decided(path, False)

@@ -624,3 +624,62 @@ query("bundle_problems", "SELECT CASE p_size % 4 WHEN 0 THEN 'no subject' WHEN 1
 query("float_encodings", "SELECT * FROM (VALUES ('{\"float\":\"+inf\"}', '7ff0000000000000'), ('{\"float\":\"-inf\"}', 'fff0000000000000'), ('{\"float\":\"-0\"}', '8000000000000000'), ('{\"float_bits\":\"3ff0000000000000\"}', '3ff0000000000000'), ('{\"float\":\"what\"}', NULL), ('1.5', '3ff8000000000000')) v(encoded, bits)")(
     lambda m: A.float_bits(m.spark.createDataFrame([(e,) for e in ('{"float":"+inf"}', '{"float":"-inf"}', '{"float":"-0"}', '{"float_bits":"3ff0000000000000"}', '{"float":"what"}', "1.5")], "encoded string"))
 )
+
+# --- resolution, configuration, occurrences ---------------------------------------------------
+from factweave.operators import resolve as V  # noqa: E402
+from factweave.sources import config as N  # noqa: E402
+
+CALLED = """c AS (SELECT concat('f', p_partkey % 97) AS source, 'py' AS family, concat(p_name, p_size % 7) AS name, p_size % 11 = 0 AS method,
+    CASE p_size % 13 WHEN 0 THEN 'builtin' WHEN 1 THEN 'imported' WHEN 2 THEN 'local' END AS binding, CASE WHEN p_size % 17 = 0 THEN concat('f', p_partkey % 5) END AS target FROM {part}),
+  d AS (SELECT concat('f', p_partkey % 53) AS path, 'py' AS family, concat(p_name, p_size % 7 * 2) AS name, CASE p_size % 5 WHEN 0 THEN 'method' WHEN 1 THEN 'declaration' ELSE 'function' END AS kind, CASE WHEN p_size % 3 = 0 THEN 'local' ELSE 'public' END AS scope FROM {part})"""
+query("call_resolution_kinds", f"""WITH {CALLED}, u AS (SELECT * FROM d WHERE kind = 'function'), seen AS (SELECT name, count(DISTINCT path) AS n, min(path) AS one FROM u WHERE scope <> 'local' GROUP BY name),
+  own AS (SELECT name, path AS source, bool_and(scope = 'local') AS hidden FROM u GROUP BY 1, 2),
+  f AS (SELECT source, name, count(*) AS occurrences, CASE WHEN count(DISTINCT target) = 1 AND count(target) = count(*) THEN min(target) END AS exact,
+    bool_or(coalesce(binding = 'builtin', false)) AS b, bool_or(coalesce(binding = 'local', false)) AS l, bool_or(coalesce(binding = 'imported', false)) AS i FROM c WHERE NOT method GROUP BY 1, 2),
+  j AS (SELECT f.*, coalesce(seen.n, 0) + CASE WHEN coalesce(own.hidden, false) THEN 1 ELSE 0 END AS n, CASE WHEN coalesce(own.hidden, false) THEN f.source ELSE one END AS sole, f.name IN ('red bolt1', 'red bolt2') AS known, f.name = 'hot gear3' AS outer_
+    FROM f LEFT JOIN seen ON seen.name = f.name LEFT JOIN own ON own.name = f.name AND own.source = f.source),
+  k AS (SELECT *, CASE WHEN exact IS NOT NULL THEN 'unique' WHEN b AND NOT l AND NOT i THEN 'builtin' WHEN b OR l THEN 'unresolved' WHEN known AND NOT i AND n > 0 THEN 'unresolved' WHEN n = 0 AND known THEN 'builtin' WHEN n = 0 AND outer_ THEN 'external'
+    WHEN n > 1 THEN 'ambiguous' WHEN n = 1 AND NOT i AND sole = source THEN 'unique' WHEN n = 1 THEN 'candidate' ELSE 'unresolved' END AS kind FROM j)
+  SELECT source, name, kind, occurrences, CASE WHEN exact IS NOT NULL THEN 1 ELSE n END AS candidates, CASE WHEN exact IS NOT NULL THEN exact WHEN kind = 'external' THEN 'gears' WHEN kind = 'unique' THEN sole END AS target FROM k
+  UNION ALL SELECT source, name, 'method', count(*), 0, NULL FROM c WHERE method GROUP BY 1, 2""")(
+    lambda m: V.call_resolutions(m.spark.sql(f"WITH {CALLED} SELECT * FROM c", part=m["part"]), m.spark.sql(f"WITH {CALLED} SELECT * FROM d", part=m["part"]), {"py": ("red bolt1", "red bolt2")}, {"hot gear3": "gears"})
+)
+IMPORTED = """i AS (SELECT DISTINCT concat('d', p_size % 5, '/', p_brand, '.py') AS source, concat('d', p_size % 5) AS dir, CASE p_size % 4 WHEN 0 THEN concat('./m', p_partkey % 50) WHEN 1 THEN concat('../d', p_size % 3, '/m', p_partkey % 50) WHEN 2 THEN concat('m', p_partkey % 50) ELSE concat('../../m', p_partkey % 50) END AS module FROM {part}),
+  s AS (SELECT DISTINCT concat(CASE WHEN p_size % 6 = 0 THEN 'src' ELSE concat('d', p_size % 4) END, '/m', p_partkey % 40, CASE WHEN p_size % 2 = 0 THEN '.py' ELSE '/__init__.py' END) AS path FROM {part})"""
+query("import_files", f"""WITH {IMPORTED}, t AS (SELECT source, module, 1 AS place, concat(dir, '/', module) AS path, 'beside' AS how FROM i WHERE module NOT LIKE '.%' UNION ALL SELECT source, module, 3, concat('src/', module), 'root:src' FROM i WHERE module NOT LIKE '.%'
+    UNION ALL SELECT source, module, 1, concat(dir, '/', substr(module, 3)), 'relative' FROM i WHERE module LIKE './%' UNION ALL SELECT source, module, 1, substr(module, 4), 'relative' FROM i WHERE module LIKE '../d%'),
+  x AS (SELECT t.source, t.module, s.path, how, row_number() OVER (PARTITION BY t.source, t.module ORDER BY place + CASE WHEN s.path LIKE '%.py' AND s.path NOT LIKE '%/__init__.py' THEN 0 ELSE 1 END) AS n FROM t JOIN s ON s.path IN (concat(t.path, '.py'), concat(t.path, '/__init__.py')))
+  SELECT i.source, i.module, x.path AS target, x.how FROM i LEFT JOIN x ON x.source = i.source AND x.module = i.module AND n = 1""")(
+    lambda m: V.import_files(m.spark.sql(f"WITH {IMPORTED} SELECT * FROM i", part=m["part"]), m.spark.sql(f"WITH {IMPORTED} SELECT * FROM s", part=m["part"]), ("src",), (".py", "/__init__.py"))
+)
+query("index_states", """WITH sp AS (SELECT DISTINCT concat('i/', p_brand) AS path, CASE p_size % 2 WHEN 0 THEN 'scip' ELSE 'lsif' END AS format, p_brand < 'Brand#3' AS required FROM {part}), f AS (SELECT DISTINCT concat('i/', p_brand) AS path FROM {part} WHERE p_brand <> 'Brand#11'), r AS (SELECT DISTINCT concat('i/', p_brand) AS path FROM {part} WHERE p_brand LIKE '%2')
+  SELECT sp.path, format, CASE WHEN f.path IS NULL THEN 'missing-index' WHEN r.path IS NULL OR format <> 'scip' THEN 'index-provider-unavailable' ELSE 'ok' END AS status, CASE WHEN f.path IS NOT NULL AND r.path IS NOT NULL AND format = 'scip' THEN NULL WHEN required THEN 'error' ELSE 'warning' END AS severity
+  FROM sp LEFT JOIN f ON f.path = sp.path LEFT JOIN r ON r.path = sp.path""")(
+    lambda m: (lambda p: V.index_states(p.select("path", F.when(F.col("p_size") % 2 == 0, "scip").otherwise("lsif").alias("format"), (F.col("p_brand") < "Brand#3").alias("required")).distinct(), p.where("p_brand <> 'Brand#11'"), p.where("p_brand like '%2'").select("path", F.lit("scip").alias("format"))))(m["part"].withColumn("path", F.concat(F.lit("i/"), "p_brand")))
+)
+query("observation_applicability", """WITH n AS (SELECT DISTINCT concat('c', p_partkey % 200) AS "case", CASE WHEN p_size % 9 = 0 THEN NULL ELSE concat('k', p_size % 9) END AS capability FROM {part}), k AS (SELECT DISTINCT n_name AS route, concat('k', (n_nationkey * 3 + v) % 11) AS capability FROM {nation} CROSS JOIN (VALUES (0), (1), (2), (5), (7)) t(v)),
+  e AS (SELECT DISTINCT "case", n_name AS route FROM n CROSS JOIN {nation}), l AS (SELECT e."case", e.route, n.capability FROM e JOIN n ON n."case" = e."case" AND n.capability IS NOT NULL WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.route = e.route AND k.capability = n.capability))
+  SELECT e."case", e.route, count(l.capability) = 0 AS applicable, coalesce(string_agg(l.capability, ',' ORDER BY l.capability), '') AS lacking FROM e LEFT JOIN l ON l."case" = e."case" AND l.route = e.route GROUP BY 1, 2""")(
+    lambda m: V.applicability(
+        m["part"].select(F.concat(F.lit("c"), F.col("p_partkey") % 200).alias("case"), F.when(F.col("p_size") % 9 != 0, F.concat(F.lit("k"), F.col("p_size") % 9)).alias("capability")), m["nation"].select(F.col("n_name").alias("route")),
+        m["nation"].select(F.col("n_name").alias("route"), F.explode(F.array(*[F.concat(F.lit("k"), (F.col("n_nationkey") * 3 + v) % 11) for v in (0, 1, 2, 5, 7)])).alias("capability")),
+    )
+)
+query("config_inferred", """WITH b AS (SELECT DISTINCT p_brand AS brand FROM {part}) SELECT 'layer' AS kind, brand AS name, concat(brand, '/**') AS pattern, 'folders' AS origin FROM b UNION ALL SELECT 'package', concat('p', brand), concat(brand, '/**'), concat(brand, '/package.json') FROM b
+  UNION ALL SELECT 'build', 'make', concat(brand, '/**'), concat(brand, '/Makefile') FROM b UNION ALL SELECT 'build', 'script:go', concat(brand, '/**'), concat(brand, '/package.json') FROM b UNION ALL SELECT 'tests', concat(brand, '/tests'), concat(brand, '/tests/*'), 'folders' FROM b""")(
+    lambda m: (lambda b: N.infer(b.select(F.explode(F.array(
+        *[F.struct(F.concat("p_brand", F.lit(n)).alias("path"), t.alias("text")) for n, t in (("/a.py", F.lit("")), ("/x/b.c", F.lit("")), ("/tests/test_a.py", F.lit("")), ("/Makefile", F.lit("")), ("/notes.md", F.lit("")), ("/package.json", F.concat(F.lit('{"name":"p'), "p_brand", F.lit('","scripts":{"go":"make"}}'))))]
+    )).alias("f")).select("f.*")))(m["part"].select("p_brand").distinct())
+)
+query("layered_ignore", """SELECT path, (id LIKE '%7' AND id NOT LIKE '%77') OR (source LIKE '%7' AND source NOT LIKE '%77') OR (source = 'src2' AND lang = 'fr') OR (source = 'src3' AND (lang = 'de' OR (lang = 'en' AND id LIKE '%1'))) AS ignored
+  FROM (SELECT concat(source, '/', lang, '/', doc_id) AS path, source, lang, CAST(doc_id AS VARCHAR) AS id FROM {documents})""")(
+    lambda m: m["inventory"].select("path", P.layered_ignore(F.col("path"), [("src3", ["de/", "/en/*1"]), ("", ["# rules", "*7", "!*77", "/src2/fr/", "!/src2/fr/1*"])]).alias("ignored"))
+)
+query("lexical_occurrences", """WITH p AS (SELECT concat('b/', p_partkey, '.py') AS path, replace(p_name, ' ', '_') AS fn FROM {part}) SELECT path, 'call' AS domain, fn AS name, 12 AS start, 12 + length(fn) AS "end" FROM p
+  UNION ALL SELECT path, 'string', '"a(b) # c"', 13 + length(fn), 23 + length(fn) FROM p""")(
+    lambda m: L.occurrences(m["part"].select(F.concat(F.lit("b/"), "p_partkey", F.lit(".py")).alias("path"), F.concat(F.lit("# no(1)\nv = "), F.replace("p_name", F.lit(" "), F.lit("_")), F.lit('("a(b) # c")\ndef f(x):\n    if (x): pass\n')).alias("text")))
+)
+query("python_facts", """SELECT concat('b/', p_partkey, '.py') AS path, domain, CASE name WHEN '?' THEN replace(p_name, ' ', '_') ELSE name END AS name, CASE kind WHEN '?' THEN replace(p_name, ' ', '_') ELSE kind END AS kind, line, last AS "end"
+  FROM {part} CROSS JOIN (VALUES ('import', 'os', 'module', 1, 1), ('import', '.a:b', 'from', 2, 2), ('constant', 'LIMIT', 'int', 3, 3), ('declaration', '?', 'function', 5, 6), ('decorator', 'x.wrap', '?', 4, 4), ('call', 'x.wrap', 'method', 4, 4), ('call', 'go', 'free', 6, 6)) v(domain, name, kind, line, last)""")(
+    lambda m: I.python_facts(m["part"].select(F.concat(F.lit("b/"), "p_partkey", F.lit(".py")).alias("path"), F.concat(F.lit("import os\nfrom .a import b\nLIMIT = 3\n@x.wrap(1)\ndef "), F.replace("p_name", F.lit(" "), F.lit("_")), F.lit("():\n    return go(2)\n")).alias("text")))
+)

@@ -18,16 +18,18 @@ MANIFEST = "artifact string, schema_version int, project string, files array<str
 COVERAGE = ("complete", "bounded", "partial", "none")
 
 
-def repository(spark: SparkSession, root: str, ignore: list[str], most_bytes: int = 64 << 20) -> DataFrame:
+def repository(spark: SparkSession, root: str, ignore: list[str] | list[tuple[str, list[str]]], most_bytes: int = 64 << 20) -> DataFrame:
     """(path, bytes, ignored, oversized): files below a folder, without reading their content.
 
-    Paths are relative to the folder, also where its name occurs again further down.
+    Paths are relative to the folder, also where its name occurs again further down. ignore: rules of
+    the root, or (folder, rules) of every ignore file.
     """
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", F.col("length").alias("bytes"))
     own = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
     whole = own.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(own).toString().rstrip("/") + "/"
     named = rows.withColumn("path", F.substring(F.replace(F.col("path"), F.lit("file:///"), F.lit("file:/")), len(whole) + 1, 1 << 30))
-    return named.withColumn("ignored", P.ignore_decision(F.col("path"), ignore)).withColumn("oversized", F.col("bytes") > most_bytes)
+    sources = [("", ignore)] if ignore and isinstance(ignore[0], str) else ignore
+    return named.withColumn("ignored", P.layered_ignore(F.col("path"), sources)).withColumn("oversized", F.col("bytes") > most_bytes)
 
 
 def classify(files: DataFrame, layers: list[tuple[str, str]], roles: list[tuple[str, str]]) -> DataFrame:
@@ -145,23 +147,46 @@ def change_set(texts: DataFrame) -> DataFrame:
     return rows.select(words[F.substring(F.col("p")[0], 1, 1)].alias("status"), F.when(renamed, F.get("p", F.lit(2))).otherwise(F.get("p", F.lit(1))).alias("path"), F.when(renamed, F.get("p", F.lit(1))).alias("previous"))
 
 
-def python_symbols(texts: DataFrame) -> DataFrame:
-    """(path, name, kind, line, end) of definitions in Python sources (path, text), by stdlib ast.
+def python_facts(texts: DataFrame) -> DataFrame:
+    """(path, domain, name, kind, line, end) of Python sources (path, text), by stdlib ast.
 
-    A parser can't be an expression, so this is an Arrow-batched ingest step; a file that does not
-    parse gives one row of kind ``error``.
+    Domains: declaration (function, class; nested names are dotted), import (module or from; the
+    imported name), call (free or method; the dotted name if it is one), decorator and constant (names
+    in capitals bound at the top to a literal). A parser can't be an expression, so this is an
+    Arrow-batched ingest step; a file that does not parse gives one row of domain ``error``.
     """
     import ast
     from collections.abc import Iterator
 
     import pandas as pd
 
+    def dotted(node: ast.AST) -> str | None:
+        names = []
+        while isinstance(node, ast.Attribute):
+            names.append(node.attr)
+            node = node.value
+        return ".".join([node.id, *names[::-1]]) if isinstance(node, ast.Name) else None
+
     def walk(node: ast.AST, prefix: str) -> Iterator[tuple]:
         for child in ast.iter_child_nodes(node):
+            inner = prefix
             if isinstance(child, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
                 name = f"{prefix}{child.name}"
-                yield name, "class" if isinstance(child, ast.ClassDef) else "function", child.lineno, child.end_lineno
-                yield from walk(child, name + ".")
+                yield "declaration", name, "class" if isinstance(child, ast.ClassDef) else "function", child.lineno, child.end_lineno
+                for d in child.decorator_list:
+                    if called := dotted(d.func if isinstance(d, ast.Call) else d):
+                        yield "decorator", called, name, d.lineno, d.end_lineno
+                inner = name + "."
+            elif isinstance(child, ast.Import):
+                yield from (("import", a.name, "module", child.lineno, child.end_lineno) for a in child.names)
+            elif isinstance(child, ast.ImportFrom):
+                module = "." * child.level + (child.module or "")
+                yield from (("import", f"{module}:{a.name}", "from", child.lineno, child.end_lineno) for a in child.names)
+            elif isinstance(child, ast.Call) and (called := dotted(child.func)):
+                yield "call", called, "free" if isinstance(child.func, ast.Name) else "method", child.lineno, child.end_lineno
+            elif isinstance(child, ast.Assign) and isinstance(node, ast.Module) and isinstance(child.value, ast.Constant):
+                yield from (("constant", t.id, type(child.value.value).__name__, child.lineno, child.end_lineno) for t in child.targets if isinstance(t, ast.Name) and t.id.isupper())
+            yield from walk(child, inner)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -169,8 +194,13 @@ def python_symbols(texts: DataFrame) -> DataFrame:
             for path, text in zip(b["path"], b["text"], strict=True):
                 try:
                     out += [(path, *row) for row in walk(ast.parse(text or ""), "")]
-                except (SyntaxError, ValueError) as e:
-                    out.append((path, type(e).__name__, "error", getattr(e, "lineno", None) or 0, 0))
-            yield pd.DataFrame(out, columns=["path", "name", "kind", "line", "end"])
+                except (SyntaxError, ValueError, RecursionError) as e:
+                    out.append((path, "error", type(e).__name__, "error", getattr(e, "lineno", None) or 0, 0))
+            yield pd.DataFrame(out, columns=["path", "domain", "name", "kind", "line", "end"])
+
+    return texts.select("path", "text").mapInPandas(run, "path string, domain string, name string, kind string, line long, end long")
 
-    return texts.select("path", "text").mapInPandas(run, "path string, name string, kind string, line long, end long")
+
+def python_symbols(texts: DataFrame) -> DataFrame:
+    """(path, name, kind, line, end) of definitions; a file that does not parse gives one row of kind ``error``."""
+    return python_facts(texts).where("domain in ('declaration', 'error')").select("path", "name", "kind", "line", "end")

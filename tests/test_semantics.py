@@ -16,6 +16,7 @@ from factweave.operators import construct as K
 from factweave.operators import delta as D
 from factweave.operators import merge as M
 from factweave.operators import predicates as A
+from factweave.operators import resolve as V
 from factweave.operators import traverse as T
 from factweave.sources import readers as I
 from factweave.sources import sinks as O
@@ -287,3 +288,62 @@ def test_an_optional_part_that_cannot_be_imported_leaves_the_others(monkeypatch)
 
     monkeypatch.setattr(importlib, "import_module", broken)
     assert "pipeline" not in e.queries() and len(e.queries()) == len(e.oracle_sql()) >= 140
+
+
+def test_call_resolutions(spark):
+    calls = [
+        ("a", "py", "f", False, None, None), ("a", "py", "f", False, None, None), ("a", "py", "g", False, None, None), ("a", "py", "own", False, None, None), ("a", "py", "hidden", False, None, None),
+        ("a", "py", "print", False, None, None), ("a", "py", "len", False, None, None), ("a", "py", "np.sum", False, None, None), ("a", "py", "imp", False, "imported", None), ("a", "py", "f2", False, "local", None),
+        ("a", "py", "told", False, None, "z"), ("a", "py", "m", True, None, None), ("a", "py", "meth", False, None, None), ("a", "py", "odd", False, "builtin", None),
+    ]
+    defs = [("b", "py", "f", "function", "public"), ("b", "py", "g", "function", "public"), ("c", "py", "g", "class", "public"), ("a", "py", "own", "function", "local"), ("b", "py", "hidden", "function", "local"),
+            ("b", "py", "len", "function", "public"), ("b", "py", "imp", "function", "public"), ("b", "py", "f2", "function", "public"), ("b", "py", "meth", "method", "public"), ("b", "c", "print", "function", "public")]
+    got = V.call_resolutions(
+        spark.createDataFrame(calls, "source string, family string, name string, method boolean, binding string, target string"),
+        spark.createDataFrame(defs, "path string, family string, name string, kind string, scope string"), {"py": ("print", "len")}, {"np": "numpy"},
+    )
+    want = {
+        "f": ("candidate", 2, 1, None), "g": ("ambiguous", 1, 2, None), "own": ("unique", 1, 1, "a"), "hidden": ("unresolved", 1, 0, None), "print": ("builtin", 1, 0, None), "len": ("unresolved", 1, 1, None),
+        "np.sum": ("external", 1, 0, "numpy"), "imp": ("candidate", 1, 1, None), "f2": ("unresolved", 1, 1, None), "told": ("unique", 1, 1, "z"), "m": ("method", 1, 0, None), "meth": ("unresolved", 1, 0, None), "odd": ("builtin", 1, 0, None),
+    }
+    assert {r.name: (r.kind, r.occurrences, r.candidates, r.target) for r in got.collect()} == want
+
+
+def test_normal_paths_and_imports(spark):
+    paths = ["a/./b//c", "a/../b", "../x", "a/b/../../..", ""]
+    rows = spark.createDataFrame(list(enumerate(paths)), "i int, p string")
+    assert {r.i: r.n for r in rows.select("i", V.normal_path(F.col("p")).alias("n")).collect()} == {0: "a/b/c", 1: "b", 2: None, 3: None, 4: ""}
+    imports = spark.createDataFrame([("a/x.py", "./y"), ("a/x.py", "../lib/z"), ("a/x.py", "y"), ("a/x.py", "q"), ("a/x.py", "../../up")], "source string, module string")
+    files = spark.createDataFrame([("a/y.py",), ("lib/z/__init__.py",), ("inc/q.py",), ("y.py",)], "path string")
+    got = {r.module: (r.target, r.how) for r in V.import_files(imports, files, ("inc", "")).collect()}
+    assert got == {"./y": ("a/y.py", "relative"), "../lib/z": ("lib/z/__init__.py", "relative"), "y": ("a/y.py", "beside"), "q": ("inc/q.py", "root:inc"), "../../up": (None, None)}
+
+
+def test_scoped_seeds_enter_by_their_relations(spark):
+    edges = spark.createDataFrame([("s", "far", "current"), ("r", "next", "current"), ("w", "other", "current")], "source string, target string, state string")
+    seeds = spark.createDataFrame([("s", True), ("w", False)], "node string, scoped boolean")
+    relations = spark.createDataFrame([("s", "r")], "source string, target string")
+    got = {r.node: (r.distance, r.scoped) for r in V.scoped_routes(seeds, relations, edges, 2, "downstream").collect()}
+    assert got == {"s": (0, True), "r": (1, False), "next": (2, False), "w": (0, False), "other": (1, False)}
+
+
+@pytest.mark.parametrize(
+    ("path", "expected"),
+    [("a/b.o", True), ("keep.o", False), ("deep/keep.o", False), ("out/x", True), ("out/keep.o", True), ("lib/out/x", True), ("sub/t", True), ("t", False), ("sub/in/t", False), ("sub/u", False), ("x/#y", False), ("sp ace", True)],
+)
+def test_layered_ignore(spark, path, expected):
+    """A folder that is ruled out can't give files back; anchored rules hold in their own folder."""
+    sources = [("", ["*.o", "!keep.o", "out/", "sp ace  ", "#y"]), ("sub", ["/t", "u/"])]
+    assert spark.range(1).select(P.layered_ignore(F.lit(path), sources).alias("x")).first().x is expected
+
+
+def test_comment_signs_in_strings_are_no_comments(spark):
+    text = 'import a  # def no(): pass\nx = "# def no2():"\ndef yes():\n    """# def no3():"""\n    go(1) if (2) else obj.run("a(b")\n'
+    rows = spark.createDataFrame([("p.py", text), ("q.c", '#include "x.h"\nint main(void) {\n  puts("// f(1)"); /* g(2) */ return 0;\n}\n')], "path string, text string")
+    from factweave.sources import lexical as L
+
+    assert {(r.path, r.domain, r.name) for r in L.facts(rows).collect()} == {("p.py", "import", "a"), ("p.py", "declaration", "yes"), ("q.c", "import", "x.h"), ("q.c", "declaration", "main")}
+    found = {(r.path, r.domain, r["name"]): (r.start, r.end) for r in L.occurrences(rows).collect()}
+    assert {k[2] for k in found if k[:2] == ("p.py", "call")} == {"go", "obj.run"} and {k[2] for k in found if k[:2] == ("q.c", "call")} == {"main", "puts"}
+    texts = {r.path: r.text for r in rows.collect()}
+    assert all(texts[p][s:e] == name for (p, _, name), (s, e) in found.items())
