@@ -73,8 +73,8 @@ class Stages:
 
 def small_batches(spark: SparkSession) -> None:
     """Bound Arrow batches by bytes, as single texts may be very long; the same for every operator."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "8192")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(1 << 20))
 
 
 def partitions(spark: SparkSession) -> int:

@@ -3,8 +3,8 @@
 *Sampling.* Every window of ``NEED`` bytes has an anchor: the ``GRAM``-byte string in it with the
 least hash, leftmost if tied. Equal windows have equal anchors at equal places, so windows can be
 compared anchor by anchor. Consecutive windows with one anchor occurrence are a unit, about one in
-39 bytes. Equal units are one leaf: they are found by hash, and each but the earliest points to an
-earlier one that it repeats.
+39 bytes. Equal units are one leaf: they are found by hash, and each but the earliest points to the
+one before it.
 
 *Suffix array.* Where an anchor has several leaves, the bytes around each are one bucket. The bucket's
 suffixes whose first ``NEED`` bytes recur are sorted, neighbours' common prefixes give an enhanced
@@ -170,23 +170,22 @@ def _batch(names: list[str], *columns: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
 
 
-def _leaves(key: np.ndarray, unit: np.ndarray, places: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray]:
-    """For sorted units: which begin a leaf, and where each one's leaf begins."""
-    fresh = np.ones(len(key), bool)
-    fresh[1:] = (key[1:] != key[:-1]) | (unit[1:] != unit[:-1])
-    return fresh, np.maximum.accumulate(np.where(fresh, np.arange(len(key)), 0))
-
-
 def _merged(rows: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
-    """Units (key, unit, doc, twin, span) of a task; those that repeat an earlier one of it as repeats, with spread keys."""
+    """Units (key, unit, doc, twin, span) of a task; those that repeat an earlier one of it as repeats, with spread keys.
+
+    A repeat points to the occurrence before it, so that no place is pointed to by many, and what
+    repeats itself along a text points to one stretch of it.
+    """
     key, unit, doc, twin, span = (np.concatenate(c) for c in zip(*rows, strict=True))
     order = np.lexsort((span, twin, doc, unit, key))
     key, unit, doc, twin, span = (c[order] for c in (key, unit, doc, twin, span))
-    fresh, first = _leaves(key, unit, (doc, twin, span))
+    fresh = np.ones(len(key), bool)
+    fresh[1:] = (key[1:] != key[:-1]) | (unit[1:] != unit[:-1])
     low, length = span >> 7, (span & 127) - 1 + NEED
-    again = ~fresh & ~((doc == doc[first]) & (twin == twin[first]) & (low == low[first]))  # not for a row that is in the table twice
-    source = first[again]
-    out = _joined(doc[again], twin[again], low[again], length[again], doc[source], twin[source], low[source])
+    same = np.zeros(len(key), bool)  # a row that is in the table twice
+    same[1:] = (doc[1:] == doc[:-1]) & (twin[1:] == twin[:-1]) & (low[1:] == low[:-1])
+    again = np.flatnonzero(~fresh & ~same)
+    out = _joined(doc[again], twin[again], low[again], length[again], doc[again - 1], twin[again - 1], low[again - 1])
     spread = _mixed(out[0].view(np.uint64) + out[2].view(np.uint64))
     n, none = int(fresh.sum()), np.zeros(int(fresh.sum()), np.int64)
     own = (key[fresh].view(np.int64), unit[fresh].view(np.int64), doc[fresh], twin[fresh], span[fresh], none, none, np.full(n, -1))
@@ -229,8 +228,9 @@ def _unit_rows(docs: DataFrame, hot: np.ndarray, seed: int) -> DataFrame:
 def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sorted rows (_ROW) as _FOUND: kind 1 rows are repeats; kind 2, leaves of anchors that have several (length: windows)."""
     names = _names(_FOUND)
-    last = None  # key, unit and place of the leaf that the last row belongs to
-    alone = None  # the row of a key's only leaf so far
+    leaf = None  # key, unit and place of the first of the leaf that the last row belongs to
+    tail = None  # place of that last row
+    alone = False  # whether that leaf is its key's only one so far
     for b in batches:
         key, unit, doc, twin, span, *source = (b.column(c).to_numpy() for c in _names(_ROW))
         done = source[2] >= 0
@@ -240,28 +240,34 @@ def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, unit, doc, twin, span = (c[~done] for c in (key, unit, doc, twin, span))
         if not len(key):
             continue
-        if last is not None:  # the leaf that goes on is put in front
-            key, unit, doc, twin, span = (np.concatenate([[x], c]) for x, c in zip(last, (key, unit, doc, twin, span), strict=True))
-        fresh, first = _leaves(key, unit, (doc, twin, span))
+        before = [np.concatenate([[x], c[:-1]]) for x, c in zip(tail or (0, 0, 0), (doc, twin, span >> 7), strict=True)]
+        end = (doc[-1], twin[-1], span[-1] >> 7)
+        fresh = np.ones(len(key), bool)
+        fresh[1:] = (key[1:] != key[:-1]) | (unit[1:] != unit[:-1])
+        if leaf is not None:
+            fresh[0] = key[0] != leaf[0] or unit[0] != leaf[1]
         low = span >> 7
-        again = ~fresh & ~((doc == doc[first]) & (twin == twin[first]) & (low == low[first]))
+        again = ~fresh & ~((doc == before[0]) & (twin == before[1]) & (low == before[2]))
         if again.any():
-            at = first[again]
-            yield _batch(names, np.ones(len(at), np.int32), key[again], doc[again], twin[again], low[again], (span[again] & 127) - 1 + NEED, doc[at], twin[at], low[at])
-        leaf = np.flatnonzero(fresh)
-        opens = np.ones(len(leaf), bool)
-        opens[1:] = key[leaf][1:] != key[leaf][:-1]
+            yield _batch(names, np.ones(int(again.sum()), np.int32), key[again], doc[again], twin[again], low[again], (span[again] & 127) - 1 + NEED, *(c[again] for c in before))
+        key, unit, doc, twin, span = (c[fresh] for c in (key, unit, doc, twin, span))  # from here on, leaves
+        tail = end
+        if not len(key):
+            continue
+        open_ = alone
+        if leaf is not None:  # the last leaf is put in front
+            key, unit, doc, twin, span = (np.concatenate([[x], c]) for x, c in zip(leaf, (key, unit, doc, twin, span), strict=True))
+        opens = np.ones(len(key), bool)
+        opens[1:] = key[1:] != key[:-1]
         several = ~opens
         several[:-1] |= ~opens[1:]
-        if last is not None and alone is None:
+        if leaf is not None and not open_:
             several[0] = False  # put out before
-        alone = True if opens[-1] and (len(leaf) > 1 or last is None or alone) else None
-        out = leaf[several]
-        if len(out):
-            none = np.zeros(len(out), np.int64)
-            yield _batch(names, np.full(len(out), 2, np.int32), key[out], doc[out], twin[out], low[out], span[out] & 127, none, none, none)
-        end = leaf[-1]
-        last = (key[end], unit[end], doc[end], twin[end], span[end])
+        if several.any():
+            none = np.zeros(int(several.sum()), np.int64)
+            yield _batch(names, np.full(len(none), 2, np.int32), key[several], doc[several], twin[several], span[several] >> 7, span[several] & 127, none, none, none)
+        alone = bool(opens[-1])
+        leaf = (key[-1], unit[-1], doc[-1], twin[-1], span[-1])
 
 
 def suffix_array(suffixes: list[bytes]) -> tuple[list[int], list[int]]:
@@ -305,6 +311,25 @@ def maximal_repeats(suffixes: list[bytes], before: list[int], least: int = NEED)
             yield length, [order[i] for i in range(first, last + 1)]
 
 
+def repeated_suffixes(order: np.ndarray, common: list[int], before: np.ndarray, rank: np.ndarray, least: int = NEED) -> tuple[np.ndarray, np.ndarray]:
+    """For each place of a suffix array: the longest maximal repeat in which it is not the earliest, and the earliest's place.
+
+    rank: the order of the suffixes by their places in the documents. Length 0: in none. Intervals come
+    children first, so the first that takes a suffix is its longest, and shorter ones add nothing.
+    """
+    length, source = np.zeros(len(order), np.int64), np.full(len(order), -1)
+    left, place = before[order], rank[order]
+    for size, first, last in prefix_intervals(common, least):
+        own = slice(first, last + 1)
+        if left[first] >= 0 and (left[own] == left[first]).all():
+            continue  # can be extended to the left
+        earliest = first + int(place[own].argmin())
+        fresh = length[own] == 0
+        fresh[earliest - first] = False
+        length[own][fresh], source[own][fresh] = size, earliest
+    return length, source
+
+
 def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Repeats (as REPEAT) of buckets of (key, doc, twin, span, bytes)."""
     for table in groups_of(batches, ["key"]):
@@ -342,16 +367,23 @@ def _search_some(edge: np.ndarray, part: pa.Table) -> tuple[np.ndarray, ...]:
     often[order[1:][same]] = True
     often[order[:-1][same]] = True
     row, offset = row[often], offset[often]
-    out: list[tuple[int, ...]] = []
+    start = low[row] + offset
+    out: list[tuple[np.ndarray, ...]] = []
     groups = bounds(bucket[row]) if len(row) else [0]
     for a, b in zip(groups[:-1], groups[1:], strict=True):
         members = list(zip(row[a:b].tolist(), offset[a:b].tolist(), strict=True))
-        suffixes = [pieces[r][o:] for r, o in members]
-        before = [pieces[r][o - 1] if o else -1 for r, o in members]
-        for length, who in maximal_repeats(suffixes, before):
-            places = sorted({(int(doc[members[i][0]]), int(twin[members[i][0]]), int(low[members[i][0]]) + members[i][1]) for i in who})
-            out += [(*place, length, *places[0]) for place in places[1:]]
-    return tuple(np.array(out, np.int64).reshape(-1, 7).T)
+        order, common = suffix_array([pieces[r][o:] for r, o in members])
+        before = np.array([pieces[r][o - 1] if o else -1 for r, o in members])
+        order = np.array(order)
+        rank = np.empty(b - a, np.int64)
+        rank[np.lexsort((start[a:b], twin[row[a:b]], doc[row[a:b]]))] = np.arange(b - a)
+        length, source = repeated_suffixes(order, common, before, rank)
+        hit = length > 0
+        one, of = order[hit] + a, order[source[hit]] + a
+        out.append((doc[row[one]], twin[row[one]], start[one], length[hit], doc[row[of]], twin[row[of]], start[of]))
+    if not out:
+        return tuple(np.zeros(0, np.int64) for _ in range(7))
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
 
 def _chunks(docs: DataFrame) -> DataFrame:
@@ -416,8 +448,8 @@ def _joined_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeats(docs: DataFrame, stages: Stages, n: int, seed: int = 0) -> tuple[DataFrame, DataFrame]:
     """Later occurrences (as REPEAT) with the earlier one each repeats: those found by hash, and those of the suffix arrays.
 
-    docs: (doc, twin, text). All occurrences of a maximal repeat point to its earliest, or to one that
-    does; they may overlap.
+    docs: (doc, twin, text). All occurrences of a maximal repeat but the earliest point to an earlier
+    one, so following them leads to it; they may overlap.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -463,14 +495,19 @@ def covered(size: int, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.cumsum(change[:-1]) > 0
 
 
-def _identified(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
-    """(doc, twin, text, row): twin is 0, or tells rows of one id with different texts apart; row: the other columns."""
+def _identified(docs: DataFrame, text: str, doc_id: str) -> tuple[DataFrame, DataFrame]:
+    """(doc, twin, text, row) of all rows, and (doc, twin, text) of the documents that they make.
+
+    twin is 0, or tells rows of one id with different texts apart; row: the other columns.
+    """
     rest = [F.col(f"`{c}`") for c in docs.columns if c != text]
     own = docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text"), F.struct(*rest, F.lit(True).alias("there")).alias("row"))
     shared = own.where("doc is not null").groupBy("doc").agg(F.count("*").alias("n")).where("n > 1").select("doc", F.lit(True).alias("several"))
     if not shared.limit(1).count():
-        return own.withColumn("twin", F.lit(0).cast("long"))
-    return own.join(shared, "doc", "left").withColumn("twin", F.when(F.col("several"), F.xxhash64("text")).otherwise(0).cast("long")).drop("several")
+        every = own.withColumn("twin", F.lit(0).cast("long"))
+        return every, every.where("doc is not null and text is not null").select("doc", "twin", "text")
+    every = own.join(shared, "doc", "left").withColumn("twin", F.when(F.col("several"), F.xxhash64("text")).otherwise(0).cast("long")).drop("several")
+    return every, every.where("doc is not null and text is not null").select("doc", "twin", "text").dropDuplicates(["doc", "twin"])
 
 
 def dedupe(docs: DataFrame, out: StructType, make: Callable, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -484,8 +521,7 @@ def dedupe(docs: DataFrame, out: StructType, make: Callable, text: str = "text",
     """
     spark = docs.sparkSession
     stages = Stages(spark)
-    every = _identified(docs, text, doc_id)
-    base = every.where("doc is not null and text is not null").select("doc", "twin", "text")
+    every, base = _identified(docs, text, doc_id)
     size = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(partitions(spark), -(-size // SHARE))
     schema = StructType([*out.fields, StructField("__differ", LongType())])

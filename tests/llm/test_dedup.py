@@ -142,6 +142,25 @@ def test_maximal_repeats():
     assert got == {(b"ban", (0, 7)), (b"ana", (1, 3, 11)), (b"an", (1, 3, 8, 11)), (b"ana ", (3, 11))}
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.text(alphabet="ab", min_size=6, max_size=40), st.integers(2, 5))
+def test_longest_repeats_of_suffixes_are_those_of_all_maximal_ones(text, least):
+    """The longest repeat in which a place is not the earliest, from every maximal repeat with all its occurrences."""
+    raw = text.encode()
+    suffixes = [raw[i:] for i in range(len(raw))]
+    before = [raw[i - 1] if i else -1 for i in range(len(raw))]
+    rank = np.random.default_rng(len(raw)).permutation(len(raw))
+    order, common = D.suffix_array(suffixes)
+    length, source = D.repeated_suffixes(np.array(order), common, np.array(before), rank, least)
+    want = {}
+    for size, members in D.maximal_repeats(suffixes, before, least):
+        first = min(members, key=lambda i: rank[i])
+        for i in members:
+            if i != first and size > want.get(i, (0, 0))[0]:
+                want[i] = (size, first)
+    assert {order[i]: (int(n), order[source[i]]) for i, n in enumerate(length) if n} == want
+
+
 def test_intervals_are_nested_and_whole():
     common = [0, 3, 2, 2, 5, 0, 4]
     assert list(D.prefix_intervals(common, 2)) == [(3, 0, 1), (5, 3, 4), (2, 0, 4), (4, 5, 6)]
