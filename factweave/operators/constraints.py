@@ -46,12 +46,19 @@ CONSTRAINTS: dict[str, Callable[..., DataFrame]] = {
 
 
 def apply_waivers(found: DataFrame, waivers: DataFrame, policy_date: str) -> DataFrame:
-    """found with ``waived``: a waiver matches by comparison and key and has not expired.
+    """found with ``waived``: a waiver matches by comparison and key and still holds.
 
-    Two waivers for one finding raise, as which of them holds would be undefined.
+    It ends when it expires (null: never) or, if it names the inputs it was given for, when the
+    finding's ``inputs`` are others. Two waivers for one finding raise, as which of them holds would be
+    undefined.
     """
-    live = waivers.where(F.col("expires") >= policy_date).groupBy("comparison", "key").agg(F.count("*").alias("n"))
-    joined = found.join(live, ["comparison", "key"], "left")
+    live = waivers.where(F.col("expires").isNull() | (F.col("expires") >= policy_date))
+    keys = ["comparison", "key"]
+    if "inputs" in waivers.columns and "inputs" in found.columns:
+        asked = found.select(*keys, F.col("inputs").alias("now")).distinct()
+        live = live.join(asked, keys).where(F.col("inputs").isNull() | (F.col("inputs") == F.col("now")))
+    live = live.groupBy(*keys).agg(F.count("*").alias("n"))
+    joined = found.join(live, keys, "left")
     once = F.when(F.col("n") > 1, F.raise_error(F.lit("ambiguous-waiver"))).otherwise(F.col("n") == 1)
     return joined.withColumn("waived", F.coalesce(once, F.lit(False))).drop("n")
 
@@ -69,11 +76,15 @@ def ratchet(found: DataFrame, active: DataFrame, resolved: DataFrame) -> DataFra
     return both.withColumn("baseline", word).drop("a", "r")
 
 
-def blocking(found: DataFrame, with_baseline: bool = True) -> DataFrame:
-    """Open findings that stop a change: differences or unsure states, and new ones if there is a baseline."""
+def blocking(found: DataFrame, with_baseline: bool = True, severities: tuple[str, ...] = ("error",)) -> DataFrame:
+    """Open findings that stop a change: differences or unsure states, and new ones if there is a baseline.
+
+    Where findings have a severity, only those of ``severities`` stop it.
+    """
     is_open = ~F.col("waived") & ((F.col("comparison") != "equal") | (F.col("state") != CURRENT))
     fresh = F.col("baseline").isin("new", "reintroduced") if with_baseline else F.lit(True)
-    return found.where(is_open & fresh)
+    grave = F.col("severity").isin(*severities) if "severity" in found.columns else F.lit(True)
+    return found.where(is_open & fresh & grave)
 
 
 def coverage_regressions(baseline: DataFrame, now: DataFrame) -> DataFrame:

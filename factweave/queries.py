@@ -683,3 +683,93 @@ query("python_facts", """SELECT concat('b/', p_partkey, '.py') AS path, domain,
   FROM {part} CROSS JOIN (VALUES ('import', 'os', 'module', 1, 1), ('import', '.a:b', 'from', 2, 2), ('constant', 'LIMIT', 'int', 3, 3), ('declaration', '?', 'function', 5, 6), ('decorator', 'x.wrap', '?', 4, 4), ('call', 'x.wrap', 'method', 4, 4), ('call', 'go', 'free', 6, 6)) v(domain, name, kind, line, last)""")(
     lambda m: I.python_facts(m["part"].select(F.concat(F.lit("b/"), "p_partkey", F.lit(".py")).alias("path"), F.concat(F.lit("import os\nfrom .a import b\nLIMIT = 3\n@x.wrap(1)\ndef "), F.replace("p_name", F.lit(" "), F.lit("_")), F.lit("():\n    return go(2)\n")).alias("text")))
 )
+
+
+def _texts(m: Bound, text: Column, path: Column | None = None) -> DataFrame:
+    return m["part"].select((path if path is not None else F.concat(F.lit("b/"), "p_partkey")).alias("path"), text.alias("text"))
+
+
+query("package_dependencies", """SELECT concat('b/', p_partkey) AS path, p_name AS name, '1.0' AS version, s AS scope, d AS dependency, r AS requirement FROM {part} CROSS JOIN (VALUES ('runtime', 'x', '^1'), ('dev', 'y', '*')) v(s, d, r)""")(
+    lambda m: I.package_json(_texts(m, F.concat(F.lit('{"name":"'), "p_name", F.lit('","version":"1.0","dependencies":{"x":"^1"},"devDependencies":{"y":"*"}}'))))
+)
+query("requirement_lines", "SELECT concat('b/', p_partkey) AS path, replace(p_name, ' ', '-') AS dependency, concat('>=', p_size) AS requirement FROM {part}")(
+    lambda m: I.requirements(_texts(m, F.concat(F.lit("# none\n\n"), F.replace("p_name", F.lit(" "), F.lit("-")), F.lit(" >="), "p_size")))
+)
+query("description_fields", "SELECT concat('b/', p_partkey) AS path, f AS field, CASE f WHEN 'Package' THEN p_name ELSE concat('a, ', p_size) END AS value FROM {part} CROSS JOIN (VALUES ('Package'), ('Imports')) v(f)")(
+    lambda m: I.description_fields(_texts(m, F.concat(F.lit("Package: "), "p_name", F.lit("\nImports: a,\n    "), "p_size")))
+)
+query("script_builds", "SELECT concat('b/', p_partkey) AS path, 'go' AS build, concat('make ', p_size) AS command FROM {part}")(lambda m: B.script_builds(_texts(m, F.concat(F.lit('{"scripts":{"go":"make '), "p_size", F.lit('"}}')))))
+query("cmake_targets", "SELECT concat('b/', p_partkey) AS path, concat('t', p_size) AS build, 'library' AS kind, i AS input FROM {part} CROSS JOIN (VALUES ('a.c'), ('b.c')) v(i)")(
+    lambda m: B.cmake_targets(_texts(m, F.concat(F.lit("add_library(t"), "p_size", F.lit(" STATIC a.c\n  b.c)"))))
+)
+query("config_sections", "SELECT concat('b/', p_partkey) AS path, 'tool.x' AS section, 'size' AS key, CAST(p_size AS VARCHAR) AS value FROM {part}")(lambda m: B.sections(_texts(m, F.concat(F.lit("[tool.x]\nsize = "), "p_size", F.lit("\n# end\n")))))
+query("coverage_gcov", "SELECT p_brand AS path, CAST(p_size AS BIGINT) AS line, CAST(p_partkey AS BIGINT) AS hits FROM {part}")(
+    lambda m: B.gcov(_texts(m, F.concat(F.lit('{"files":[{"file":"'), "p_brand", F.lit('","lines":[{"line_number":'), "p_size", F.lit(',"count":'), "p_partkey", F.lit("}]}]}"))))
+)
+query("coverage_llvm", "SELECT p_brand AS path, CAST(p_size AS BIGINT) AS line, CAST(p_partkey AS BIGINT) AS hits FROM {part}")(
+    lambda m: B.llvm_cov(_texts(m, F.concat(F.lit('{"data":[{"files":[{"filename":"'), "p_brand", F.lit('","segments":[['), "p_size", F.lit(",1,"), "p_partkey", F.lit(",true,true]]}]}]}"))))
+)
+query("observed_tests", """WITH l AS (SELECT DISTINCT p_brand AS path, p_size AS line, concat('t', p_partkey % 30) AS context FROM {part}), d AS (SELECT DISTINCT p_brand AS path, concat('fn', p_size % 10) AS name, p_size % 10 * 5 AS s, p_size % 10 * 5 + 4 AS e FROM {part})
+  SELECT DISTINCT context, l.path, name FROM l JOIN d ON d.path = l.path AND s <= line AND line < e""")(
+    lambda m: I.observed_tests(
+        m["part"].select(F.col("p_brand").alias("path"), F.col("p_size").alias("line"), F.concat(F.lit("t"), F.col("p_partkey") % 30).alias("context")).distinct(),
+        m["part"].select(F.col("p_brand").alias("path"), F.concat(F.lit("fn"), F.col("p_size") % 10).alias("name"), (F.col("p_size") % 10 * 5).alias("start"), (F.col("p_size") % 10 * 5 + 4).alias("end")).distinct(),
+    )
+)
+BUNDLED = """concat('{"mode":1,"producer":{"name":"', p_type, '"},"capabilities":[{"domain":"text","coverage":"partial","claims":["a","b"]}],"facts":[{"domain":"text","claim":"lexical-occurrence","path":"', p_brand, '","name":"', p_name, '"}]}')"""
+query("bundle_facts", "SELECT p_type AS provider, 1 AS mode, 'text' AS domain, p_brand AS path, p_name AS name, 'lexical-occurrence' AS claim FROM {part}")(
+    lambda m: I.facts_of(m["part"].select(F.from_json(F.expr(BUNDLED), I.BUNDLE).alias("b")).select("b.*")).select("provider", "mode", "domain", "path", "name", "claim")
+)
+query("bundle_capabilities", "SELECT p_type AS provider, 'text' AS domain, 'partial' AS coverage, 2 AS claims, count(*) AS n FROM {part} GROUP BY p_type")(
+    lambda m: I.capabilities_of(m["part"].select(F.from_json(F.expr(BUNDLED), I.BUNDLE).alias("b")).select("b.*")).groupBy("provider", "domain", "coverage", F.size("claims").alias("claims")).agg(F.count("*").alias("n"))
+)
+query("manifest_rows", "SELECT p_type AS project, concat('f', p_partkey) AS path, CAST(p_size AS BIGINT) AS bytes, 'c' AS language FROM {part}")(
+    lambda m: I.files_of(m["part"].select(F.from_json(F.concat(F.lit('{"project":"'), "p_type", F.lit('","files":[{"path":"f'), "p_partkey", F.lit('","bytes":'), "p_size", F.lit(',"language":"c"}]}')), I.MANIFEST).alias("x")).select("x.*")).select("project", "path", "bytes", "language")
+)
+query("correlation_keys", "SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN concat('span:', p_size, '-', p_size + 1) ELSE concat('key:', p_name) END AS grp FROM {part}")(
+    lambda m: m["part"].select("p_partkey", M.correlation(F.col("p_size") % 2 == 0, F.concat(F.col("p_size"), F.lit("-"), F.col("p_size") + 1), F.col("p_name")).alias("grp"))
+)
+query("ulp_steps", "SELECT p_partkey, CAST(p_size AS DOUBLE) AS steps, CAST(p_size + 1 AS DOUBLE) AS around FROM {part}")(
+    lambda m: m["part"].select("p_partkey", A.ulp_distance(F.lit(1.0), 1.0 + F.col("p_size") * F.lit(2.0**-52)).alias("steps"), A.ulp_distance(F.lit(-5e-324), F.col("p_size") * F.lit(5e-324)).alias("around"))
+)
+query("plan_projections", "SELECT * FROM (VALUES ('component_routes', 'components'), ('component_routes', 'mapped_paths'), ('symbol_search', 'search_domain'), ('symbol_search', 'symbol_entities')) v(request, projection)")(
+    lambda m: m.spark.createDataFrame([(n, p) for n, r in (("component_routes", Q.QueryRequest(paths=("a",), components=("b",))), ("symbol_search", Q.QueryRequest(symbols=("x",), search="y"))) for p in r.projections()], "request string, projection string")
+)
+query("symbol_relation_hops", """WITH RECURSIVE e AS (SELECT DISTINCT concat('s/', source) AS source, concat('s/', target) AS target FROM {arcs} WHERE kind = 'call'), r AS (SELECT 's/p/700' AS node, 0 AS d UNION SELECT e.target, d + 1 FROM r JOIN e ON e.source = r.node WHERE d < 6)
+  SELECT node, min(d) AS distance FROM r GROUP BY node""")(
+    lambda m: T.routes(_seed(m, "s/p/700"), m["arcs"].where("kind = 'call'").select(F.concat(F.lit("s/"), "source").alias("source"), F.concat(F.lit("s/"), "target").alias("target"), "state", "resolution"), 6).select("node", "distance")
+)
+query("freshness_ladder", """WITH w(x) AS (VALUES ('same'), ('changed'), ('unknown')) SELECT p.v AS same_project, s.x AS source, c.x AS config, o.x AS producer, d.x AS discovery,
+  CASE WHEN NOT p.v THEN 'not-applicable' WHEN s.x = 'changed' OR c.x = 'changed' THEN 'stale' WHEN o.x = 'changed' OR d.x = 'changed' THEN 'context-drift' WHEN c.x = 'unknown' OR o.x = 'unknown' OR d.x = 'unknown' THEN 'unknown' ELSE 'current' END AS status
+  FROM (VALUES (true), (false)) p(v), w s, w c, w o, w d""")(
+    lambda m: m.spark.sql("WITH w(x) AS (VALUES ('same'), ('changed'), ('unknown')) SELECT p.v AS same_project, s.x AS source, c.x AS config, o.x AS producer, d.x AS discovery FROM (VALUES (true), (false)) p(v), w s, w c, w o, w d").withColumn(
+        "status", D.freshness_status(F.col("same_project"), F.col("source"), F.col("config"), F.col("producer"), F.col("discovery"))
+    )
+)
+query("unified_diffs", "SELECT p_brand AS path, concat('--- a/', p_brand, chr(10), '+++ b/', p_brand, chr(10), '@@ -1,2 +1,2 @@', chr(10), ' x', chr(10), '-', p_type, chr(10), '+', p_name) AS diff FROM (SELECT DISTINCT p_brand, p_type, p_name FROM {part})")(
+    lambda m: O.unified_diff(m["part"].select(F.col("p_brand").alias("path"), F.concat(F.lit("x\n"), "p_type").alias("before"), F.concat(F.lit("x\n"), "p_name").alias("after")).distinct())
+)
+
+
+def _report(m: Bound, *texts: str) -> DataFrame:
+    return m.spark.createDataFrame([(t,) for t in texts], "report string")
+
+
+query("report_markdown", "SELECT concat('# Regions', chr(10), chr(10), '| key | name |', chr(10), '| --- | --- |', chr(10), string_agg(concat('| ', r_regionkey, ' | ', r_name, ' |'), chr(10) ORDER BY r_regionkey), chr(10)) AS report FROM {region}")(
+    lambda m: _report(m, O.markdown(m["region"].select(F.col("r_regionkey").alias("key"), F.col("r_name").alias("name")), "Regions"))
+)
+query("report_sarif", """SELECT concat('{"runs": [{"results": [', string_agg(concat('{"level": "error", "message": {"text": "missing: ', r_name, '"}, "ruleId": "C"}'), ', ' ORDER BY r_name), '], "tool": {"driver": {"name": "factweave", "rules": [{"id": "C"}]}}}], "version": "2.1.0"}') AS report FROM {region}""")(
+    lambda m: _report(m, O.sarif(m["region"].select(F.lit("C").alias("check"), F.lit("missing").alias("comparison"), F.col("r_name").alias("key"), F.lit("current").alias("state"))))
+)
+query("report_junit", """SELECT concat('<testsuite name="verification" tests="', count(*), '" failures="', count(*) FILTER (WHERE r_regionkey = 0), '">', string_agg(concat('<testcase name="', r_name, '">', CASE r_regionkey WHEN 0 THEN '<failure message="fail"/>' WHEN 1 THEN '<error message="unknown"/>' ELSE '' END, '</testcase>'), '' ORDER BY r_name), '</testsuite>') AS report FROM {region}""")(
+    lambda m: _report(m, O.junit(m["region"].select(F.col("r_name").alias("check"), F.expr("CASE r_regionkey WHEN 0 THEN 'fail' WHEN 1 THEN 'unknown' ELSE 'pass' END").alias("status"))))
+)
+query("report_mermaid", """WITH n AS (SELECT r_name, row_number() OVER (ORDER BY r_name) - 1 AS i FROM {region}) SELECT concat('flowchart LR', chr(10), string_agg(concat('  n', i, '["', r_name, '"]'), chr(10) ORDER BY i), chr(10), string_agg(concat('  n', i, ' -->|self| n', i), chr(10) ORDER BY r_name), chr(10)) AS report FROM n""")(
+    lambda m: _report(m, O.mermaid(m["region"].select(F.col("r_name").alias("node")), m["region"].select(F.lit("self").alias("family"), F.col("r_name").alias("source"), F.col("r_name").alias("target"))))
+)
+query("report_graph_json", """SELECT concat('{"nodes":[', string_agg(concat('{"kind":"region","node":"', r_name, '"}'), ',' ORDER BY r_name), '],"relations":[', string_agg(concat('{"more_names":1,"names":["a","b"],"source":"', r_name, '"}'), ',' ORDER BY r_name), ']}') AS report FROM {region}""")(
+    lambda m: _report(m, O.graph_json(m["region"].select(F.col("r_name").alias("node"), F.lit("region").alias("kind")), m["region"].select(F.col("r_name").alias("source"), F.array(F.lit("c"), F.lit("a"), F.lit("b")).alias("names")), 2))
+)
+query("canonical_json_nested", """SELECT json, sha256(json) AS sha256 FROM (SELECT concat('{"a":{"x":', p_size, ',"y":{"k":1,"z":2}},"b":"', p_name, '"}') AS json FROM {part})""")(
+    lambda m: O.canonical_json(m["part"].select(F.col("p_name").alias("b"), F.struct(F.create_map(F.lit("z"), F.lit(2), F.lit("k"), F.lit(1)).alias("y"), F.col("p_size").alias("x")).alias("a")))
+)

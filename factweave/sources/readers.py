@@ -75,7 +75,12 @@ def capabilities_of(rows: DataFrame) -> DataFrame:
 
 
 def manifest_files(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(MANIFEST).option("multiLine", True).json(path).select("project", F.explode("files").alias("f")).select("project", "f.*")
+    return files_of(spark.read.schema(MANIFEST).option("multiLine", True).json(path))
+
+
+def files_of(manifests: DataFrame) -> DataFrame:
+    """A row per file of manifests (as MANIFEST)."""
+    return manifests.select("project", F.explode("files").alias("f")).select("project", "f.*")
 
 
 def package_json(texts: DataFrame) -> DataFrame:

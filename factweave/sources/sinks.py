@@ -7,16 +7,30 @@ from xml.sax.saxutils import escape, quoteattr
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StringType, StructType
 
 MOST_ROWS = 10_000
 
 
 def canonical_json(df: DataFrame) -> DataFrame:
-    """(json, sha256) per row: keys sorted, nulls kept."""
-    body = F.to_json(F.struct(*[F.col(c) for c in sorted(df.columns)]), {"ignoreNullFields": "false"})
+    """(json, sha256) per row: keys sorted at every level, maps too; nulls kept."""
+    body = F.to_json(F.struct(*[_sorted(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in sorted(df.schema.fields, key=lambda f: f.name)]), {"ignoreNullFields": "false"})
     return df.select(body.alias("json")).withColumn("sha256", F.sha2("json", 256))
 
 
+def _sorted(value: Column, kind: DataType) -> Column:
+    """A value with the keys of its structs and maps in order."""
+    if isinstance(kind, StructType):
+        own = F.struct(*[_sorted(value[f.name], f.dataType).alias(f.name) for f in sorted(kind.fields, key=lambda f: f.name)])
+        return F.when(value.isNotNull(), own)
+    if isinstance(kind, ArrayType):
+        return F.transform(value, lambda x: _sorted(x, kind.elementType))
+    if isinstance(kind, MapType) and isinstance(kind.keyType, StringType):
+        entries = F.transform(F.map_entries(value), lambda e: F.struct(e["key"].alias("key"), _sorted(e["value"], kind.valueType).alias("value")))
+        return F.map_from_entries(F.array_sort(entries, lambda a, b: F.when(a["key"] < b["key"], -1).when(a["key"] > b["key"], 1).otherwise(0)))
+    return value
+
+
 def _rows(df: DataFrame, most: int = MOST_ROWS) -> list[dict]:
     """A report's rows on the driver; more than ``most`` raise, as a report is for reading."""
     rows = df.orderBy(*df.columns).limit(most + 1).collect()
@@ -57,6 +71,16 @@ def junit(statuses: DataFrame, name: str = "verification") -> str:
     return f"<testsuite name={quoteattr(name)} tests=\"{len(rows)}\" failures=\"{failed}\">{''.join(cases)}</testsuite>"
 
 
+def graph_json(nodes: DataFrame, relations: DataFrame, most_names: int = 8) -> str:
+    """Nodes and relations as canonical JSON; of a relation's names (if there) the first ``most_names``, and how many were left out."""
+
+    def shown(r: dict) -> dict:
+        names = sorted(r.get("names") or [])
+        return r | ({"names": names[:most_names], "more_names": max(0, len(names) - most_names)} if "names" in r else {})
+
+    return json.dumps({"nodes": _rows(nodes), "relations": [shown(r) for r in _rows(relations)]}, sort_keys=True, separators=(",", ":"))
+
+
 def graphml(nodes: DataFrame, relations: DataFrame) -> str:
     n = "".join(f"<node id={quoteattr(r['node'])}><data key=\"kind\">{escape(str(r['kind']))}</data></node>" for r in _rows(nodes))
     e = "".join(f"<edge source={quoteattr(r['source'])} target={quoteattr(r['target'])}><data key=\"family\">{escape(str(r['family']))}</data></edge>" for r in _rows(relations))

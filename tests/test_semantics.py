@@ -347,3 +347,11 @@ def test_comment_signs_in_strings_are_no_comments(spark):
     assert {k[2] for k in found if k[:2] == ("p.py", "call")} == {"go", "obj.run"} and {k[2] for k in found if k[:2] == ("q.c", "call")} == {"main", "puts"}
     texts = {r.path: r.text for r in rows.collect()}
     assert all(texts[p][s:e] == name for (p, _, name), (s, e) in found.items())
+
+
+def test_waivers_end_when_their_inputs_change(spark):
+    found = spark.createDataFrame([("missing", "a", "current", "d1", "error"), ("missing", "b", "current", "d2", "error"), ("missing", "c", "current", "d3", "note")], "comparison string, key string, state string, inputs string, severity string")
+    waivers = spark.createDataFrame([("missing", "a", None, "d1"), ("missing", "b", None, "old"), ("missing", "c", "2020-01-01", None)], "comparison string, key string, expires string, inputs string")
+    done = C.apply_waivers(found, waivers, "2026-01-01")
+    assert {r.key: r.waived for r in done.collect()} == {"a": True, "b": False, "c": False}
+    assert [r.key for r in C.blocking(done, with_baseline=False).collect()] == ["b"]
