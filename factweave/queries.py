@@ -192,8 +192,8 @@ TYPED: list[tuple[str, dict, str]] = [
     ("allowed_file_edges", {"patterns": [("*", "[AN]", "*")]}, f"WITH {FEDGES} SELECT 'extra' AS comparison, {KEY} AS key, state FROM fedges WHERE kind = 'R'"),
     ("forbidden_file_edges", {"patterns": [("n/NATION_1", "*", "*")]}, f"WITH {FEDGES} SELECT 'forbidden' AS comparison, {KEY} AS key, state FROM fedges WHERE source = 'n/NATION_1'"),
     ("required_file_edges", {"patterns": [("n/NATION_1", "?", "n/NATION_77")]}, f"WITH {FEDGES} SELECT 'missing' AS comparison, 'n/NATION_1|?|n/NATION_77' AS key, 'current' AS state WHERE NOT EXISTS (SELECT 1 FROM fedges WHERE source = 'n/NATION_1' AND kind LIKE '_' AND target = 'n/NATION_77')"),
-    ("component_cycles", {"kinds": ("R",), "from_paths": ("n/NATION_1", "n/NATION_2"), "to_paths": ("n/NATION_1", "n/NATION_2")}, f"""WITH e AS ({EDGES}), g AS (SELECT DISTINCT a.component AS source, b.component AS target FROM e JOIN {{component_files}} a ON a.path = e.source JOIN {{component_files}} b ON b.path = e.target
-      WHERE kind = 'R' AND e.source IN ('n/NATION_1', 'n/NATION_2') AND e.target IN ('n/NATION_1', 'n/NATION_2') AND a.component <> b.component)
+    ("component_cycles", {"kinds": ("R",), "from_paths": ("n/NATION_3", "n/NATION_6"), "to_paths": ("n/NATION_3", "n/NATION_6")}, f"""WITH e AS ({EDGES}), g AS (SELECT DISTINCT a.component AS source, b.component AS target FROM e JOIN {{component_files}} a ON a.path = e.source JOIN {{component_files}} b ON b.path = e.target
+      WHERE kind = 'R' AND e.source IN ('n/NATION_3', 'n/NATION_6') AND e.target IN ('n/NATION_3', 'n/NATION_6') AND a.component <> b.component)
       SELECT 'different' AS comparison, concat(f.source, ' -> ', f.target, ' -> ', f.source) AS key, 'current' AS state FROM g f JOIN g r ON r.source = f.target AND r.target = f.source WHERE f.source < f.target"""),
 ]
 for _kind, _options, _sql in TYPED:
