@@ -129,25 +129,25 @@ def _search(sources: DataFrame, targets: DataFrame, arcs: DataFrame, depth: int,
     ends = targets.select("node").distinct().withColumn("hit", F.lit(True))
 
     def settled(df: DataFrame, hop: int) -> tuple[DataFrame, int, int]:
-        """A hop's nodes, written; how many they are and how many are targets, by one more job."""
-        out = df.withColumn("d", F.lit(hop)).checkpoint()
-        n, hits = out.join(ends, "node", "left").agg(F.count("*"), F.count("hit")).first()
+        """A hop's nodes, written once with whether they are targets; how many there are, and targets."""
+        out = df.join(ends, "node", "left").select("node", F.lit(hop).alias("d"), F.coalesce("hit", F.lit(False)).alias("hit")).checkpoint()
+        n, hits = out.agg(F.count("*"), F.count_if("hit")).first()
         return out, n, hits
 
     front, n, hits = settled(sources.select("node").distinct(), 0)
-    seen, length = front, 0
+    fronts, length = [front], 0
     while n and not hits and length < depth:
         step = front.join(arcs, front.node == arcs.a).select(F.col("b").alias("node")).distinct()
         length += 1
-        front, n, hits = settled(step.join(seen, "node", "left_anti"), length)
-        seen = seen.unionByName(front).checkpoint()
+        front, n, hits = settled(step.join(reduce(DataFrame.unionByName, fronts), "node", "left_anti"), length)
+        fronts.append(front)
     if not hits:
         return None
-    keep = front.join(targets, "node", "left_semi").select("node", "d")
+    keep = front.where("hit").select("node", "d")
     useful = keep
     for hop in range(length - 1, -1, -1):  # nodes from which a nearest target is reached in time
         back = arcs.join(keep.select(F.col("node").alias("b")), "b", "left_semi").select(F.col("a").alias("node")).distinct()
-        keep = seen.where(F.col("d") == hop).join(back, "node", "left_semi").select("node", "d")
+        keep = fronts[hop].join(back, "node", "left_semi").select("node", "d")
         useful = useful.unionByName(keep)
     useful = useful.checkpoint()
     paths = useful.where("d = 0").select(F.array("node").alias("nodes"), "node")
