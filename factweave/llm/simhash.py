@@ -33,8 +33,9 @@ from factweave.llm.common import Stages, bounds, connected_components, groups_of
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 WIDE = 256
+KEYS = 1 << 22  # about, of a partition
 SHINGLE, SEED = 3, 42
-_STEP = 1 << 18
+_STEP = 1 << 16
 GENERATOR = 0xC75  # x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1, of the [23, 12, 7] Golay code
 
 
@@ -153,7 +154,8 @@ def components(spark: SparkSession, prints: DataFrame, stages: Stages) -> DataFr
     keys = stages.put(_explode_keys(prints), "keys")
     wide = keys.groupBy("key").count().where(f"count > {WIDE}").select("key")
     few = keys.join(wide, "key", "left_anti")
-    links = few.repartition(partitions(spark), "key").sortWithinPartitions("key").mapInArrow(_verify, "a long, b long")
+    n = max(partitions(spark), keys.count() // KEYS)
+    links = few.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_verify, "a long, b long")
     many = keys.join(wide, "key", "left_semi").select("fp").distinct()
     flips = F.array(F.lit(0).cast("long"), *[F.lit(1 << i if i < 63 else -(1 << 63)).cast("long") for i in range(64)])
     near = many.select("fp", F.explode(flips).alias("bit")).select("fp", F.col("fp").bitwiseXOR(F.col("bit")).alias("half"))
