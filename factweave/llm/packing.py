@@ -28,7 +28,7 @@ DIMS, BITS, HASHED = 4, 12, 256
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _FIELDS = [f.split()[0] for f in PIECES.split(", ")]
 VOCABULARY = "byte_bpe_50k"
-PART, RANGE = 1 << 14, 1 << 24  # ids in a row and, about, in a range
+PART, RANGE = 1 << 11, 1 << 24  # ids in a row and, about, in a range
 
 
 @cache
