@@ -773,3 +773,30 @@ query("report_graph_json", """SELECT concat('{"nodes":[', string_agg(concat('{"k
 query("canonical_json_nested", """SELECT json, sha256(json) AS sha256 FROM (SELECT concat('{"a":{"x":', p_size, ',"y":{"k":1,"z":2}},"b":"', p_name, '"}') AS json FROM {part})""")(
     lambda m: O.canonical_json(m["part"].select(F.col("p_name").alias("b"), F.struct(F.create_map(F.lit("z"), F.lit(2), F.lit("k"), F.lit(1)).alias("y"), F.col("p_size").alias("x")).alias("a")))
 )
+
+# --- the Map as a whole -----------------------------------------------------------------------
+from factweave.operators import build as W  # noqa: E402
+
+
+def _facts(m: Bound) -> W.Facts:
+    def sql(ctes: str, body: str) -> DataFrame:
+        return m.spark.sql(f"WITH {ctes} {body}", part=m["part"])
+
+    files = sql(IMPORTED, "SELECT path, CASE WHEN path LIKE 'src%' THEN 'src' END AS layer FROM s UNION ALL SELECT concat('f', p_partkey % 53), 'flat' FROM {part}").distinct()
+    return W.Facts(
+        files=files, definitions=sql(CALLED, "SELECT * FROM d"), calls=sql(CALLED, "SELECT * FROM c"), imports=sql(IMPORTED, "SELECT source, module FROM i"), uses=sql(CALLED, "SELECT source, name FROM c WHERE method"),
+        packages=sql(IMPORTED, "SELECT DISTINCT 'own' AS package, module AS dependency FROM i WHERE module LIKE 'm1%'"), artifacts=m["part"].select(F.lit("a").alias("artifact"), F.lit("input").alias("role"), F.concat(F.lit("f"), F.col("p_partkey") % 60).alias("path")),
+        roots=("src",), suffixes=(".py", "/__init__.py"), builtins={"py": ("red bolt1", "red bolt2")}, namespaces={"hot gear3": "gears"},
+    )
+
+
+_IMPORT_SQL, _CALL_SQL = _SQL["import_files"], _SQL["call_resolution_kinds"]
+query("map_edges", f"""SELECT source, kind, target, string_agg(DISTINCT name, ',' ORDER BY name) AS names, CASE max(CASE state WHEN 'current' THEN 2 ELSE 1 END) WHEN 2 THEN 'current' ELSE 'unknown' END AS state FROM (
+    SELECT source, 'import' AS kind, target, module AS name, 'current' AS state FROM ({_IMPORT_SQL}) a WHERE target IS NOT NULL AND target <> source
+    UNION ALL SELECT source, 'external', concat('package:', module), module, 'current' FROM ({_IMPORT_SQL}) b WHERE target IS NULL AND module LIKE 'm1%'
+    UNION ALL SELECT source, CASE kind WHEN 'unique' THEN 'call' ELSE 'external-call' END, CASE kind WHEN 'unique' THEN target ELSE concat('package:', target) END, name, 'current' FROM ({_CALL_SQL}) e WHERE (kind = 'unique' AND target <> source) OR kind = 'external'
+    UNION ALL SELECT u.source, 'reference', x.path, u.name, CASE WHEN min(n) OVER (PARTITION BY u.source, x.path) = 1 THEN 'current' ELSE 'unknown' END
+      FROM (WITH {CALLED} SELECT DISTINCT source, name FROM c WHERE method) u JOIN (WITH {CALLED} SELECT DISTINCT name, path, count(*) OVER (PARTITION BY name) AS n FROM (SELECT DISTINCT name, path FROM d)) x ON x.name = u.name WHERE u.source <> x.path) t
+  GROUP BY source, kind, target""")(lambda m: W.build_map(_facts(m))["edges"].withColumn("names", F.array_join("names", ",")))
+query("map_diagnostics", f"""SELECT 'warning' AS severity, 'file-without-layer' AS code, path AS key FROM (WITH {IMPORTED} SELECT path FROM s) x WHERE path NOT LIKE 'src%'
+  UNION ALL SELECT DISTINCT 'error', 'missing-artifact-file', concat('f', p_partkey % 60) FROM {{part}} WHERE p_partkey % 60 >= 53""")(lambda m: W.build_map(_facts(m))["diagnostics"])
