@@ -23,10 +23,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark import Broadcast, TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factweave.llm.common import Stages, bounds, finite, partitions
+from factweave.llm.common import Stages, bounds, finite, groups_of, partitions, small_batches
 
 BLOCK = 64
 SHARD_ROWS, LEAST_SHARDS, MOST_SHARDS = 4096, 8, 4096
@@ -35,7 +35,7 @@ STEP = 2048  # queries scored at a time
 BITS = 24
 LOW, NONE = np.iinfo(np.int64).min, np.iinfo(np.int64).max
 
-BLOCKS, ASKS, LISTS, MAXIMA = 0, 1, 2, 3  # kinds of rows of the index
+BLOCKS, ASKS, MAXIMA = 0, 1, 2  # kinds of rows of the index
 
 
 def quantised(vector: str, scale: int = 64) -> Column:
@@ -198,19 +198,37 @@ def _route(shared: Broadcast, k: int):
     return run
 
 
-_LIST = "query_id long, vec_id long, score long, visits long"
+_LIST = "query_id long, score binary, found binary, visits long"
 
 
 def _lists(ids: np.ndarray, score: np.ndarray, found: np.ndarray, visits: np.ndarray) -> pa.RecordBatch:
-    """Results by row, with a row of null vec_id for each query's visits."""
+    """A row for each query: what it found, and in how many blocks."""
     full = score != LOW
-    columns = [
-        pa.array(np.concatenate([np.repeat(ids, full.sum(1)), ids])), pa.array(np.concatenate([found[full], visits]), mask=np.repeat([False, True], [int(full.sum()), len(ids)])),
-        pa.array(np.concatenate([score[full], visits])), pa.array(np.concatenate([np.zeros(int(full.sum()), np.int64), visits])),
-    ]
+    got = [[x[i][full[i]].tobytes() for i in range(len(ids))] for x in (score, found)]
+    columns = [pa.array(ids), pa.array(got[0], pa.binary()), pa.array(got[1], pa.binary()), pa.array(visits)]
     return pa.RecordBatch.from_arrays(columns, names=[f.split()[0] for f in _LIST.split(", ")])
 
 
+def _merge(k: int):
+    """The k best of all lists of each query, in rows sorted by query; an id counts once, by its best."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in groups_of(batches, ["query_id"]):
+            query = table.column("query_id").to_numpy()
+            lists = [table.column(c).to_pylist() for c in ("score", "found")]
+            out = []
+            edge = bounds(query)
+            for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+                score, found = (np.frombuffer(b"".join(x[lo:hi]), np.int64) for x in lists)
+                order = np.lexsort((found, ~score))  # by falling score
+                _, first = np.unique(found[order], return_index=True)
+                best = order[np.sort(first)[:k]]
+                out.append((np.full(len(best), query[lo]), np.arange(1, len(best) + 1, dtype=np.int32), found[best], score[best]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["query_id", "rank", "vec_id", "score"])
+
+    return run
+
+
 def _search(k: int):
     """Blocks and then queries of each (shard, salt, dim), in order: lists of results."""
 
@@ -260,22 +278,22 @@ def top_k(rows: DataFrame, is_query: Column, k: int = 20, vec_id: str = "vec_id"
     candidate; vectors meet only vectors of their own length. Fewer than k candidates: all. Empty
     table: no rows. ``visited_share`` tells how much pruning left to do.
     """
-    lists = _all_lists(rows, is_query, k, vec_id, vector)[0].where("vec_id is not null")
-    one = lists.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))  # ids with several vectors
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return one.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    lists = _all_lists(rows, is_query, k, vec_id, vector)[0].select("query_id", "score", "found")
+    dealt = lists.repartition(partitions(rows.sparkSession), "query_id").sortWithinPartitions("query_id")
+    return dealt.mapInArrow(_merge(k), "query_id long, rank int, vec_id long, score long")
 
 
 def visited_share(rows: DataFrame, is_query: Column, k: int = 20, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(query_id, visits, blocks): how many of all blocks a query was scored against."""
     lists, index = _all_lists(rows, is_query, k, vec_id, vector)
-    visits = lists.where("vec_id is null").groupBy("query_id").agg(F.sum("visits").alias("visits"))
+    visits = lists.groupBy("query_id").agg(F.sum("visits").alias("visits"))
     return visits.withColumn("blocks", F.lit(index.where(F.col("kind") == BLOCKS).count()))
 
 
 def _all_lists(rows: DataFrame, is_query: Column, k: int, vec_id: str, vector: str) -> tuple[DataFrame, DataFrame]:
     spark = rows.sparkSession
     stages = Stages(spark)
+    small_batches(spark)
     clean = rows.where(F.col(vec_id).isNotNull() & finite(vector)).select(F.col(vec_id).cast("long").alias("id"), quantised(vector).alias("cells"), F.coalesce(is_query, F.lit(False)).alias("asks"))
     coded = stages.put(_codes(clean), "codes")
     shards = min(MOST_SHARDS, max(LEAST_SHARDS, -(-coded.count() // SHARD_ROWS)))
