@@ -23,6 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType
@@ -114,28 +115,48 @@ def _keyed(classes: DataFrame, passes: int) -> DataFrame:
 
 
 _ROWS = "turn long, bits long, node long, step double, small binary"
-_SCANNED = f"a long, b long, sure boolean, {_ROWS}"
+_SCANNED = f"a long, b long, sure boolean, edge int, {_ROWS}"
+LEAST_ROWS, MOST_ROWS = 8 * WINDOW, 1 << 20  # of a partition, about
+
+
+def _links_of(table: pa.Table, least: float) -> Iterator[pa.RecordBatch]:
+    """Links among rows in order, turn by turn: a spanning set of the certain ones, and those uncertain that they don't join."""
+    turn = table.column("turn").to_numpy()
+    edge = bounds(turn)
+    for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+        part = table.slice(lo, hi - lo)
+        x, slack = restored(part.column("small"), part.column("step").to_numpy())
+        i, j, sure = window_links(x, least, slack)
+        if len(i):
+            node = part.column("node").to_numpy()
+            root = local_roots(len(node), i[sure], j[sure])
+            moved = np.flatnonzero(root != np.arange(len(node)))
+            yield _linked(node[moved], node[root[moved]], True)
+            open_ = ~sure & (root[i] != root[j])
+            yield _linked(node[i[open_]], node[j[open_]], False)
+
+
+def _linked(a: np.ndarray, b: np.ndarray, sure: bool) -> pa.RecordBatch:
+    n = len(a)
+    blank = [pa.nulls(n, t) for t in (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.binary())]
+    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.full(n, sure)), *blank], names=[f.split()[0] for f in _SCANNED.split(", ")])
 
 
 def _scan_windows(least: float):
-    """Links (a, b) of a sorted partition, and its first and last WINDOW rows (a and b null).
+    """Links (a, b) of a sorted partition, and its first and last WINDOW rows with the edge they lie at (a and b null).
 
-    Certain links come as a spanning set; uncertain ones are left out where certain ones join the two.
+    The edge between partitions p and p + 1 has number p + 1.
     """
     names = [f.split()[0] for f in _SCANNED.split(", ")]
-    own = names[3:]
 
-    def edges(table: pa.Table) -> Iterator[pa.RecordBatch]:
+    def at_edge(table: pa.Table, number: int) -> Iterator[pa.RecordBatch]:
         for b in table.combine_chunks().to_batches():
             none = pa.nulls(b.num_rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none, pa.nulls(b.num_rows, pa.bool_()), *(b.column(n) for n in own)], names=names)
-
-    def links(a: np.ndarray, b: np.ndarray, sure: bool) -> pa.RecordBatch:
-        n = len(a)
-        blank = [pa.nulls(n, t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.binary())]
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.full(n, sure)), *blank], names=names)
+            edge = pa.array(np.full(b.num_rows, number, np.int32))
+            yield pa.RecordBatch.from_arrays([none, none, pa.nulls(b.num_rows, pa.bool_()), edge, *(b.column(n) for n in names[4:])], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here = TaskContext.get().partitionId()
         tail: pa.Table | None = None
         seen = 0
         for b in batches:
@@ -143,27 +164,25 @@ def _scan_windows(least: float):
                 continue
             now = pa.Table.from_batches([b])
             if seen < WINDOW:
-                yield from edges(now.slice(0, WINDOW - seen))
+                yield from at_edge(now.slice(0, WINDOW - seen), here)
             seen += b.num_rows
             table = pa.concat_tables([tail, now]) if tail is not None else now
-            turn = table.column("turn").to_numpy()
-            edge = bounds(turn)
-            for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
-                part = table.slice(lo, hi - lo)
-                x, slack = restored(part.column("small"), part.column("step").to_numpy())
-                i, j, sure = window_links(x, least, slack)
-                if len(i):
-                    node = part.column("node").to_numpy()
-                    root = local_roots(len(node), i[sure], j[sure])
-                    moved = np.flatnonzero(root != np.arange(len(node)))
-                    yield links(node[moved], node[root[moved]], True)
-                    open_ = ~sure & (root[i] != root[j])
-                    yield links(node[i[open_]], node[j[open_]], False)
-            last = table.slice(max(int(edge[-2]), table.num_rows - WINDOW))
-            tail = last.combine_chunks()
+            yield from _links_of(table, least)
+            tail = table.slice(max(0, table.num_rows - WINDOW)).combine_chunks()
         if tail is not None:
-            fresh = min(tail.num_rows, max(0, seen - WINDOW))  # the others are among the first rows
-            yield from edges(tail.slice(tail.num_rows - fresh))
+            yield from at_edge(tail, here + 1)
+
+    return run
+
+
+def _scan_edges(least: float):
+    """Links among the rows of each edge, in order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in groups_of(batches, ["edge"]):
+            cut = bounds(table.column("edge").to_numpy())
+            for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+                yield from _links_of(table.slice(lo, hi - lo), least)
 
     return run
 
@@ -230,12 +249,16 @@ def near_duplicates(rows: DataFrame, least: float = 0.9, vec_id: str = "vec_id",
     grouped = own.where("v is not null").groupBy("hash", "v").agg(F.min("vec_id").alias("first"), F.count("*").alias("size"))
     classes = stages.put(grouped.withColumn("node", F.monotonically_increasing_id()).withColumn("dim", F.size("v")), "classes")
     most = classes.groupBy("dim").count().agg(F.max("count")).first()[0] or 0
-    keyed = _keyed(classes.select("node", "v", "dim"), passes_for(most, least))
-    sorted_rows = keyed.repartitionByRange(n, "turn", "bits", "node").sortWithinPartitions("turn", "bits", "node")
+    passes = passes_for(most, least)
+    many = classes.count() * passes
+    ranges = max(1, min(max(n, many // MOST_ROWS), many // LEAST_ROWS))
+    order = ["turn", "bits", "node"]
+    keyed = _keyed(classes.select("node", "v", "dim"), passes)
+    sorted_rows = keyed.repartitionByRange(ranges, *order).sortWithinPartitions(*order)
     scanned = stages.put(sorted_rows.mapInArrow(_scan_windows(least), _SCANNED), "scanned")
-    # at most 2 * WINDOW rows a partition, in order: those of neighbouring partitions are now adjacent
-    edges = scanned.where("a is null").select("turn", "bits", "node", "step", "small").coalesce(1).sortWithinPartitions("turn", "bits", "node")
-    across = edges.mapInArrow(_scan_windows(least), _SCANNED)
+    # the last rows of a partition and the first of the next meet by the number of their edge
+    edges = scanned.where("a is null").repartition(n, "edge").sortWithinPartitions("edge", *order)
+    across = edges.mapInArrow(_scan_edges(least), _SCANNED)
     found = stages.put(scanned.unionByName(across).where("a is not null").groupBy("a", "b").agg(F.max("sure").alias("sure")), "found")
     stages.drop("scanned")
     sides = [classes.select(F.col("node").alias(a), F.col("v").alias(v)) for a, v in (("a", "left"), ("b", "right"))]
@@ -246,7 +269,8 @@ def near_duplicates(rows: DataFrame, least: float = 0.9, vec_id: str = "vec_id",
         stages.drop(name)
     own_first = linked.join(classes.select("node", "first"), "node")
     whole = own_first.groupBy("component").agg(F.min("first").alias("component_id"), F.ceil(F.sqrt(F.count("*")) / 2).cast("int").alias("blocks"))
-    told = stages.put(linked.join(whole.hint("merge"), "component"), "told")  # a sort-merge join: a large component's rows are split
+    whole = stages.put(whole, "whole")
+    told = stages.put(linked.join(whole.hint("merge"), "component"), "told")  # a sort-merge join of tables: a large component's rows are split
     placed = classes.join(told, "node")
     member = placed.select("component", "node", "size", "v", F.pmod(F.xxhash64("node"), F.col("blocks").cast("long")).cast("int").alias("block"), "blocks")
     cells = member.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
