@@ -800,3 +800,15 @@ query("map_edges", f"""SELECT source, kind, target, string_agg(DISTINCT name, ',
   GROUP BY source, kind, target""")(lambda m: W.build_map(_facts(m))["edges"].withColumn("names", F.array_join("names", ",")))
 query("map_diagnostics", f"""SELECT 'warning' AS severity, 'file-without-layer' AS code, path AS key FROM (WITH {IMPORTED} SELECT path FROM s) x WHERE path NOT LIKE 'src%'
   UNION ALL SELECT DISTINCT 'error', 'missing-artifact-file', concat('f', p_partkey % 60) FROM {{part}} WHERE p_partkey % 60 >= 53""")(lambda m: W.build_map(_facts(m))["diagnostics"])
+
+# --- semantic indexes -------------------------------------------------------------------------
+from factweave.sources import indexes as Y  # noqa: E402
+
+#: Two documents: a.py defines x#f at 1:4-5 and b.py reads it at 2:0 to 3:1.
+_INDEX = bytes.fromhex("121c" "0a04612e7079" "120c" "0a03010405" "1203782366" "1801" "2206707974686f6e" "1213" "0a04622e7079" "120b" "0a0402000301" "1203782366")
+query("scip_occurrences", "SELECT * FROM (VALUES ('a.py', 'python', 'x#f', 'definition', 1, 4, 1, 5, NULL), ('b.py', '', 'x#f', 'reference', 2, 0, 3, 1, NULL), ('bad', NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'cut off')) v(path, language, symbol, roles, line, start, end_line, \"end\", problem)")(
+    lambda m: Y.scip(m["region"].select(F.when(F.col("r_regionkey") == 0, "bad").otherwise("good").alias("path"), F.when(F.col("r_regionkey") == 0, F.lit(bytearray(_INDEX[:20]))).otherwise(F.lit(bytearray(_INDEX))).alias("content")).distinct())
+)
+query("structural_matches", "SELECT concat('b/', p_partkey) AS path, 'r1' AS rule, 'Python' AS language, p_name AS text, CAST(p_size AS BIGINT) AS line, CAST(10 AS BIGINT) AS start, CAST(10 + length(p_name) AS BIGINT) AS \"end\" FROM {part}")(
+    lambda m: Y.structural_matches(_texts(m, F.concat(F.lit('[{"file":"b/'), "p_partkey", F.lit('","ruleId":"r1","language":"Python","text":"'), "p_name", F.lit('","range":{"byteOffset":{"start":10,"end":'), 10 + F.length("p_name"), F.lit('},"start":{"line":'), "p_size", F.lit(',"column":0},"end":{"line":9,"column":1}}}]'))))
+)
