@@ -275,7 +275,8 @@ def near_duplicates(rows: DataFrame, least: float = 0.9, vec_id: str = "vec_id",
     member = placed.select("component", "node", "size", "v", F.pmod(F.xxhash64("node"), F.col("blocks").cast("long")).cast("int").alias("block"), "blocks")
     cells = member.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
     cells = cells.select("component", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "node", "size", "v", "block")
-    dealt = cells.repartition(n, "component", "one", "two").sortWithinPartitions("component", "one", "two")
+    cell = ["component", "one", "two"]
+    dealt = cells.repartitionByRange(n, *cell).sortWithinPartitions(*cell)  # by range, as cells are alike: hashing would deal several to one task
     counts = dealt.mapInArrow(_count_links(least), "node long, links long").groupBy("node").agg(F.sum("links").alias("links"))
     joined = classes.join(told, "node", "left").join(counts, "node", "left")
     named = joined.select(
