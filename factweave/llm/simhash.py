@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factweave.llm import shingles
-from factweave.llm.common import Stages, bounds, connected_components, groups_of, local_roots, partitions, small_batches
+from factweave.llm.common import Stages, bounds, connected_components, free_name, groups_of, local_roots, partitions, small_batches
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
@@ -198,7 +198,7 @@ def stage_simhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """
     stages = Stages(spark)
     rest = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
-    own = docs.select("doc_id", "text", F.struct(*rest, F.lit(True).alias("there")).alias("row"))
+    own = docs.select("doc_id", "text", F.struct(*rest, F.lit(True).alias(free_name(docs, "there"))).alias("row"))
     rows = stages.put(shingles.keyed(own).withColumn("number", F.monotonically_increasing_id()), "rows")
     linked = shingles.components(rows, stages)
     named = rows.select("doc_id", "text", "number", "set").join(linked, rows["set"] == linked.node, "left")

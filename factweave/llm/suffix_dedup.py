@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, LongType, StringType, StructField, StructType
 
-from factweave.llm.common import Stages, bound, bounds, groups_of, partitions, small_batches
+from factweave.llm.common import Stages, bound, bounds, free_name, groups_of, partitions, small_batches
 
 NEED, GRAM = 100, 24
 BUFFER = 1 << 20
@@ -501,7 +501,7 @@ def _identified(docs: DataFrame, text: str, doc_id: str) -> tuple[DataFrame, Dat
     twin is 0, or tells rows of one id with different texts apart; row: the other columns.
     """
     rest = [F.col(f"`{c}`") for c in docs.columns if c != text]
-    own = docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text"), F.struct(*rest, F.lit(True).alias("there")).alias("row"))
+    own = docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text"), F.struct(*rest, F.lit(True).alias(free_name(docs, "there"))).alias("row"))
     shared = own.where("doc is not null").groupBy("doc").agg(F.count("*").alias("n")).where("n > 1").select("doc", F.lit(True).alias("several"))
     if not shared.limit(1).count():
         every = own.withColumn("twin", F.lit(0).cast("long"))
@@ -602,7 +602,7 @@ def stage_suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
         size = pa.array([None if t is None else len(t) for t in new], pa.int64())
         return pa.RecordBatch.from_arrays([pa.array(new, pa.string()), size, b.column("row")], names=["text", "size", "row"])
 
-    rest = StructType([*[docs.schema[n] for n in names if n != "text"], StructField("there", BooleanType())])
+    rest = StructType([*[docs.schema[n] for n in names if n != "text"], StructField(free_name(docs, "there"), BooleanType())])
     out = StructType([docs.schema["text"], StructField("size", LongType()), StructField("row", rest)])
     done = dedupe(docs, out, cleaned)
 

@@ -6,8 +6,8 @@ def docs_of(spark):
     """Documents from (doc_id, text) pairs, with the table's other columns and clashing extras."""
 
     def make(rows, extra=True):
-        schema = "doc_id long, text string, lang string, source string, n_chars long" + (", score string, doc long, span long, key string, ids string, fp string, base string, found string, `__letter` string, `__cuts` string, `__doc` string, kinds string, letter string" if extra else "")
-        return spark.createDataFrame([(i, t, "en", "s", len(t or ""), *["x"] * 0, *(("x", 7, 7, "k", "i", "f", "b", "f", "l", "c", "d", "n", "e") if extra else ())) for i, t in rows], schema)
+        schema = "doc_id long, text string, lang string, source string, n_chars long" + (", score string, doc long, span long, key string, ids string, fp string, base string, found string, `__letter` string, `__cuts` string, `__doc` string, kinds string, letter string, there string, row string, size long" if extra else "")
+        return spark.createDataFrame([(i, t, "en", "s", len(t or ""), *["x"] * 0, *(("x", 7, 7, "k", "i", "f", "b", "f", "l", "c", "d", "n", "e", "t", "r", 3) if extra else ())) for i, t in rows], schema)
 
     return make
 
