@@ -26,6 +26,7 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import cache
 
@@ -213,19 +214,20 @@ class Transducer:
         self.follows[a, b] = good
         return good
 
-    def shortest_path(self, part: str) -> list[tuple[int, int]]:
-        """(end, piece id or -1 for bytes) along the tropical shortest path of a normalised part's lattice.
+    def shortest_path(self, part: str) -> tuple[list[int], list[int]]:
+        """The tropical shortest path of a normalised part's lattice: its ends, and piece ids (-1: bytes).
 
-        Of equal paths the first found stays. The queue of positions whose arcs are relaxed goes by
-        position, a topological order, in a unigram model. In a BPE model all finite paths weigh the
-        same, so any order gives a shortest path once the end is reached: the farthest comes first.
+        Of equal paths the first found stays. The queue of arcs to be relaxed goes by position, a
+        topological order, in a unigram model. In a BPE model all finite paths weigh the same, so any
+        order gives a shortest path once the end is reached: the last and longest arc comes first.
         """
         back, via = (self._finite if self.merging else self._cheapest)(part)
-        path, at = [], len(part)
+        ends, pieces, at = [], [], len(part)
         while at:
-            path.append((at, via[at]))
+            ends.append(at)
+            pieces.append(via[at])
             at = back[at]
-        return path[::-1]
+        return ends[::-1], pieces[::-1]
 
     def _cheapest(self, part: str) -> tuple[list[int], list[int]]:
         size, never = len(part), float("inf")
@@ -246,48 +248,51 @@ class Transducer:
         return back, via
 
     def _finite(self, part: str) -> tuple[list[int], list[int]]:
-        size, names, follows = len(part), self.names, self.follows
-        back, via, last = [-1] * (size + 1), [0] * (size + 1), [""] * (size + 1)  # last: the pair machine's state
-        queue = [0]
-        while back[size] < 0 and queue:
-            at = queue.pop()
-            state, before, end, bare = self.pieces, last[at], at, True
-            reached = len(queue)
-            for c in part[at : at + self.longest]:
+        size, names, follows, longest = len(part), self.names, self.follows, self.longest
+        back, via = [-1] * (size + 1), [0] * (size + 1)
+        at, before, queue = 0, "", []  # before: text of the arc that reaches a position, the pair machine's state
+        while back[size] < 0:
+            state, end, arcs = self.pieces, at, []
+            for c in part[at : at + longest]:
                 arc = state.get(c)
                 if arc is None:
                     break
                 state, piece = arc
                 end += 1
-                if piece < 0:
+                if piece >= 0:
+                    arcs.append((end, piece))
+            if not arcs or arcs[0][0] != at + 1:
+                arcs.insert(0, (at + 1, -1))
+            queue.append((at, before, arcs))
+            while True:
+                start, left, arcs = queue[-1]
+                if not arcs:
+                    queue.pop()
                     continue
-                if end == at + 1:
-                    bare = False
-                if back[end] < 0:
-                    text = names[piece]
-                    good = follows.get((before, text)) if before else True
-                    if good or good is None and self.may_follow(before, text):
-                        back[end], via[end], last[end] = at, piece, text
-                        queue.append(end)
-            if bare and back[at + 1] < 0 and (not before or self.may_follow(before, part[at])):
-                back[at + 1], via[at + 1], last[at + 1] = at, -1, part[at]
-                queue.insert(reached, at + 1)  # nearer than what the pieces reached
+                at, piece = arcs.pop()
+                if back[at] < 0:
+                    before = names[piece] if piece >= 0 else part[start]
+                    good = follows.get((left, before)) if left else True
+                    if good or good is None and self.may_follow(left, before):
+                        back[at], via[at] = start, piece
+                        break
         return back, via
 
     def solve(self, raw: str, state: int) -> tuple[bytes, int]:
         """Ids (uint16) of a part from a normaliser state, and the state after it."""
         part, state = self.normaliser.compose(raw, state)
-        out: list[int] = []
-        at = 0
-        for end, piece in self.shortest_path(part):
-            if piece >= 0:
-                out.append(piece)
-            elif self.byte_id:
-                out += [self.byte_id[c] for c in part[at:end].encode("utf-8", "surrogatepass")]
-            else:
-                out.append(self.unknown)
-            at = end
-        return np.array(out, np.uint16).tobytes(), state
+        ends, pieces = self.shortest_path(part)
+        if -1 in pieces:
+            out: list[int] = []
+            for end, piece in zip(ends, pieces, strict=True):
+                if piece >= 0:
+                    out.append(piece)
+                elif self.byte_id:
+                    out += [self.byte_id[c] for c in part[end - 1].encode("utf-8", "surrogatepass")]
+                else:
+                    out.append(self.unknown)
+            pieces = out
+        return array("H", pieces).tobytes(), state
 
     def encode(self, text: str) -> np.ndarray:
         found, known, state = [], self.known, 0

@@ -95,8 +95,8 @@ def segmentations(text, machine):
 @given(st.text(alphabet="ab▁éx", min_size=1, max_size=9))
 def test_shortest_path_against_all_paths(text):
     machine = S.Transducer(unigram_model())
-    path, at, weight = machine.shortest_path(text), 0, 0.0
-    for end, piece in path:
+    at, weight = 0, 0.0
+    for end, piece in zip(*machine.shortest_path(text), strict=True):
         weight += -machine.score[text[at:end]] if piece >= 0 else machine.lacking
         at = end
     assert at == len(text) and weight == min(w for w, _ in segmentations(text, machine))
