@@ -110,11 +110,18 @@ def mapped_paths(m: Map, paths: tuple = (), **normal) -> DataFrame:
 
 
 def macro_members(m: Map, call: str, selector: str, selector_argument: int = 0, values_from_argument: int = 1, paths: tuple = ()) -> DataFrame:
-    """Arguments of the invocations whose selecting argument has a value; one shuffle for both."""
+    """Arguments of the invocations whose selecting argument has a value; one shuffle for both.
+
+    Where macros say which arguments are literals (``literal``), an argument that is an expression
+    somewhere is unknown: its text is no value.
+    """
     rows = m["macros"].where((F.col("call") == call) & P.selectors(F.col("path"), paths))
     chosen = rows.where((F.col("arg") == selector_argument) & (F.col("text") == selector)).select("path", "invocation").distinct()
     kept = rows.where(F.col("arg") >= values_from_argument).join(chosen, ["path", "invocation"], "left_semi")
-    return _current(kept.select(F.col("text").alias("key")).distinct(), F.col("key"))
+    if "literal" not in kept.columns:
+        return _current(kept.select(F.col("text").alias("key")).distinct(), F.col("key"))
+    grouped = kept.groupBy(F.col("text").alias("key")).agg(F.bool_and(F.coalesce("literal", F.lit(False))).alias("sure"))
+    return grouped.select("key", F.when(F.col("sure"), CURRENT).otherwise(UNKNOWN).alias("state"))
 
 
 def package_entrypoints(m: Map, packages: tuple = (), routes: tuple = (), target_paths: tuple = ()) -> DataFrame:
@@ -128,11 +135,16 @@ def package_exports(m: Map, packages: tuple = (), name_patterns: tuple = ()) ->
 
 
 def provider_surface(m: Map, **normal) -> DataFrame:
-    """Per capability: declared, used, and how many candidates it resolves to."""
+    """Per capability: declared, used, and how many candidates it resolves to.
+
+    Where the surface says whether the bytes behind a row were there (``witnessed``), a capability with
+    a row that lacks them is unknown.
+    """
     rows = normalised(m["surface"], F.col("name"), **normal)
-    grouped = rows.groupBy("key").agg(F.max(F.col("declared").cast("int")).alias("d"), F.max(F.col("used").cast("int")).alias("u"), F.countDistinct("candidate").alias("c"), F.countDistinct("provider").alias("providers"))
+    grouped = rows.groupBy("key").agg(F.max(F.col("declared").cast("int")).alias("d"), F.max(F.col("used").cast("int")).alias("u"), F.countDistinct("candidate").alias("c"), F.countDistinct("provider").alias("providers"), F.bool_and(F.coalesce("witnessed", F.lit(False)) if "witnessed" in rows.columns else F.lit(True)).alias("sure"))
     resolution = F.when(F.col("c") == 0, "unresolved").when(F.col("c") == 1, "resolved").otherwise("ambiguous")
-    return _current(grouped, F.col("key"), F.when(F.col("d") == 1, "declared").otherwise("undeclared").alias("declaration"), resolution.alias("resolution"), (F.col("u") == 1).alias("used"), F.col("providers"))
+    state = F.when(F.col("sure"), CURRENT).otherwise(UNKNOWN).alias("state")
+    return grouped.select("key", F.when(F.col("d") == 1, "declared").otherwise("undeclared").alias("declaration"), resolution.alias("resolution"), (F.col("u") == 1).alias("used"), "providers", state)
 
 
 def search_domain(m: Map) -> DataFrame:

@@ -812,3 +812,11 @@ query("scip_occurrences", "SELECT * FROM (VALUES ('a.py', 'python', 'x#f', 'defi
 query("structural_matches", "SELECT concat('b/', p_partkey) AS path, 'r1' AS rule, 'Python' AS language, p_name AS text, CAST(p_size AS BIGINT) AS line, CAST(10 AS BIGINT) AS start, CAST(10 + length(p_name) AS BIGINT) AS \"end\" FROM {part}")(
     lambda m: Y.structural_matches(_texts(m, F.concat(F.lit('[{"file":"b/'), "p_partkey", F.lit('","ruleId":"r1","language":"Python","text":"'), "p_name", F.lit('","range":{"byteOffset":{"start":10,"end":'), 10 + F.length("p_name"), F.lit('},"start":{"line":'), "p_size", F.lit(',"column":0},"end":{"line":9,"column":1}}}]'))))
 )
+
+query("macro_members_literal", """WITH x AS (SELECT *, text NOT LIKE '%3' AS literal FROM {macros}) SELECT m.text AS key, CASE WHEN bool_and(m.literal) THEN 'current' ELSE 'unknown' END AS state
+  FROM x m JOIN (SELECT DISTINCT path, invocation FROM x WHERE arg = 0 AND text = 'u7') s ON s.path = m.path AND s.invocation = m.invocation WHERE m.arg >= 1 AND m.call = 'EMIT' GROUP BY m.text""")(
+    lambda m: S.macro_members({"macros": m["macros"].withColumn("literal", ~F.col("text").like("%3"))}, "EMIT", "u7")
+)
+query("provider_surface_witness", f"""WITH {SURFACE}, w AS (SELECT name AS key, bool_and(provider <> 'SMALL') AS sure FROM {{surface}} GROUP BY name) SELECT sf.*, CASE WHEN sure THEN 'current' ELSE 'unknown' END AS state FROM sf JOIN w ON w.key = sf.key""")(
+    lambda m: S.provider_surface({"surface": m["surface"].withColumn("witnessed", F.col("provider") != "SMALL")})
+)
