@@ -820,3 +820,19 @@ query("macro_members_literal", """WITH x AS (SELECT *, text NOT LIKE '%3' AS lit
 query("provider_surface_witness", f"""WITH {SURFACE}, w AS (SELECT name AS key, bool_and(provider <> 'SMALL') AS sure FROM {{surface}} GROUP BY name) SELECT sf.*, CASE WHEN sure THEN 'current' ELSE 'unknown' END AS state FROM sf JOIN w ON w.key = sf.key""")(
     lambda m: S.provider_surface({"surface": m["surface"].withColumn("witnessed", F.col("provider") != "SMALL")})
 )
+
+query("path_endpoint_kinds", """WITH n AS (SELECT DISTINCT kind, key AS node, CASE kind WHEN 'file' THEN replace(key, 'n/', '') END AS label FROM (SELECT 'file' AS kind, path AS key FROM {files} UNION ALL SELECT 'component', component FROM {component_files} UNION ALL SELECT 'package', package FROM {entrypoints}) t)
+  SELECT v.pattern, count(n.node) AS matches, CASE count(n.node) WHEN 0 THEN 'unresolved' WHEN 1 THEN 'resolved' ELSE 'ambiguous' END AS resolution FROM (VALUES ('ASIA'), ('component:ASIA'), ('=NATION_3'), ('@n/NATION_4'), ('file:n/NATION_1*')) v(pattern)
+  LEFT JOIN n ON CASE v.pattern WHEN 'ASIA' THEN node = 'ASIA' WHEN 'component:ASIA' THEN kind = 'component' AND node = 'ASIA' WHEN '=NATION_3' THEN label = 'NATION_3' WHEN '@n/NATION_4' THEN node = 'n/NATION_4' ELSE kind = 'file' AND node LIKE 'n/NATION\\_1%' ESCAPE '\\' END GROUP BY v.pattern""")(
+    lambda m: K.endpoints(S.search_domain(m).where("kind in ('file', 'component', 'package')").select("kind", F.col("key").alias("node"), F.when(F.col("kind") == "file", F.replace("key", F.lit("n/"), F.lit(""))).alias("label")), ("ASIA", "component:ASIA", "=NATION_3", "@n/NATION_4", "file:n/NATION_1*"))
+)
+
+
+def _component_path(m: Bound) -> DataFrame:
+    """Paths between components, over edges lifted to them."""
+    edges = G.at_level(G.relations(m["edges"].withColumn("kind", F.lit("import"))), m["component_files"]).where("source is not null")
+    return T.shortest_paths(_seed(m, "ASIA"), _seed(m, "odd"), edges, depth=3)
+
+
+query("path_component_level", f"""WITH e AS ({EDGES}), o AS (SELECT DISTINCT component, path FROM {{component_files}}), c AS (SELECT DISTINCT coalesce(x.component, source) AS s, coalesce(y.component, target) AS t, max(r) AS r FROM e LEFT JOIN o x ON x.path = source LEFT JOIN o y ON y.path = target GROUP BY 1, 2)
+  SELECT 'ASIA,odd' AS nodes, 1 AS length, r = 2 AS proven FROM c WHERE s = 'ASIA' AND t = 'odd'""")(lambda m: _component_path(m).withColumn("nodes", F.array_join("nodes", ",")))
