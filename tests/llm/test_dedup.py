@@ -74,6 +74,15 @@ def test_chains_and_hubs(spark):
     assert got == {i: 0 for i in range(41)} | {100 + i: 100 for i in range(60)}
 
 
+@pytest.mark.parametrize("hub", ["least", "greatest"])
+def test_hubs_of_all_links(spark, hub):
+    """A node with nearly all links, the smallest or the greatest of its component."""
+    centre = 0 if hub == "least" else 10_000
+    rows = [(centre, i) for i in range(1, 1500)] + [(20_000 + i, 20_001 + i) for i in range(5)]
+    got = dict(tuple(r) for r in connected_components(Stages(spark), spark.createDataFrame(rows, "a long, b long")).collect())
+    assert got == {i: min(centre, 1) for i in [centre, *range(1, 1500)]} | {20_000 + i: 20_000 for i in range(6)}
+
+
 def test_simhash_odd_rows(docs_of, odd_rows, spark):
     rows = sorted((tuple(r) for r in H.near_duplicates(docs_of(odd_rows)).collect()), key=str)
     assert len(rows) == len(odd_rows)
