@@ -371,9 +371,6 @@ for _c in ("added", "removed", "changed"):
     query(f"map_diff_{_c}", f"SELECT * FROM ({DIFF}) d WHERE change = '{_c}'")(lambda m, c=_c: D.diff(m["before"], m["after"]).where(F.col("change") == c))
 query("freshness", """SELECT *, CASE WHEN added + missing + changed > 0 THEN 'stale' ELSE 'current' END AS status FROM (SELECT count(*) FILTER (WHERE b.key IS NULL) AS added, count(*) FILTER (WHERE a.key IS NULL) AS missing,
   count(*) FILTER (WHERE a.value <> b.value) AS changed, count(*) FILTER (WHERE a.value = b.value) AS unchanged FROM {before} b FULL JOIN {after} a ON a.key = b.key) t""")(lambda m: D.freshness(m["before"], m["after"]))
-SNAPSHOT = "SELECT name, path, kind, line FROM {symbols}"
-
-
 def _snapshots(m: Bound) -> tuple[dict, dict]:
     """Two Maps: in the second, symbols of one kind moved down a line and files of one language have another layer."""
     old = m["symbols"].select("name", "path", "kind", "line").distinct()
