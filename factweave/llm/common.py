@@ -222,11 +222,14 @@ _HEAVY = 500  # a node is heavy if it has more than this share of all links
 
 
 def _with_least(rows: DataFrame, least: DataFrame, limit: int) -> DataFrame:
-    """rows (u, v) with their node's least neighbour (u, m, n): heavy nodes are few, so theirs are broadcast and their rows stay where they are."""
-    heavy = least.where(F.col("n") > limit).select("u", "m")
-    light = least.where(F.col("n") <= limit).select("u", "m")
-    others = rows.join(F.broadcast(heavy.select("u")), "u", "left_anti")
-    return rows.join(F.broadcast(heavy), "u").unionByName(others.join(light, "u"))
+    """rows (u, v) with m, the least neighbour of u (least: u, m, n).
+
+    Nodes with over ``limit`` links are few: theirs are broadcast, and their rows go to the other join
+    under keys of their own, where what they may meet is not used.
+    """
+    heavy = F.broadcast(least.where(F.col("n") > limit).select("u", F.col("m").alias("known")))
+    spread = rows.join(heavy, "u", "left").withColumn("key", F.when(F.col("known").isNull(), F.col("u")).otherwise(-1 - F.col("v")))
+    return spread.join(least.select(F.col("u").alias("key"), "m"), "key", "left").select("u", "v", F.coalesce("known", "m").alias("m"))
 
 
 def connected_components(stages: Stages, edges: DataFrame, name: str = "cc") -> DataFrame:
