@@ -85,6 +85,8 @@ def routes(seed: DataFrame, edges: DataFrame, depth: int, direction: str = "down
         best = best.unionByName(front)
         if hop % CUT_EVERY == 0 and hop < depth:
             front, best = front.checkpoint(), best.groupBy("node").agg(F.min("route").alias("route")).checkpoint()
+            if front.isEmpty():  # no route goes further
+                break
     final = best.groupBy("node").agg(F.min("route").alias("route"))
     return final.select("node", *[F.col(f"route.{q}").alias(q) for q in QUALITY])
 
