@@ -1,23 +1,32 @@
-"""Near-duplicates by exact Jaccard similarity of five-word shingle sets.
+"""Near-duplicates by SimHash and Golay-code fuzzy keys, verified as exact Jaccard similarity of five-word shingle sets.
 
-*Candidates.* A set has ``BANDS`` keys, each the hash of ``ROWS`` minima of random permutations of
-its shingles' hashes. Two sets of similarity s share a key with probability
-1 - (1 - s**ROWS)**BANDS: 0.9996 at 0.8, and more above. Equal sets are one class beforehand.
+*Fingerprints.* A set has several 64-bit SimHash fingerprints, each from other hashes of its shingles: a
+bit is 1 if set in over half of them. At a similarity of 0.8 two sets differ in a bit with probability
+0.15, and ``APART`` at most: that of 4 shingles and a fifth.
+
+*Candidates.* Of each fingerprint the lowest 23 bits are a word, whose fuzzy keys are the Golay codewords
+within distance 4 (see ``simhash``), and the bits after it are matched exactly, more of them the more rows
+there are (``exact_bits``). Two sets that share a key are compared by two fingerprints, and those over
+``RADIUS`` bits apart, or out of the bounds below, don't meet. ``tables_for`` says how many fingerprints it takes to leave a pair of
+similarity 0.8 without a shared key with probability ``MISS`` at most, less above and for larger sets. A
+key's members fall into groups, and none may be similar to one in another group; equal groups
+of several keys are one. Equal sets are one class beforehand.
 
 *Bounds.* A set has a sketch of ``SKETCH`` bits, the parities of how many shingles fall on each. The bits in
 which two sketches differ are at most the shingles that two sets do not share, so a pair with too
-many of them, or of too different sizes, is ruled out in the join, and never becomes a row.
+many of them, or of too different sizes, is ruled out when keys meet and in joins, and never becomes a row.
 
-*Verification.* Other sets that share a key are compared exactly. A key with more than ``WIDE`` sets
+*Verification.* Other sets of one group are compared exactly. A group of more than ``WIDE`` sets
 would compare too many pairs: its members are first compared with one of them only, the one that
-shares most keys with others. Members that this leaves outside the key's largest component are
-then compared with all others of the key, so no candidate pair that could join two components is
+meets most others. Members that this leaves outside the group's largest component are
+then compared with all others of the group, so no candidate pair that could join two components is
 left out.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import ceil, comb, log
 
 import numpy as np
 import pyarrow as pa
@@ -26,12 +35,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-from factweave.llm.common import Stages, connected_components, small_batches
+from factweave.llm.common import Stages, bounds, connected_components, groups_of, local_roots, partitions, small_batches
 
-BANDS, ROWS, WIDE = 20, 5, 32
+WIDE = 2
+APART, MISS = 0.1875, 1e-4
+RADIUS = 42  # of 128 bits: beyond it are one in 20,000 pairs ``APART``, and all but 7 in 100,000 unrelated ones
+MET = (1, 1, 1, 0.5947, 0.5947, 0.1885, 0.1893, 0.0342, 0.0342)  # share of words at distance 0, 1, ... that share a fuzzy key
+DENSE = 17  # up to 2**DENSE rows no bits are matched exactly, and one more each time they double
+ROUND = 5  # fingerprints whose keys are dealt at once
+KEYS = 1 << 20  # about, of a partition
+BIG = 512
 SKETCH = 256
 SHINGLE, SEED = 5, 42
-_STEP, _MANY = 1 << 12, 1 << 16
+_MANY = 1 << 16
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -59,17 +75,45 @@ def identity(own: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(own.tobytes(), SEED)).view(np.int64)) if len(own) else 0
 
 
-def band_keys(own: np.ndarray) -> np.ndarray:
-    """The keys of a set, as longs; none for the empty one."""
+def exact_bits(rows: int) -> int:
+    """Bits matched exactly beside a fuzzy key, so that keys of unrelated sets stay of bounded size."""
+    return min(41, max(0, rows.bit_length() - DENSE))
+
+
+def tables_for(exact: int) -> int:
+    """Fingerprints needed for a chance of ``MISS`` that two sets ``APART`` share no key."""
+    met = sum(comb(23, d) * APART**d * (1 - APART) ** (23 - d) * share for d, share in enumerate(MET))
+    return ceil(log(MISS) / log(1 - met * (1 - APART) ** exact))
+
+
+def fingerprints(own: np.ndarray, tables: int) -> np.ndarray:
+    """SimHash fingerprints of a set: a bit is 1 if set in over half the shingles' hashes."""
+    seeds = (np.arange(1, tables + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[None, :]
+    ones = np.zeros(64 * tables, np.int64)
+    for at in range(0, len(own), 255):  # counts of a byte
+        mixed = own[at : at + 255, None] + seeds
+        mixed = (mixed ^ (mixed >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        mixed = (mixed ^ (mixed >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        mixed ^= mixed >> np.uint64(31)
+        ones += np.unpackbits(mixed.view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.uint8)
+    return np.packbits(ones * 2 > len(own), bitorder="little").view(np.uint64)
+
+
+def fuzzy_keys(prints: np.ndarray, table: int, exact: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key) of the uint64 fingerprints of one table; key: a hash of table, exact bits and codeword index."""
+    from factweave.llm.simhash import golay_keys
+
+    row, word = golay_keys((prints & np.uint64((1 << 23) - 1)).astype(np.int64))
+    after = (prints >> np.uint64(23)) & np.uint64((1 << exact) - 1)
+    key = (np.uint64(table) << np.uint64(53)) | (after[row] << np.uint64(12)) | word.astype(np.uint64)
+    return row, key.view(np.int64)
+
+
+def band_keys(own: np.ndarray, exact: int = 0) -> np.ndarray:
+    """All keys of a set, as longs; none for the empty one."""
     if not len(own):
         return np.zeros(0, np.int64)
-    rng = np.random.default_rng(17)
-    flip, times = (rng.integers(1, 1 << 63, (BANDS * ROWS, 1), np.uint64) | np.uint64(1) for _ in range(2))
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(own), _STEP):
-        least = np.minimum(least, ((own[at : at + _STEP] ^ flip) * times).min(1))
-    bands = least.reshape(BANDS, ROWS)
-    return np.array([xxhash.xxh64_intdigest(b.tobytes(), i) for i, b in enumerate(bands)], np.uint64).view(np.int64)
+    return np.concatenate([fuzzy_keys(p, i, exact)[1] for i, p in enumerate(fingerprints(own, tables_for(exact))[:, None])])
 
 
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
@@ -96,23 +140,112 @@ def may_be_similar(a: str, b: str) -> Column:
     return (9 * apart <= both) & (9 * F.abs(F.get(a, F.lit(0)) - F.get(b, F.lit(0))) <= both)
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """docs (with a text) and set, the identity of the shingle set, keys, its band keys, and shape."""
+def keyed(docs: DataFrame, tables: int) -> DataFrame:
+    """docs (with a text) and set, the identity of the shingle set, prints, its fingerprints, and shape."""
     small_batches(docs.sparkSession)
     longs = ArrayType(LongType())
-    schema = StructType([*docs.schema.fields, StructField("set", LongType()), StructField("keys", longs), StructField("shape", longs)])
+    schema = StructType([*docs.schema.fields, StructField("set", LongType()), StructField("prints", longs), StructField("shape", longs)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
                 sets = [shingles(t) for t in b.column("text").to_pylist()]
                 kind = pa.list_(pa.int64())
-                more = [pa.array([identity(s) for s in sets], pa.int64()), pa.array([band_keys(s) for s in sets], kind), pa.array([shape(s) for s in sets], kind)]
+                prints = pa.array([fingerprints(s, tables).view(np.int64) for s in sets], kind)
+                more = [pa.array([identity(s) for s in sets], pa.int64()), prints, pa.array([shape(s) for s in sets], kind)]
                 yield pa.RecordBatch.from_arrays([*b.columns, *more], names=schema.names)
 
     return docs.mapInArrow(run, schema)
 
 
+_LOOK = ["near", "far", "size", *(f"sketch_{i}" for i in range(SKETCH // 64))]
+
+
+def _dealt(once: DataFrame, tables: range, exact: int) -> DataFrame:
+    """(key, node, *_LOOK) of the sets' fingerprints of some tables; near and far are the first two of all."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                node = b.column("node").to_numpy()
+                prints, shapes = (b.column(c).flatten().to_numpy().reshape(b.num_rows, -1) for c in ("prints", "shape"))
+                look = np.concatenate([prints[:, :2], shapes], axis=1)
+                for i in tables:
+                    row, key = fuzzy_keys(prints[:, i].view(np.uint64), i, exact)
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key, node[row], *look[row].T)], names=["key", "node", *_LOOK])
+
+    return once.where("node <> 0").select("node", "prints", "shape").mapInArrow(run, ", ".join(f"{c} long" for c in ("key", "node", *_LOOK)))
+
+
+def _may(look: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether rows a and b are within ``RADIUS`` and ``may_be_similar``."""
+
+    def differing(columns: list[np.ndarray]) -> np.ndarray:
+        return sum(np.bitwise_count(x[a] ^ x[b]).astype(np.int64) for x in columns)
+
+    size = look[2].view(np.int64)
+    both = size[a] + size[b]
+    return (differing(look[:2]) <= RADIUS) & (9 * differing(look[3:]) <= both) & (9 * np.abs(size[a] - size[b]) <= both)
+
+
+def close_pairs(key: np.ndarray, look: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of equal keys (sorted) that may be similar: pairs that connect the same rows as all of them do."""
+    edges = bounds(key)
+    sizes = np.diff(edges)
+    end = np.repeat(edges[1:], sizes)
+    one, two = [], []
+    at, step = np.flatnonzero(np.repeat(sizes <= BIG, sizes)), 1
+    while len(at := at[at + step < end[at]]):
+        near = at[sum(np.bitwise_count(x[at] ^ x[at + step]) for x in look[:2]) <= RADIUS]
+        good = near[_may(look, near, near + step)]
+        one.append(good)
+        two.append(good + step)
+        step += 1
+    for low, high in zip(edges[:-1][sizes > BIG].tolist(), edges[1:][sizes > BIG].tolist(), strict=True):
+        left = np.arange(low, high)
+        while len(left):  # what the first reaches: each pair is compared once, and not inside what it has reached
+            first, left, front = left[0], left[1:], left[:1]
+            while len(front) and len(left):
+                wide = max(1, (1 << 18) // len(left))
+                hit = _may(look, front[:wide, None], left[None, :]).any(0)
+                one.append(np.full(hit.sum(), first))
+                two.append(left[hit])
+                front, left = np.concatenate([front[wide:], left[hit]]), left[~hit]
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *one]), np.concatenate([none, *two])
+
+
+def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Groups of sets under one key (rows by key and node), named by a hash of their members."""
+    for table in groups_of(batches, ["key"]):
+        key, node = table.column("key").to_numpy(), table.column("node").to_numpy()
+        a, b = close_pairs(key, [table.column(c).to_numpy().view(np.uint64) for c in _LOOK])
+        if not len(a):
+            continue
+        own, back = np.unique(np.concatenate([a, b]), return_inverse=True)
+        root = local_roots(len(own), back[: len(a)], back[len(a) :])
+        order = np.argsort(root, kind="stable")
+        member, edges = node[own[order]], bounds(root[order])
+        names = [xxhash.xxh64_intdigest(member[i:j].tobytes(), SEED) for i, j in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
+        sizes = np.diff(edges)
+        group = np.repeat(np.array(names, np.uint64).view(np.int64), sizes)
+        yield pa.RecordBatch.from_arrays([pa.array(group), pa.array(member), pa.array(np.repeat(sizes, sizes))], names=["key", "node", "n"])
+
+
+def _shared(once: DataFrame, sets: int, tables: int, exact: int, stages: Stages) -> DataFrame:
+    """(key, node, n) of groups of n sets that may be similar, dealt some fingerprints at a time, as keys take room."""
+    parts = []
+    for low in range(0, tables, ROUND):
+        some = range(low, min(tables, low + ROUND))
+        n = max(partitions(once.sparkSession), sets * len(some) * 6 // KEYS)
+        keys = _dealt(once, some, exact).repartition(n, "key").sortWithinPartitions("key", "node")
+        parts.append(stages.put(keys.mapInArrow(_grouped, "key long, node long, n long"), f"groups-{low}"))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out.distinct()
+
+
 def _sets(texts: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -145,14 +278,11 @@ def _links(pairs: DataFrame, rows: DataFrame, once: DataFrame, stages: Stages, n
     return found
 
 
-def components(rows: DataFrame, stages: Stages) -> DataFrame:
+def components(rows: DataFrame, stages: Stages, exact: int) -> DataFrame:
     """(node, component) of the sets of rows (keyed(), numbered, written) that are linked to another."""
-    once = stages.put(rows.groupBy(F.col("set").alias("node")).agg(F.first("keys").alias("keys"), F.first("shape").alias("shape"), F.min("number").alias("number")), "once")
-    every = stages.put(once.select("node", F.explode("keys").alias("key")), "bands")
-    counts = stages.put(every.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "counts")
-    shared = stages.put(every.join(counts, "key").join(once.select("node", "shape"), "node"), "shared")
-    for name in ("bands", "counts"):
-        stages.drop(name)
+    once = stages.put(rows.groupBy(F.col("set").alias("node")).agg(F.first("prints").alias("prints"), F.first("shape").alias("shape"), F.min("number").alias("number")), "once")
+    groups = _shared(once, once.count(), tables_for(exact), exact, stages)
+    shared = stages.put(groups.join(once.select("node", "shape"), "node"), "shared")
     few, many = shared.where(f"n <= {WIDE}").select("key", "node", "shape"), shared.where(f"n > {WIDE}").select("key", "node", "shape")
     one, two = ([F.col("key").alias(f"key_{x}"), F.col("node").alias(x), F.col("shape").alias(f"shape_{x}")] for x in "ab")
     near = may_be_similar("shape_a", "shape_b")

@@ -192,15 +192,17 @@ def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage_simhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each near-duplicate group stays: that of the smallest doc_id, once.
 
-    Documents are linked at a Jaccard similarity of 0.8 or more over five-word shingles, a wider
-    radius than the query's two bits: see ``shingles``. Null ids come last, so a group that has
+    Candidates share a Golay-code fuzzy key of a SimHash fingerprint, as in the query, but at a wider
+    radius than its two bits: links are all at a Jaccard similarity of 0.8 or more over five-word
+    shingles, which is verified (see ``shingles``). Null ids come last, so a group that has
     only those keeps one row as well; ties go to the smaller hash of the text.
     """
     stages = Stages(spark)
     rest = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
     own = docs.select("doc_id", "text", F.struct(*rest, F.lit(True).alias(free_name(docs, "there"))).alias("row"))
-    rows = stages.put(shingles.keyed(own).withColumn("number", F.monotonically_increasing_id()), "rows")
-    linked = shingles.components(rows, stages)
+    exact = shingles.exact_bits(own.count())
+    rows = stages.put(shingles.keyed(own, shingles.tables_for(exact)).withColumn("number", F.monotonically_increasing_id()), "rows")
+    linked = shingles.components(rows, stages, exact)
     named = rows.select("doc_id", "text", "number", "set").join(linked, rows["set"] == linked.node, "left")
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", F.xxhash64("text").alias("hash"), "number")
     first = named.select(F.coalesce("component", "set").alias("component"), order.alias("x")).groupBy("component").agg(F.min("x").alias("x"))
