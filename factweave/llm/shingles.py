@@ -15,12 +15,14 @@ of several keys are one. Equal sets are one class beforehand.
 *Bounds.* A set has a sketch of ``SKETCH`` bits, the parities of how many shingles fall on each. The bits in
 which two sketches differ are at most the shingles that two sets do not share, so a pair with too
 many of them, or of too different sizes, is ruled out when keys meet and in joins, and never becomes a row.
+Joins look at the whole sketch, keys at one folded to ``FOLDED`` bits, as they take more room.
 
 *Verification.* Other sets of one group are compared exactly. A group of more than ``WIDE`` sets
-would compare too many pairs: its members are first compared with one of them only, the one that
-meets most others. Members that this leaves outside the group's largest component are
-then compared with all others of the group, so no candidate pair that could join two components is
-left out.
+would compare too many pairs: each group has a middle, the member that meets most others, and a set is
+first compared with one middle only, the heaviest of its groups'. Then it is compared with the middles
+that are in another component than itself. Members that this leaves outside the group's largest
+component are compared with all others of the group in other components, so no candidate pair that could
+join two components is left out. Links are thus about one a set, whatever the size of its groups.
 """
 
 from __future__ import annotations
@@ -45,7 +47,7 @@ DENSE = 17  # up to 2**DENSE rows no bits are matched exactly, and one more each
 ROUND = 5  # fingerprints whose keys are dealt at once
 KEYS = 1 << 20  # about, of a partition
 BIG = 512
-SKETCH = 256
+SKETCH, FOLDED = 1024, 256
 SHINGLE, SEED = 5, 42
 _MANY = 1 << 16
 
@@ -126,10 +128,15 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
 
 def shape(own: np.ndarray) -> np.ndarray:
     """Size and sketch of a set, as longs."""
-    odd = np.bincount((own >> np.uint64(56)).astype(np.int64) % SKETCH, minlength=SKETCH) & 1
+    odd = np.bincount((own >> np.uint64(54)).astype(np.int64) % SKETCH, minlength=SKETCH) & 1
     return np.concatenate([[len(own)], np.packbits(odd.astype(np.uint8)).view(np.int64)])
 
 
+def folded(shapes: np.ndarray) -> np.ndarray:
+    """Shapes (a row each) with sketches of ``FOLDED`` bits: parities of the shingles that fall on several."""
+    return np.concatenate([shapes[:, :1], np.bitwise_xor.reduce(shapes[:, 1:].reshape(len(shapes), -1, FOLDED // 64), axis=1)], axis=1)
+
+
 def may_be_similar(a: str, b: str) -> Column:
     """False only for two shapes whose sets have a Jaccard similarity below 0.8.
 
@@ -137,7 +144,7 @@ def may_be_similar(a: str, b: str) -> Column:
     """
     both = F.get(a, F.lit(0)) + F.get(b, F.lit(0))
     apart = sum((F.bit_count(F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))) for i in range(1, 1 + SKETCH // 64)), F.lit(0))
-    return (9 * apart <= both) & (9 * F.abs(F.get(a, F.lit(0)) - F.get(b, F.lit(0))) <= both)
+    return (9 * F.abs(F.get(a, F.lit(0)) - F.get(b, F.lit(0))) <= both) & (9 * apart <= both)
 
 
 def keyed(docs: DataFrame, tables: int) -> DataFrame:
@@ -158,7 +165,7 @@ def keyed(docs: DataFrame, tables: int) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-_LOOK = ["near", "far", "size", *(f"sketch_{i}" for i in range(SKETCH // 64))]
+_LOOK = ["near", "far", "size", *(f"sketch_{i}" for i in range(FOLDED // 64))]
 
 
 def _dealt(once: DataFrame, tables: range, exact: int) -> DataFrame:
@@ -169,7 +176,7 @@ def _dealt(once: DataFrame, tables: range, exact: int) -> DataFrame:
             if b.num_rows:
                 node = b.column("node").to_numpy()
                 prints, shapes = (b.column(c).flatten().to_numpy().reshape(b.num_rows, -1) for c in ("prints", "shape"))
-                look = np.concatenate([prints[:, :2], shapes], axis=1)
+                look = np.concatenate([prints[:, :2], folded(shapes)], axis=1)
                 for i in tables:
                     row, key = fuzzy_keys(prints[:, i].view(np.uint64), i, exact)
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key, node[row], *look[row].T)], names=["key", "node", *_LOOK])
@@ -282,27 +289,45 @@ def components(rows: DataFrame, stages: Stages, exact: int) -> DataFrame:
     """(node, component) of the sets of rows (keyed(), numbered, written) that are linked to another."""
     once = stages.put(rows.groupBy(F.col("set").alias("node")).agg(F.first("prints").alias("prints"), F.first("shape").alias("shape"), F.min("number").alias("number")), "once")
     groups = _shared(once, once.count(), tables_for(exact), exact, stages)
-    shared = stages.put(groups.join(once.select("node", "shape"), "node"), "shared")
-    few, many = shared.where(f"n <= {WIDE}").select("key", "node", "shape"), shared.where(f"n > {WIDE}").select("key", "node", "shape")
+    stages.release()
+    weight = groups.groupBy("node").agg(F.sum("n").alias("weight"))
+    shared = stages.put(groups.join(once.select("node", "shape").join(weight, "node"), "node"), "shared")
+    few, many = shared.where(f"n <= {WIDE}").select("key", "node", "shape"), shared.where(f"n > {WIDE}").select("key", "node", "shape", "weight")
     one, two = ([F.col("key").alias(f"key_{x}"), F.col("node").alias(x), F.col("shape").alias(f"shape_{x}")] for x in "ab")
-    near = may_be_similar("shape_a", "shape_b")
-    pairs = few.select(*one).join(few.select(*two), (F.col("key_a") == F.col("key_b")) & (F.col("a") < F.col("b")) & near).select("a", "b")
-    weight = shared.groupBy("node").agg(F.sum("n").alias("weight"))
-    middle = many.join(weight, "node").groupBy("key").agg(F.max(F.struct("weight", "node", "shape")).alias("x"))
-    middle = middle.select(F.col("key").alias("key_b"), F.col("x.node").alias("b"), F.col("x.shape").alias("shape_b"))
-    stars = many.select(*one).join(middle, (F.col("key_a") == F.col("key_b")) & (F.col("a") != F.col("b")) & near)
-    links = _links(pairs.unionByName(_ordered(stars)), rows, once, stages, "first")
+    near = (F.col("key_a") == F.col("key_b")) & may_be_similar("shape_a", "shape_b")
+    pairs = few.select(*one).join(few.select(*two), near & (F.col("a") < F.col("b"))).select("a", "b")
+    middle = many.groupBy("key").agg(F.max(F.struct("weight", "node", "shape")).alias("x"))
+    middle = stages.put(middle.select("key", "x.*"), "middle")
+    stars = many.select(*one).join(middle.select(*two, "weight"), near & (F.col("a") != F.col("b")))
+    heaviest = stars.groupBy("a").agg(F.max(F.struct("weight", "b")).alias("x")).select("a", F.col("x.b").alias("b"))
+    links = _links(pairs.unionByName(_ordered(heaviest)), rows, once, stages, "first")
     linked = stages.put(connected_components(stages, links), "linked")
-    placed = stages.put(many.join(linked, "node", "left").withColumn("component", F.coalesce("component", "node")), "placed")
+    stages.release()
+    across = near & (F.col("of_a") != F.col("of_b"))
+    stars = _placed(many, linked).select(*one, F.col("component").alias("of_a")).join(_placed(middle, linked).select(*two, F.col("component").alias("of_b")), across)
+    linked = _joined(linked, _links(_ordered(stars), rows, once, stages, "second"), stages, "second")
+    stages.release()
+    placed = stages.put(_placed(many, linked), "placed")
     sizes = placed.groupBy("key", "component").agg(F.count("*").alias("n"))
     main = sizes.groupBy("key").agg(F.max(F.struct("n", "component")).alias("x"), F.count("*").alias("parts")).where("parts > 1").select("key", F.col("x.component").alias("main"))
     left = placed.join(main, "key").where("component <> main").drop("main")
     if not left.limit(1).count():
         return linked
-    other = placed.select(*two, F.col("component").alias("of_b"))
-    rest = left.select(*one, F.col("component").alias("of_a")).join(other, (F.col("key_a") == F.col("key_b")) & (F.col("of_a") != F.col("of_b")) & near)
-    more = links.unionByName(_links(_ordered(rest), rows, once, stages, "second"))
-    return stages.put(connected_components(stages, more, "cc2"), "linked2")
+    rest = left.select(*one, F.col("component").alias("of_a")).join(placed.select(*two, F.col("component").alias("of_b")), across)
+    return _joined(linked, _links(_ordered(rest), rows, once, stages, "third"), stages, "third")
+
+
+def _placed(sets: DataFrame, linked: DataFrame) -> DataFrame:
+    """(key, node, shape, component) of sets."""
+    return sets.join(linked, "node", "left").select("key", "node", "shape", F.coalesce("component", "node").alias("component"))
+
+
+def _joined(linked: DataFrame, links: DataFrame, stages: Stages, name: str) -> DataFrame:
+    """Components after more links: a component found before is a star of links to its smallest node."""
+    if not links.limit(1).count():
+        return linked
+    known = linked.select(F.col("node").alias("a"), F.col("component").alias("b"))
+    return stages.put(connected_components(stages, known.unionByName(links), f"cc-{name}"), f"linked-{name}")
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:

@@ -139,3 +139,36 @@ def test_all_candidates_come_from_keys_of_fingerprints(spark, docs_of, monkeypat
     dealt = N._dealt
     monkeypatch.setattr(N, "_dealt", lambda *args: dealt(*args).where("false"))
     assert stage_simhash(spark, docs_of(list(enumerate(docs))), "").count() == len({N.identity(N.shingles(d)) for d in docs})
+
+
+def test_pairs_grow_with_the_sets_of_a_group_not_with_their_square(spark, docs_of, monkeypatch):
+    """Near copies of one text around 0.8: rows of all joins that make pairs, before any are taken once."""
+    rng, asked, links = random.Random(12), [], N._links
+    words = ["".join(rng.choices("abcdefg", k=6)) for _ in range(3000)]
+    base = rng.choices(words, k=150)
+    docs = []
+    for i in range(240):
+        own = list(base)
+        for _ in range(i % 6):
+            own[rng.randrange(len(own))] = rng.choice(words)
+        docs.append(" ".join(own))
+
+    def counted(pairs, *args):
+        asked.append(pairs.count())
+        return links(pairs, *args)
+
+    monkeypatch.setattr(N, "_links", counted)
+    got = {r.doc_id for r in stage_simhash(spark, docs_of(list(enumerate(docs))), "").collect()}
+    want = set(brute(docs).tolist())
+    assert got == want and len(want) < 100
+    assert asked[0] < len(docs) and sum(asked) < 4 * len(docs), asked
+
+
+def test_folded_sketches_are_parities_of_fewer_buckets():
+    rng = np.random.default_rng(7)
+    sets = [np.sort(rng.integers(0, 1 << 64, n, np.uint64, endpoint=False)) for n in (1, 60, 900)]
+    got = N.folded(np.stack([N.shape(x) for x in sets]))
+    assert got[:, 0].tolist() == [1, 60, 900] and got.shape[1] == 1 + N.FOLDED // 64
+    for own, row in zip(sets, got[:, 1:], strict=True):
+        odd = np.bincount((own >> np.uint64(54)).astype(np.int64) % N.FOLDED, minlength=N.FOLDED) & 1
+        assert np.unpackbits(np.ascontiguousarray(row).view(np.uint8)).tolist() == odd.tolist()
