@@ -569,7 +569,7 @@ query("static_test_routes", f"""WITH {DEFS}, c AS (SELECT path, pos, p_name AS n
 )
 query("reference_groups", """WITH c AS (SELECT source, name, relation, coalesce(string_agg(DISTINCT target, ',' ORDER BY target), '') AS candidates FROM {calls} GROUP BY source, name, relation)
   SELECT source, relation, candidates, string_agg(name, ',' ORDER BY name) AS names FROM c GROUP BY source, relation, candidates""")(
-    lambda m: K.reference_groups(m["symbol_relations"]).withColumn("candidates", F.array_join("candidates", ",")).withColumn("names", F.array_join("names", ","))
+    lambda m: m.of_callers(K.reference_groups(m["class_relations"]).withColumn("candidates", F.array_join("candidates", ",")).withColumn("names", F.array_join("names", ",")))
 )
 query("component_edge_rollup", """WITH o AS (SELECT DISTINCT component, path FROM {component_files}) SELECT a.component AS source, b.component AS target, kind, count(*) AS mentions, string_agg(DISTINCT name, ',' ORDER BY name) AS names
   FROM {mentions} t JOIN o a ON a.path = t.source JOIN o b ON b.path = t.target WHERE a.component <> b.component GROUP BY 1, 2, 3""")(
