@@ -468,7 +468,7 @@ query("import_resolution_ladder", """WITH i AS (SELECT DISTINCT p_type AS source
 )
 query("compile_contexts", "SELECT sha256(concat(p_type, ' ', p_brand)) AS context, concat(p_type, ' ', p_brand) AS options, count(*) AS commands FROM {part} GROUP BY 1, 2")(lambda m: D.intern_contexts(m["part"].select(F.concat_ws(" ", "p_type", "p_brand").alias("options"))))
 query("edge_grouping", f"SELECT source, target, kind, string_agg(DISTINCT name, ',' ORDER BY name) AS names, CASE max(CASE state WHEN 'current' THEN 2 WHEN 'unknown' THEN 1 ELSE 0 END) WHEN 2 THEN 'current' WHEN 1 THEN 'unknown' ELSE 'stale' END AS state FROM {{mentions}} GROUP BY source, target, kind")(lambda m: m["edges"].withColumn("names", F.array_join("names", ",")))
-query("resolution_counts", f"WITH c AS ({CALLS}) SELECT source, resolution, count(*) AS calls FROM c GROUP BY source, resolution")(lambda m: m["symbol_relations"].groupBy("source", "resolution").agg(F.count("*").alias("calls")))
+query("resolution_counts", f"WITH c AS ({CALLS}) SELECT source, resolution, count(*) AS calls FROM c GROUP BY source, resolution")(lambda m: m.of_callers(m["class_relations"].groupBy("source", "resolution").agg(F.count("*").alias("calls"))))
 query("layer_rollup", "SELECT layer, count(*) AS files, sum(symbol_count) AS symbols FROM {files} GROUP BY layer")(lambda m: m["files"].groupBy("layer").agg(F.count("*").alias("files"), F.sum("symbol_count").alias("symbols")))
 query("component_summary", f"""WITH {CEDGES}, o AS (SELECT source, count(*) AS outgoing FROM cedges GROUP BY source) SELECT c.component, count(*) AS files, sum(f.symbol_count) AS symbols, coalesce(max(o.outgoing), 0) AS outgoing
   FROM {{component_files}} c JOIN {{files}} f ON f.path = c.path LEFT JOIN o ON o.source = c.component GROUP BY c.component""")(
